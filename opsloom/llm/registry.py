@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from opsloom.llm.bpe import op8_bpe
+from opsloom.llm.langid import op9_language_id
 from opsloom.llm.mixing import op6_mixing
+from opsloom.llm.quality import op10_quality
 
-QUERIES = {"op6_mixing": op6_mixing, "op8_bpe": op8_bpe}
+QUERIES = {"op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {}
