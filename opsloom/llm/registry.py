@@ -7,7 +7,8 @@ from opsloom.llm.langid import op9_language_id
 from opsloom.llm.mixing import op6_mixing
 from opsloom.llm.quality import op10_quality
 from opsloom.llm.rules import op4_quality_rules
+from opsloom.llm.secrets import op1_secrets
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_quality": op10_quality}
+QUERIES = {"op1_secrets": op1_secrets, "op4_quality_rules": op4_quality_rules, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {}
