@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from opsloom.llm.bpe import op8_bpe
+from opsloom.llm.fingerprints import op5_fingerprints
 from opsloom.llm.jaccard import op2_jaccard_join
 from opsloom.llm.langid import op9_language_id
 from opsloom.llm.mixing import op6_mixing
 from opsloom.llm.quality import op10_quality
 from opsloom.llm.rules import op4_quality_rules
 from opsloom.llm.secrets import op1_secrets
+from opsloom.llm.sharding import op3_sharding
 
-QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op1_secrets": op1_secrets, "op4_quality_rules": op4_quality_rules, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_quality": op10_quality}
+QUERIES = {"op3_sharding": op3_sharding, "op5_fingerprints": op5_fingerprints, "op2_jaccard_join": op2_jaccard_join, "op1_secrets": op1_secrets, "op4_quality_rules": op4_quality_rules, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {}
