@@ -18,6 +18,7 @@ import struct
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -164,21 +165,20 @@ def loaded(path: str) -> Bpe:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded text of every document."""
+    """doc_id, n_tokens, ids (array of int) and decoded text of every document."""
     name = path
 
     def run(batches):
         bpe = loaded(name or vocab_path())
         for b in batches:
-            ids, texts = [], []
-            for t in b.column(1).to_pylist():
-                raw, text = bpe.encode_packed(t or "")
-                ids.append(struct.unpack(f"<{len(raw) // 4}I", raw))
-                texts.append(text)
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            found = [bpe.encode_packed(t.as_py() or "") for t in b.column(1)]
+            ends = np.cumsum([0] + [len(raw) // 4 for raw, _ in found])
+            flat = pa.array(np.frombuffer(b"".join([raw for raw, _ in found]), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.record_batch([b.column(0), pa.array(np.diff(ends), pa.int64()), ids, pa.array([x for _, x in found], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -200,6 +200,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the encoded corpus."""
+    return encode(docs)
+
+
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of all documents."""
     return digests(table(spark, sf_dir, "documents"))

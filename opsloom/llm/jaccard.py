@@ -306,13 +306,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays; empty texts stay.
+    """Pipeline stage: of each component the document with the smallest doc_id stays; documents without words stay.
 
-    Rows that repeat a kept doc_id stay too where they are in its component. Ids of the documents that go are joined
-    (anti) on doc_id; a null doc_id is never removed.
+    Of rows that repeat both doc_id and text one stays. Ids of the documents that go are joined (anti) on doc_id; a
+    row with a null doc_id is never removed.
     """
-    gone = near_duplicates(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    found = written(near_duplicates(docs).select("doc_id", "component_id"))
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    repeats = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    out = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    if repeats:
+        ids = out.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        out = ids.unionByName(out.filter("doc_id is null"))
+    return out
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

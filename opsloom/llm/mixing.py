@@ -55,10 +55,13 @@ def _bucket(level: int) -> Column:
     return F.shiftright(F.col("h"), HASH_BITS - BITS_PER_LEVEL * (level + 1))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget_share=BUDGET_SHARE, max_repeats=MAX_REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken."""
-    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), text_of()), 64 - HASH_BITS)
-    rows = written(docs.select("doc_id", "source", n_words_of(text_of()).alias("size"), h.alias("h")))
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """The 60-bit hash of a row."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text), 64 - HASH_BITS)
+
+
+def limits_of(rows: DataFrame, weights=WEIGHTS, budget_share=BUDGET_SHARE, max_repeats=MAX_REPEATS) -> DataFrame:
+    """(s, source_size, target, base, threshold) of each source, from rows of (source, size, h)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     state = source_targets(sizes, weights, budget_share, max_repeats)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -89,10 +92,31 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share=BUDGET_SHARE, max_repeats
         state = state.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")})
     # the boundary bucket itself is taken when that ends nearer to the target
     take_it = 2 * (F.col("rest") - F.col("below")) >= F.col("inside")
-    limits = state.select(F.col("source").alias("s"), "source_size", "target", "base", F.when(take_it, F.col("high")).otherwise(F.col("low")).alias("threshold"))
-    joined = rows.join(limits, F.col("source").eqNullSafe(F.col("s")), "left")
-    copies = F.when(F.col("size") > 0, F.col("base") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return state.select(F.col("source").alias("s"), "source_size", "target", "base", F.when(take_it, F.col("high")).otherwise(F.col("low")).alias("threshold"))
+
+
+def _copies(size: Column, h: Column) -> Column:
+    return F.when(size > 0, F.col("base") + F.when(h < F.col("threshold"), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, budget_share=BUDGET_SHARE, max_repeats=MAX_REPEATS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken."""
+    rows = written(docs.select("doc_id", "source", n_words_of(text_of()).alias("size"), hash_of(F.col("doc_id"), text_of()).alias("h")))
+    limits = limits_of(rows, weights, budget_share, max_repeats)
+    joined = rows.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", _copies(F.col("size"), F.col("h")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents as often as the mix takes them, which may be never.
+
+    The limits (one row a source) are joined to the documents; the copies follow from a row's own hash.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "source", n_words_of(text_of()).alias("size"), hash_of(F.col("doc_id"), text_of()).alias("h"))
+    limits = limits_of(written(rows.drop("row")))
+    taken = rows.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", _copies(F.col("size"), F.col("h"))).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

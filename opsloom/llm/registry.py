@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from opsloom.llm.bpe import op8_bpe
 from opsloom.llm.fingerprints import op5_fingerprints
 from opsloom.llm.jaccard import op2_jaccard_join
@@ -13,6 +14,6 @@ from opsloom.llm.rules import op4_quality_rules
 from opsloom.llm.secrets import op1_secrets
 from opsloom.llm.sharding import op3_sharding
 
-QUERIES = {"op7_pii": op7_pii, "op3_sharding": op3_sharding, "op5_fingerprints": op5_fingerprints, "op2_jaccard_join": op2_jaccard_join, "op1_secrets": op1_secrets, "op4_quality_rules": op4_quality_rules, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_quality": op10_quality}
+QUERIES = {"pipeline": corpus_pipeline.run, "op7_pii": op7_pii, "op3_sharding": op3_sharding, "op5_fingerprints": op5_fingerprints, "op2_jaccard_join": op2_jaccard_join, "op1_secrets": op1_secrets, "op4_quality_rules": op4_quality_rules, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {}
