@@ -82,7 +82,7 @@ SQL: dict[str, str] = {
                CASE WHEN k = 0 THEN 'skew_join_change' WHEN k = 1 THEN 'volume_growth' ELSE 'change_temporal_only' END AS code, CAST((event_id * (k + 3)) % 100 AS double) / 100 AS confidence, event_id, k
         FROM events CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS x WHERE event_type = 'error'""",
     "reviews": """
-        SELECT 'h' || CAST(event_id AS string) || '-' || CAST(event_id % 3 AS string) AS hypothesis_id, CASE WHEN event_id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS decision, ts AS at, event_id
+        SELECT 'h' || CAST(event_id AS string) || '-' || CAST(event_id % 3 AS string) AS hypothesis_id, CASE WHEN event_id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS decision, ts AS reviewed_at, event_id
         FROM events WHERE event_type = 'error' AND event_id % 4 <> 0
         UNION ALL SELECT 'h' || CAST(event_id AS string) || '-0', 'rejected', ts + INTERVAL '1' HOUR, event_id FROM events WHERE event_type = 'error' AND event_id % 6 = 0""",
 }
