@@ -99,7 +99,7 @@ def totals(allocated: DataFrame) -> DataFrame:
     part = lambda *k: F.coalesce(F.sum(F.when(F.col("category").isin(*k), F.col("cost"))), F.lit(0).cast(DEC))
     df = allocated.agg(part("dominio", "contrato").alias("allocated"), part("plataforma").alias("platform"), part("nao_alocado").alias("unallocated"))
     base = F.col("allocated") + F.col("unallocated")
-    return df.withColumn("share", F.when(base != 0, (F.col("allocated") / base).cast("double")))
+    return df.withColumn("share", F.when(base != 0, F.col("allocated").cast("double") / base.cast("double")))
 
 
 def reconcile(allocated: DataFrame, total: DataFrame, share: float = 0.005, floor: float = 1.0) -> DataFrame:
