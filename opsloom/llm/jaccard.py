@@ -258,6 +258,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def cross_rows(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of mixed columns with each other component that some member of it could reach, and the rows to meet there.
+
+    A component in a column is summed up by its smallest and largest set and its longest reach (entries from the column
+    on); a row goes on to a component only if those bounds leave a link possible.
+    """
+    reach = F.col("n") - F.col("at")
+    classes = labelled.groupBy("gram", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(reach).alias("reach"))
+    mixed = classes.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gram")
+    classes = written(classes.join(mixed, "gram"))
+    one, two = (classes.select("gram" if k == "a" else F.col("gram").alias("g2"), F.col("label").alias(f"l{k}"), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"), F.col("reach").alias(f"reach_{k}")) for k in "ab")
+
+    def possible(low_a, high_a, reach_a):
+        sizes = (DENOMINATOR * high_a >= NUMERATOR * F.col("low_b")) & (DENOMINATOR * F.col("high_b") >= NUMERATOR * low_a)
+        return sizes & ((NUMERATOR + DENOMINATOR) * F.least(reach_a, F.col("reach_b")) >= NUMERATOR * (low_a + F.col("low_b")))
+
+    meets = one.join(two, (F.col("gram") == F.col("g2")) & (F.col("la") < F.col("lb")) & possible(F.col("low_a"), F.col("high_a"), F.col("reach_a"))).drop("g2")
+    left = labelled.select(F.col("gram").alias("g1"), F.col("label").alias("l1"), F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    half = meets.join(left, (F.col("gram") == F.col("g1")) & (F.col("la") == F.col("l1")) & possible(F.col("n_a"), F.col("n_a"), F.col("n_a") - F.col("at_a")))
+    right = labelled.select(F.col("gram").alias("g2"), F.col("label").alias("l2"), F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    return half.select("gram", "lb", "a", "n_a", "at_a"), right
+
+
 def link_components(sets: DataFrame) -> DataFrame:
     """(node, label) of the sets that have a link."""
     columns = prefixes(sets)
@@ -270,17 +293,9 @@ def link_components(sets: DataFrame) -> DataFrame:
     # What is left: columns that still hold more than one component.
     labelled = columns.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     labelled = written(labelled)
-    classes = labelled.groupBy("gram", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("first"))
-    mixed = classes.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gram")
-    classes = written(classes.join(mixed, "gram"))
-    one = classes.select("gram", F.col("label").alias("la"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.col("first").alias("first_a"))
-    two = classes.select("gram", F.col("label").alias("lb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("first").alias("first_b"))
-    can = (DENOMINATOR * F.col("high_a") >= NUMERATOR * F.col("low_b")) & (DENOMINATOR * F.col("high_b") >= NUMERATOR * F.col("low_a"))
-    can = can & ((NUMERATOR + DENOMINATOR) * F.least(F.col("high_a") - F.col("first_a"), F.col("high_b") - F.col("first_b")) >= NUMERATOR * (F.col("low_a") + F.col("low_b")))
-    meets = one.join(two, "gram").filter((F.col("la") < F.col("lb")) & can).select("gram", "la", "lb")
-    left = labelled.select("gram", F.col("label").alias("la"), F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    right = labelled.select("gram", F.col("label").alias("lb"), F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    cross = meets.join(left, ["gram", "la"]).join(right, ["gram", "lb"]).filter(_sizes_fit(F.col("n_a"), F.col("n_b")) & _positions_fit(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))).select("a", "b").distinct()
+    half, right = cross_rows(labelled)
+    fits = _sizes_fit(F.col("n_a"), F.col("n_b")) & _positions_fit(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
+    cross = half.join(right, (F.col("gram") == F.col("g2")) & (F.col("lb") == F.col("l2")) & fits).select("a", "b").distinct()
     done = tried.filter(~F.col("linked")).select("a", "b")
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = written(confirmed(cross.join(done, ["a", "b"], "left_anti"), sets).filter("linked").select("a", "b"))
