@@ -110,9 +110,11 @@ def _unpack(payload: bytes, extra: int):
 
 def _dealt(bucket: np.ndarray, ids, sizes, owner, *columns):
     """(bucket, payload) for each bucket."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b, owner, columns = bucket[order], owner[order], [c[order] for c in columns]
-    starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+    starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     ends = [*starts[1:], len(b)]
     for s, e in zip(starts, ends, strict=True):
         yield int(b[s]), _pack(ids, sizes, owner[s:e], *[c[s:e] for c in columns])
