@@ -35,8 +35,8 @@ def scan_rules(df: DataFrame, completeness: dict[str, str] | None = None, validi
 
 def uniqueness(df: DataFrame, column: str, threshold: str = "<=0%") -> DataFrame:
     """All rows of groups with more than one row; the null key is one group. Counted per key before it moves."""
-    per = df.groupBy(column).agg(F.count(F.lit(1)).alias("k"))
-    one = per.agg(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("bad"), F.sum("k").alias("n"))
+    per = df.groupBy(F.col(column).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    one = per.agg(F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("bad"), F.sum("_n").alias("n"))
     return _rows(one, [(f"unique_{column}", "uniqueness", F.coalesce("bad", F.lit(0)), F.coalesce("n", F.lit(0)), threshold)])
 
 

@@ -75,12 +75,12 @@ def run_differences(spark, sf_dir):
     return B.diff_runs(B.last_healthy_run(runs), runs).filter("dimension in ('git_sha', 'input_rows')").groupBy("dimension", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-_COSTS = with_("runs") + ", costs AS (SELECT run_id, job_id, start_time, end_time, result_state, CASE WHEN CAST(run_id AS bigint) % 13 = 0 THEN NULL ELSE floor(execution_s) / 4.0e0 END AS cost FROM runs)"
+_COSTS = with_("runs") + ", costs AS (SELECT run_id, job_id, start_time, end_time, result_state, CASE WHEN CAST(run_id AS bigint) % 13 = 0 THEN NULL ELSE floor(execution_s) / 4.0e0 + CASE WHEN CAST(run_id AS bigint) % 43 = 0 THEN 500 ELSE 0 END END AS cost FROM runs)"
 
 
 def costs(spark, sf_dir):
     runs = fixture(spark, sf_dir, "runs")
-    return runs.selectExpr("run_id", "job_id", "start_time", "end_time", "result_state", "case when cast(run_id as bigint) % 13 = 0 then null else floor(execution_s) / 4.0d end cost")
+    return runs.selectExpr("run_id", "job_id", "start_time", "end_time", "result_state", "case when cast(run_id as bigint) % 13 = 0 then null else floor(execution_s) / 4.0d + case when cast(run_id as bigint) % 43 = 0 then 500 else 0 end end cost")
 
 
 @query(_COSTS + """, g AS (SELECT *, coalesce(sum(CASE WHEN result_state = 'SUCCESS' AND cost IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY end_time, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM costs),

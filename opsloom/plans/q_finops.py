@@ -10,7 +10,11 @@ from opsloom.plans.fixtures import fixture, table, with_
 from opsloom.registry import query
 
 _NOW = "TIMESTAMP '1997-06-01 00:00:00'"
-NOW = F.to_timestamp(F.lit("1997-06-01 00:00:00"))
+
+
+def now():
+    """The fixed instant of these queries."""
+    return F.to_timestamp(F.lit("1997-06-01 00:00:00"))
 _PRICED = with_("usage", "prices") + ", priced AS (SELECT u.*, p.price_cents, p.currency, u.usage_quantity * p.price_cents AS cost FROM usage u LEFT JOIN prices p ON p.sku_name = u.sku_name AND u.usage_start >= p.price_start AND (p.price_end IS NULL OR u.usage_start < p.price_end))"
 
 
@@ -195,7 +199,7 @@ def savings_risks(spark, sf_dir):
     SELECT initiative_id, CAST(nb AS int) AS n_before, CAST(na AS int) AS n_after, CASE WHEN nb >= 5 AND na >= 5 THEN gross END AS gross, CASE WHEN nb >= 5 AND na >= 5 THEN round(gross - icost, 4) END AS net, CASE WHEN {_NOW} < at_ + INTERVAL '14' DAY THEN 'em_medicao' WHEN nb < 5 OR na < 5 THEN CASE WHEN {_NOW} >= at_ + INTERVAL '60' DAY THEN 'expirada' ELSE 'amostra_insuficiente' END WHEN gross - icost <= 0 THEN 'nao_realizada' ELSE 'realizada' END AS status FROM g""".replace("list_median(", "list_aggregate(").replace("list_aggregate(b)", "list_aggregate(b, 'median')").replace("list_aggregate(z)", "list_aggregate(z, 'median')"))
 def savings_realization(spark, sf_dir):
     i = table(spark, sf_dir, "customer").filter("c_custkey <= 200").selectExpr("'i' || c_custkey initiative_id", "'job-' || (c_custkey % 20) job_id", "timestamp '1997-06-01 00:00:00' - interval '1' day * cast(c_custkey % 90 as int) implemented_at", "cast(c_custkey % 50 as double) cost")
-    return P.measure_realization(i, _costed(spark, sf_dir), NOW)
+    return P.measure_realization(i, _costed(spark, sf_dir), now())
 
 
 @query("SELECT c_custkey AS initiative_id, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 IN (0, 1) THEN CASE c_custkey % 3 WHEN 0 THEN 'approved' ELSE 'discarded' END WHEN c_custkey % 2 = 1 AND c_custkey % 3 = 2 THEN 'implemented' WHEN c_custkey % 2 = 0 THEN 'identified' ELSE 'approved' END AS status, c_custkey % 2 = 0 AND c_custkey % 3 = 0 AND c_custkey % 5 = 0 AS self_approved FROM customer")

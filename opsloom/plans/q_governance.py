@@ -9,7 +9,11 @@ from opsloom.operators import governance as G
 from opsloom.plans.fixtures import fixture, table, with_
 from opsloom.registry import query
 
-NOW = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+
+
+def now():
+    """The fixed instant of these queries."""
+    return F.to_timestamp(F.lit("2024-01-31 00:00:00"))
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -118,7 +122,7 @@ def gate_decisions(spark, sf_dir):
 @query(_GATE + " SELECT sha, CASE WHEN reason IS NULL OR CAST(substr(sha, 2) AS bigint) % 60 = 0 THEN 'allow' ELSE 'block' END AS decision FROM g")
 def effective_gates(spark, sf_dir):
     o = _changes(spark, sf_dir).selectExpr("sha", "case when cast(substr(sha, 2) as bigint) % 60 = 0 then 'approved' else 'pending' end status", "timestamp '2024-02-01 00:00:00' expires_at")
-    return G.effective_gate(_gates(spark, sf_dir), o, NOW)
+    return G.effective_gate(_gates(spark, sf_dir), o, now())
 
 
 @query(_SP + ", r2 AS (SELECT run_id, git_sha FROM (SELECT 'run' || sha AS run_id, sha AS git_sha FROM changes) AS q) SELECT run_id, band FROM r2 JOIN k ON k.sha = r2.git_sha")
@@ -139,7 +143,7 @@ _EVENTS = _INC + f", ev AS (SELECT incident_id, severity, 'aberto' AS event FROM
 
 @query(_EVENTS + " SELECT incident_id, severity, event, 'nt-' || substr(sha256(incident_id || '|' || event), 1, 12) AS dedup_key FROM ev")
 def material_events(spark, sf_dir):
-    return G.material_events(_inc(spark, sf_dir), NOW, 48)
+    return G.material_events(_inc(spark, sf_dir), now(), 48)
 
 
 @query("""WITH e AS (SELECT event_id, date_trunc('second', ts) AS t, date_trunc('second', ts) - INTERVAL '3' HOUR AS l, CASE WHEN event_id % 4 = 0 THEN 'critical' ELSE 'high' END AS s FROM events)
@@ -153,7 +157,7 @@ def quiet_hours(spark, sf_dir):
 def notification_outbox(spark, sf_dir):
     i = _inc(spark, sf_dir)
     e = i.selectExpr("incident_id", "explode(array(1, 2, 3)) k").selectExpr("incident_id", "k at", "'e' || k evidence_id")
-    return G.notification_outbox(G.material_events(i, NOW, 48), e)
+    return G.notification_outbox(G.material_events(i, now(), 48), e)
 
 
 @query(with_("incidents") + """ SELECT 'tk-' || substr(sha256(incident_id), 1, 12) AS outbox_id, incident_id, '{"incident_id":"' || incident_id || '","type":"' || type || '","severity":"' || severity || '","subject":"' || subject || '"}' AS body FROM incidents""")
@@ -180,7 +184,7 @@ def audit_chain(spark, sf_dir):
     UNION ALL SELECT 'mttr_p90_h', s[lo] + (0.9 * (n + 1) - lo) * (s[lo + 1] - s[lo]), n FROM q UNION ALL SELECT 'administrative_closures', count(CASE WHEN state = 'closed' THEN 1 END), count(*) FROM i UNION ALL SELECT 'mtta_median_min', median(am), count(am) FROM i
     UNION ALL SELECT 'ack_pending', count(CASE WHEN act AND acknowledged_at IS NULL THEN 1 END), count(*) FROM i UNION ALL SELECT 'impacted_assets', count(DISTINCT CASE WHEN act THEN asset END), count(*) FROM i) AS x""")
 def executive_summary(spark, sf_dir):
-    return G.executive_summary(fixture(spark, sf_dir, "incidents"), NOW).withColumn("value", F.round("value", 6))
+    return G.executive_summary(fixture(spark, sf_dir, "incidents"), now()).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT c_custkey, round(CAST(CASE WHEN c_custkey % 7 = 0 THEN least(50 * a + 50 * b, 60) ELSE 50 * a + 50 * b END AS double), 4) AS score FROM (SELECT c_custkey, c_custkey % 11 / 10 AS a, c_custkey % 6 / 5 AS b FROM customer) AS x")

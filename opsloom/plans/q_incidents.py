@@ -9,7 +9,11 @@ from opsloom.operators import knowledge as K
 from opsloom.plans.fixtures import fixture, table, with_
 from opsloom.registry import query
 
-NOW = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+
+
+def now():
+    """The fixed instant of these queries."""
+    return F.to_timestamp(F.lit("2024-01-31 00:00:00"))
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -137,7 +141,7 @@ def _caused(spark, sf_dir):
 @query(_C + f""" SELECT type, subject, cause, count(*) AS n, round(sum(impact_score), 4) AS impact, round(sum((floor(epoch({_NOW})) - floor(epoch(detected_at))) / 3600), 2) AS open_hours, subject = 'job-1' AS promoted FROM i WHERE detected_at > {_NOW} - INTERVAL '30' DAY GROUP BY type, subject, cause HAVING count(*) >= 3 OR subject = 'job-1'""")
 def problem_candidates(spark, sf_dir):
     i = _caused(spark, sf_dir).withColumn("ended_at", F.lit(None).cast("timestamp"))
-    return K.problem_candidates(i, i.filter("subject = 'job-1'"), NOW).drop("first_at", "last_at")
+    return K.problem_candidates(i, i.filter("subject = 'job-1'"), now()).drop("first_at", "last_at")
 
 
 _PROB = _C + f", p AS (SELECT type, subject, cause, CASE WHEN min(event_id) % 4 <> 0 THEN {_NOW} - INTERVAL '1' DAY * CAST(min(event_id) % 45 AS int) END AS fixed_at FROM i GROUP BY 1, 2, 3)"
@@ -145,7 +149,7 @@ _PROB = _C + f", p AS (SELECT type, subject, cause, CASE WHEN min(event_id) % 4
 
 @query(_PROB + f" SELECT p.type || p.subject || p.cause AS problem_id, CASE WHEN fixed_at IS NULL THEN 'aberto' WHEN EXISTS (SELECT 1 FROM i WHERE i.type = p.type AND i.subject = p.subject AND i.cause = p.cause AND i.detected_at > p.fixed_at) THEN 'ineficaz' WHEN fixed_at <= {_NOW} - INTERVAL '30' DAY THEN 'resolvido' ELSE 'em_observacao' END AS status FROM p")
 def fix_efficacy(spark, sf_dir):
-    return K.fix_efficacy(_problems(spark, sf_dir), _caused(spark, sf_dir), NOW)
+    return K.fix_efficacy(_problems(spark, sf_dir), _caused(spark, sf_dir), now())
 
 
 def _problems(spark, sf_dir):
@@ -167,7 +171,7 @@ def similar_incidents(spark, sf_dir):
 def runbook_efficacy(spark, sf_dir):
     i = fixture(spark, sf_dir, "incidents")
     u = i.filter("event_id % 2 = 0").selectExpr("'rb' || (event_id % 6) runbook_id", "incident_id", "explode(array(detected_at + interval '5' minute, detected_at + interval '50' minute)) used_at")
-    return K.runbook_efficacy(u, i, NOW).withColumns({"ratio": F.round("ratio", 6), "median_hours": F.round("median_hours", 6)})
+    return K.runbook_efficacy(u, i, now()).withColumns({"ratio": F.round("ratio", 6), "median_hours": F.round("median_hours", 6)})
 
 
 @query(_C + """, r AS (SELECT * FROM (VALUES ('a', 'sla_risk', 'cause1', 'approved'), ('b', 'sla_risk', NULL, 'draft'), ('c', 'sla_risk', NULL, 'approved'), ('d', 'cost_regression', 'cause2', 'draft')) AS v(runbook_id, type, wants, status))
@@ -180,7 +184,7 @@ def applicable_runbooks(spark, sf_dir):
 @query(_PROB + f", s AS (SELECT type || subject || cause AS problem_id, cause FROM p WHERE fixed_at <= {_NOW} - INTERVAL '30' DAY AND NOT EXISTS (SELECT 1 FROM i WHERE i.type = p.type AND i.subject = p.subject AND i.cause = p.cause AND i.detected_at > p.fixed_at)) SELECT problem_id, 'For ' || cause || ': salt the key' AS suggestion FROM s")
 def knowledge_items(spark, sf_dir):
     p = _problems(spark, sf_dir)
-    done = K.fix_efficacy(p, _caused(spark, sf_dir), NOW).join(p.select("problem_id", "cause"), "problem_id")
+    done = K.fix_efficacy(p, _caused(spark, sf_dir), now()).join(p.select("problem_id", "cause"), "problem_id")
     return K.knowledge_items(done, p.selectExpr("problem_id", "'salt the key' fix_text")).select("problem_id", "suggestion")
 
 

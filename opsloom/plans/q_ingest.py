@@ -9,7 +9,11 @@ from opsloom.operators import ingest as I
 from opsloom.plans.fixtures import fixture, table, with_
 from opsloom.registry import query
 
-NOW = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+
+
+def now():
+    """The fixed instant of these queries."""
+    return F.to_timestamp(F.lit("2024-01-31 00:00:00"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'empty source' WHEN event_id % 10 = 1 THEN 'unknown type' END AS reject, sha256(props) AS content_hash, 36 AS id_length FROM events")
@@ -121,8 +125,8 @@ def dead_letters(spark, sf_dir):
     d = o.filter("o_orderkey % 3 = 0").selectExpr("cast(o_orderkey as string) dlq_id", "'e' error", "'transient' error_class", "cast(o_orderkey % 6 as int) attempts", "timestamp '2024-01-01 00:00:00' first_at", "cast(null as timestamp) next_attempt_at", "'pending' status")
     f = o.filter("o_orderkey % 4 = 0").selectExpr("cast(o_orderkey as string) dlq_id", "repeat('x', 600) error", "case when o_orderkey % 8 = 0 then 404 else 503 end http_status")
     s = o.filter("o_orderkey % 5 = 0").selectExpr("cast(o_orderkey as string) dlq_id")
-    out = I.dlq_transition(d, f, s, NOW)
-    return out.select("dlq_id", "attempts", "error_class", "status", (F.col("next_attempt_at").cast("long") - NOW.cast("long")).alias("wait_s"))
+    out = I.dlq_transition(d, f, s, now())
+    return out.select("dlq_id", "attempts", "error_class", "status", (F.col("next_attempt_at").cast("long") - now().cast("long")).alias("wait_s"))
 
 
 @query("""WITH r AS (SELECT 'd' || CAST(user_id AS string) AS dlq_id, ts, event_id, 'HTTP ' || CAST(400 + event_id % 200 AS string) || ' x' AS error FROM events)
@@ -143,15 +147,15 @@ def connector_health(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     cp = c.selectExpr("'c' || c_custkey connector", "case when c_custkey % 6 = 0 then null when c_custkey % 6 = 1 then timestamp '2024-01-29 00:00:00' else timestamp '2024-01-30 12:00:00' end last_success_at", "case when c_custkey % 6 in (1, 2) then 'boom' end last_error")
     dlq = c.filter("c_custkey % 4 = 0 and c_custkey % 3 > 0").selectExpr("'c' || c_custkey connector", "explode(sequence(1, cast(c_custkey % 3 as int))) k").selectExpr("connector", "case when k = 1 then 'pending' else 'quarantined' end status")
-    return I.connector_health(cp, dlq, NOW)
+    return I.connector_health(cp, dlq, now())
 
 
 @query("""WITH o AS (SELECT CAST(event_id AS string) AS outbox_id, CAST(event_id % 5 AS int) AS a, CASE WHEN event_id % 3 = 0 THEN true WHEN event_id % 3 = 1 THEN false END AS d FROM events)
     SELECT outbox_id, CAST(CASE WHEN d IS NULL THEN a ELSE a + 1 END AS int) AS attempts, CASE WHEN d IS NULL THEN 'pending' WHEN d THEN 'sent' WHEN a + 1 >= 5 THEN 'failed' ELSE 'retry' END AS status, CAST(CASE WHEN NOT d AND a + 1 < 5 THEN 60 * pow(2, a + 1) END AS bigint) AS wait_s FROM o""")
 def outbox_after_delivery(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    out = I.outbox_transition(e.selectExpr("cast(event_id as string) outbox_id", "'i' incident_id", "cast(event_id % 5 as int) attempts", "'pending' status"), e.filter("event_id % 3 < 2").selectExpr("cast(event_id as string) outbox_id", "event_id % 3 = 0 delivered"), NOW)
-    return out.select("outbox_id", "attempts", "status", (F.col("next_attempt_at").cast("long") - NOW.cast("long")).alias("wait_s"))
+    out = I.outbox_transition(e.selectExpr("cast(event_id as string) outbox_id", "'i' incident_id", "cast(event_id % 5 as int) attempts", "'pending' status"), e.filter("event_id % 3 < 2").selectExpr("cast(event_id as string) outbox_id", "event_id % 3 = 0 delivered"), now())
+    return out.select("outbox_id", "attempts", "status", (F.col("next_attempt_at").cast("long") - now().cast("long")).alias("wait_s"))
 
 
 @query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'new,old' ELSE 'old' END AS refs, CAST(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS int) AS version FROM customer")
@@ -163,7 +167,7 @@ def linked_refs(spark, sf_dir):
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '10' DAY")
 def purged(spark, sf_dir):
-    return I.purge(table(spark, sf_dir, "events"), "ts", 10, NOW).select("event_id")
+    return I.purge(table(spark, sf_dir, "events"), "ts", 10, now()).select("event_id")
 
 
 @query()

@@ -8,7 +8,11 @@ from opsloom.operators import lineage as L
 from opsloom.plans.fixtures import fixture, table, with_
 from opsloom.registry import query
 
-NOW = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+
+
+def now():
+    """The fixed instant of these queries."""
+    return F.to_timestamp(F.lit("2024-01-31 00:00:00"))
 _EDGES = with_("edges") + """, dated AS (SELECT source, target, entity_type, entity_id, max(seen) AS last_seen FROM edges WHERE seen > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '30' DAY GROUP BY 1, 2, 3, 4),
     d2 AS (SELECT *, (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_seen)) / 86400 AS days FROM (SELECT source, target, entity_type, entity_id, max(seen) AS last_seen FROM edges GROUP BY 1, 2, 3, 4) AS q),
     w AS (SELECT source, CASE WHEN target <> '' THEN target ELSE CASE WHEN entity_type = '' THEN 'unknown' ELSE entity_type END || '/' || entity_id END AS node, entity_type,
@@ -31,7 +35,7 @@ _UP = _EDGES + ", o AS (SELECT 'part.' || CAST(p_partkey AS string) AS origin, '
 
 def weighted(spark, sf_dir):
     e = fixture(spark, sf_dir, "edges").groupBy("source", "target", "entity_type", "entity_id").agg(F.max("seen").alias("last_seen"))
-    return e.withColumn("weight", L.edge_weight(F.col("last_seen"), F.col("entity_type"), NOW))
+    return e.withColumn("weight", L.edge_weight(F.col("last_seen"), F.col("entity_type"), now()))
 
 
 def _down(spark, sf_dir):
@@ -40,7 +44,7 @@ def _down(spark, sf_dir):
 
 @query(_EDGES + " SELECT source, target, entity_type, entity_id, CAST(last_seen AS string) AS last_seen FROM dated")
 def lineage_edges(spark, sf_dir):
-    return L.lineage_edges(fixture(spark, sf_dir, "edges").withColumnRenamed("seen", "event_time"), NOW).withColumn("last_seen", F.col("last_seen").cast("string"))
+    return L.lineage_edges(fixture(spark, sf_dir, "edges").withColumnRenamed("seen", "event_time"), now()).withColumn("last_seen", F.col("last_seen").cast("string"))
 
 
 @query(_DOWN + " SELECT * FROM reached")
@@ -84,9 +88,9 @@ def _columns(spark, sf_dir):
 
 
 def _merged(spark, sf_dir):
-    e = L.lineage_edges(fixture(spark, sf_dir, "edges").withColumnRenamed("seen", "event_time"), NOW).withColumn("fingerprint", F.concat(F.lit("f"), F.expr("length(source) % 3")))
+    e = L.lineage_edges(fixture(spark, sf_dir, "edges").withColumnRenamed("seen", "event_time"), now()).withColumn("fingerprint", F.concat(F.lit("f"), F.expr("length(source) % 3")))
     prior = e.filter("length(target) % 2 = 0").select("source", "target", "entity_type", "entity_id", F.expr("last_seen - interval '40' day").alias("first_seen"), F.concat(F.lit("f"), F.expr("length(source) % 2")).alias("fingerprint"), F.lit("").alias("previous_fingerprint"), F.lit(None).cast("timestamp").alias("changed_at"), F.lit(4).alias("observed_cycles"))
-    return L.merge_graph(prior, e, NOW)
+    return L.merge_graph(prior, e, now())
 
 
 _MERGED = _EDGES + """, f AS (SELECT *, 'f' || CAST(length(source) % 3 AS string) AS fp, CASE WHEN length(target) % 2 = 0 THEN 'f' || CAST(length(source) % 2 AS string) END AS old FROM dated),

@@ -124,7 +124,7 @@ def revenue_by_region(spark, sf_dir):
     return WL.revenue_by(WL.sales_daily_light(o, c), "region").withColumn("revenue", F.round("revenue", 1))
 
 
-@query(with_("dirty_orders") + """ SELECT rule_id, dimension, CAST(numerator AS bigint) AS numerator, CAST(denominator AS bigint) AS denominator, threshold, round(lim, 6) AS lim, round(numerator / denominator, 6) AS ratio, CASE WHEN lim IS NULL THEN 'evaluation_error' WHEN numerator / denominator > lim THEN 'violated' ELSE 'passed' END AS status FROM (
+@query(with_("dirty_orders") + """ SELECT rule_id, dimension, CAST(numerator AS bigint) AS numerator, CAST(denominator AS bigint) AS denominator, threshold, CAST(lim AS double) AS lim, round(numerator / denominator, 6) AS ratio, CASE WHEN lim IS NULL THEN 'evaluation_error' WHEN numerator / denominator > lim THEN 'violated' ELSE 'passed' END AS status FROM (
     SELECT 'complete_customer_id' AS rule_id, 'completeness' AS dimension, count(*) - count(customer_id) AS numerator, count(*) AS denominator, '>=99%' AS threshold, 0.01 AS lim FROM dirty_orders
     UNION ALL SELECT 'complete_amount', 'completeness', count(*) - count(amount), count(*), '<=10%', 0.1 FROM dirty_orders
     UNION ALL SELECT 'positive', 'validity', count(CASE WHEN NOT amount > 0 THEN 1 END), count(*), '==0', NULL FROM dirty_orders
@@ -137,7 +137,7 @@ def contract_rules(spark, sf_dir):
     return Q.judged(rules).withColumnRenamed("limit", "lim").withColumn("ratio", F.round("ratio", 6)).withColumn("lim", F.round("lim", 6))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.02 WHEN 2 THEN NULL ELSE 0.05 END AS allowed FROM part")
+@query("SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.02 WHEN 2 THEN NULL ELSE 0.05 END AS double) AS allowed FROM part")
 def violation_limits(spark, sf_dir):
     text = F.expr("case p_partkey % 4 when 0 then '>=99%' when 1 then '<= 2 %' when 2 then '==0' else '>=0.95' end")
     return table(spark, sf_dir, "part").select("p_partkey", violation_limit(text).alias("allowed"))
