@@ -8,7 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: name -> (source tables, SELECT).
+
+def _price_period(k: int) -> str:
+    """The k-th of three validity periods of each brand's price."""
+    start, end = ("1990-01-01", "1995-01-01", "1997-01-01")[k], ("1995-01-01", "1997-01-01", None)[k]
+    until = f"TIMESTAMP '{end} 00:00:00'" if end else "CAST(NULL AS timestamp)"
+    return f"""
+        SELECT p_brand AS sku_name, CAST({k} AS int) AS period, CAST(MIN(p_size) + {k} AS bigint) AS price_cents,
+               CASE WHEN MIN(p_size) % 11 = 10 THEN 'EUR' ELSE 'USD' END AS currency,
+               TIMESTAMP '{start} 00:00:00' AS price_start, {until} AS price_end
+        FROM part WHERE p_brand <> 'Brand#55' GROUP BY p_brand"""
+
+
+def _hypothesis(k: int) -> str:
+    """The k-th of three hypotheses of each incident."""
+    code = ("skew_join_change", "volume_growth", "change_temporal_only")[k]
+    return f"""
+        SELECT 'inc-' || CAST(event_id AS string) AS incident_id, 'h' || CAST(event_id AS string) || '-{k}' AS hypothesis_id,
+               '{code}' AS code, CAST((event_id * {k + 3}) % 100 AS double) / 100 AS confidence, event_id, {k} AS k
+        FROM events WHERE event_type = 'error'"""
+
+
+#: name -> SELECT.
 SQL: dict[str, str] = {
     "runs": """
         SELECT CAST(o_orderkey AS string) AS run_id, 'job-' || CAST(o_custkey % 20 AS string) AS job_id,
@@ -32,13 +53,7 @@ SQL: dict[str, str] = {
                CASE WHEN l_linenumber % 4 = 3 THEN 'wh-' || CAST(l_suppkey % 5 AS string) END AS warehouse_id,
                CASE WHEN l_linenumber % 8 = 4 THEN 'app-' || CAST(l_suppkey % 3 AS string) END AS app_id
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "prices": """
-        SELECT p_brand AS sku_name, CAST(k AS int) AS period, CAST(MIN(p_size) + k AS bigint) AS price_cents,
-               CASE WHEN MIN(p_size) % 11 = 10 THEN 'EUR' ELSE 'USD' END AS currency,
-               CASE WHEN k = 0 THEN TIMESTAMP '1990-01-01 00:00:00' WHEN k = 1 THEN TIMESTAMP '1995-01-01 00:00:00' ELSE TIMESTAMP '1997-01-01 00:00:00' END AS price_start,
-               CASE WHEN k = 0 THEN TIMESTAMP '1995-01-01 00:00:00' WHEN k = 1 THEN TIMESTAMP '1997-01-01 00:00:00' END AS price_end
-        FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS p
-        WHERE p_brand <> 'Brand#55' GROUP BY p_brand, k""",
+    "prices": " UNION ALL ".join(_price_period(k) for k in range(3)),
     "edges": """
         SELECT source, target, entity_type, entity_id, seen FROM (
             SELECT 'region.' || CAST(n_regionkey AS string) AS source, 'nation.' || CAST(n_nationkey AS string) AS target, 'pipeline' AS entity_type, 'p' || CAST(n_nationkey AS string) AS entity_id, TIMESTAMP '2024-01-20 00:00:00' AS seen FROM nation
@@ -77,10 +92,7 @@ SQL: dict[str, str] = {
                o_orderdate + INTERVAL '1' MINUTE * CAST(o_orderkey % 1440 AS int) AS committed_at, 'src/part.' || CAST(o_custkey % 200 AS string) || '.py' AS file,
                CAST(o_orderkey % 14 AS bigint) AS n_files, CASE WHEN o_orderkey % 5 = 0 THEN '+df.join(x)' WHEN o_orderkey % 5 = 1 THEN '+Window.partitionBy(k)' ELSE '+x = 1' END || chr(10) || '-y = 2' || chr(10) || ' z' AS patch,
                CASE WHEN o_orderkey % 19 = 0 THEN 'fix' || chr(10) || 'Co-authored-by: a-bot' ELSE 'work' END AS message FROM orders WHERE o_orderkey % 10 = 0""",
-    "hypotheses": """
-        SELECT 'inc-' || CAST(event_id AS string) AS incident_id, 'h' || CAST(event_id AS string) || '-' || CAST(k AS string) AS hypothesis_id,
-               CASE WHEN k = 0 THEN 'skew_join_change' WHEN k = 1 THEN 'volume_growth' ELSE 'change_temporal_only' END AS code, CAST((event_id * (k + 3)) % 100 AS double) / 100 AS confidence, event_id, k
-        FROM events CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS x WHERE event_type = 'error'""",
+    "hypotheses": " UNION ALL ".join(_hypothesis(k) for k in range(3)),
     "reviews": """
         SELECT 'h' || CAST(event_id AS string) || '-' || CAST(event_id % 3 AS string) AS hypothesis_id, CASE WHEN event_id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS decision, ts AS reviewed_at, event_id
         FROM events WHERE event_type = 'error' AND event_id % 4 <> 0
