@@ -27,7 +27,9 @@ from opsloom.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
 #: Words kept encoded by a Python worker; the table is emptied when full, so memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Documents encoded before a batch goes back to Spark.
+ROWS_BACK = 500
 
 
 def vocab_path(name: str = VOCAB) -> str:
@@ -170,12 +172,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         bpe = loaded(name or vocab_path())
-        for b in batches:
+        for b in (b.slice(k, ROWS_BACK) for b in batches for k in range(0, b.num_rows, ROWS_BACK)):
             found = [bpe.encode_packed(t.as_py() or "") for t in b.column(1)]
             ends = np.cumsum([0] + [len(raw) // 4 for raw, _ in found])
             flat = pa.array(np.frombuffer(b"".join([raw for raw, _ in found]), np.int32))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.record_batch([b.column(0), pa.array(np.diff(ends), pa.int64()), ids, pa.array([x for _, x in found], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        bpe.words.clear()  # Python workers live on; the next stage needs the memory
 
     kept = docs.select("doc_id", "text")
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
@@ -195,6 +198,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids.append(hashlib.sha256(raw).hexdigest())
                 texts.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.words.clear()
 
     kept = docs.select("doc_id", "text")
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

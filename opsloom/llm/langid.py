@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from opsloom.llm.common import fold, table
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words kept scored by a Python worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 LONGEST = 5
 STEP_COST = 0.4
 
@@ -134,19 +135,20 @@ def held_out():
 def reject_unknown(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Pipeline stage: documents whose language is not known, or whose best language has under half the odds, go.
 
-    The decision is made per row next to the row, so texts are neither shuffled nor joined.
+    Only texts go to Python and only verdicts come back; the rows themselves stay where they are, and nothing is
+    shuffled.
     """
     model = train(docs.filter(~held_out()))
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, cache = shared.value, {}
-        for b in batches:
-            found = [model.predict(t.as_py(), cache) for t in b.column(names.index("text"))]
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        for texts in batches:
+            found = (model.predict(t.as_py(), cache) for t in texts)
+            yield pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(known(F.col("text")))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
