@@ -82,6 +82,17 @@ def _scored(counts: dict[str, dict[str, int]], totals: dict[str, int], langs: li
     return {k: [math.log((by.get(g, 0) + smooth) / (totals.get(g, 0) + smooth * size)) for g in langs] for k, by in counts.items()}
 
 
+def most_frequent(counts: DataFrame, keys: list[str], item: str, k: int) -> DataFrame:
+    """The k most frequent items a key, with their place ``nth``.
+
+    Each of 32 parts of a key's items is cut to its own k first, so that no task orders all items of a language.
+    """
+    order = [F.desc("c"), F.col(item)]
+    part = F.pmod(F.xxhash64(item), F.lit(32))
+    some = counts.withColumn("part", part).withColumn("nth", F.row_number().over(W.partitionBy(*keys, "part").orderBy(*order))).filter(F.col("nth") <= k)
+    return some.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= k).drop("part")
+
+
 def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 30_000, max_grams: int = 20_000, max_langs: int = 200) -> Model:
     """Fit on (text, lang) rows; rows without a language or text are not used."""
     rows = labelled.filter("lang is not null and text is not null").select("lang", "text")
@@ -91,7 +102,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 30_000,
     top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
     langs = sorted(top)
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
-    kept = words.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("c"), "w"))).filter(F.col("nth") <= max_words).filter("c > 1 or nth <= 1000")
+    kept = most_frequent(words, ["lang"], "w", max_words).filter("c > 1 or nth <= 1000")
     counts: dict[str, dict[str, int]] = {}
     for r in kept.collect():  # at most max_langs * max_words rows
         counts.setdefault(r["w"], {})[r["lang"]] = r["c"]
@@ -104,7 +115,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 30_000,
 
     gram = F.explode(F.flatten(F.array(*[of_length(n) for n in range(1, LONGEST + 1)])))
     grams = words.select("lang", "c", gram.alias("g")).groupBy("lang", F.length("g").alias("n"), "g").agg(F.sum("c").alias("c"))
-    kept = grams.withColumn("nth", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "g"))).filter(F.col("nth") <= max_grams // LONGEST)
+    kept = most_frequent(grams, ["lang", "n"], "g", max_grams // LONGEST)
     by_n: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST)]
     gram_totals: list[dict[str, int]] = [{} for _ in range(LONGEST)]
     for r in kept.collect():  # at most max_langs * max_grams rows
