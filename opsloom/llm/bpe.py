@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from opsloom.llm.common import table
+from opsloom.llm.common import small_batches, table
 
 VOCAB = "word_bpe_49k.json"
 #: Words kept encoded by a Python worker; the table is emptied when full, so memory is bounded.
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(np.diff(ends), pa.int64()), ids, pa.array([x for _, x in found], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
         bpe.words.clear()  # Python workers live on; the next stage needs the memory
 
-    kept = docs.select("doc_id", "text")
+    kept = small_batches(docs).select("doc_id", "text")
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
 
 
@@ -200,7 +200,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.words.clear()
 
-    kept = docs.select("doc_id", "text")
+    kept = small_batches(docs).select("doc_id", "text")
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -46,6 +46,18 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """Bounds the Arrow batches that go to Python by bytes (10,000 long texts would be one batch otherwise).
+
+    A session that has a smaller bound keeps it; a text that is larger than the bound makes a batch of its own.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).removesuffix("b")
+    if now.isdigit() and int(now) > most:
+        conf.set(key, str(most))
+    return df
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import table, written
+from opsloom.llm.common import small_batches, table, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Entries of the matrix in a column block, and in a packed batch of a map task.
-BLOCK_ENTRIES, BATCH_ENTRIES = 1_000_000, 1_000_000
+BLOCK_ENTRIES, BATCH_ENTRIES = 1_000_000, 500_000
 LEAST_BLOCKS = 48
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -45,7 +45,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, filled on demand, emptied when full."""
 
     def __missing__(self, word):
-        if len(self) >= 200_000:
+        if len(self) >= 30_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -73,7 +73,7 @@ def set_id(sorted_hashes: np.ndarray) -> bytes:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """doc_id, set_id (null without words), n: the size of each document's shingle set."""
-    kept = docs.select("doc_id", "text")
+    kept = small_batches(docs).select("doc_id", "text")
 
     def run(batches):
         hashes = WordHashes()
@@ -155,7 +155,7 @@ def column_blocks(docs: DataFrame, blocks: int) -> DataFrame:
         if sets:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "block int, payload binary")
+    return small_batches(docs).select("text").mapInArrow(run, "block int, payload binary")
 
 
 def _merged(payloads, extra: int):

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import fold, table
+from opsloom.llm.common import fold, small_batches, table
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words kept scored by a Python worker.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 30_000
 LONGEST = 5
 STEP_COST = 0.4
 
@@ -93,7 +93,7 @@ def most_frequent(counts: DataFrame, keys: list[str], item: str, k: int) -> Data
     return some.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= k).drop("part")
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 30_000, max_grams: int = 20_000, max_langs: int = 200) -> Model:
+def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 20_000, max_grams: int = 10_000, max_langs: int = 200) -> Model:
     """Fit on (text, lang) rows; rows without a language or text are not used."""
     rows = labelled.filter("lang is not null and text is not null").select("lang", "text")
     n = rows.count()
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.predict(t.as_py(), cache) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    kept = docs.select("doc_id", "text")
+    kept = small_batches(docs).select("doc_id", "text")
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
@@ -159,7 +159,7 @@ def reject_unknown(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> D
             found = (model.predict(t.as_py(), cache) for t in texts)
             yield pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
 
-    return docs.filter(known(F.col("text")))
+    return small_batches(docs).filter(known(F.col("text")))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import table
+from opsloom.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with a left bound that spares useless starts.
@@ -261,7 +261,7 @@ def spelled(spans) -> str:
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # some thousand weights
-    kept = docs.select("doc_id", "text")
+    kept = small_batches(docs).select("doc_id", "text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def run(batches):

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import fold, table
+from opsloom.llm.common import fold, small_batches, table
 
 LEVEL = 3
 THRESHOLD = 0.7
@@ -124,7 +124,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 got = np.full(b.num_rows, model.prior)
             yield pa.record_batch([b.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    kept = docs.select("doc_id", "text")
+    kept = small_batches(docs).select("doc_id", "text")
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double")
 
 
