@@ -141,6 +141,17 @@ def test_secret_spans(spark, corpus):
     assert rows[2].text is None and rows[3].text == "see [SECRET] here" and rows[3].n_chars == len("see [SECRET] here") and "abcdef" not in rows[1].text
 
 
+def test_random_values_after_an_equals_sign(spark):
+    rnd = random.Random(8)
+    before = ["AWS_SECRET_ACCESS_KEY=", "access_key=", "private_key=", "auth=", "see https://h.example/p?v=1&sig=", "api-key=", "a=b==", "session_identifier_of_the_day=="]
+    tokens = ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in before]
+    rows = [(i, f"{k}{t}&x=1", "en", "a") for i, (k, t) in enumerate(zip(before, tokens, strict=True))]
+    spans = {r.doc_id: r.spans for r in secrets.find(docs(spark, rows)).select("doc_id", secrets.spelled(F.col("spans")).alias("spans")).collect()}
+    assert spans == {i: f"random:{len(k)}:{len(k) + 40}" for i, k in enumerate(before)}
+    clean = {r.doc_id: r.text for r in secrets.redact(spark, docs(spark, rows), "").collect()}
+    assert clean == {i: f"{k}[SECRET]&x=1" for i, k in enumerate(before)}
+
+
 def test_running_sums_over_many_matches(spark):
     text = " ".join(f"AKIA{i:020d}" for i in range(1200))
     got = secrets.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
