@@ -7,6 +7,8 @@ job's history.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,15 +35,23 @@ def robust_threshold(df: DataFrame, sample: str, floor: float = FLOOR_S) -> Data
 
 
 def runtime_samples(runs: DataFrame, value: str = "execution_s", size: int = WINDOW) -> DataFrame:
-    """Each run with the values of the last ``size`` successful runs of its job that ended by its start.
+    """Each run with the values of the last ``size`` successful runs of its job that ended by its start, latest first.
 
-    A run overlaps few others, so the rows between the run and the last one ended before it are few; the sample is a
-    window of the job ordered by end, and the ones ended later than the start are taken out of it.
+    However far back they are: ends and starts are merged into one ordered stream per job, where the running number of
+    eligible ends before a start turns its sample into a lookup among the eligible ones. A run that does not take any
+    time stands before its own end.
     """
-    w = W.partitionBy("job_id").orderBy("end_time", "run_id").rowsBetween(-4 * size, -1)
-    past = F.collect_list(F.when((F.col("result_state") == "SUCCESS") & F.col(value).isNotNull(), F.struct(F.col("end_time").alias("e"), F.col("run_id").alias("r"), F.col(value).alias("v")))).over(w)
-    df = runs.withColumn("_past", F.filter(past, lambda p: p["e"] <= F.col("start_time")))
-    return df.withColumn("sample", F.transform(F.slice(F.reverse("_past"), 1, size), lambda p: p["v"])).drop("_past")
+    stream = W.partitionBy("job_id").orderBy("_at", "_k", "_r", "_s")
+    eligible = (F.col("result_state") == "SUCCESS") & F.col(value).isNotNull() & F.col("end_time").isNotNull()
+    ends = runs.filter(eligible).select("job_id", F.col("end_time").alias("_at"), F.lit(0).alias("_k"), F.col("run_id").alias("_r"), F.lit(1).alias("_s"), F.col(value).alias("_v"), F.lit(None).cast(runs.select(F.struct("*")).schema[0].dataType).alias("_run"))
+    instant = F.coalesce(F.col("end_time") <= F.col("start_time"), F.lit(False))
+    starts = runs.select("job_id", F.when(instant, F.col("end_time")).otherwise(F.col("start_time")).alias("_at"), F.when(instant, 0).otherwise(1).alias("_k"), F.col("run_id").alias("_r"), F.lit(0).alias("_s"), F.lit(None).cast(runs.schema[value].dataType).alias("_v"), F.struct("*").alias("_run"))
+    ranked = ends.unionByName(starts).withColumn("_g", F.sum("_s").over(stream.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    at = W.partitionBy("job_id").orderBy("_g").rowsBetween(-(size - 1), 0)
+    lasts = ranked.filter("_s = 1").withColumn("_last", F.reverse(F.collect_list("_v").over(at))).select(F.col("job_id").alias("_j"), F.col("_g").alias("_n"), "_last")
+    df = ranked.filter("_s = 0").join(lasts, (F.col("job_id") == F.col("_j")) & (F.col("_g") == F.col("_n")), "left")
+    none = F.array().cast(lasts.schema["_last"].dataType)
+    return df.select("_run.*", F.coalesce("_last", none).alias("sample"))
 
 
 def runtime_baseline(runs: DataFrame, value: str = "execution_s", floor: float = FLOOR_S, least: int = LEAST) -> DataFrame:
@@ -69,15 +79,24 @@ def _threshold(sample, floor: float):
 
 
 def fold_job(rows: list[dict], excluded: set | None = None, closed_until=None, regime_start=None, floor: float = FLOOR_S) -> list[dict]:
-    """The sequential rule over one job's runs, ordered by end: regressed runs leave the baseline, healthy ones return."""
-    excluded, out, history = set(excluded or ()), [], []
+    """The sequential rule over one job's runs, ordered by end: regressed runs leave the baseline, healthy ones return.
+
+    The history is the whole job. Eligible runs are kept by metric, and by metric and band, in the order of their ends,
+    so those that ended by a start are a prefix that bisection finds.
+    """
+    excluded, out, history = set(excluded or ()), [], {}
+
+    def ended(key: tuple, by) -> list:
+        ends, values = history.get(key, ((), ()))
+        upto = bisect_right(ends, by)
+        return values[max(0, upto - WINDOW) : upto]
+
     for r in rows:
         metric, value = ("execution", r["execution_s"]) if r["execution_s"] is not None else ("total", r["duration_s"])
-        eligible = [e for e in history[-400:] if e["ok"] and e["end"] <= r["start_time"] and e["run_id"] not in excluded and e["metric"] == metric and (regime_start is None or e["start"] >= regime_start)]
         band = r["band"]
-        same = [e for e in eligible if band is not None and e["band"] == band]
+        same = ended((metric, band), r["start_time"]) if band is not None else []
         use_band = len(same) >= LEAST
-        sample = [e["value"] for e in (same if use_band else eligible)[-WINDOW:]]
+        sample = same if use_band else ended((metric,), r["start_time"])
         line = {"run_id": r["run_id"], "job_id": r["job_id"], "metric": metric, "value": value, "median": None, "mad": None, "threshold": None, "deciding_term": None, "n": len(sample), "band": band, "band_fallback": band is not None and not use_band, "verdict": "insufficient_baseline", "opens": False}
         if len(sample) >= LEAST and value is not None:
             line["median"], line["mad"], line["threshold"], line["deciding_term"] = _threshold(sample, floor)
@@ -88,7 +107,11 @@ def fold_job(rows: list[dict], excluded: set | None = None, closed_until=None, r
             line["opens"] = not closed
         elif not closed:
             excluded.discard(r["run_id"])
-        history.append({"run_id": r["run_id"], "ok": r["result_state"] == "SUCCESS", "start": r["start_time"], "end": r["end_time"], "metric": metric, "value": value, "band": band})
+        if r["result_state"] == "SUCCESS" and value is not None and r["run_id"] not in excluded and (regime_start is None or r["start_time"] >= regime_start):
+            for key in ((metric,), (metric, band)):
+                ends, values = history.setdefault(key, ([], []))
+                ends.append(r["end_time"])
+                values.append(value)
         out.append(line)
     return out
 

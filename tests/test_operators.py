@@ -71,6 +71,32 @@ def test_fold_equals_plain_restatement(spark, random_runs):
     assert got == want
 
 
+def test_history_is_the_whole_job(spark):
+    at = lambda i, s=0: T0 + timedelta(hours=i, seconds=s)
+    good = [(f"a{i:03d}", "j", at(i), at(i, 100 + i), 100.0 + i, None, "SUCCESS", 100) for i in range(30)]
+    # a run in another band, a failed one, one without a measured value and one that overlaps the last start, over and over
+    gap = [(f"b{i:03d}", "j", at(30 + i), at(30 + i, 50), None if i % 4 == 2 else 900.0, 50.0, "FAILED" if i % 4 == 1 else "SUCCESS", 4000) for i in range(500) if i % 4]
+    failed = [(f"c{i:03d}", "f", at(i), at(i, 50), 100.0, None, "SUCCESS" if i < 30 else "FAILED", 100) for i in range(300)]
+    wide = [(f"d{i:03d}", "w", at(i), at(i, 50), 100.0 + i, None, "SUCCESS", 100) for i in range(10)] + [(f"e{i:03d}", "w", at(20), at(30, i), 100.0, None, "SUCCESS", 100) for i in range(200)]
+    zero = [(f"z{i}", "z", at(0), at(0), 1.0 + i, None, "SUCCESS", 100) for i in range(7)]
+    last = [("last-j", "j", at(600), at(601), 3600.0, None, "SUCCESS", 100), ("last-f", "f", at(600), at(601), 3600.0, None, "SUCCESS", 100)]
+    rows = good + gap + failed + wide + zero + last
+    df = spark.createDataFrame(rows, RUN)
+    got = {r.run_id: r for r in baselines.detect_runtime_regressions(df).collect()}
+    assert (got["last-j"].verdict, got["last-j"].n, got["last-j"].median, got["last-j"].band_fallback) == ("regression", 20, 119.5, False)
+    assert (got["last-f"].verdict, got["last-f"].n, got["last-f"].median) == ("regression", 20, 100.0)
+    want = {}
+    for j in "jfwz":
+        want |= restated([r for r in rows if r[1] == j])
+    assert {k: r.verdict for k, r in got.items() if r.job_id != "z"} == {k: v for k, v in want.items() if k[0] != "z"}
+    one = {r.run_id: r for r in baselines.runtime_baseline(df).collect()}
+    for r in rows:
+        order = lambda e: (e[3], e[0])
+        past = sorted((e for e in rows if e[1] == r[1] and order(e) < order(r) and e[6] == "SUCCESS" and e[4] is not None and e[3] <= r[2]), key=order)
+        assert one[r[0]].sample == [e[4] for e in reversed(past[-20:])], r[0]
+    assert len(one) == len(rows) and one["last-f"].verdict == "regression" and one["e199"].n == 10
+
+
 def test_stateful_stream_equals_batch(spark, random_runs, tmp_path):
     early = sorted(random_runs, key=lambda r: r[3])
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
