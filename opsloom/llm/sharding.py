@@ -4,8 +4,9 @@ Documents with equal texts are linked. Linked rows start dealt evenly over the s
 joins, to the shard where most of their group is; ties go to a shard that the group's hash picks, so that groups
 spread. A round's moves between two shards are limited by quotas (an 8 x 8 table computed from the demand counts) so
 that no shard ever holds more rows than its even share. Rows without a link have no edge to cut and fill the shards up
-at the end, so row counts differ by one at most. A group larger than a quarter of a shard is salted into parts that
-move on their own; at most ``4 * shards`` such groups can exist, so their table is small whatever the data.
+at the end, so row counts differ by one at most. A group larger than a quarter of a shard is placed before the rounds,
+whole in one shard where it fits, else in as few as can hold it; its rows have most of their group around them and stay.
+Fewer than ``4 * shards`` such groups can exist, so their table is small whatever the data.
 
 Numbers without gaps come from counts of buckets of 16384 rows, their running sum and a row number in each bucket:
 no task sees a whole shard.
@@ -67,6 +68,32 @@ def quotas(demand: dict[tuple[int, int], int], held: list[int], capacity: list[i
             left -= cut
 
 
+def packed(sizes: dict[str, int], room: list[int]) -> dict[str, list[tuple[int, int]]]:
+    """(shard, rows) parts of each group, largest group first; takes the rows out of ``room``.
+
+    A part goes to the fullest shard that can hold it; what no shard can hold fills up the emptiest one first.
+    """
+    parts = {}
+    for group, left in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        parts[group] = []
+        while left:
+            fitting = [j for j in range(len(room)) if room[j] >= left]
+            j = min(fitting, key=lambda j: (room[j], j)) if fitting else max(range(len(room)), key=lambda j: (room[j], -j))
+            parts[group].append((j, min(left, room[j])))
+            left -= parts[group][-1][1]
+            room[j] -= parts[group][-1][1]
+    return parts
+
+
+def shares(many: int, room: list[int]) -> list[int]:
+    """``many`` rows dealt over the shards in proportion to their room."""
+    ends, total = [], 0
+    for r in room:
+        total += r
+        ends.append(many * total // max(1, sum(room)))
+    return [b - a for a, b in zip([0, *ends], ends)]
+
+
 def _cases(value: Column, limits: list[tuple[int, int]]) -> Column:
     """The label of the first (upper bound, label) above the value."""
     out = F.lit(None).cast("int")
@@ -86,9 +113,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     groups = rows.filter("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     groups = written(groups)
     quarter = max(1, n // (4 * shards))
-    linked = rows.join(groups, "group").select("idx", "group", F.ceil(F.col("many") / quarter).alias("salts"))
-    linked = linked.select("idx", F.concat_ws("/", "group", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("idx"), F.col("salts"))).otherwise(F.lit(0)).cast("string")).alias("key"))
-    state = written(numbered(linked, [], "_start").select("idx", "key", F.pmod("_start", F.lit(shards)).cast("int").alias("shard")))
+    large, room = {r["group"]: r["many"] for r in groups.filter(F.col("many") > quarter).collect()}, list(capacity)
+    steps = []
+    for key, parts in packed(large, room).items():
+        total = 0
+        for j, k in parts:
+            steps.append((key, total, total + k, j))
+            total += k
+    linked = rows.join(groups, "group").select("idx", F.col("group").alias("key"), "many")
+    spans = F.broadcast(docs.sparkSession.createDataFrame(steps, "key string, low long, high long, shard int"))
+    ranked = numbered(linked.filter(F.col("many") > quarter), ["key"], "_k")
+    fixed = written(ranked.join(spans, "key").filter("_k >= low and _k < high").select("idx", "shard"))
+    small = groups.filter(F.col("many") <= quarter).agg(F.sum("many")).first()[0] or 0
+    limits, total = [], 0
+    for j, k in enumerate(shares(small, room)):
+        total += k
+        limits.append((total, j))
+    state = written(numbered(linked.filter(F.col("many") <= quarter), [], "_start").select("idx", "key", _cases(F.col("_start"), limits).alias("shard")))
     for _ in range(rounds):
         held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         votes = state.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("votes"))
@@ -96,7 +137,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         wanted = votes.groupBy("key").agg(F.max(favoured).getField("shard").alias("target"))
         movers = written(state.join(wanted, "key").filter("shard <> target").select("idx", "shard", "target"))
         demand = {(r["shard"], r["target"]): r["n"] for r in movers.groupBy("shard", "target").agg(F.count(F.lit(1)).alias("n")).collect()}
-        allowed = quotas(demand, [held.get(j, 0) for j in range(shards)], capacity)
+        allowed = quotas(demand, [held.get(j, 0) for j in range(shards)], room)
         if not sum(allowed.values()):
             break
         quota = F.lit(0)
@@ -107,9 +148,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     limits, total = [], 0
     for j in range(shards):
-        total += capacity[j] - held.get(j, 0)
+        total += room[j] - held.get(j, 0)
         limits.append((total, j))
-    placed = rows.join(state.select("idx", "shard"), "idx", "left").select("idx", "doc_id", "size", "text_crc32", "shard")
+    placed = rows.join(state.select("idx", "shard").unionByName(fixed), "idx", "left").select("idx", "doc_id", "size", "text_crc32", "shard")
     placed = written(placed)
     free = numbered(placed.filter("shard is null").drop("shard"), [], "_k").withColumn("shard", _cases(F.col("_k"), limits)).drop("_k")
     both = written(placed.filter("shard is not null").unionByName(free))

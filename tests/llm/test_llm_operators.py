@@ -188,6 +188,18 @@ def test_sharding_laws(spark, corpus):
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
 
 
+def test_large_groups_stay_together(spark):
+    sizes = {"third": 267, "sixty": 60, "forty": 40, "thirty": 30}
+    texts = [g for g, n in sizes.items() for _ in range(n)] + [f"pair {i // 2}" for i in range(100)]
+    texts += [f"alone {i}" for i in range(800 - len(texts))]
+    out = sharding.shard(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert sorted(Counter(r.shard for r in out).values()) == [100] * 8
+    parts = {g: sorted(Counter(r.shard for r in out if texts[r.doc_id] == g).values()) for g in sizes}
+    cut = {g: (sizes[g] ** 2 - sum(k * k for k in p)) // 2 for g, p in parts.items()}
+    assert parts == {"third": [67, 100, 100], "sixty": [60], "forty": [40], "thirty": [30]}, cut
+    assert cut == {"third": 23400, "sixty": 0, "forty": 0, "thirty": 0}
+
+
 def test_quotas_keep_capacity():
     allowed = sharding.quotas({(0, 1): 9, (1, 0): 4, (2, 1): 7}, [5, 5, 5], [6, 6, 6])
     held = [5 + sum(v for (a, b), v in allowed.items() if b == j) - sum(v for (a, b), v in allowed.items() if a == j) for j in range(3)]
