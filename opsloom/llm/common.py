@@ -23,10 +23,16 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where it is unset a local one is made, once a session."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a session of one machine and process (master ``local``) may do without and gets a temporary folder, once a
+    session. On a cluster an unset folder is an error, as rows written to local disks would be lost.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spark-scratch-"))
     return root.rstrip("/")
 
@@ -43,7 +49,17 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more; whatever was derived from them is itself written."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:

@@ -116,6 +116,36 @@ def test_jaccard_star_and_cross_links(spark):
     assert kept == {find(i) for i in sets}
 
 
+def test_jaccard_common_grams_change_nothing(spark, corpus, monkeypatch):
+    """Entries of common n-grams are dealt by set without a count; a mosaic of shared passages has no links but copies."""
+    import numpy as np
+
+    rnd = random.Random(12)
+    passages = [" ".join(f"m{p}_{i}" for i in range(12)) for p in range(30)]
+    rows = [(i, t) for i, t, *_ in corpus if i is not None] + [(50_000 + k, " ".join(rnd.sample(passages, 10))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
+    plain = {tuple(r) for r in jaccard.near_duplicates(df).collect()}
+    times = Counter(h for _, t in rows for h in jaccard.shingles(t, jaccard.WordHashes()).tolist())
+    common = np.sort(np.array([h for h, n in times.items() if n > 6], np.uint64))
+    assert len(common) > 100
+    monkeypatch.setattr(jaccard, "common_grams", lambda members, entries: common)
+    assert {tuple(r) for r in jaccard.near_duplicates(df).collect()} == plain
+
+
+def test_common_grams_are_found(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(k, f"{passage} tail{k} a{k} b{k}") for k in range(400)]
+    members = jaccard.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    want = set(jaccard.shingles(passage, jaccard.WordHashes()).tolist())
+    entries = jaccard.BLOCK_ENTRIES
+    try:
+        jaccard.BLOCK_ENTRIES = 1600  # common: more than a hundred
+        assert set(jaccard.common_grams(members, 400).tolist()) == want
+    finally:
+        jaccard.BLOCK_ENTRIES = entries
+    assert len(jaccard.common_grams(members, 400)) == 0
+
+
 def test_secret_spans(spark, corpus):
     rnd = random.Random(3)
     token = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(44))
