@@ -3,21 +3,23 @@
 Four base patterns give e-mail addresses, network addresses, payment cards and phone numbers. In the stretches of a
 text that hold several digits or an at-sign, a semi-Markov CRF scores whole candidate spans (digit grouping, checksum,
 separators, neighbours) for each type, and a dynamic program over at most ``LONGEST`` tokens a span chooses boundaries
-and types together. Spans it finds apart from base spans are added.
+and types together. Spans it finds apart from base spans are added. A candidate has at most ``LONGEST_CHARS`` characters.
 
 The field is trained here by gradient steps on its log likelihood: on stretches of a bounded sample of documents
 (``max_windows``), labelled by the base patterns, and on a fixed set of made-up variants (numbers without a country code, other
 separators, and dates, versions and plain numbers as negatives). Scoring is one pass in Arrow batches, no shuffle.
 
 Defined results: a null or empty text has no spans; matches that fail their check are dropped and not retried;
-very long texts are read whole in linear time; repeated rows get repeated results. Only ``doc_id`` and ``text`` are read.
+very long texts are read whole (each stretch takes time in proportion to its tokens, each span found one bisection); repeated rows get repeated results. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ DIGIT = re.compile(r"[0-9]")
 
 #: Stretches that the field reads, and what it takes as a token.
 STRETCH = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*|[+(]*[0-9][0-9().+/:\x20-]*[0-9]")
-LEAST_DIGITS, LONGEST = 7, 20
+LEAST_DIGITS, LONGEST, LONGEST_CHARS = 7, 20, 400
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 
 
@@ -50,6 +52,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, for any number of leading zeros."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or 0) <= 255
+
+
 def emails(text: str):
     """Leftmost non-overlapping matches, read off around each at-sign."""
     at, end = text.find("@"), 0
@@ -69,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         return []
     found = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -88,7 +96,7 @@ def stretches(text: str):
             yield m.start(), m.end()
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=10_000)
 def features(span: str, before: str, after: str) -> tuple[str, ...]:
     """Whole-span features of a candidate; neighbours are a character class each."""
     groups = re.findall(r"[0-9]+", span)
@@ -113,7 +121,7 @@ def _class(c: str) -> str:
 
 
 def candidates(text: str, start: int, end: int):
-    """Tokens' bounds and the (i, j, features) of the spans of at most LONGEST tokens that may be an entity."""
+    """Tokens' bounds and the (i, j, features) of the spans that may be an entity, of LONGEST tokens and LONGEST_CHARS at most."""
     bounds = [m.start() for m in TOKEN.finditer(text, start, end)] + [end]
     spans = []
     for i in range(len(bounds) - 1):
@@ -121,6 +129,8 @@ def candidates(text: str, start: int, end: int):
         if not (first.isalnum() or first in "+(._%"):
             continue
         for j in range(i + 1, min(i + LONGEST, len(bounds) - 1) + 1):
+            if bounds[j] - bounds[i] > LONGEST_CHARS:
+                break
             s = text[bounds[i] : bounds[j]]
             if not s[-1].isalnum() or not ("@" in s or len(s) >= LEAST_DIGITS):
                 continue
@@ -244,13 +254,17 @@ def train(docs: DataFrame, max_windows: int = 400, rounds: int = 5) -> Field:
 def all_spans(text: str, field: Field) -> tuple[list, list]:
     """(base spans, all spans) of one text."""
     base = base_spans(text)
-    added = []
+    starts, reach, added = [b[0] for b in base], list(accumulate((b[2] for b in base), max)), []
+
+    def covered(before: int) -> int:
+        """How far the base spans reach that start before a place."""
+        k = bisect_left(starts, before)
+        return reach[k - 1] if k else 0
+
     for s, e in stretches(text):
-        if any(b[0] <= s and e <= b[2] for b in base if b[0] < e and s < b[2]):
+        if covered(s + 1) >= e:  # the whole stretch lies in one base span
             continue
-        for x in field.best(text, s, e):
-            if not any(b[0] < x[2] and x[0] < b[2] for b in base):
-                added.append(x)
+        added += [x for x in field.best(text, s, e) if covered(x[2]) <= x[0]]
     return base, sorted(base + added)
 
 
