@@ -32,11 +32,12 @@ from opsloom.llm.rules import let
 #: The patterns. Kinds are ordered as listed.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# a match that is too short ends where its characters end, so asking for the length at once gives the same spans
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 # '=' may stand before a token: it ends a key, and the padding of the token before is taken by that token
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*"
-MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
+MIN_ASSIGN = 6
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: name, pattern (without padding), alphabet, non-centrality a symbol that text-like strings have at least.
@@ -112,8 +113,8 @@ def _where(condition: Column, spans: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """Array of (start, kind index, end) of the base patterns, ordered by start, then kind."""
     assign = F.filter(_where((text.contains("=") | text.contains(":")) & text.rlike(ASSIGN), located(text, ASSIGN, 2)), lambda s: F.length(s["part"]) >= MIN_ASSIGN)
-    access = F.filter(_where(text.contains("AKIA"), located(text, ACCESS)), lambda s: F.length(s["token"]) >= MIN_ACCESS)
-    long_hex = F.filter(_where(text.rlike(rf"(?<![0-9a-f])[0-9a-f]{{{MIN_HEX}}}"), located(text, HEX)), lambda s: F.length(s["token"]) >= MIN_HEX)
+    access = _where(text.contains("AKIA") & text.rlike(ACCESS), located(text, ACCESS))
+    long_hex = _where(text.rlike(HEX), located(text, HEX))
 
     def tagged(spans: Column, kind: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
