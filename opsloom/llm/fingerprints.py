@@ -1,13 +1,13 @@
 """Document fingerprints by Order MinHash (operator 5, DataFrame functions only).
 
 A text is cut into words (long words into pieces of 8 code points) and read as 2-mers; the occurrences of one k-mer are
-numbered, so that repeats count. All numbered k-mers are hashed and dealt to 32 ranges of the hash. In each range the
-two smallest keep their order in the text and are hashed as a tuple: texts agree in a range only if they share both
-k-mers and their order. The fingerprint lists the ranges (2 hex digits) with their tuples (8 hex digits); the likeness of two
-fingerprints is the share of equal tuples among the ranges that either uses.
+numbered, so that repeats count, and all numbered k-mers are hashed. 32 orders of the k-mers are the rotations of the
+hash by a 32nd of its range each (circulant permutations). In each order the two smallest k-mers keep their order in
+the text and are hashed as a tuple: texts agree in an order only if they share both k-mers and their sequence. The
+fingerprint lists the 32 tuples (8 hex digits each); the likeness of two fingerprints is the share of equal tuples.
 
-A k-mer is one long: 40 bits of hash over 24 bits of position, so that one sort of a primitive array gives order,
-repeats and minima at once (positions beyond 2^24 words wrap).
+A k-mer is one long: 34 bits of hash over 30 bits of position (no text has more words), so that one sort of a primitive
+array gives order, repeats and minima at once.
 
 Finding the next document needs no global sort: quantiles of doc_id (a bounded list) cut the ids into ranges, a window
 runs over each range, and the first row of the range below is added to a range as a ghost row.
@@ -30,7 +30,7 @@ from opsloom.llm.common import table, text_of
 from opsloom.llm.rules import let
 
 PIECE = r"[^\x20\x09-\x0D]{1,8}"
-RANGE_BITS, POSITION_BITS = 5, 24
+ORDERS, RANGE_BITS, POSITION_BITS = 32, 5, 30
 POSITION = (1 << POSITION_BITS) - 1
 ROWS_A_RANGE, MOST_RANGES = 2000, 65_536
 
@@ -44,11 +44,12 @@ def _packed(h: Column, i: Column) -> Column:
 
 
 def _range_of(v: Column) -> Column:
-    return F.shiftrightunsigned(v, 64 - RANGE_BITS)
+    """0 to 31, in the order of the longs."""
+    return F.shiftright(v, 64 - RANGE_BITS).cast("int") + ORDERS // 2
 
 
 def tuples(text: Column) -> Column:
-    """Array of long: range of the hash << 32 | tuple of its two smallest k-mers in text order."""
+    """Array of 32 longs: in each order the tuple of the two smallest k-mers in text order; empty for a text without words."""
 
     def of_words(w: Column) -> Column:
         last = F.greatest(F.size(w) - 1, F.lit(1))
@@ -70,15 +71,19 @@ def tuples(text: Column) -> Column:
         two = F.filter(s, lambda v, i: ~_range_of(v).eqNullSafe(_range_of(F.get(s, i - 2))))
 
         def joined(t: Column) -> Column:
-            def one(v: Column, i: Column) -> Column:
-                mate = F.get(t, i + 1)
-                paired = _range_of(mate).eqNullSafe(_range_of(v))
-                swap = paired & (mate.bitwiseAND(F.lit(POSITION)) < v.bitwiseAND(F.lit(POSITION)))
-                a, b = F.when(swap, _hash_of(mate)).otherwise(_hash_of(v)), F.when(paired, F.when(swap, _hash_of(v)).otherwise(_hash_of(mate)))
-                first = ~_range_of(v).eqNullSafe(_range_of(F.get(t, i - 1)))
-                return F.when(first, F.shiftleft(_range_of(v), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), 32)))
+            # the smallest in an order is the first of the first range from there on that is not empty, then comes its successor
+            def tuple_at(v: Column, i: Column) -> Column:
+                mate = F.coalesce(F.get(t, i + 1), F.get(t, F.lit(0)))
+                swap = mate.bitwiseAND(F.lit(POSITION)) < v.bitwiseAND(F.lit(POSITION))
+                a, b = F.when(swap, _hash_of(mate)).otherwise(_hash_of(v)), F.when(swap, _hash_of(v)).otherwise(_hash_of(mate))
+                return F.xxhash64(a, b).bitwiseAND(F.lit((1 << 32) - 1))
 
-            return F.filter(F.transform(t, one), lambda x: x.isNotNull())
+            def orders(v: Column, i: Column) -> Column:
+                before = F.coalesce(_range_of(F.get(t, i - 1)), F.lit(-1))
+                return F.array_repeat(tuple_at(v, i), _range_of(v) - before)
+
+            around = F.array_repeat(tuple_at(F.get(t, F.lit(0)), F.lit(0)), ORDERS - 1 - _range_of(F.element_at(t, -1)))
+            return F.concat(F.flatten(F.transform(t, orders)), around)
 
         return let(two, joined)
 
@@ -87,14 +92,14 @@ def tuples(text: Column) -> Column:
 
 
 def spelled(t: Column) -> Column:
-    """The fingerprint as text: 10 hex digits a range."""
-    return F.array_join(F.transform(t, lambda v: F.lpad(F.hex(v), 10, "0")), "")
+    """The fingerprint as text: 8 hex digits an order."""
+    return F.array_join(F.transform(t, lambda v: F.lpad(F.hex(v), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal tuples among the ranges that either fingerprint uses."""
-    ranges = F.size(F.array_union(F.transform(a, lambda v: F.shiftright(v, 32)), F.transform(b, lambda v: F.shiftright(v, 32))))
-    return F.when(ranges == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / ranges)
+    """Share of the orders in which both have the same tuple; 1 for two empty ones, 0 for an empty and another one."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.lit(float(ORDERS))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same)
 
 
 def _range_index(cuts: list[int], value: Column) -> Column:
