@@ -4,10 +4,13 @@ Every document gets a 60-bit hash. A source that must give ``target`` words take
 ``floor(target / source_size)`` times and once more those whose hash lies below a threshold. The threshold is
 found without sorting: words are summed by (source, 12-bit hash bucket), the bucket in which the budget falls is
 found by a running sum over at most 4096 rows a source, and only that boundary bucket is split again by the next
-12 bits, until it holds one document (or documents that share all 60 bits, which are taken or left together).
+12 bits, until it holds one document, or the copies of one (rows that share all 60 bits). Of m such copies the mix takes the k
+that end nearest to the target: they are numbered as they were written, by counts a partition and a row number in it.
 
 Defined results: a null text has size 0 and is never taken; null sources form one source that sorts last; repeated
-rows have one hash and are treated alike; an empty table gives an empty result. Only ``doc_id``, ``text`` and
+rows have one hash and are treated alike, but for those at the boundary, of which k are taken once more than the others
+(which ones follows from the order of the files if they differ in other columns); an empty table gives an empty
+result. Only ``doc_id``, ``text`` and
 ``source`` are read, so extra columns cannot clash.
 """
 
@@ -90,21 +93,43 @@ def limits_of(rows: DataFrame, weights=WEIGHTS, budget_share=BUDGET_SHARE, max_r
         level += 1
     if "low" not in state.columns:  # an empty table
         state = state.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")})
-    # the boundary bucket itself is taken when that ends nearer to the target
+    # a single document at the boundary is taken when that ends nearer to the target, and k of m copies likewise
     take_it = 2 * (F.col("rest") - F.col("below")) >= F.col("inside")
-    return state.select(F.col("source").alias("s"), "source_size", "target", "base", F.when(take_it, F.col("high")).otherwise(F.col("low")).alias("threshold"))
-
-
-def _copies(size: Column, h: Column) -> Column:
-    return F.when(size > 0, F.col("base") + F.when(h < F.col("threshold"), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
+    copies = F.col("many") > 1
+    threshold = F.when(take_it & ~copies, F.col("high")).otherwise(F.col("low"))
+    k = F.least(F.greatest(F.round((F.col("rest") - F.col("below")) * F.col("many") / F.col("inside")), F.lit(0)), F.col("many")).cast("long")
+    edge = F.when(copies & (F.col("inside") > 0), F.col("low"))
+    return state.select(F.col("source").alias("s"), "source_size", "target", "base", threshold.alias("threshold"), edge.alias("edge"), k.alias("k"))
+
+
+def _copies(more: Column) -> Column:
+    return F.when(F.col("size") > 0, F.col("base") + more.cast("long")).otherwise(F.lit(0)).cast("long")
+
+
+def with_copies(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds source_size, target and copies (how often the mix takes the row) to rows with source, size and h."""
+    joined = rows.join(limits, F.col("source").eqNullSafe(F.col("s")), "left")
+    names = [*rows.columns, "source_size", "target"]
+    at_edge = F.coalesce(F.col("h") == F.col("edge"), F.lit(False))
+    plain = joined.filter(~at_edge).select(*names, _copies(F.col("h") < F.col("threshold")).alias("copies"))
+    if not limits.filter("edge is not null").limit(1).count():
+        return plain
+    # rows at the edge are numbered in two steps, so that no task has to hold them all
+    edge = written(joined.filter(at_edge).select(*names, "s", "base", "k", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    counts = edge.groupBy("s", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("s").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(F.col("s").alias("s2"), F.col("part").alias("p2"), F.coalesce(before, F.lit(0)).alias("offset"))
+    nth = F.row_number().over(W.partitionBy("s", "part").orderBy("at"))
+    met = edge.withColumn("part", part).withColumn("nth", nth).join(offsets, F.col("s").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
+    return plain.unionByName(met.select(*names, _copies(F.col("offset") + F.col("nth") <= F.col("k")).alias("copies")))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget_share=BUDGET_SHARE, max_repeats=MAX_REPEATS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken."""
     rows = written(docs.select("doc_id", "source", n_words_of(text_of()).alias("size"), hash_of(F.col("doc_id"), text_of()).alias("h")))
-    limits = limits_of(rows, weights, budget_share, max_repeats)
-    joined = rows.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", _copies(F.col("size"), F.col("h")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = with_copies(rows, limits_of(rows, weights, budget_share, max_repeats))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -114,8 +139,7 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "source", n_words_of(text_of()).alias("size"), hash_of(F.col("doc_id"), text_of()).alias("h"))
-    limits = limits_of(written(rows.drop("row")))
-    taken = rows.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", _copies(F.col("size"), F.col("h"))).filter("copies > 0")
+    taken = with_copies(rows, limits_of(written(rows.drop("row")))).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
