@@ -5,9 +5,10 @@ character n-grams that the model knows, then to shorter ones, at a fixed cost a
 one with the largest sum; the score is the winner's share when the mean log likelihood a word is sharpened by a
 bounded number of words.
 
-The model is counted by Spark over whole texts of a bounded sample of labelled rows (``max_rows``, chosen by a hash of
-the text; with fewer labelled rows all are used), keeps the most frequent words and n-grams of each language and so
-has a bounded size (at most ``max_langs * (max_words + max_grams)`` entries), whatever the corpus.
+The model is counted by Spark over whole texts of a bounded sample of labelled rows: each language has a quota of
+``max_rows`` shared by the languages, drawn by a hash of doc_id and text; copies in the sample count once. It keeps the
+most frequent words and n-grams of each language, cut at a count that a histogram gives, and so has a bounded size
+(``max_words`` and ``max_grams`` entries, shared by the languages), whatever the corpus. An entry holds the languages it was seen in.
 
 Defined results: a null text, or one without a letter, gives ``und`` and score 0; with no labelled rows at all
 everything is ``und``; repeated rows get the same result; very long texts are read whole. Only ``doc_id``, ``text``
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import fold, small_batches, table
+from opsloom.llm.common import discard, fold, small_batches, table, written
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -37,25 +38,39 @@ LONGEST = 5
 STEP_COST = 0.4
 
 
+class Table:
+    """Per-language log frequencies of items: what an unseen item has, and what an item adds to that where it was seen."""
+
+    def __init__(self, counts: dict[str, dict[int, int]], totals: list[int], smooth: float = 0.5):
+        size = max(1, len(counts))
+        self.unseen = [math.log(smooth / (t + smooth * size)) for t in totals]
+        self.seen = {k: tuple((g, math.log((c + smooth) / smooth)) for g, c in by.items()) for k, by in counts.items()}
+
+    def sum_of(self, items: list[tuple], times: int) -> list[float]:
+        out = [x * times for x in self.unseen]
+        for item in items:
+            for g, more in item:
+                out[g] += more
+        return out
+
+
 class Model:
-    """Per-language log frequencies of words and of character n-grams (with ``^`` and ``$`` at word ends)."""
+    """Tables of words and of character n-grams by length (with ``^`` and ``$`` at word ends)."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
+    def __init__(self, langs: list[str], words: Table, grams: list[Table]):
         self.langs, self.words, self.grams = langs, words, grams
 
     def word(self, w: str) -> list[float]:
         """Log score of one word in each language."""
-        if (known := self.words.get(w)) is not None:
-            return known
+        if (known := self.words.seen.get(w)) is not None:
+            return self.words.sum_of([known], 1)
         padded = f"^{w}$"
         for n in range(LONGEST, 0, -1):
-            table, found = self.grams[n - 1], []
-            for i in range(len(padded) - n + 1):
-                if (x := table.get(padded[i : i + n])) is not None:
-                    found.append(x)
+            table = self.grams[n - 1]
+            found = [x for i in range(len(padded) - n + 1) if (x := table.seen.get(padded[i : i + n])) is not None]
             if found:
                 cost, k = STEP_COST * (LONGEST - n + 1), len(found)
-                return [sum(col) / k - cost for col in zip(*found, strict=True)]
+                return [x / k - cost for x in table.sum_of(found, k)]
         return [0.0] * len(self.langs)
 
     def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
@@ -77,36 +92,46 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def _scored(counts: dict[str, dict[str, int]], totals: dict[str, int], langs: list[str], smooth: float) -> dict[str, list[float]]:
-    size = max(1, len(counts))
-    return {k: [math.log((by.get(g, 0) + smooth) / (totals.get(g, 0) + smooth * size)) for g in langs] for k, by in counts.items()}
-
-
-def most_frequent(counts: DataFrame, keys: list[str], item: str, k: int) -> DataFrame:
-    """The k most frequent items a key, with their place ``nth``.
+def most_frequent(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Items (with their count ``c``) whose count is so high that at most k items of the key have it or a higher one.
 
-    Each of 32 parts of a key's items is cut to its own k first, so that no task orders all items of a language.
+    A histogram of counts gives the cut, so no task orders the items of a key.
     """
-    order = [F.desc("c"), F.col(item)]
-    part = F.pmod(F.xxhash64(item), F.lit(32))
-    some = counts.withColumn("part", part).withColumn("nth", F.row_number().over(W.partitionBy(*keys, "part").orderBy(*order))).filter(F.col("nth") <= k)
-    return some.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= k).drop("part")
-
-
-def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 20_000, max_grams: int = 10_000, max_langs: int = 200) -> Model:
-    """Fit on (text, lang) rows; rows without a language or text are not used."""
-    rows = labelled.filter("lang is not null and text is not null").select("lang", "text")
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    langs = sorted(top)
-    words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
-    kept = most_frequent(words, ["lang"], "w", max_words).filter("c > 1 or nth <= 1000")
-    counts: dict[str, dict[str, int]] = {}
-    for r in kept.collect():  # at most max_langs * max_words rows
-        counts.setdefault(r["w"], {})[r["lang"]] = r["c"]
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
+    higher = W.partitionBy(*keys).orderBy(F.desc("c"))
+    histogram = counts.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("items")).withColumn("upto", F.sum("items").over(higher))
+    cut = histogram.filter(F.col("upto") <= k).groupBy(*keys).agg(F.min("c").alias("cut"))
+    return counts.join(F.broadcast(cut), keys).filter("c >= cut").drop("cut")  # one row a key
+
+
+def sample(labelled: DataFrame, max_rows: int, max_langs: int) -> DataFrame:
+    """(lang, text): each of the most frequent languages up to its quota, copies once."""
+    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    if not top:
+        return rows.select("lang", "text")
+    quota = max_rows // len(top)
+    shares = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], int(min(1.0, quota / r["count"]) * (1 << 30)))])
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    return rows.filter(place < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))).select("lang", "text").dropDuplicates()
+
+
+def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 160_000, max_grams: int = 160_000, max_langs: int = 200) -> Model:
+    """Fit on (doc_id, text, lang) rows; rows without a language or text are not used."""
+    rows = written(sample(labelled, max_rows, max_langs))
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    index, many = {g: i for i, g in enumerate(langs)}, max(1, len(langs))
+    words = written(rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")))
+
+    def totals(found) -> list[int]:
+        by = {r["lang"]: r["n"] for r in found.collect()}
+        return [by.get(g, 0) for g in langs]
+
+    sizes = words.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
+    frequent = most_frequent(words, ["lang"], max_words // many).join(F.broadcast(sizes), "lang").filter("c > 1 or kinds <= 1000")
+    counts: dict[str, dict[int, int]] = {}
+    for r in frequent.collect():  # at most max_words rows
+        counts.setdefault(r["w"], {})[index[r["lang"]]] = r["c"]
+    table = Table(counts, totals(words.groupBy("lang").agg(F.sum("c").alias("n"))))
     padded = F.concat(F.lit("^"), "w", F.lit("$"))
 
     def of_length(n: int):
@@ -114,14 +139,14 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 20_000,
         return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
 
     gram = F.explode(F.flatten(F.array(*[of_length(n) for n in range(1, LONGEST + 1)])))
-    grams = words.select("lang", "c", gram.alias("g")).groupBy("lang", F.length("g").alias("n"), "g").agg(F.sum("c").alias("c"))
-    kept = most_frequent(grams, ["lang", "n"], "g", max_grams // LONGEST)
-    by_n: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST)]
-    gram_totals: list[dict[str, int]] = [{} for _ in range(LONGEST)]
-    for r in kept.collect():  # at most max_langs * max_grams rows
-        by_n[r["n"] - 1].setdefault(r["g"], {})[r["lang"]] = r["c"]
-        gram_totals[r["n"] - 1][r["lang"]] = gram_totals[r["n"] - 1].get(r["lang"], 0) + r["c"]
-    return Model(langs, _scored(counts, totals, langs, 0.5), [_scored(c, t, langs, 0.5) for c, t in zip(by_n, gram_totals, strict=True)])
+    grams = written(words.select("lang", "c", gram.alias("g")).groupBy("lang", F.length("g").alias("n"), "g").agg(F.sum("c").alias("c")))
+    by_n: list[dict[str, dict[int, int]]] = [{} for _ in range(LONGEST)]
+    gram_totals = [[0] * len(langs) for _ in range(LONGEST)]
+    for r in most_frequent(grams, ["lang", "n"], max_grams // many // LONGEST).collect():  # at most max_grams rows
+        by_n[r["n"] - 1].setdefault(r["g"], {})[index[r["lang"]]] = r["c"]
+        gram_totals[r["n"] - 1][index[r["lang"]]] += r["c"]
+    discard(rows, words, grams)
+    return Model(langs, table, [Table(c, t) for c, t in zip(by_n, gram_totals, strict=True)])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
