@@ -11,6 +11,11 @@ SEVERITIES = ("info", "warning", "high", "critical", "blocking")
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     """``prefix`` and the first 12 hex digits of the sha256 of the parts, joined by a pipe; null parts read as empty."""
     joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

@@ -13,50 +13,93 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsloom.functions.columns import volume_band
+from opsloom.functions.columns import once, volume_band
 
 RATIO, DEVIATIONS, FLOOR_S, FLOOR_COST = 2.0, 5.0, 30.0, 0.05
 WINDOW, LEAST = 20, 5
 
 
 def median_of(values: Column) -> Column:
-    """Exact median of an array."""
-    s, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, (F.floor(n / 2) + 1).cast("int"))) / 2.0)
+    """Exact median of an array without nulls, which is sorted once; null for an empty one."""
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
+
+    return once(F.sort_array(values), middle)
+
+
+def robust_terms(median: Column, mad: Column, floor: float) -> Column:
+    """Struct of median, mad, threshold and deciding_term (ties in the order ratio, mad, floor)."""
+    ratio, spread, least = RATIO * median, median + DEVIATIONS * mad, median + floor
+    top = F.greatest(ratio, spread, least)
+    term = F.when(top == ratio, F.lit("ratio")).when(top == spread, F.lit("mad")).when(top.isNotNull(), F.lit("floor"))
+    return F.struct(median.alias("median"), mad.alias("mad"), top.alias("threshold"), term.alias("deciding_term"))
 
 
 def robust_threshold(df: DataFrame, sample: str, floor: float = FLOOR_S) -> DataFrame:
-    """Adds median, mad, threshold and deciding_term of an array column (ties in the order ratio, mad, floor)."""
-    df = df.withColumn("median", median_of(F.col(sample)))
-    df = df.withColumn("mad", median_of(F.transform(sample, lambda x: F.abs(x - F.col("median")))))
-    ratio, mad, least = RATIO * F.col("median"), F.col("median") + DEVIATIONS * F.col("mad"), F.col("median") + floor
-    df = df.withColumn("threshold", F.greatest(ratio, mad, least))
-    return df.withColumn("deciding_term", F.when(F.col("threshold") == ratio, F.lit("ratio")).when(F.col("threshold") == mad, F.lit("mad")).when(F.col("threshold").isNotNull(), F.lit("floor")))
+    """Adds median, mad, threshold and deciding_term of an array column; two sorts a row."""
+
+    def of_median(m: Column) -> Column:
+        return once(median_of(F.transform(sample, lambda x: F.abs(x - m))), lambda d: robust_terms(m, d, floor))
+
+    return df.select("*", F.inline(F.array(once(median_of(F.col(sample)), of_median))))
+
+
+def robust_thresholds(rows: DataFrame, key: str, value: str, floor: float = FLOOR_S) -> DataFrame:
+    """(key, median, mad, threshold, deciding_term) over all values of a key, however many.
+
+    Exact percentiles count equal values map-side and never gather a key's rows in an array.
+    """
+    middle = rows.filter(F.col(value).isNotNull()).groupBy(key).agg(F.expr(f"percentile({value}, 0.5)").alias("_m"))
+    spread = rows.join(middle, key).groupBy(key).agg(F.first("_m").alias("_m"), F.expr(f"percentile(abs({value} - _m), 0.5)").alias("_d"))
+    return spread.select(key, F.inline(F.array(robust_terms(F.col("_m"), F.col("_d"), floor))))
+
 
+def measured(runs: DataFrame) -> DataFrame:
+    """Adds metric and value: the execution time where it was measured, else the total time."""
+    has = F.col("execution_s").isNotNull()
+    return runs.withColumns({"metric": F.when(has, "execution").otherwise("total"), "value": F.coalesce("execution_s", "duration_s")})
 
-def runtime_samples(runs: DataFrame, value: str = "execution_s", size: int = WINDOW) -> DataFrame:
+
+def runtime_samples(runs: DataFrame, value: str = "execution_s", size: int = WINDOW, within: list[str] = (), excluded: DataFrame | None = None, regimes: DataFrame | None = None) -> DataFrame:
     """Each run with the values of the last ``size`` successful runs of its job that ended by its start, latest first.
 
-    However far back they are: ends and starts are merged into one ordered stream per job, where the running number of
+    ``within`` names columns in which sample and run must agree (a volume band, a metric), ``excluded`` (run_id) runs that
+    are no sample, ``regimes`` (job_id, regime_start) the start from which on runs are.
+
+    However far back they are: ends and starts are merged into one ordered stream per key, where the running number of
     eligible ends before a start turns its sample into a lookup among the eligible ones. A run that does not take any
     time stands before its own end.
     """
-    stream = W.partitionBy("job_id").orderBy("_at", "_k", "_r", "_s")
-    eligible = (F.col("result_state") == "SUCCESS") & F.col(value).isNotNull() & F.col("end_time").isNotNull()
-    ends = runs.filter(eligible).select("job_id", F.col("end_time").alias("_at"), F.lit(0).alias("_k"), F.col("run_id").alias("_r"), F.lit(1).alias("_s"), F.col(value).alias("_v"), F.lit(None).cast(runs.select(F.struct("*")).schema[0].dataType).alias("_run"))
+    keys = ["job_id", *within]
+    stream = W.partitionBy(*keys).orderBy("_at", "_k", "_r", "_s")
+    good = runs.filter((F.col("result_state") == "SUCCESS") & F.col(value).isNotNull() & F.col("end_time").isNotNull())
+    if excluded is not None:
+        good = good.join(excluded.select("run_id").distinct(), "run_id", "left_anti")
+    if regimes is not None:
+        good = good.join(regimes.select("job_id", F.col("regime_start").alias("_from")), "job_id", "left").filter("_from is null or start_time >= _from")
+    ends = good.select(*keys, F.col("end_time").alias("_at"), F.lit(0).alias("_k"), F.col("run_id").alias("_r"), F.lit(1).alias("_s"), F.col(value).alias("_v"), F.lit(None).cast(runs.select(F.struct("*")).schema[0].dataType).alias("_run"))
     instant = F.coalesce(F.col("end_time") <= F.col("start_time"), F.lit(False))
-    starts = runs.select("job_id", F.when(instant, F.col("end_time")).otherwise(F.col("start_time")).alias("_at"), F.when(instant, 0).otherwise(1).alias("_k"), F.col("run_id").alias("_r"), F.lit(0).alias("_s"), F.lit(None).cast(runs.schema[value].dataType).alias("_v"), F.struct("*").alias("_run"))
+    starts = runs.select(*keys, F.when(instant, F.col("end_time")).otherwise(F.col("start_time")).alias("_at"), F.when(instant, 0).otherwise(1).alias("_k"), F.col("run_id").alias("_r"), F.lit(0).alias("_s"), F.lit(None).cast(runs.schema[value].dataType).alias("_v"), F.struct("*").alias("_run"))
     ranked = ends.unionByName(starts).withColumn("_g", F.sum("_s").over(stream.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    at = W.partitionBy("job_id").orderBy("_g").rowsBetween(-(size - 1), 0)
-    lasts = ranked.filter("_s = 1").withColumn("_last", F.reverse(F.collect_list("_v").over(at))).select(F.col("job_id").alias("_j"), F.col("_g").alias("_n"), "_last")
-    df = ranked.filter("_s = 0").join(lasts, (F.col("job_id") == F.col("_j")) & (F.col("_g") == F.col("_n")), "left")
+    at = W.partitionBy(*keys).orderBy("_g").rowsBetween(-(size - 1), 0)
+    lasts = ranked.filter("_s = 1").withColumn("_last", F.reverse(F.collect_list("_v").over(at))).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_g").alias("_n"), "_last")
+    same = F.col("_g") == F.col("_n")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    df = ranked.filter("_s = 0").join(lasts, same, "left")
     none = F.array().cast(lasts.schema["_last"].dataType)
     return df.select("_run.*", F.coalesce("_last", none).alias("sample"))
 
 
-def runtime_baseline(runs: DataFrame, value: str = "execution_s", floor: float = FLOOR_S, least: int = LEAST) -> DataFrame:
-    """One-pass baseline and verdict of every run (regressed runs stay in the sample of later ones)."""
-    df = robust_threshold(runtime_samples(runs, value), "sample", floor)
+def runtime_baseline(runs: DataFrame, value: str = "execution_s", floor: float = FLOOR_S, least: int = LEAST, excluded: DataFrame | None = None, regimes: DataFrame | None = None) -> DataFrame:
+    """One-pass baseline and verdict of every run (regressed runs stay in the sample of later ones unless ``excluded``)."""
+    df = robust_threshold(runtime_samples(runs, value, excluded=excluded, regimes=regimes), "sample", floor)
+    return _with_verdict(df, value, least)
+
+
+def _with_verdict(df: DataFrame, value: str, least: int) -> DataFrame:
     enough = F.size("sample") >= least
     verdict = F.when(~enough, F.lit("insufficient_baseline")).when(F.col(value) > F.col("threshold"), F.lit("regression")).otherwise(F.lit("healthy"))
     for c in ("median", "mad", "threshold", "deciding_term"):
@@ -64,6 +107,20 @@ def runtime_baseline(runs: DataFrame, value: str = "execution_s", floor: float =
     return df.withColumn("n", F.size("sample")).withColumn("verdict", verdict)
 
 
+def banded_baseline(runs: DataFrame, floor: float = FLOOR_S, least: int = LEAST, excluded: DataFrame | None = None, regimes: DataFrame | None = None) -> DataFrame:
+    """The baseline of every run among those with its metric (execution or total time) and volume band.
+
+    A band with fewer than ``least`` values gives way to all bands of the metric (``band_fallback``). A run without a
+    row count has no band and is compared with all.
+    """
+    df = measured(runs).withColumn("band", volume_band(F.col("input_rows")))
+    df = runtime_samples(df, "value", within=["metric", "band"], excluded=excluded, regimes=regimes).withColumnRenamed("sample", "same_band")
+    df = runtime_samples(df, "value", within=["metric"], excluded=excluded, regimes=regimes)
+    use_band = F.col("band").isNotNull() & (F.size("same_band") >= least)
+    df = df.withColumns({"sample": F.when(use_band, F.col("same_band")).otherwise(F.col("sample")), "band_fallback": F.col("band").isNotNull() & ~use_band}).drop("same_band")
+    return _with_verdict(robust_threshold(df, "sample", floor), "value", least)
+
+
 FOLD_SCHEMA = "run_id string, job_id string, metric string, value double, median double, mad double, threshold double, deciding_term string, n int, band int, band_fallback boolean, verdict string, opens boolean"
 
 
@@ -78,13 +135,14 @@ def _threshold(sample, floor: float):
     return mid, mad, top, name
 
 
-def fold_job(rows: list[dict], excluded: set | None = None, closed_until=None, regime_start=None, floor: float = FLOOR_S) -> list[dict]:
+def fold_job(rows: list[dict], excluded: set | None = None, closed_until=None, regime_start=None, floor: float = FLOOR_S, history: dict | None = None) -> list[dict]:
     """The sequential rule over one job's runs, ordered by end: regressed runs leave the baseline, healthy ones return.
 
     The history is the whole job. Eligible runs are kept by metric, and by metric and band, in the order of their ends,
-    so those that ended by a start are a prefix that bisection finds.
+    so those that ended by a start are a prefix that bisection finds. ``history`` and ``excluded`` are changed in place,
+    so that a later call goes on from here.
     """
-    excluded, out, history = set(excluded or ()), [], {}
+    excluded, out, history = set() if excluded is None else excluded, [], {} if history is None else history
 
     def ended(key: tuple, by) -> list:
         ends, values = history.get(key, ((), ()))
@@ -116,6 +174,13 @@ def fold_job(rows: list[dict], excluded: set | None = None, closed_until=None, r
     return out
 
 
+def forget(history: dict, before) -> None:
+    """Drops eligible runs that no later run can see whose start is not before an instant: all but the last WINDOW by then."""
+    for ends, values in history.values():
+        gone = max(0, bisect_right(ends, before) - WINDOW)
+        del ends[:gone], values[:gone]
+
+
 def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None, closed: DataFrame | None = None, active: DataFrame | None = None, floor: float = FLOOR_S) -> DataFrame:
     """Verdict of every run by the sequential rule, one job a group.
 
@@ -144,7 +209,7 @@ def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None
 def regime_start(regimes: DataFrame, runs: DataFrame) -> DataFrame:
     """(job_id, regime_start): the latest mark of each job, by instant or by the first run of a commit prefix (7+ chars)."""
     by_time = regimes.filter("mark_at is not null").select("job_id", F.col("mark_at").alias("at"))
-    marks = regimes.filter("mark_sha is not null and length(mark_sha) >= 7").select(F.col("job_id").alias("j"), F.lower("mark_sha").alias("mark_sha"))
+    marks = regimes.filter("mark_sha is not null and length(mark_sha) >= 7").select(F.col("job_id").alias("j"), F.lower("mark_sha").alias("mark_sha")).distinct()
     met = runs.join(marks, (F.col("job_id") == F.col("j")) & F.lower("git_sha").startswith(F.col("mark_sha")))
     by_sha = met.groupBy("job_id", "mark_sha").agg(F.min("start_time").alias("at")).select("job_id", "at")
     return by_time.unionByName(by_sha).groupBy("job_id").agg(F.max("at").alias("regime_start"))
@@ -209,9 +274,9 @@ def cost_regressions(costs: DataFrame, runtime: DataFrame) -> DataFrame:
 
 def run_facts(runs: DataFrame, value: str = "duration_s") -> DataFrame:
     """Per job: runs, median, linearly interpolated p95, slowest two values, slowest against p95."""
-    ranked = runs.withColumn("_n", F.row_number().over(W.partitionBy("job_id").orderBy(F.desc(value), "run_id")))
-    out = ranked.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("runs"), F.median(value).alias("median"), F.expr(f"percentile({value}, 0.95)").alias("p95"),
-        F.max(F.when(F.col("_n") == 1, F.col(value))).alias("slowest"), F.max(F.when(F.col("_n") == 2, F.col(value))).alias("second"),
-    )
-    return out.withColumn("factor", F.when(F.col("p95") > 0, F.round(F.col("slowest") / F.col("p95"), 4)))
+    by_value = runs.filter(F.col(value).isNotNull()).groupBy("job_id", value).agg(F.count(F.lit(1)).alias("_n"))
+    top = by_value.groupBy("job_id").agg(F.max_by("_n", value).alias("_ties"), F.max(value).alias("_top"))
+    below = by_value.join(top, "job_id").filter(F.col(value) < F.col("_top")).groupBy("job_id").agg(F.max(value).alias("_below"))
+    slowest = top.join(below, "job_id", "left").select("job_id", F.when(F.col("_ties") > 1, F.col("_top")).otherwise(F.col("_below")).alias("second"))
+    out = runs.groupBy("job_id").agg(F.count(F.lit(1)).alias("runs"), F.median(value).alias("median"), F.expr(f"percentile({value}, 0.95)").alias("p95"), F.max(value).alias("slowest"))
+    return out.join(slowest, "job_id", "left").withColumn("factor", F.when(F.col("p95") > 0, F.round(F.col("slowest") / F.col("p95"), 4)))

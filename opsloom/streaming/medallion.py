@@ -43,29 +43,36 @@ def pipeline_metrics(stream: DataFrame, width: str = "1 hour", late: str = "1 ho
     return stream.withWatermark("time", late).groupBy(F.window("time", width).alias("w"), "type").agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("id").alias("ids"), F.avg(lag).alias("lag_s"))
 
 
-def regressions(runs: DataFrame, floor: float = 30.0, keep: int = 400) -> DataFrame:
-    """Verdicts of a stream of runs by the sequential rule, with the last ``keep`` runs of a job as its state."""
-    import json
+def regressions(runs: DataFrame, floor: float = 30.0, longest: str | None = None) -> DataFrame:
+    """Verdicts of a stream of runs by the sequential rule.
+
+    The state of a job is (end, value) of its eligible runs by metric and band. With ``longest`` (an interval that no run
+    exceeds, such as "2 days") the state forgets what no later run can see; without it the whole history is kept.
+    Runs of a job have to arrive in the order of their ends from one micro-batch to the next.
+    """
+    import pickle
 
     import pandas as pd
 
-    from opsloom.operators.baselines import FOLD_SCHEMA, fold_job
+    from opsloom.operators.baselines import FOLD_SCHEMA, fold_job, forget
 
     names = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
+    span = pd.Timedelta(longest) if longest else None
 
     def step(key, batches, state):
-        known = json.loads(state.get[0]) if state.exists else []
+        history, excluded = pickle.loads(state.get[0]) if state.exists else ({}, set())
         new = pd.concat(list(batches)).sort_values(["end_time", "run_id"])
-        fresh = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in new.to_dict("records")]
-        for r in fresh:
-            r["start_time"], r["end_time"] = r["start_time"].isoformat(), r["end_time"].isoformat()
+        rows = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in new.to_dict("records")]
+        for r in rows:
             r["band"] = None if r["band"] is None else int(r["band"])
-        rows = (known + fresh)[-keep:]
-        state.update((json.dumps(rows),))
-        mine = {r["run_id"] for r in fresh}
-        yield pd.DataFrame([x for x in fold_job(rows, floor=floor) if x["run_id"] in mine], columns=names)
+        out = fold_job(rows, excluded, floor=floor, history=history)
+        if span is not None and rows:
+            forget(history, rows[-1]["end_time"] - span)
+            excluded.clear()  # a run comes once, so its exclusion has been used
+        state.update((pickle.dumps((history, excluded)),))
+        yield pd.DataFrame(out, columns=names)
 
     from opsloom.functions.columns import volume_band
 
     df = runs.withColumn("band", volume_band(F.col("input_rows"))).select("run_id", "job_id", "start_time", "end_time", "execution_s", "duration_s", "result_state", "band")
-    return df.groupBy("job_id").applyInPandasWithState(step, FOLD_SCHEMA, "rows string", "append", "NoTimeout")
+    return df.groupBy("job_id").applyInPandasWithState(step, FOLD_SCHEMA, "known binary", "append", "NoTimeout")
