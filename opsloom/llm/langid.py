@@ -115,7 +115,7 @@ def sample(labelled: DataFrame, max_rows: int, max_langs: int) -> DataFrame:
     return rows.filter(place < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))).select("lang", "text").dropDuplicates()
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 160_000, max_grams: int = 160_000, max_langs: int = 200) -> Model:
+def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 80_000, max_grams: int = 40_000, max_langs: int = 200) -> Model:
     """Fit on (doc_id, text, lang) rows; rows without a language or text are not used."""
     rows = written(sample(labelled, max_rows, max_langs))
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
