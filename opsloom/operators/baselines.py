@@ -230,14 +230,33 @@ def last_healthy_run(runs: DataFrame, excluded: DataFrame | None = None) -> Data
     return ends.unionByName(starts).withColumn("best", best).filter("k = 1").select("run_id", "job_id", F.col("best.run_id").alias("healthy_run_id"))
 
 
-DIMENSIONS = ("execution_s", "setup_s", "duration_s", "input_rows", "git_sha", "skew_ratio", "result_state")
+#: What two runs are compared in; a dimension that the runs have no column for is not available.
+DIMENSIONS = (
+    "git_sha", "job_parameters", "env_hash", "duration_s", "execution_s", "setup_s", "input_rows", "max_key_rows", "median_key_rows", "skew_ratio", "top_key_share", "plan_operators",
+    "spill_bytes", "gc_ms",
+)
+_PLACES = {"duration_s": 1, "execution_s": 1, "setup_s": 1, "skew_ratio": 2, "top_key_share": 4}
 
 
 def diff_runs(pairs: DataFrame, runs: DataFrame, dimensions=DIMENSIONS) -> DataFrame:
-    """(run_id, dimension, healthy, current, status): differences of each run from its healthy one."""
+    """(run_id, dimension, healthy, current, status): differences of each run from its healthy one.
+
+    Times are compared to a tenth of a second, the run's own id among its parameters is not compared.
+    """
+    kinds = dict(runs.dtypes)
+
+    def shown(d: str) -> Column:
+        if d not in kinds:
+            return F.lit(None).cast("string")
+        if kinds[d].startswith("map"):
+            kept = F.array_sort(F.transform(F.map_entries(F.map_filter(d, lambda k, _: k != "run_id")), lambda e: F.concat_ws("=", e["key"], e["value"])))
+            return F.nullif(F.array_join(kept, ", "), F.lit(""))
+        if kinds[d].startswith("array"):
+            return F.nullif(F.array_join(d, ", "), F.lit(""))
+        return (F.round(d, _PLACES[d]) if d in _PLACES else F.col(d)).cast("string")
 
     def side(name: str, alias: str):
-        cols = F.map_from_arrays(F.array(*[F.lit(d) for d in dimensions]), F.array(*[F.col(d).cast("string") for d in dimensions]))
+        cols = F.map_from_arrays(F.array(*[F.lit(d) for d in dimensions]), F.array(*[shown(d) for d in dimensions]))
         return runs.select(F.col("run_id").alias(name), cols.alias(alias))
 
     both = pairs.select("run_id", "healthy_run_id").join(side("run_id", "c"), "run_id").join(side("healthy_run_id", "h"), "healthy_run_id", "left")

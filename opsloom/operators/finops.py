@@ -21,11 +21,15 @@ def money(c: Column, places: int = 4) -> Column:
 def priced_usage(usage: DataFrame, prices: DataFrame, current: bool = False) -> DataFrame:
     """Usage with the price in force at its start ([start, end)), or with the current one; unpriced rows stay.
 
-    Prices are joined by sku; a sku has few price periods, so the range condition only picks among those.
+    Prices are joined by sku, cloud and usage unit (those of the three that both tables have, so that a sku on two clouds is
+    not priced twice); a key has few price periods, so the range condition only picks among those.
     """
-    p = prices.select(F.col("sku_name").alias("_s"), "price", "currency", "price_start", "price_end")
+    keys = [k for k in ("sku_name", "cloud", "usage_unit") if k in usage.columns and k in prices.columns]
+    p = prices.select(*[F.col(k).alias(f"_{k}") for k in keys], "price", "currency", "price_start", "price_end")
     span = F.col("price_end").isNull() if current else (F.col("usage_start") >= F.col("price_start")) & (F.col("price_end").isNull() | (F.col("usage_start") < F.col("price_end")))
-    df = usage.join(p, (F.col("sku_name") == F.col("_s")) & span, "left").drop("_s", "price_start", "price_end")
+    for k in keys:
+        span = (F.col(k) == F.col(f"_{k}")) & span
+    df = usage.join(p, span, "left").drop(*[f"_{k}" for k in keys], "price_start", "price_end")
     return df.withColumn("cost", (F.col("usage_quantity").cast(DEC) * F.col("price").cast(DEC)).cast(DEC))
 
 
@@ -59,8 +63,15 @@ def resource_lines(priced: DataFrame) -> DataFrame:
     return priced.withColumns({"resource_kind": kind, "resource_id": F.coalesce("job_id", "pipeline_id", "warehouse_id", "app_id")})
 
 
-def allocation_rules(files: DataFrame) -> DataFrame:
-    """name, target, status: jobs of allocation files; a job in two files is a conflict for that job only."""
+def allocation_rules(files: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """name, target, status: jobs of allocation files; a job in two files is a conflict for that job only.
+
+    Jobs named only in files that were refused (``refused``: file) have no target and the status arquivo_recusado.
+    """
+    if refused is not None:
+        out = allocation_rules(files.join(refused.select("file"), "file", "left_anti"))
+        lost = files.join(refused.select("file"), "file", "left_semi").select(normalized_job(F.explode("jobs")).alias("name")).distinct()
+        return out.unionByName(lost.join(out, "name", "left_anti").select("name", F.lit(None).cast("string").alias("target"), F.lit("arquivo_recusado").alias("status")))
     per = files.select("file", "target", F.explode("jobs").alias("job")).groupBy(normalized_job(F.col("job")).alias("name")).agg(F.countDistinct("file").alias("n"), F.min("target").alias("target"))
     return per.select("name", F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") > 1, F.lit("conflito")).otherwise(F.lit("ativa")).alias("status"))
 
@@ -126,6 +137,72 @@ def unit_costs(runs: DataFrame) -> DataFrame:
     return out.withColumn("amostra_pequena", F.col("n") < 5)
 
 
+def measured_status(n: Column, verified: Column | None = None) -> Column:
+    """sem_base, sucesso_nao_verificado (no run's state is known), amostra_pequena (under five) or medido."""
+    unknown = F.lit(False) if verified is None else ~verified
+    return F.when(n == 0, F.lit("sem_base")).when(unknown, F.lit("sucesso_nao_verificado")).when(n < 5, F.lit("amostra_pequena")).otherwise(F.lit("medido"))
+
+
+def unit_cost_rows(runs: DataFrame, cycle_jobs: list[str] = ()) -> DataFrame:
+    """(unit, subject, median, mean, n, status) a job: per run, per million rows and, for the named jobs, per cycle.
+
+    ``runs`` has job_id, job_name, result_state (null: unknown), input_rows, cost. Successful runs count, or all of a job
+    none of whose states is known. The mean a million rows is the sum of costs over the sum of rows.
+    """
+    priced = runs.filter("cost is not null").withColumn("cost", F.col("cost").cast("double"))
+    known = priced.groupBy("job_id").agg((F.count("result_state") > 0).alias("_known"), F.min("job_name").alias("_name"))
+    df = priced.join(known, "job_id")
+    good = ~F.col("_known") | F.coalesce(F.col("result_state") == "SUCCESS", F.lit(False))
+    sized = good & (F.col("input_rows") > 0)
+    g = df.groupBy("job_id", "_name", "_known").agg(
+        F.count_if(good).alias("n"), F.median(F.when(good, F.col("cost"))).alias("median"), F.avg(F.when(good, F.col("cost"))).alias("mean"),
+        F.count_if(sized).alias("n_m"), F.median(F.when(sized, F.col("cost") / F.col("input_rows") * 1e6)).alias("median_m"),
+        (F.sum(F.when(sized, F.col("cost"))) / F.sum(F.when(sized, F.col("input_rows"))) * 1e6).alias("mean_m"),
+    )
+    subject = F.coalesce("_name", "job_id").alias("subject")
+    run = g.select(F.lit("por_run").alias("unit"), subject, "median", "mean", "n", measured_status(F.col("n"), F.col("_known")).alias("status"))
+    status = F.when(F.col("n_m") == 0, F.lit("nao_medido")).otherwise(measured_status(F.col("n_m"), F.col("_known")))
+    million = g.select(F.lit("por_milhao_linhas").alias("unit"), subject, F.col("median_m").alias("median"), F.col("mean_m").alias("mean"), F.col("n_m").alias("n"), status.alias("status"))
+    out = run.unionByName(million)
+    if cycle_jobs:
+        out = out.unionByName(run.filter(normalized_job(F.col("subject")).isin(list(cycle_jobs))).withColumn("unit", F.lit("por_ciclo")))
+    return out
+
+
+def incident_unit_cost(incidents: DataFrame, run_costs: DataFrame, start: Column, end: Column) -> DataFrame:
+    """One row (median, mean, n, status): incremental cost an incident detected in [start, end); available costs only."""
+    period = incidents.filter((F.col("detected_at") >= start) & (F.col("detected_at") < end)).select("incident_id").distinct()
+    cost = run_costs.filter("status = 'available' and incremental_cost is not null").join(period, "incident_id", "left_semi")
+    per = cost.groupBy("incident_id").agg(F.sum("incremental_cost").cast("double").alias("c"))
+    return per.agg(F.median("c").alias("median"), F.avg("c").alias("mean"), F.count("c").alias("n")).withColumn("status", measured_status(F.col("n")))
+
+
+# --- what a window of days has seen
+
+
+def days_observed(runs: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """(job_id, days): whole days since the first run of a job, from 1 to the window."""
+    seconds = now.cast("timestamp").cast("long") - F.min("start_time").cast("timestamp").cast("long")
+    return runs.groupBy("job_id").agg(F.least(F.greatest(F.floor(seconds / 86400), F.lit(1)), F.lit(days)).cast("int").alias("days"))
+
+
+def runs_in_window(runs: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """(job_id, runs) that started in the window."""
+    return runs.filter(F.col("start_time") >= now - F.expr(f"INTERVAL '{days}' DAY")).groupBy("job_id").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def job_costs_window(daily: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """(job_id, cost, runs, days) of daily job costs (job_id, day, cost, runs); days since the first one, 1 to the window."""
+    inside = F.col("day") >= F.to_date(now - F.expr(f"INTERVAL '{days}' DAY"))
+    seen = F.date_diff(F.to_date(now), F.min("day")) + 1
+    return daily.groupBy("job_id").agg(F.coalesce(F.sum(F.when(inside, F.col("cost"))), F.lit(0)).alias("cost"), F.coalesce(F.sum(F.when(inside, F.col("runs"))), F.lit(0)).alias("runs"), F.least(F.greatest(seen, F.lit(1)), F.lit(days)).alias("days"))
+
+
+def idle_daily(billed: DataFrame, busy: DataFrame) -> DataFrame:
+    """(warehouse_id, day, cost) of billed hours without a query."""
+    return billed.join(busy, ["warehouse_id", "hour"], "left_anti").groupBy("warehouse_id", F.to_date("hour").alias("day")).agg(F.sum("cost").alias("cost"))
+
+
 def share_allocation(costs: DataFrame, usage: DataFrame, by: str) -> DataFrame:
     """Shared cost split by each consumer's part of a usage measure."""
     u = usage.groupBy("resource_id", "consumer").agg(F.sum(by).alias("u"))
@@ -133,6 +210,19 @@ def share_allocation(costs: DataFrame, usage: DataFrame, by: str) -> DataFrame:
     return costs.groupBy("resource_id").agg(F.sum("cost").cast("double").alias("cost")).join(u, "resource_id").select("resource_id", "consumer", "share", (F.col("cost") * F.col("share")).alias("cost"))
 
 
+def fixed_allocation(costs: DataFrame, shares: DataFrame) -> DataFrame:
+    """Shared cost split by fixed percentages (resource_id, consumer, percent); what they leave over has no consumer."""
+    total = costs.groupBy("resource_id").agg(F.sum("cost").cast("double").alias("cost"))
+    given = shares.groupBy("resource_id", "consumer").agg((F.sum("percent") / 100.0).alias("share"))
+    left = total.join(given.groupBy("resource_id").agg(F.sum("share").alias("_s")), "resource_id", "left").select("resource_id", F.lit(None).cast("string").alias("consumer"), F.round(1 - F.coalesce("_s", F.lit(0.0)), 10).alias("share")).filter("share > 0")
+    return given.unionByName(left).join(total, "resource_id").select("resource_id", "consumer", "share", (F.col("cost") * F.col("share")).alias("cost"))
+
+
+def activity_allocation(costs: DataFrame, events: DataFrame) -> DataFrame:
+    """Shared cost split by how many events each consumer caused."""
+    return share_allocation(costs, events.withColumn("_one", F.lit(1.0)), "_one")
+
+
 # --- savings
 
 
@@ -219,3 +309,13 @@ def decide(initiatives: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Dat
     df = initiatives.join(decisions.select("initiative_id", "decision", "actor"), "initiative_id", "left")
     after = df.withColumns({"self_approved": F.coalesce(legal & (F.col("decision") == "approved") & (F.col("actor") == F.col("owner")), F.lit(False)), "status": F.when(legal, F.col("decision")).otherwise(F.col("status"))})
     return after.drop("decision", "actor"), df.filter(F.col("decision").isNotNull() & ~F.coalesce(legal, F.lit(False))).select("initiative_id", "decision", "status")
+
+
+def detector_status(outcomes: DataFrame, detectors: DataFrame) -> DataFrame:
+    """(source, status, shown, below, below_sum) of every detector (source, available).
+
+    A detector without its source is nao_avaliado, with null counts; one that found nothing is avaliado with 0.
+    """
+    df = detectors.join(outcomes, "source", "left")
+    seen = lambda c: F.when(F.col("available"), F.coalesce(F.col(c), F.lit(0))).alias(c)
+    return df.select("source", F.when(F.col("available"), F.lit("avaliado")).otherwise(F.lit("nao_avaliado")).alias("status"), seen("shown"), seen("below"), seen("below_sum"))

@@ -218,3 +218,102 @@ def latest_by(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 def top_per(df: DataFrame, key: str, at: str, tie: str, n: int) -> DataFrame:
     """The n newest rows a key."""
     return df.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(F.desc(at), tie))).filter(F.col("nth") <= n)
+
+
+def risk_contributors(scores: DataFrame) -> DataFrame:
+    """Adds contributors: the parts of a change's risk that are above 0, largest share of the score first."""
+    parts = (("blast", 0.4), ("history", 0.3), ("size", 0.2), ("provenance", 0.1))
+    items = F.array(*[F.struct((-w * F.col(c)).alias("o"), F.lit(c).alias("name"), F.round(w * F.col(c), 4).alias("points")) for c, w in parts])
+    named = F.transform(F.array_sort(F.filter(items, lambda x: x["o"] < 0)), lambda x: F.struct(x["name"].alias("name"), x["points"].alias("points")))
+    finding = F.when(F.col("high_finding"), F.array(F.struct(F.lit("high_finding").alias("name"), F.lit(1.0).alias("points"))))
+    return scores.withColumn("contributors", F.concat(F.coalesce(finding, F.array().cast("array<struct<name:string,points:double>>")), named))
+
+
+def burn_rates_sliding(events: DataFrame, widths: dict[str, str], slo: float) -> DataFrame:
+    """(service, width, start, n, bad, burn) over several window widths at once, each with its slide ("1 hour": "5 minutes")."""
+    out = None
+    for width, slide in widths.items():
+        g = events.groupBy("service", F.window("ts", width, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"))
+        g = g.select("service", F.lit(width).alias("width"), F.col("w.start").alias("start"), "n", "bad", (F.col("bad") / F.col("n") / (1 - slo)).alias("burn"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+#: Of each executive figure its window, its source and how it is reckoned.
+EXECUTIVE_NOTES = {
+    "sla_at_risk": ("now", "sla_predictions", "assets whose latest class is em_risco, inevitavel or violado"),
+    "incremental_cost": ("7 d", "run_costs", "sum of available incremental costs"),
+    "incremental_cost_pending": ("7 d", "run_costs", "runs whose cost is pending"),
+    "connectors_healthy": ("now", "connectors", "share of connectors that are healthy"),
+    "recommendations_accepted": ("all", "decisions", "accepted over decided"),
+    "savings_identified": ("all", "opportunities", "sum of counted savings"),
+    "savings_approved": ("all", "initiatives", "sum of approved and implemented savings"),
+    "savings_realized": ("all", "realizations", "sum of realized net savings"),
+    "savings_rate": ("all", "realizations", "realized over approved"),
+}
+
+
+def executive_operations(predictions: DataFrame, costs: DataFrame, connectors: DataFrame, decisions: DataFrame, opportunities: DataFrame, initiatives: DataFrame, realizations: DataFrame) -> DataFrame:
+    """(metric, value, n, confidence, window, source, formula) of the figures beside the incidents, one aggregation a table.
+
+    Tables: predictions (asset, class), costs (incremental_cost, status), connectors (status), decisions (decision),
+    opportunities (saving, counted), initiatives (saving, status), realizations (net, status). Nothing measured is null.
+    """
+    risky = F.col("class").isin("em_risco", "inevitavel", "violado")
+    live = initiatives.filter("status in ('approved', 'implemented')")
+
+    def rows(one: DataFrame, *items) -> DataFrame:
+        return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"), n.alias("n")) for m, v, n in items])).alias("r")).select("r.*")
+
+    some = lambda v, n: F.when(n > 0, v)
+    n = F.col("n")
+    parts = [
+        rows(predictions.agg(F.countDistinct(F.when(risky, F.col("asset"))).alias("v"), F.countDistinct("asset").alias("n")), ("sla_at_risk", some(F.col("v"), n), n)),
+        rows(costs.agg(F.sum(F.when(F.col("status") == "available", F.col("incremental_cost"))).alias("v"), F.count_if(F.col("status") == "available").alias("k"), F.count_if(F.col("status") == "pending").alias("p"), F.count(F.lit(1)).alias("n")), ("incremental_cost", F.col("v"), F.col("k")), ("incremental_cost_pending", some(F.col("p"), n), n)),
+        rows(connectors.agg(F.count_if(F.col("status") == "healthy").alias("v"), F.count(F.lit(1)).alias("n")), ("connectors_healthy", some(F.col("v") / n, n), n)),
+        rows(decisions.agg(F.count_if(F.col("decision") == "accepted").alias("v"), F.count_if(F.col("decision").isin("accepted", "rejected")).alias("n")), ("recommendations_accepted", some(F.col("v") / n, n), n)),
+        rows(opportunities.filter("counted").agg(F.sum("saving").alias("v"), F.count("saving").alias("n")), ("savings_identified", F.col("v"), n)),
+        rows(live.agg(F.sum("saving").alias("v"), F.count("saving").alias("n")), ("savings_approved", F.col("v"), n)),
+    ]
+    done = realizations.filter("status = 'realizada'").agg(F.sum("net").alias("v"), F.count("net").alias("n"))
+    both = done.withColumn("_k", F.lit(1)).join(live.agg(F.sum("saving").alias("a")).withColumn("_k", F.lit(1)), "_k")
+    parts.append(rows(both, ("savings_realized", F.col("v"), n), ("savings_rate", F.when(F.col("a") > 0, F.col("v") / F.col("a")), n)))
+    out = reduce(DataFrame.unionByName, parts)
+    note = F.create_map(*[x for k, v in EXECUTIVE_NOTES.items() for x in (F.lit(k), F.struct(*[F.lit(y).alias(c) for y, c in zip(v, ("window", "source", "formula"), strict=True)]))])
+    out = out.withColumn("confidence", F.when(n == 0, F.lit("sem_dados")).when(n < 5, F.lit("baixa")).otherwise(F.lit("alta")))
+    return out.withColumn("_m", F.element_at(note, F.col("metric"))).select("metric", "value", "n", "confidence", "_m.window", "_m.source", "_m.formula")
+
+
+# --- views of one incident or subject
+
+
+def incident_timeline(timeline: DataFrame, incident_id: str) -> DataFrame:
+    return timeline.filter(F.col("incident_id") == incident_id).orderBy("at", "kind", "entry_id")
+
+
+def hypotheses_by_rank(hypotheses: DataFrame, incident_id: str) -> DataFrame:
+    return hypotheses.filter(F.col("incident_id") == incident_id).orderBy("rank", "hypothesis_id")
+
+
+def last_narratives(narratives: DataFrame) -> DataFrame:
+    """The newest narrative an incident."""
+    return latest_by(narratives, "incident_id", "narrated_at", "narrative_id")
+
+
+def recommendations_with_decision(recommendations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Recommendations with their latest decision (pending where there is none)."""
+    last = latest_by(decisions, "recommendation_id", "decided_at", "decision_id").select("recommendation_id", "decision")
+    return recommendations.join(last, "recommendation_id", "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
+
+
+def opportunities_with_measure(opportunities: DataFrame, initiatives: DataFrame, realizations: DataFrame) -> DataFrame:
+    """Opportunities with the state of their initiative and what it realized."""
+    df = opportunities.join(initiatives.select("source", "subject", "initiative_id", F.col("status").alias("initiative")), ["source", "subject"], "left")
+    return df.join(realizations.select("initiative_id", "net", F.col("status").alias("measure")), "initiative_id", "left")
+
+
+def run_comparison(runs: DataFrame, healthy: DataFrame) -> DataFrame:
+    """Each run beside its last healthy one: times and how many times as long it took."""
+    h = runs.select(F.col("run_id").alias("healthy_run_id"), F.col("execution_s").alias("healthy_s"))
+    df = runs.select("run_id", "job_id", "execution_s").join(healthy.select("run_id", "healthy_run_id"), "run_id").join(h, "healthy_run_id", "left")
+    return df.withColumn("times", F.when(F.col("healthy_s") > 0, F.round(F.col("execution_s") / F.col("healthy_s"), 4)))

@@ -94,9 +94,18 @@ def timeline(df: DataFrame, kind: str, at: Column, detail: Column) -> DataFrame:
     return df.select("incident_id", stable_id("tl-", F.col("incident_id"), F.lit(kind), at.cast("string")).alias("entry_id"), F.lit(kind).alias("kind"), at.alias("at"), detail.cast("string").alias("detail"))
 
 
-def narrative_fallback(ranked: DataFrame, most: int = 8) -> DataFrame:
-    """incident_id, narrative: rule-written sentences in the order of rank."""
+def narrative_fallback(ranked: DataFrame, most: int = 8, facts: DataFrame | None = None, cited: int = 2) -> DataFrame:
+    """incident_id, narrative: rule-written sentences in the order of rank, each with up to ``cited`` facts.
+
+    ``facts`` has incident_id, code, evidence_id and fact; those with the smallest ids are named.
+    """
     line = F.format_string("%d. %s (%.2f)", F.col("rank"), F.col("code"), F.col("confidence"))
+    if facts is not None:
+        first = W.partitionBy("incident_id", "code").orderBy("evidence_id")
+        named = facts.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= cited).groupBy("incident_id", "code").agg(F.array_sort(F.collect_list(F.struct("_n", "fact", "evidence_id"))).alias("_f"))
+        ranked = ranked.join(named, ["incident_id", "code"], "left")
+        text = F.array_join(F.transform("_f", lambda x: F.concat(x["fact"], F.lit(" ["), x["evidence_id"], F.lit("]"))), "; ")
+        line = F.concat(line, F.when(F.col("_f").isNotNull(), F.concat(F.lit(": "), text)).otherwise(F.lit("")))
     return ranked.filter(F.col("rank") <= most).groupBy("incident_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("s")))), lambda x: x["s"]), "\n").alias("narrative"))
 
 
@@ -134,9 +143,13 @@ def open_or_update(active: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def resolve(incidents: DataFrame, evaluated: DataFrame, violating: DataFrame) -> DataFrame:
-    """Active incidents whose subject was evaluated and does not violate become recovered; no evaluation resolves nothing."""
-    good = evaluated.select("subject").distinct().join(violating.select("subject"), "subject", "left_anti").withColumn("_good", F.lit(True))
-    df = incidents.join(good, "subject", "left")
+    """Active incidents whose subject was evaluated and does not violate become recovered; no evaluation resolves nothing.
+
+    Where the sets have a type, only incidents of that type are meant.
+    """
+    keys = [k for k in ("subject", "type") if k in evaluated.columns]
+    good = evaluated.select(*keys).distinct().join(violating.select(*keys), keys, "left_anti").withColumn("_good", F.lit(True))
+    df = incidents.join(good, keys, "left")
     return df.withColumn("state", F.when(F.col("state").isin(*ACTIVE) & F.coalesce("_good", F.lit(False)), F.lit("recovered")).otherwise(F.col("state"))).drop("_good")
 
 
@@ -146,7 +159,8 @@ def closed_until(incidents: DataFrame) -> DataFrame:
 
 def apply_impact(incidents: DataFrame, impact: DataFrame, escalations: DataFrame) -> DataFrame:
     """Adds impact_score and raises the severity; the earlier one is kept only on a real rise."""
-    df = incidents.join(impact.select(F.col("origin").alias("asset"), F.col("impact_score").alias("_score")), "asset", "left").join(escalations.select(F.col("origin").alias("asset"), F.col("severity").alias("_to"), "culprit"), "asset", "left")
+    reached = F.col("affected_assets") if "affected_assets" in impact.columns else F.array().cast("array<string>")
+    df = incidents.join(impact.select(F.col("origin").alias("asset"), F.col("impact_score").alias("_score"), reached.alias("affected_assets")), "asset", "left").join(escalations.select(F.col("origin").alias("asset"), F.col("severity").alias("_to"), "culprit"), "asset", "left")
     now, to = severity_rank(F.col("severity")), severity_rank(F.col("_to"))
     rise = F.col("_to").isNotNull() & (to > now)
     return df.withColumns({"impact_score": F.coalesce("_score", F.lit(0.0)), "escalated_from": F.when(rise, F.col("severity")), "severity": F.when(rise, F.col("_to")).otherwise(F.col("severity"))}).drop("_score", "_to")
@@ -167,3 +181,66 @@ def acknowledge(incidents: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def worst_severity(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(severity_name(F.max(severity_rank(F.col("severity")))).alias("severity"))
+
+
+# --- what was evaluated, and what still violates
+
+
+def quality_state(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evaluated, violating) as (subject, type): any current result of an asset evaluates both quality types."""
+    both = F.explode(F.array(F.lit("contract_violation"), F.lit("quality_engine_failure")))
+    evaluated = results.select(F.col("asset").alias("subject")).distinct().select("subject", both.alias("type"))
+    kind = F.when(F.col("status") == "violated", F.lit("contract_violation")).when(F.col("status") == "evaluation_error", F.lit("quality_engine_failure"))
+    return evaluated, results.select(F.col("asset").alias("subject"), kind.alias("type")).filter("type is not null").distinct()
+
+
+def runtime_state(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evaluated, violating) by the latest run of each job that has a baseline: a failed run proves no recovery."""
+    judged = verdicts.filter("verdict <> 'insufficient_baseline'")
+    last = judged.groupBy("job_id").agg(F.max(F.struct("end_time", "run_id", "result_state", "verdict")).alias("r"))
+    last = last.select(F.col("job_id").alias("subject"), F.lit("runtime_regression").alias("type"), "r.result_state", "r.verdict")
+    return last.filter("result_state = 'SUCCESS'").select("subject", "type"), last.filter("verdict = 'regression'").select("subject", "type")
+
+
+def sla_state(predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evaluated, violating): assets with a live forecast, and those at risk."""
+    rows = predictions.filter(F.col("class").isin("no_prazo", "em_risco", "inevitavel")).select(F.col("asset").alias("subject"), F.lit("sla_risk").alias("type"), "class")
+    return rows.select("subject", "type").distinct(), rows.filter("class <> 'no_prazo'").select("subject", "type").distinct()
+
+
+# --- decisions, as tables that are applied in one go
+
+
+def accept_regime(decisions: DataFrame, incidents: DataFrame, runs: DataFrame) -> DataFrame:
+    """(job_id, mark_at): the new regime of an accepted regression starts with the first run of its incident."""
+    first = decisions.select("incident_id").distinct().join(incidents.select("incident_id", "first_event"), "incident_id")
+    return first.join(runs.select(F.col("run_id").alias("first_event"), "job_id", "start_time"), "first_event").groupBy("job_id").agg(F.max("start_time").alias("mark_at"))
+
+
+def promote_problem(decisions: DataFrame, incidents: DataFrame) -> DataFrame:
+    """(problem_id, type, subject, cause, promoted_at, promoted_by): one problem a signature, promoted once."""
+    met = decisions.join(incidents.select("incident_id", "type", "subject", "cause"), "incident_id")
+    first = met.groupBy("type", "subject", "cause").agg(F.min(F.struct("at", "actor")).alias("d"))
+    return first.select(stable_id("prb-", F.col("type"), F.col("subject"), F.col("cause")).alias("problem_id"), "type", "subject", "cause", F.col("d.at").alias("promoted_at"), F.col("d.actor").alias("promoted_by"))
+
+
+def register_fix(problems: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Problems with their latest fix (fixed_at, fix_text); an empty text registers nothing."""
+    last = decisions.filter(F.trim("fix_text") != "").groupBy("problem_id").agg(F.max(F.struct("at", "fix_text")).alias("d"))
+    rest = [c for c in problems.columns if c not in ("fixed_at", "fix_text")]
+    old = F.col("fixed_at") if "fixed_at" in problems.columns else F.lit(None).cast("timestamp")
+    text = F.col("fix_text") if "fix_text" in problems.columns else F.lit(None).cast("string")
+    return problems.join(last, "problem_id", "left").select(*rest, F.coalesce("d.at", old).alias("fixed_at"), F.coalesce("d.fix_text", text).alias("fix_text"))
+
+
+def follow_runbook(decisions: DataFrame, applicable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uses, refused): a runbook is followed once an incident, from the first time on, and only where it applies."""
+    known = applicable.select("incident_id", "runbook_id").distinct()
+    uses = decisions.join(known, ["incident_id", "runbook_id"]).groupBy("incident_id", "runbook_id").agg(F.min(F.struct("at", "actor")).alias("d"))
+    return uses.select("incident_id", "runbook_id", F.col("d.at").alias("used_at"), F.col("d.actor").alias("used_by")), decisions.join(known, ["incident_id", "runbook_id"], "left_anti")
+
+
+def review_rows(decisions: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """(review_id, hypothesis_id, decision, reviewed_at, actor) of legal reviews of known hypotheses."""
+    known = decisions.filter(F.col("decision").isin("confirmed", "rejected")).join(hypotheses.select("hypothesis_id").distinct(), "hypothesis_id", "left_semi")
+    return known.select(stable_id("rev-", F.col("hypothesis_id"), F.col("decision"), F.col("actor"), F.col("at")).alias("review_id"), "hypothesis_id", "decision", F.col("at").alias("reviewed_at"), "actor").dropDuplicates(["review_id"])

@@ -31,19 +31,38 @@ def fix_efficacy(problems: DataFrame, incidents: DataFrame, now: Column, days: i
     return df.select("problem_id", F.when(F.col("fixed_at").isNull(), F.lit("aberto")).when(F.col("again").isNotNull(), F.lit("ineficaz")).when(age, F.lit("resolvido")).otherwise(F.lit("em_observacao")).alias("status"))
 
 
+def last_before(items: DataFrame, targets: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(incident_id, d, t_subject, t_cause, item): the k latest items before each target with equal keys.
+
+    Items and targets are merged into one ordered stream a key, where the running number of items turns "the last k
+    before" into a lookup, so a hot key takes linear work.
+    """
+    item = F.struct("detected_at", F.col("incident_id").alias("other"), "subject", "cause", "state")
+    one = items.select(*keys, F.col("detected_at").alias("_at"), F.lit(1).alias("_s"), F.col("incident_id").alias("_id"), item.alias("_i"))
+    two = targets.select(*keys, F.col("detected_at").alias("_at"), F.lit(0).alias("_s"), F.col("incident_id").alias("_id"), item.alias("_i"))
+    stream = W.partitionBy(*keys).orderBy("_at", "_s", F.desc("_id"))
+    ranked = one.unionByName(two).withColumn("_g", F.sum("_s").over(stream.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    lists = ranked.filter("_s = 1").withColumn("_last", F.collect_list("_i").over(W.partitionBy(*keys).orderBy("_g").rowsBetween(-(k - 1), 0)))
+    met = ranked.filter("_s = 0").join(lists.select(*keys, "_g", "_last"), [*keys, "_g"])
+    return met.select(F.col("_id").alias("incident_id"), F.col("_at").alias("d"), F.col("_i.subject").alias("t_subject"), F.col("_i.cause").alias("t_cause"), F.explode("_last").alias("item"))
+
+
 def similar_incidents(incidents: DataFrame, targets: DataFrame, days: int = 90, top: int = 5) -> DataFrame:
     """incident_id, other, level, nth: earlier incidents of the type within 90 days.
 
-    Level 1 shares asset and cause, 2 the cause, 3 the asset. Two equi-joins, one on the cause and one on the asset, so
-    unrelated incidents are never paired.
+    Level 1 shares asset and cause, 2 the cause, 3 the asset; an unknown cause equals none. Within a level recovered ones
+    come first, then the latest. Only the latest ``top`` recovered and other incidents of each key can be among the
+    first ``top``, so no pairs beyond those are formed.
     """
-    t = targets.select(F.col("incident_id"), F.col("type").alias("t"), F.col("subject").alias("s"), F.col("cause").alias("c"), F.col("detected_at").alias("d"))
-    o = incidents.select(F.col("incident_id").alias("other"), "type", "subject", "cause", "state", "detected_at")
-    by_cause = t.join(o, (F.col("t") == F.col("type")) & (F.col("c") == F.col("cause")))
-    by_asset = t.join(o, (F.col("t") == F.col("type")) & (F.col("s") == F.col("subject")) & ~F.col("c").eqNullSafe(F.col("cause")))
-    near = by_cause.unionByName(by_asset).filter((F.col("other") != F.col("incident_id")) & (F.col("detected_at") < F.col("d")) & (F.col("detected_at") >= F.col("d") - F.expr(f"INTERVAL '{days}' DAY")))
-    same_c, same_s = F.col("c").eqNullSafe(F.col("cause")), F.col("s") == F.col("subject")
-    near = near.withColumn("level", F.when(same_c & same_s, 1).when(same_c, 2).otherwise(3))
+    near = None
+    for keys in (["type", "subject", "cause"], ["type", "cause"], ["type", "subject"]):
+        known = F.col("cause").isNotNull() if "cause" in keys else F.lit(True)
+        for state in (F.col("state") == "recovered", ~F.coalesce(F.col("state") == "recovered", F.lit(False))):
+            found = last_before(incidents.filter(known & state), targets.filter(known), keys, top)
+            near = found if near is None else near.unionByName(found)
+    near = near.select("incident_id", "d", "t_subject", "t_cause", "item.*").filter((F.col("other") != F.col("incident_id")) & (F.col("detected_at") >= F.col("d") - F.expr(f"INTERVAL '{days}' DAY")))
+    same_c, same_s = F.coalesce(F.col("t_cause") == F.col("cause"), F.lit(False)), F.col("t_subject") == F.col("subject")
+    near = near.withColumn("level", F.when(same_c & same_s, 1).when(same_c, 2).otherwise(3)).dropDuplicates(["incident_id", "other"])
     w = W.partitionBy("incident_id").orderBy("level", F.desc(F.col("state") == "recovered"), F.desc("detected_at"), "other")
     return near.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= top).select("incident_id", "other", "level", "nth")
 
@@ -74,12 +93,21 @@ def knowledge_items(problems: DataFrame, fixes: DataFrame) -> DataFrame:
     return problems.filter("status = 'resolvido'").join(fixes, "problem_id").select(stable_id("kn-", F.col("problem_id"), F.col("fix_text")).alias("item_id"), "problem_id", F.format_string("For %s: %s", F.col("cause"), F.col("fix_text")).alias("suggestion"))
 
 
-def recommendations(ranked: DataFrame, playbook: DataFrame, act_at: float = 0.7) -> DataFrame:
-    """incident_id, code, mode, step: verify and act on a likely or confirmed cause, else collect what is missing."""
-    best = ranked.filter("status <> 'rejected'").groupBy("incident_id").agg(F.min(F.struct((F.col("status") != "confirmed").alias("o"), "rank", "code", "confidence")).alias("b"))
+def recommendations(ranked: DataFrame, playbook: DataFrame, act_at: float = 0.7, incidents: DataFrame | None = None, by_type: DataFrame | None = None) -> DataFrame:
+    """incident_id, code, mode, nth, step: verify and act on a likely or confirmed cause, else collect what is missing.
+
+    Causes without a playbook are passed over. An incident without a viable hypothesis (of ``incidents``: incident_id,
+    type) falls back to the steps for its type (``by_type``: type, steps), with a null code and mode ``type``.
+    """
+    viable = ranked.filter("status <> 'rejected'").join(playbook.select("code").distinct(), "code", "left_semi")
+    best = viable.groupBy("incident_id").agg(F.min(F.struct((F.col("status") != "confirmed").alias("o"), "rank", "code", "confidence")).alias("b"))
     sure = ~F.col("b.o") | (F.col("b.confidence") >= act_at)
     df = best.select("incident_id", F.col("b.code").alias("code"), F.when(sure, F.lit("act")).otherwise(F.lit("collect")).alias("mode"))
-    return df.join(playbook, ["code", "mode"]).select("incident_id", "code", "mode", F.posexplode("steps").alias("nth", "step"))
+    out = df.join(playbook, ["code", "mode"]).select("incident_id", "code", "mode", F.posexplode("steps").alias("nth", "step"))
+    if incidents is None or by_type is None:
+        return out
+    rest = incidents.select("incident_id", "type").join(best, "incident_id", "left_anti").join(by_type, "type")
+    return out.unionByName(rest.select("incident_id", F.lit(None).cast("string").alias("code"), F.lit("type").alias("mode"), F.posexplode("steps").alias("nth", "step")))
 
 
 def acceptance_rate(decisions: DataFrame) -> DataFrame:
@@ -91,9 +119,22 @@ def violation_dimensions(evidence: DataFrame) -> DataFrame:
     return evidence.select("incident_id", F.get_json_object("value_json", "$.dimension").alias("d")).filter("d is not null").groupBy("incident_id").agg(F.array_sort(F.collect_set("d")).alias("dimensions"))
 
 
-def advisor_recommendations(incidents: DataFrame, answers: DataFrame, least: float = 0.7) -> DataFrame:
-    """Answers of enough confidence for incidents of the grey zone (warning, high)."""
-    return incidents.filter("severity in ('warning', 'high')").select("incident_id").join(answers.filter(F.col("confidence") >= least), "incident_id")
+def advisor_candidates(incidents: DataFrame, connectors: DataFrame, runbooks: DataFrame) -> DataFrame:
+    """(kind, subject, detail): questions worth an advisor's opinion.
+
+    Active incidents of the grey zone (warning, high), connectors that are degraded, and incidents for which two or
+    more runbooks apply equally well (``runbooks``: incident_id, runbook_id, level).
+    """
+    grey = incidents.filter("severity in ('warning', 'high') and state in ('detected', 'triaged')").select(F.lit("severity").alias("kind"), F.col("incident_id").alias("subject"), F.col("severity").alias("detail"))
+    poor = connectors.filter("status = 'degraded'").select(F.lit("connector").alias("kind"), F.col("connector").alias("subject"), F.col("status").alias("detail"))
+    per = runbooks.groupBy("incident_id", "level").agg(F.array_sort(F.collect_set("runbook_id")).alias("r")).groupBy("incident_id").agg(F.min(F.struct("level", "r")).alias("best"))
+    tied = per.filter(F.size("best.r") >= 2).select(F.lit("runbook").alias("kind"), F.col("incident_id").alias("subject"), F.array_join("best.r", ",").alias("detail"))
+    return grey.unionByName(poor).unionByName(tied)
+
+
+def advisor_recommendations(candidates: DataFrame, answers: DataFrame, least: float = 0.7) -> DataFrame:
+    """Answers of enough confidence to questions that were asked: (kind, subject, confidence, answer)."""
+    return candidates.select("kind", "subject").join(answers.filter(F.col("confidence") >= least), ["kind", "subject"])
 
 
 # --- semantic metrics
@@ -176,22 +217,40 @@ def _seconds(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp").cast("long")
 
 
+def window_deadline(last_write: Column, freshness: Column) -> Column:
+    """The instant at which data last written then is older than a freshness such as ``90s``, ``30m``, ``24h`` or ``7d``."""
+    unit = F.regexp_extract(freshness, r"^\s*[0-9]+\s*([smhd])\s*$", 1)
+    size = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
+    seconds = F.regexp_extract(freshness, r"^\s*([0-9]+)", 1).try_cast("long") * size
+    return (last_write.cast("timestamp") + F.make_interval(secs=seconds)).cast("timestamp")
+
+
 def daily_deadline(assets: DataFrame, writes: DataFrame, now: Column) -> DataFrame:
-    """asset, deadline, delivered, breached: today's local deadline; a write counts from local midnight up to it.
+    """asset, deadline, delivered, breached: the next local deadline, and whether today's was missed.
 
-    ``assets`` has asset, clock (HH:mm), zone. The calendar is reckoned in local time, so changes of clock are right.
+    ``assets`` has asset, clock (HH:mm), zone. A write counts as today's delivery from local midnight up to the deadline;
+    after a delivery the next deadline is tomorrow's. The calendar is reckoned in local time, so changes of clock are
+    right. Only writes of the last 26 hours can matter, so the log is cut before it is joined.
     """
-    local = F.from_utc_timestamp(now.cast("timestamp"), F.col("zone"))
+    at = now.cast("timestamp")
+    local = F.from_utc_timestamp(at, F.col("zone"))
     df = assets.withColumn("midnight", F.to_utc_timestamp(F.date_trunc("day", local), F.col("zone")))
     df = df.withColumn("deadline", F.to_utc_timestamp(F.to_timestamp(F.concat(F.date_format(local, "yyyy-MM-dd "), "clock"), "yyyy-MM-dd HH:mm"), F.col("zone")))
-    w = writes.select(F.col("asset").alias("_a"), F.col("timestamp").alias("_t"))
-    hit = df.join(w, F.col("asset") == F.col("_a")).filter((_seconds("_t") >= _seconds("midnight")) & (_seconds("_t") <= _seconds("deadline")) & (_seconds("_t") <= now.cast("timestamp").cast("long"))).select("asset").distinct().withColumn("delivered", F.lit(True))
+    t = F.col("timestamp").cast("timestamp")
+    w = writes.filter((t <= at) & (t >= at - F.expr("INTERVAL '26' HOUR"))).select(F.col("asset").alias("_a"), F.col("timestamp").alias("_t")).distinct()
+    hit = df.join(w, F.col("asset") == F.col("_a")).filter((_seconds("_t") >= _seconds("midnight")) & (_seconds("_t") <= _seconds("deadline"))).select("asset").distinct().withColumn("delivered", F.lit(True))
     df = df.join(hit, "asset", "left").withColumn("delivered", F.coalesce("delivered", F.lit(False)))
-    return df.select("asset", "deadline", "delivered", (~F.col("delivered") & (now.cast("timestamp") > F.col("deadline"))).alias("breached"))
+    upcoming = F.when(F.col("delivered"), F.col("deadline") + F.expr("INTERVAL '24' HOUR")).otherwise(F.col("deadline"))
+    return df.select("asset", upcoming.alias("deadline"), "delivered", (~F.col("delivered") & (at > F.col("deadline"))).alias("breached"))
 
 
-def expected_duration(runs: DataFrame, last: int = 20, least: int = 5) -> DataFrame:
-    """job_id, expected_s: median set-up plus median execution of the last 20 measured successes; under five, none."""
+def expected_duration(runs: DataFrame, last: int = 20, least: int = 5, regimes: DataFrame | None = None) -> DataFrame:
+    """job_id, expected_s: median set-up plus median execution of the last 20 measured successes; under five, none.
+
+    With ``regimes`` (job_id, regime_start) only runs from that start on count.
+    """
+    if regimes is not None:
+        runs = runs.join(regimes.select("job_id", "regime_start"), "job_id", "left").filter("regime_start is null or start_time >= regime_start").drop("regime_start")
     w = W.partitionBy("job_id").orderBy(F.desc("end_time"), F.desc("run_id"))
     kept = runs.filter("result_state = 'SUCCESS' and setup_s is not null and execution_s is not null").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= last)
     return kept.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), (F.median("setup_s") + F.median("execution_s")).alias("expected_s")).filter(F.col("n") >= least)
@@ -208,17 +267,28 @@ def classify_slack(deadline: Column, now: Column, expected_s: Column, elapsed_s:
 SLA_CLASSES = ("violado", "inevitavel", "em_risco", "no_prazo", "sem_base")
 
 
+def slack_s(deadline: Column, now: Column, expected_s: Column, elapsed_s: Column, margin: int = 600) -> Column:
+    """Seconds to spare after what is left of the expected duration and a margin; null without a base."""
+    return deadline.cast("timestamp").cast("long") - now.cast("timestamp").cast("long") - F.greatest(expected_s - elapsed_s, F.lit(0.0)) - margin + F.when(expected_s.isNotNull(), 0.0)
+
+
 def most_urgent(predictions: DataFrame) -> DataFrame:
-    """One prediction an asset: the worst class, then the nearest deadline."""
+    """One prediction an asset: the worst class, then the least slack (none counts as 0), then the nearest deadline."""
     rank = F.array_position(F.array(*[F.lit(c) for c in SLA_CLASSES]), F.col("class"))
-    w = W.partitionBy("asset").orderBy(rank, "deadline", "prediction_id")
+    w = W.partitionBy("asset").orderBy(rank, F.coalesce("slack_s", F.lit(0.0)), "deadline", "prediction_id")
     return predictions.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def settle(predictions: DataFrame, writes: DataFrame, now: Column) -> DataFrame:
-    """prediction_id, outcome of predictions whose deadline is past: a write in (predicted, deadline] is in time."""
+    """prediction_id, outcome of predictions whose deadline is past: a write in (predicted, deadline] is in time.
+
+    Both sides meet by asset and day, so a prediction sees the writes of its own days only.
+    """
     past = predictions.filter(F.col("deadline") < now)
-    hit = past.join(writes.select(F.col("asset").alias("_a"), F.col("timestamp").alias("_t")), (F.col("asset") == F.col("_a")) & (F.col("_t") > F.col("predicted_at")) & (F.col("_t") <= F.col("deadline")), "left_semi").select("prediction_id").withColumn("_hit", F.lit(True))
+    days = F.explode(F.sequence(F.to_date("predicted_at"), F.greatest(F.to_date("deadline"), F.to_date("predicted_at"))))
+    w = writes.select(F.col("asset").alias("_a"), F.to_date("timestamp").alias("_d"), F.col("timestamp").alias("_t"))
+    open_days = past.select("prediction_id", "asset", "predicted_at", "deadline", days.alias("_day"))
+    hit = open_days.join(w, (F.col("asset") == F.col("_a")) & (F.col("_day") == F.col("_d")) & (F.col("_t") > F.col("predicted_at")) & (F.col("_t") <= F.col("deadline")), "left_semi").select("prediction_id").distinct().withColumn("_hit", F.lit(True))
     return past.join(hit, "prediction_id", "left").select("prediction_id", F.when(F.col("_hit"), F.lit("entregue_a_tempo")).otherwise(F.lit("estourou")).alias("outcome"))
 
 

@@ -75,3 +75,15 @@ def relevant_patch(patch: Column, most: int = 20_000) -> Column:
     """Changed lines that touch joins, windows, partitioning or skew."""
     lines = F.filter(F.split(patch, "\n"), lambda x: x.rlike(r"^[+-]") & x.rlike(r"(?i)join|Window|partitionBy|skew"))
     return F.substring(F.array_join(lines, "\n"), 1, most)
+
+
+def relevant_patch_of_files(files: DataFrame, most: int = 20_000) -> DataFrame:
+    """(sha, patch): the relevant lines of a commit's files, each file under its ``--- name`` head, in the order of names.
+
+    ``files`` has sha, file, patch. Tokens are met as they are written; a file without a relevant line is left out.
+    """
+    lines = F.filter(F.split("patch", "\n"), lambda x: x.rlike(r"^[+-]") & x.rlike(r"join|Window|partitionBy|skew"))
+    per = files.select("sha", "file", lines.alias("lines")).filter(F.size("lines") > 0)
+    body = F.struct("file", F.concat(F.lit("--- "), F.col("file"), F.lit("\n"), F.array_join("lines", "\n")).alias("text"))
+    out = per.groupBy("sha").agg(F.array_sort(F.collect_list(body)).alias("parts"))
+    return out.select("sha", F.substring(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"), 1, most).alias("patch"))

@@ -12,20 +12,22 @@ FRAME_ROWS = 20_000
 def sales_daily(orders: DataFrame, customers: DataFrame, segments: DataFrame, frame: int = FRAME_ROWS) -> DataFrame:
     """Per day, region and segment: net revenue, orders, customers and extremes of a customer's running figures.
 
-    Windows are per customer; a customer with a large share of all orders makes one large sort.
+    A row whose discount is not known has no net amount. Equal times share their running sum and equal amounts their
+    rank. Windows are per customer; a customer with a large share of all orders makes one large sort.
     """
     df = orders.join(customers, "customer_id", "left").join(segments, "customer_id", "left")
-    df = df.withColumn("net", F.col("amount") * (1 - F.coalesce("discount_pct", F.lit(0.0)) / 100))
+    df = df.withColumn("net", F.col("amount") * (1 - F.col("discount_pct") / 100))
+    at = W.partitionBy("customer_id").orderBy("order_ts")
     by = W.partitionBy("customer_id").orderBy("order_ts", "order_id")
     near = by.rowsBetween(-(frame - 1), 0)
-    ranks = W.partitionBy("customer_id").orderBy(F.desc("net"), "order_id")
+    ranks = W.partitionBy("customer_id").orderBy(F.desc("net"))
     df = df.withColumns({
-        "seq": F.row_number().over(by), "running": F.sum("net").over(by), "recent_max": F.max("net").over(near), "recent_min": F.min("net").over(near),
+        "seq": F.row_number().over(by), "running": F.sum("net").over(at), "recent_max": F.max("net").over(near), "recent_min": F.min("net").over(near),
         "rank": F.dense_rank().over(ranks), "pct": F.percent_rank().over(ranks),
     })
     return df.groupBy("order_date", "region", "segment").agg(
         F.sum("net").alias("revenue"), F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"), F.max("running").alias("max_running"),
-        F.max("recent_max").alias("max_recent"), F.min("recent_min").alias("min_recent"), F.max("seq").alias("max_seq"), F.min("rank").alias("best_rank"), F.avg("pct").alias("avg_pct"),
+        F.max("recent_max").alias("max_recent"), F.min("recent_min").alias("min_recent"), F.max("seq").alias("max_seq"), F.max("rank").alias("ticket_levels"), F.avg("pct").alias("avg_pct"),
     )
 
 
@@ -34,12 +36,14 @@ def sales_daily_light(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return orders.join(customers, "customer_id", "left").groupBy("order_date", "region").agg(F.sum("amount").alias("revenue"), F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"))
 
 
-def sales_daily_heavy(orders: DataFrame, customers: DataFrame, frame: int = 2000) -> DataFrame:
-    """The light figures with a sequence, a sliding maximum and a rank a customer."""
-    df = orders.join(customers, "customer_id", "left")
+def sales_daily_heavy(orders: DataFrame, customers: DataFrame, segments: DataFrame, frame: int = FRAME_ROWS) -> DataFrame:
+    """The daily figures by segment with a sequence, a sliding maximum and a rank a customer."""
+    df = orders.join(customers, "customer_id", "left").join(segments, "customer_id", "left").withColumn("net", F.col("amount") * (1 - F.col("discount_pct") / 100))
     by = W.partitionBy("customer_id").orderBy("order_ts", "order_id")
-    df = df.withColumns({"seq": F.row_number().over(by), "top": F.max("amount").over(by.rowsBetween(-(frame - 1), 0)), "rank": F.dense_rank().over(W.partitionBy("customer_id").orderBy(F.desc("amount")))})
-    return df.groupBy("order_date", "region").agg(F.sum("amount").alias("revenue"), F.max("seq").alias("max_seq"), F.max("top").alias("max_top"), F.min("rank").alias("best_rank"))
+    df = df.withColumns({"seq": F.row_number().over(by), "top": F.max("net").over(by.rowsBetween(-(frame - 1), 0)), "rank": F.dense_rank().over(W.partitionBy("customer_id").orderBy(F.desc("net")))})
+    return df.groupBy("order_date", "region", "segment").agg(
+        F.sum("net").alias("revenue"), F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"), F.max("seq").alias("max_seq"), F.max("top").alias("max_recent"), F.max("rank").alias("ticket_levels"),
+    )
 
 
 def revenue_by(daily: DataFrame, column: str) -> DataFrame:

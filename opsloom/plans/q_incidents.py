@@ -207,10 +207,29 @@ def violation_dimensions(spark, sf_dir):
     return K.violation_dimensions(o).withColumn("dimensions", F.array_join("dimensions", ","))
 
 
-@query(with_("incidents") + " SELECT incident_id, CAST(event_id % 100 AS double) / 100 AS confidence FROM incidents WHERE severity IN ('warning', 'high') AND event_id % 100 >= 70")
-def advisor_recommendations(spark, sf_dir):
+_ADVICE = with_("incidents") + """, cand AS (
+    SELECT 'severity' AS kind, incident_id AS subject, severity AS detail FROM incidents WHERE severity IN ('warning', 'high') AND state IN ('detected', 'triaged')
+    UNION ALL SELECT DISTINCT 'connector', 'c' || CAST(user_id % 50 AS string), 'degraded' FROM incidents WHERE user_id % 50 % 7 = 0
+    UNION ALL SELECT 'runbook', incident_id, 'r1,r2' FROM incidents WHERE event_id % 3 = 0)"""
+
+
+def _candidates(spark, sf_dir):
     i = fixture(spark, sf_dir, "incidents")
-    return K.advisor_recommendations(i, i.selectExpr("incident_id", "cast(event_id % 100 as double) / 100 confidence"))
+    connectors = i.selectExpr("'c' || user_id % 50 connector", "case when user_id % 50 % 7 = 0 then 'degraded' else 'healthy' end status").distinct()
+    one = i.selectExpr("incident_id", "event_id % 3 k")
+    books = one.filter("k = 0").selectExpr("incident_id", "'r1' runbook_id", "1 level").unionByName(one.selectExpr("incident_id", "'r2' runbook_id", "case when k = 2 then 2 else 1 end level"))
+    return K.advisor_candidates(i, connectors, books)
+
+
+@query(_ADVICE + " SELECT * FROM cand")
+def advisor_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir)
+
+
+@query(_ADVICE + " SELECT c.kind, c.subject, CAST(event_id % 100 AS double) / 100 AS confidence FROM cand c JOIN incidents ON incident_id = c.subject WHERE event_id % 100 >= 70 AND c.kind = 'severity'")
+def advisor_recommendations(spark, sf_dir):
+    answers = fixture(spark, sf_dir, "incidents").selectExpr("'severity' kind", "incident_id subject", "cast(event_id % 100 as double) / 100 confidence")
+    return K.advisor_recommendations(_candidates(spark, sf_dir), answers)
 
 
 _M = "WITH d AS (SELECT DISTINCT 'a' || CAST(c_custkey % 30 AS string) AS asset, 'm' || CAST(c_custkey % 7 AS string) AS metric_id, 'f' || CAST(c_custkey % 30 % 5 AS string) AS formula_hash FROM customer WHERE c_custkey % 30 < 25), o AS (SELECT DISTINCT 'a' || CAST(c_custkey % 30 AS string) AS asset, CASE WHEN c_custkey % 13 <> 0 THEN 'm' || CAST(c_custkey % 7 AS string) END AS metric_id, 'f' || CAST(c_custkey % 30 % 5 + CASE WHEN c_custkey % 77 = 0 THEN 1 ELSE 0 END AS string) AS formula_hash, CASE WHEN c_custkey % 91 = 0 THEN 'day' ELSE 'month' END AS grain FROM customer WHERE c_custkey % 30 > 3)"
@@ -253,7 +272,7 @@ def observed_metrics(spark, sf_dir):
 
 @query("""WITH a AS (SELECT DISTINCT user_id % 30 AS k FROM events), w AS (SELECT user_id % 30 AS k, ts FROM events), m AS (SELECT k, CASE WHEN k % 2 = 0 THEN TIMESTAMP '2024-01-19 03:00:00' ELSE TIMESTAMP '2024-01-19 00:00:00' END AS midnight, CASE WHEN k % 2 = 0 THEN TIMESTAMP '2024-01-19 10:30:00' ELSE TIMESTAMP '2024-01-19 07:30:00' END AS deadline FROM a),
     h AS (SELECT m.k, count(w.ts) > 0 AS delivered FROM m LEFT JOIN w ON w.k = m.k AND floor(epoch(w.ts)) >= epoch(midnight) AND floor(epoch(w.ts)) <= epoch(deadline) AND floor(epoch(w.ts)) <= epoch(TIMESTAMP '2024-01-19 09:00:00') GROUP BY m.k)
-    SELECT 'a' || CAST(m.k AS string) AS asset, CAST(deadline AS string) AS deadline, delivered, NOT delivered AND TIMESTAMP '2024-01-19 09:00:00' > deadline AS breached FROM m JOIN h ON h.k = m.k""")
+    SELECT 'a' || CAST(m.k AS string) AS asset, CAST(CASE WHEN delivered THEN deadline + INTERVAL '24' HOUR ELSE deadline END AS string) AS deadline, delivered, NOT delivered AND TIMESTAMP '2024-01-19 09:00:00' > deadline AS breached FROM m JOIN h ON h.k = m.k""")
 def daily_deadlines(spark, sf_dir):
     e = table(spark, sf_dir, "events").selectExpr("user_id % 30 k", "ts")
     assets = e.selectExpr("'a' || k asset", "'07:30' clock", "case when k % 2 = 0 then 'America/Sao_Paulo' else 'UTC' end zone").distinct()
@@ -267,12 +286,13 @@ def expected_durations(spark, sf_dir):
 
 
 _SLA = """WITH p AS (SELECT 'p' || CAST(event_id AS string) AS prediction_id, 'a' || CAST(user_id % 60 AS string) AS asset, TIMESTAMP '2024-01-20 00:00:00' + INTERVAL '1' SECOND * CAST(event_id % 5000 - 500 AS int) AS deadline, event_id % 5000 - 500 AS l, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 2000 AS double) END AS e FROM events WHERE event_type = 'view'),
-    c AS (SELECT *, CASE WHEN l < 0 THEN 'violado' WHEN e IS NULL THEN 'sem_base' WHEN l - greatest(e - 100, 0) - 600 > 300 THEN 'no_prazo' WHEN l - greatest(e - 100, 0) - 600 > 0 THEN 'em_risco' ELSE 'inevitavel' END AS class FROM p), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY list_position(['violado', 'inevitavel', 'em_risco', 'no_prazo', 'sem_base'], class), deadline, prediction_id) AS n FROM c) AS x WHERE n = 1)"""
+    c AS (SELECT *, CASE WHEN l < 0 THEN 'violado' WHEN e IS NULL THEN 'sem_base' WHEN l - greatest(e - 100, 0) - 600 > 300 THEN 'no_prazo' WHEN l - greatest(e - 100, 0) - 600 > 0 THEN 'em_risco' ELSE 'inevitavel' END AS class FROM p), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY list_position(['violado', 'inevitavel', 'em_risco', 'no_prazo', 'sem_base'], class), CASE WHEN e IS NULL THEN 0 ELSE l - greatest(e - 100, 0) - 600 END, deadline, prediction_id) AS n FROM c) AS x WHERE n = 1)"""
 
 
 def _predictions(spark, sf_dir):
     p = table(spark, sf_dir, "events").filter("event_type = 'view'").selectExpr("'p' || event_id prediction_id", "'a' || (user_id % 60) asset", "timestamp '2024-01-20 00:00:00' + interval '1' second * cast(event_id % 5000 - 500 as int) deadline", "case when event_id % 11 <> 0 then cast(event_id % 2000 as double) end e")
-    return p.withColumn("class", K.classify_slack(F.col("deadline"), F.to_timestamp(F.lit("2024-01-20 00:00:00")), F.col("e"), F.lit(100.0)))
+    given = (F.col("deadline"), F.to_timestamp(F.lit("2024-01-20 00:00:00")), F.col("e"), F.lit(100.0))
+    return p.withColumns({"class": K.classify_slack(*given), "slack_s": K.slack_s(*given)})
 
 
 @query(_SLA + " SELECT prediction_id, class FROM c")
@@ -302,3 +322,88 @@ def settled_predictions(spark, sf_dir):
 def superseded_incidents(spark, sf_dir):
     i = fixture(spark, sf_dir, "incidents")
     return K.supersede(i, i.filter("user_id % 25 % 2 = 0").select("subject")).select("incident_id", "state")
+
+
+# --- states, decisions, deadlines
+
+
+_RR = with_("rule_results")
+
+
+@query(_RR + """, e AS (SELECT DISTINCT asset AS subject, unnest(['contract_violation', 'quality_engine_failure']) AS type FROM rule_results),
+    v AS (SELECT DISTINCT asset AS subject, CASE status WHEN 'violated' THEN 'contract_violation' ELSE 'quality_engine_failure' END AS type FROM rule_results WHERE status <> 'passed' AND numerator > 40)
+    SELECT e.subject, e.type, v.subject IS NOT NULL AS violating FROM e LEFT JOIN v ON v.subject = e.subject AND v.type = e.type""")
+def quality_states(spark, sf_dir):
+    r = fixture(spark, sf_dir, "rule_results")
+    evaluated, _ = I.quality_state(r)
+    _, violating = I.quality_state(r.filter("numerator > 40"))
+    return evaluated.join(violating.withColumn("violating", F.lit(True)), ["subject", "type"], "left").withColumn("violating", F.coalesce("violating", F.lit(False)))
+
+
+_VERDICTS = with_("runs") + """, j AS (SELECT job_id, end_time, run_id, result_state, CASE WHEN CAST(run_id AS bigint) % 4 = 0 THEN 'insufficient_baseline' WHEN CAST(run_id AS bigint) % 4 = 1 THEN 'regression' ELSE 'healthy' END AS verdict FROM runs),
+    l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY end_time DESC, run_id DESC) AS n FROM j WHERE verdict <> 'insufficient_baseline')"""
+
+
+@query(_VERDICTS + " SELECT job_id AS subject, 'runtime_regression' AS type, result_state = 'SUCCESS' AS evaluated, verdict = 'regression' AS violating FROM l WHERE n = 1 AND (result_state = 'SUCCESS' OR verdict = 'regression')")
+def runtime_states(spark, sf_dir):
+    verdict = "case when cast(run_id as bigint) % 4 = 0 then 'insufficient_baseline' when cast(run_id as bigint) % 4 = 1 then 'regression' else 'healthy' end"
+    evaluated, violating = I.runtime_state(fixture(spark, sf_dir, "runs").selectExpr("job_id", "end_time", "run_id", "result_state", f"{verdict} verdict"))
+    both = evaluated.withColumn("evaluated", F.lit(True)).join(violating.withColumn("violating", F.lit(True)), ["subject", "type"], "full")
+    return both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("evaluated", "violating")})
+
+
+@query(_SLA + " SELECT DISTINCT asset AS subject, 'sla_risk' AS type, max(class <> 'no_prazo') OVER (PARTITION BY asset) AS violating FROM c WHERE class IN ('no_prazo', 'em_risco', 'inevitavel')")
+def sla_states(spark, sf_dir):
+    evaluated, violating = I.sla_state(_predictions(spark, sf_dir))
+    return evaluated.join(violating.withColumn("violating", F.lit(True)), ["subject", "type"], "left").withColumn("violating", F.coalesce("violating", F.lit(False)))
+
+
+_CAUSED = "CASE WHEN user_id % 3 = 0 THEN 'skew' ELSE 'growth' END"
+
+
+@query(with_("incidents") + f""", d AS (SELECT type, subject, {_CAUSED} AS cause, detected_at, 'u' || CAST(user_id % 4 AS string) AS actor FROM incidents WHERE event_id % 3 = 0)
+    SELECT 'prb-' || substr(sha256(type || '|' || subject || '|' || cause), 1, 12) AS problem_id, type, subject, cause, arg_min(actor, (detected_at, actor)) AS promoted_by FROM d GROUP BY type, subject, cause""")
+def promoted_problems(spark, sf_dir):
+    i = fixture(spark, sf_dir, "incidents").withColumn("cause", F.expr(_CAUSED.lower()))
+    d = i.filter("event_id % 3 = 0").selectExpr("incident_id", "detected_at at", "'u' || user_id % 4 actor")
+    return I.promote_problem(d, i).drop("promoted_at")
+
+
+@query("SELECT 'p' || CAST(c_custkey AS string) AS problem_id, CASE WHEN c_custkey % 3 <> 2 THEN 'fix ' || CAST(c_custkey % 5 + 10 * (1 - c_custkey % 3) AS string) END AS fix_text FROM customer")
+def registered_fixes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("'p' || c_custkey problem_id", "c_custkey k")
+    d = c.filter("k % 3 <> 2").selectExpr("problem_id", "timestamp '2024-01-01 00:00:00' at", "'fix ' || (k % 5) fix_text")
+    later = c.filter("k % 3 = 0").selectExpr("problem_id", "timestamp '2024-01-02 00:00:00' at", "'fix ' || (k % 5 + 10) fix_text")
+    empty = c.selectExpr("problem_id", "timestamp '2024-01-03 00:00:00' at", "' ' fix_text")
+    return I.register_fix(c.select("problem_id"), d.unionByName(later).unionByName(empty)).select("problem_id", "fix_text")
+
+
+@query("SELECT job_id, CAST(max(start_time) AS string) AS mark_at FROM (" + with_("runs") + " SELECT * FROM runs WHERE CAST(run_id AS bigint) % 97 = 3) AS x GROUP BY job_id")
+def accepted_regimes(spark, sf_dir):
+    runs = fixture(spark, sf_dir, "runs")
+    i = runs.selectExpr("'inc-' || run_id incident_id", "run_id first_event", "cast(run_id as bigint) k")
+    out = I.accept_regime(i.filter("k % 97 = 3").select("incident_id"), i, runs)
+    return out.withColumn("mark_at", F.col("mark_at").cast("string"))
+
+
+@query(with_("incidents") + """ SELECT incident_id, 'rb1' AS runbook_id, event_id % 2 = 0 AS used FROM incidents WHERE event_id % 5 < 2""")
+def followed_runbooks(spark, sf_dir):
+    i = fixture(spark, sf_dir, "incidents")
+    d = i.filter("event_id % 5 < 2").selectExpr("incident_id", "'rb1' runbook_id", "detected_at at", "'u' actor")
+    uses, refused = I.follow_runbook(d.unionByName(d), i.filter("event_id % 2 = 0").selectExpr("incident_id", "'rb1' runbook_id"))
+    return uses.selectExpr("incident_id", "runbook_id", "true used").unionByName(refused.distinct().selectExpr("incident_id", "runbook_id", "false used"))
+
+
+@query("SELECT event_id, CAST(ts + INTERVAL '1' SECOND * CASE event_id % 4 WHEN 0 THEN 90 WHEN 1 THEN 1800 WHEN 2 THEN 86400 ELSE 604800 END AS string) AS deadline FROM events".replace("ts +", "date_trunc('second', ts) +"))
+def window_deadlines(spark, sf_dir):
+    fresh = F.expr("case event_id % 4 when 0 then '90s' when 1 then '30m' when 2 then '24h' else '7d' end")
+    return table(spark, sf_dir, "events").select("event_id", K.window_deadline(F.date_trunc("second", "ts"), fresh).cast("string").alias("deadline"))
+
+
+@query(_H + """ , t AS (SELECT incident_id, rank, code || ': f1-' || code || ' [e1]; f2-' || code || ' [e2]' AS s FROM k WHERE rank <= 2)
+    SELECT incident_id, string_agg(s, chr(10) ORDER BY rank) AS narrative FROM t GROUP BY 1""")
+def cited_narratives(spark, sf_dir):
+    ranked = _ranked(spark, sf_dir)
+    facts = ranked.select("incident_id", "code", F.explode(F.array(*[F.lit(x) for x in ("3", "1", "2")])).alias("x")).selectExpr("incident_id", "code", "'e' || x evidence_id", "'f' || x || '-' || code fact")
+    out = I.narrative_fallback(ranked, 2, facts)
+    return out.withColumn("narrative", F.regexp_replace("narrative", r"(?m)^[0-9]+\. (\S+) \([0-9.]+\)", "$1"))

@@ -90,10 +90,15 @@ def _sales(spark, sf_dir):
     return o, c, s
 
 
-@query(_SALES + """, j AS (SELECT o.*, region, segment, amount * (1 - coalesce(discount_pct, 0) / 100) AS net FROM o LEFT JOIN c ON c.customer_id = o.customer_id LEFT JOIN s ON s.customer_id = o.customer_id),
-    w AS (SELECT *, row_number() OVER b AS seq, sum(net) OVER b AS running, max(net) OVER (b ROWS BETWEEN 19999 PRECEDING AND CURRENT ROW) AS mx, min(net) OVER (b ROWS BETWEEN 19999 PRECEDING AND CURRENT ROW) AS mn, dense_rank() OVER r AS rk, percent_rank() OVER r AS pct
-          FROM j WINDOW b AS (PARTITION BY customer_id ORDER BY order_ts, order_id), r AS (PARTITION BY customer_id ORDER BY net DESC, order_id))
-    SELECT CAST(order_date AS string) AS order_date, region, segment, round(sum(net), 4) AS revenue, count(*) AS orders, count(DISTINCT customer_id) AS customers, round(max(running), 4) AS max_running, round(max(mx), 4) AS max_recent, round(min(mn), 4) AS min_recent, CAST(max(seq) AS int) AS max_seq, CAST(min(rk) AS int) AS best_rank, round(avg(pct), 6) AS avg_pct FROM w GROUP BY 1, 2, 3""")
+_NET = """, j AS (SELECT o.*, region, segment, amount * (1 - discount_pct / 100) AS net FROM o LEFT JOIN c ON c.customer_id = o.customer_id LEFT JOIN s ON s.customer_id = o.customer_id),
+    w AS (SELECT *, row_number() OVER b AS seq, sum(net) OVER (PARTITION BY customer_id ORDER BY order_ts) AS running,
+                 max(net) OVER (b ROWS BETWEEN 19999 PRECEDING AND CURRENT ROW) AS mx, min(net) OVER (b ROWS BETWEEN 19999 PRECEDING AND CURRENT ROW) AS mn, dense_rank() OVER r AS rk, percent_rank() OVER r AS pct
+          FROM j WINDOW b AS (PARTITION BY customer_id ORDER BY order_ts, order_id), r AS (PARTITION BY customer_id ORDER BY net DESC NULLS LAST))
+    SELECT CAST(order_date AS string) AS order_date, region, segment, round(sum(net), 4) AS revenue, count(*) AS orders, count(DISTINCT customer_id) AS customers,
+           CAST(max(seq) AS int) AS max_seq, round(max(mx), 4) AS max_recent, CAST(max(rk) AS int) AS ticket_levels"""
+
+
+@query(_SALES + _NET + ", round(max(running), 4) AS max_running, round(min(mn), 4) AS min_recent, round(avg(pct), 6) AS avg_pct FROM w GROUP BY 1, 2, 3")
 def sales_daily(spark, sf_dir):
     df = WL.sales_daily(*_sales(spark, sf_dir)).withColumn("order_date", F.col("order_date").cast("string"))
     return df.withColumns({c: F.round(c, 4) for c in ("revenue", "max_running", "max_recent", "min_recent")} | {"avg_pct": F.round("avg_pct", 6)})
@@ -105,11 +110,37 @@ def sales_daily_light(spark, sf_dir):
     return WL.sales_daily_light(o, c).withColumn("order_date", F.col("order_date").cast("string")).withColumn("revenue", F.round("revenue", 2))
 
 
-@query(_SALES + """, w AS (SELECT o.*, region, row_number() OVER b AS seq, max(amount) OVER (b ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW) AS mx, dense_rank() OVER (PARTITION BY o.customer_id ORDER BY amount DESC) AS rk FROM o LEFT JOIN c ON c.customer_id = o.customer_id WINDOW b AS (PARTITION BY o.customer_id ORDER BY order_ts, order_id))
-    SELECT CAST(order_date AS string) AS order_date, region, round(sum(amount), 2) AS revenue, CAST(max(seq) AS int) AS max_seq, max(mx) AS max_top, CAST(min(rk) AS int) AS best_rank FROM w GROUP BY 1, 2""")
+@query(_SALES + _NET + " FROM w GROUP BY 1, 2, 3")
 def sales_daily_heavy(spark, sf_dir):
-    o, c, _ = _sales(spark, sf_dir)
-    return WL.sales_daily_heavy(o, c).withColumn("order_date", F.col("order_date").cast("string")).withColumn("revenue", F.round("revenue", 2))
+    df = WL.sales_daily_heavy(*_sales(spark, sf_dir)).withColumn("order_date", F.col("order_date").cast("string"))
+    return df.withColumns({c: F.round(c, 4) for c in ("revenue", "max_recent")})
+
+
+@query("""WITH f AS (SELECT o_orderkey % 50 AS sha, o_orderkey % 3 AS k FROM orders GROUP BY 1, 2)
+    SELECT sha, string_agg('--- f' || CAST(k AS string) || chr(10) || CASE k WHEN 0 THEN '+df.join(x)' ELSE '-Window.partitionBy(skew)' END, chr(10) ORDER BY k) AS patch FROM f WHERE k < 2 GROUP BY sha""")
+def relevant_file_patches(spark, sf_dir):
+    files = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 50 sha", "o_orderkey % 3 k").distinct()
+    text = "case k when 0 then '+df.join(x)\n+JOIN\n y' when 1 then ' join\n-Window.partitionBy(skew)\n+z' else '+z' end"
+    return P.relevant_patch_of_files(files.selectExpr("sha", "'f' || k file", f"{text} patch"))
+
+
+@query("""SELECT 'c' || CAST(k AS string) AS contract_id, 'orders' AS asset, rule_id, numerator, denominator, CASE WHEN numerator / denominator > lim THEN 'violated' ELSE 'passed' END AS status FROM (
+    SELECT 1 AS k, 'has_customer' AS rule_id, count(*) - count(customer_id) AS numerator, count(*) AS denominator, 0.01 AS lim FROM dirty_orders
+    UNION ALL SELECT 1, 'amount_range', count(CASE WHEN NOT (amount >= 0 AND amount <= 400000) THEN 1 END), count(*), 0.05 FROM dirty_orders
+    UNION ALL SELECT 1, 'id_form', count(CASE WHEN NOT regexp_full_match(CAST(order_id AS string), '[0-9]*[02468]') THEN 1 END), count(*), 0.6 FROM dirty_orders
+    UNION ALL SELECT 2, 'one_id', sum(CASE WHEN n > 1 THEN n ELSE 0 END), sum(n), 0 FROM (SELECT count(*) AS n FROM dirty_orders GROUP BY order_id) AS g
+    UNION ALL SELECT 2, 'known', count(*) - count(c_custkey), count(*), 0.05 FROM dirty_orders LEFT JOIN customer ON c_custkey = customer_id) AS r
+    UNION ALL SELECT 'c2', 'nowhere', 'lost', NULL, NULL, 'evaluation_error'""".replace("SELECT 'c'", with_("dirty_orders") + " SELECT 'c'", 1))
+def contract_results(spark, sf_dir):
+    rules = [
+        ("c1", "active", "orders", "has_customer", "completeness", "customer_id", "", ">=99%"), ("c1", "active", "orders", "amount_range", "range", "amount", "0..400000", "<=5%"),
+        ("c1", "active", "orders", "id_form", "regex", "order_id", "[0-9]*[02468]", "<=60%"), ("c2", "approved", "orders", "one_id", "uniqueness", "order_id", "", "<=0%"),
+        ("c2", "approved", "orders", "known", "referential", "customer_id", "customer.c_custkey", "<=5%"), ("c2", "approved", "nowhere", "lost", "completeness", "x", "", "<=0%"),
+        ("c3", "draft", "orders", "not_run", "completeness", "amount", "", "<=0%"),
+    ]
+    contracts = spark.createDataFrame(rules, "contract_id string, status string, asset string, rule_id string, kind string, column string, argument string, threshold string")
+    out = Q.run_contracts(contracts, {"orders": fixture(spark, sf_dir, "dirty_orders"), "customer": table(spark, sf_dir, "customer")})
+    return out.select("contract_id", "asset", "rule_id", "numerator", "denominator", "status")
 
 
 @query(_SALES + " SELECT CAST(order_date AS string) AS order_date, round(sum(amount), 2) AS revenue FROM o GROUP BY 1")
