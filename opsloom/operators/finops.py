@@ -70,7 +70,7 @@ def allocation_rules(files: DataFrame, refused: DataFrame | None = None) -> Data
     """
     if refused is not None:
         out = allocation_rules(files.join(refused.select("file"), "file", "left_anti"))
-        lost = files.join(refused.select("file"), "file", "left_semi").select(normalized_job(F.explode("jobs")).alias("name")).distinct()
+        lost = files.join(refused.select("file"), "file", "left_semi").select(F.explode("jobs").alias("job")).select(normalized_job(F.col("job")).alias("name")).distinct()
         return out.unionByName(lost.join(out, "name", "left_anti").select("name", F.lit(None).cast("string").alias("target"), F.lit("arquivo_recusado").alias("status")))
     per = files.select("file", "target", F.explode("jobs").alias("job")).groupBy(normalized_job(F.col("job")).alias("name")).agg(F.countDistinct("file").alias("n"), F.min("target").alias("target"))
     return per.select("name", F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") > 1, F.lit("conflito")).otherwise(F.lit("ativa")).alias("status"))
@@ -281,11 +281,12 @@ def savings_risk(subjects: DataFrame, confirmed: DataFrame, every: DataFrame) ->
 def measure_realization(initiatives: DataFrame, runs: DataFrame, now: Column, window: int = 14, most: int = 60) -> DataFrame:
     """initiative_id, n_before, n_after, gross, net, status of run-based initiatives.
 
-    ``initiatives`` has initiative_id, job_id, implemented_at, cost; ``runs`` job_id, end_time, cost. Runs are met by job
-    and bounded to the windows before they are summed up.
+    ``initiatives`` has initiative_id, job_id, implemented_at, cost; ``runs`` job_id, end_time, cost. Runs are met
+    once for each job and instant and bounded to the windows before they are summed up.
     """
     anchor, day = F.col("implemented_at"), lambda n: F.expr(f"INTERVAL '{n}' DAY")
-    met = initiatives.join(runs.select("job_id", F.col("end_time").alias("_t"), F.col("cost").alias("_c")), "job_id", "left")
+    anchors = initiatives.select("job_id", "implemented_at").distinct()
+    met = anchors.join(runs.select("job_id", F.col("end_time").alias("_t"), F.col("cost").alias("_c")), "job_id", "left")
     limit = F.least(now, anchor + day(most))
     before = (F.col("_t") >= anchor - day(window)) & (F.col("_t") < anchor)
     near = (F.col("_t") >= anchor) & (F.col("_t") < anchor + day(window))
@@ -294,8 +295,8 @@ def measure_realization(initiatives: DataFrame, runs: DataFrame, now: Column, wi
     arr = lambda c: F.collect_list(F.when(c, F.col("_c")))
     from opsloom.operators.baselines import median_of
 
-    g = met.groupBy("initiative_id", "implemented_at", "cost").agg(arr(before).alias("b"), arr(near).alias("a"), arr(far).alias("f"), F.count_if(recent).alias("volume"))
-    g = g.withColumn("after", F.when(F.size("a") >= 5, F.col("a")).otherwise(F.col("f")))
+    g = met.groupBy("job_id", "implemented_at").agg(arr(before).alias("b"), arr(near).alias("a"), arr(far).alias("f"), F.count_if(recent).alias("volume"))
+    g = initiatives.join(g, ["job_id", "implemented_at"]).withColumn("after", F.when(F.size("a") >= 5, F.col("a")).otherwise(F.col("f")))
     g = g.withColumns({"n_before": F.size("b"), "n_after": F.size("after"), "gross": F.round((median_of(F.col("b")) - median_of(F.col("after"))) * F.col("volume"), 4)})
     short = (F.col("n_before") < 5) | (F.col("n_after") < 5)
     net = F.round(F.col("gross") - F.coalesce("cost", F.lit(0.0)), 4)

@@ -223,7 +223,7 @@ def top_per(df: DataFrame, key: str, at: str, tie: str, n: int) -> DataFrame:
 def risk_contributors(scores: DataFrame) -> DataFrame:
     """Adds contributors: the parts of a change's risk that are above 0, largest share of the score first."""
     parts = (("blast", 0.4), ("history", 0.3), ("size", 0.2), ("provenance", 0.1))
-    items = F.array(*[F.struct((-w * F.col(c)).alias("o"), F.lit(c).alias("name"), F.round(w * F.col(c), 4).alias("points")) for c, w in parts])
+    items = F.array(*[F.struct((-F.round(w * F.col(c), 4)).alias("o"), F.lit(c).alias("name"), F.round(w * F.col(c), 4).alias("points")) for c, w in parts])
     named = F.transform(F.array_sort(F.filter(items, lambda x: x["o"] < 0)), lambda x: F.struct(x["name"].alias("name"), x["points"].alias("points")))
     finding = F.when(F.col("high_finding"), F.array(F.struct(F.lit("high_finding").alias("name"), F.lit(1.0).alias("points"))))
     return scores.withColumn("contributors", F.concat(F.coalesce(finding, F.array().cast("array<struct<name:string,points:double>>")), named))

@@ -86,7 +86,7 @@ def traverse(edges: DataFrame, origins: DataFrame, direction: str = "down", dept
 
 def impact_score(reached: DataFrame) -> DataFrame:
     """Per origin: sum of scores, assets reached, uncertain ones."""
-    return reached.groupBy("origin").agg(F.round(F.sum("score"), 4).alias("impact_score"), F.array_sort(F.collect_set("node")).alias("assets"), F.array_sort(F.collect_set(F.when(F.col("uncertain"), F.col("node")))).alias("uncertain_assets"))
+    return reached.groupBy("origin").agg(F.round(F.sum(F.col("score").cast("decimal(28,6)")), 4).cast("double").alias("impact_score"), F.array_sort(F.collect_set("node")).alias("assets"), F.array_sort(F.collect_set(F.when(F.col("uncertain"), F.col("node")))).alias("uncertain_assets"))
 
 
 def escalate(reached: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ SQL: dict[str, str] = {
             UNION ALL
             SELECT 'nation.' || CAST(s_nationkey AS string), 'supplier.' || CAST(s_suppkey AS string), CASE WHEN s_suppkey % 4 = 0 THEN 'dashboard' WHEN s_suppkey % 4 = 1 THEN 'job' WHEN s_suppkey % 4 = 2 THEN 'pipeline' ELSE '' END, CASE WHEN s_suppkey % 4 = 3 THEN '' ELSE 'e' || CAST(s_suppkey AS string) END, TIMESTAMP '2024-01-25 00:00:00' - INTERVAL '1' DAY * CAST(s_suppkey % 60 AS int) FROM supplier
             UNION ALL
-            SELECT 'supplier.' || CAST(l_suppkey AS string), CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'part.' || CAST(l_partkey AS string) END, CASE WHEN l_partkey % 9 = 0 THEN 'dashboard' ELSE 'job' END, 'x' || CAST(l_partkey % 50 AS string), TIMESTAMP '2024-01-28 00:00:00' FROM lineitem WHERE l_orderkey % 50 = 0
+            SELECT 'supplier.' || CAST(l_suppkey AS string), CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 'part.' || CAST(l_partkey AS string) END, CASE WHEN l_partkey % 9 = 0 THEN 'dashboard' ELSE 'job' END, 'x' || CAST(l_partkey % 50 AS string), TIMESTAMP '2024-01-28 00:00:00' FROM lineitem
             UNION ALL
             SELECT 'supplier.' || CAST(s_suppkey AS string), 'region.' || CAST(s_suppkey % 5 AS string), 'pipeline', 'back', TIMESTAMP '2024-01-15 00:00:00' FROM supplier WHERE s_suppkey % 10 = 0) AS e""",
     "observations": """
@@ -91,7 +91,7 @@ SQL: dict[str, str] = {
         SELECT 'c' || CAST(o_orderkey AS string) AS sha, CASE WHEN o_orderkey % 13 = 0 THEN 'renovate[bot]' ELSE 'dev' || CAST(o_custkey % 9 AS string) END AS author,
                o_orderdate + INTERVAL '1' MINUTE * CAST(o_orderkey % 1440 AS int) AS committed_at, 'src/part.' || CAST(o_custkey % 200 AS string) || '.py' AS file,
                CAST(o_orderkey % 14 AS bigint) AS n_files, CASE WHEN o_orderkey % 5 = 0 THEN '+df.join(x)' WHEN o_orderkey % 5 = 1 THEN '+Window.partitionBy(k)' ELSE '+x = 1' END || chr(10) || '-y = 2' || chr(10) || ' z' AS patch,
-               CASE WHEN o_orderkey % 19 = 0 THEN 'fix' || chr(10) || 'Co-authored-by: a-bot' ELSE 'work' END AS message FROM orders WHERE o_orderkey % 10 = 0""",
+               CASE WHEN o_orderkey % 19 = 0 THEN 'fix' || chr(10) || 'Co-authored-by: a-bot' ELSE 'work' END AS message FROM orders""",
     "hypotheses": " UNION ALL ".join(_hypothesis(k) for k in range(3)),
     "reviews": """
         SELECT 'h' || CAST(event_id AS string) || '-' || CAST(event_id % 3 AS string) AS hypothesis_id, CASE WHEN event_id % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS decision, ts AS reviewed_at, event_id

@@ -115,11 +115,14 @@ def last_healthy_runs(spark, sf_dir):
 
 @query(with_("runs") + """, p AS (SELECT run_id, job_id, healthy_run_id FROM (SELECT r.run_id, r.job_id, h.run_id AS healthy_run_id, row_number() OVER (PARTITION BY r.run_id ORDER BY h.end_time DESC, h.run_id DESC) AS n
     FROM runs r LEFT JOIN runs h ON h.job_id = r.job_id AND h.result_state = 'SUCCESS' AND h.end_time <= r.start_time) AS x WHERE n = 1)
-    SELECT 'git_sha' AS dimension, CASE WHEN h.run_id IS NULL THEN 'not_available' WHEN h.git_sha = c.git_sha THEN 'equal' ELSE 'changed' END AS status, count(*) AS n FROM p JOIN runs c ON c.run_id = p.run_id LEFT JOIN runs h ON h.run_id = p.healthy_run_id GROUP BY 1, 2
-    UNION ALL SELECT 'input_rows', CASE WHEN h.run_id IS NULL THEN 'not_available' WHEN h.input_rows = c.input_rows THEN 'equal' ELSE 'changed' END, count(*) FROM p JOIN runs c ON c.run_id = p.run_id LEFT JOIN runs h ON h.run_id = p.healthy_run_id GROUP BY 1, 2""")
+    SELECT dimension, CASE WHEN hv IS NULL OR cv IS NULL THEN 'not_available' WHEN hv = cv THEN 'equal' ELSE 'changed' END AS status, count(*) AS n FROM (
+        SELECT unnest(['git_sha', 'input_rows', 'duration_s', 'execution_s', 'setup_s', 'skew_ratio', 'job_parameters', 'env_hash', 'max_key_rows', 'median_key_rows', 'top_key_share', 'plan_operators', 'spill_bytes', 'gc_ms']) AS dimension,
+               unnest([h.git_sha, CAST(h.input_rows AS string), CAST(round(h.duration_s, 1) AS string), CAST(round(h.execution_s, 1) AS string), CAST(round(h.setup_s, 1) AS string), CAST(round(h.skew_ratio, 2) AS string), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL]) AS hv,
+               unnest([c.git_sha, CAST(c.input_rows AS string), CAST(round(c.duration_s, 1) AS string), CAST(round(c.execution_s, 1) AS string), CAST(round(c.setup_s, 1) AS string), CAST(round(c.skew_ratio, 2) AS string), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL]) AS cv
+        FROM p JOIN runs c ON c.run_id = p.run_id LEFT JOIN runs h ON h.run_id = p.healthy_run_id) AS x GROUP BY 1, 2""")
 def run_differences(spark, sf_dir):
     runs = fixture(spark, sf_dir, "runs")
-    return B.diff_runs(B.last_healthy_run(runs), runs).filter("dimension in ('git_sha', 'input_rows')").groupBy("dimension", "status").agg(F.count(F.lit(1)).alias("n"))
+    return B.diff_runs(B.last_healthy_run(runs), runs).groupBy("dimension", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 _COSTS = with_("runs") + ", costs AS (SELECT run_id, job_id, start_time, end_time, result_state, CASE WHEN CAST(run_id AS bigint) % 13 = 0 THEN NULL ELSE floor(execution_s) / 4.0e0 + CASE WHEN CAST(run_id AS bigint) % 43 = 0 THEN 500 ELSE 0 END END AS cost FROM runs)"

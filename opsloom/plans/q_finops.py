@@ -179,10 +179,10 @@ def exclusion_groups(spark, sf_dir):
     return P.exclusion_groups(_opps(spark, sf_dir)).select("c_custkey", "counted")
 
 
-@query(_OPP + ", i AS (SELECT source, subject, CASE WHEN c_custkey % 3 = 0 THEN 'discarded' WHEN c_custkey % 3 = 1 THEN 'approved' ELSE 'identified' END AS status FROM o WHERE c_custkey <= 60) SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.source = o.source AND i.subject = o.subject AND i.status = 'approved') THEN 'em_iniciativa' ELSE 'aberta' END AS state FROM o WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.source = o.source AND i.subject = o.subject AND i.status = 'discarded')")
+@query(_OPP + ", i AS (SELECT source, subject, CASE WHEN c_custkey % 90 % 5 = 0 THEN 'discarded' WHEN c_custkey % 90 % 5 = 1 THEN 'approved' ELSE 'identified' END AS status FROM o) SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.source = o.source AND i.subject = o.subject AND i.status = 'approved') THEN 'em_iniciativa' ELSE 'aberta' END AS state FROM o WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.source = o.source AND i.subject = o.subject AND i.status = 'discarded')")
 def linked_initiatives(spark, sf_dir):
     o = _opps(spark, sf_dir)
-    i = o.filter("c_custkey <= 60").selectExpr("source", "subject", "case when c_custkey % 3 = 0 then 'discarded' when c_custkey % 3 = 1 then 'approved' else 'identified' end status")
+    i = o.selectExpr("source", "subject", "case when c_custkey % 90 % 5 = 0 then 'discarded' when c_custkey % 90 % 5 = 1 then 'approved' else 'identified' end status")
     return P.link_initiatives(o, i).select("c_custkey", "state")
 
 
@@ -193,12 +193,12 @@ def savings_risks(spark, sf_dir):
     return P.savings_risk(c.select("subject"), c.filter("k = 0").select("origin", kind.alias("entity_type")), c.filter("k <> 1").select("origin", kind.alias("entity_type")))
 
 
-@query(_COSTS + f""", i AS (SELECT 'i' || CAST(c_custkey AS string) AS initiative_id, 'job-' || CAST(c_custkey % 20 AS string) AS job_id, {_NOW} - INTERVAL '1' DAY * CAST(c_custkey % 90 AS int) AS at_, CAST(c_custkey % 50 AS double) AS icost FROM customer WHERE c_custkey <= 200),
+@query(_COSTS + f""", i AS (SELECT 'i' || CAST(c_custkey AS string) AS initiative_id, 'job-' || CAST(c_custkey % 20 AS string) AS job_id, {_NOW} - INTERVAL '1' DAY * CAST(c_custkey % 90 AS int) AS at_, CAST(c_custkey % 50 AS double) AS icost FROM customer),
     m AS (SELECT i.initiative_id, i.at_, i.icost, list(c.cost) FILTER (c.end_time >= at_ - INTERVAL '14' DAY AND c.end_time < at_ AND c.cost IS NOT NULL) AS b, list(c.cost) FILTER (c.end_time >= at_ AND c.end_time < at_ + INTERVAL '14' DAY AND c.cost IS NOT NULL) AS a, list(c.cost) FILTER (c.end_time >= at_ AND c.end_time < least({_NOW}, at_ + INTERVAL '60' DAY) AND c.cost IS NOT NULL) AS f, count(*) FILTER (c.end_time > {_NOW} - INTERVAL '30' DAY AND c.end_time <= {_NOW}) AS v FROM i JOIN c ON c.job_id = i.job_id GROUP BY 1, 2, 3),
     n AS (SELECT *, coalesce(len(b), 0) AS nb, CASE WHEN coalesce(len(a), 0) >= 5 THEN a ELSE f END AS z FROM m), g AS (SELECT *, coalesce(len(z), 0) AS na, round((list_median(b) - list_median(z)) * v, 4) AS gross FROM n)
     SELECT initiative_id, CAST(nb AS int) AS n_before, CAST(na AS int) AS n_after, CASE WHEN nb >= 5 AND na >= 5 THEN gross END AS gross, CASE WHEN nb >= 5 AND na >= 5 THEN round(gross - icost, 4) END AS net, CASE WHEN {_NOW} < at_ + INTERVAL '14' DAY THEN 'em_medicao' WHEN nb < 5 OR na < 5 THEN CASE WHEN {_NOW} >= at_ + INTERVAL '60' DAY THEN 'expirada' ELSE 'amostra_insuficiente' END WHEN gross - icost <= 0 THEN 'nao_realizada' ELSE 'realizada' END AS status FROM g""".replace("list_median(", "list_aggregate(").replace("list_aggregate(b)", "list_aggregate(b, 'median')").replace("list_aggregate(z)", "list_aggregate(z, 'median')"))
 def savings_realization(spark, sf_dir):
-    i = table(spark, sf_dir, "customer").filter("c_custkey <= 200").selectExpr("'i' || c_custkey initiative_id", "'job-' || (c_custkey % 20) job_id", "timestamp '1997-06-01 00:00:00' - interval '1' day * cast(c_custkey % 90 as int) implemented_at", "cast(c_custkey % 50 as double) cost")
+    i = table(spark, sf_dir, "customer").selectExpr("'i' || c_custkey initiative_id", "'job-' || (c_custkey % 20) job_id", "timestamp '1997-06-01 00:00:00' - interval '1' day * cast(c_custkey % 90 as int) implemented_at", "cast(c_custkey % 50 as double) cost")
     return P.measure_realization(i, _costed(spark, sf_dir), now())
 
 
@@ -214,3 +214,76 @@ def decided_initiatives(spark, sf_dir):
 def success_shares(spark, sf_dir):
     g = _costed(spark, sf_dir).groupBy("job_id").agg(F.count_if(F.col("result_state") == "SUCCESS").alias("a"), F.count(F.lit(1)).alias("b"))
     return g.select("job_id", F.round(share(F.col("a"), F.col("b")), 8).alias("success"))
+
+
+# --- unit costs by unit, windows, allocation, detectors
+
+
+@query(_COSTS + """, k AS (SELECT *, CASE WHEN job_id IN ('job-1', 'job-2') THEN NULL ELSE result_state END AS st FROM c WHERE cost IS NOT NULL), g AS (SELECT *, max(CASE WHEN st IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY job_id) AS known FROM k),
+    h AS (SELECT * FROM g WHERE known = 0 OR st = 'SUCCESS')
+    SELECT 'por_run' AS unit, job_id AS subject, median(cost) AS median, round(avg(cost), 8) AS mean, count(*) AS n, CASE WHEN max(known) = 0 THEN 'sucesso_nao_verificado' WHEN count(*) < 5 THEN 'amostra_pequena' ELSE 'medido' END AS status FROM h GROUP BY job_id
+    UNION ALL SELECT 'por_milhao_linhas', job_id, round(median(cost / input_rows * 1e6), 8), round(sum(cost) / sum(input_rows) * 1e6, 8), count(*), CASE WHEN max(known) = 0 THEN 'sucesso_nao_verificado' WHEN count(*) < 5 THEN 'amostra_pequena' ELSE 'medido' END FROM h GROUP BY job_id
+    UNION ALL SELECT 'por_ciclo', job_id, median(cost), round(avg(cost), 8), count(*), CASE WHEN max(known) = 0 THEN 'sucesso_nao_verificado' WHEN count(*) < 5 THEN 'amostra_pequena' ELSE 'medido' END FROM h WHERE job_id = 'job-7' GROUP BY job_id""")
+def unit_cost_rows(spark, sf_dir):
+    runs = _costed(spark, sf_dir).withColumns({"job_name": F.col("job_id"), "result_state": F.expr("case when job_id in ('job-1', 'job-2') then null else result_state end")})
+    return P.unit_cost_rows(runs, ["job-7"]).withColumns({"median": F.round("median", 8), "mean": F.round("mean", 8)})
+
+
+@query(with_("incidents") + """ SELECT median(c) AS median, round(avg(c), 8) AS mean, count(c) AS n, 'medido' AS status FROM (SELECT incident_id, sum(CAST(event_id % 100 AS double) + CAST(event_id % 7 AS double)) AS c FROM incidents
+    WHERE detected_at >= TIMESTAMP '2024-01-05 00:00:00' AND detected_at < TIMESTAMP '2024-01-20 00:00:00' AND event_id % 3 <> 0 GROUP BY 1) AS x""")
+def incident_unit_costs(spark, sf_dir):
+    i = fixture(spark, sf_dir, "incidents")
+    costs = i.selectExpr("incident_id", "case when event_id % 3 = 0 then 'pending' else 'available' end status", "explode(array(cast(event_id % 100 as double), cast(event_id % 7 as double))) incremental_cost")
+    return P.incident_unit_cost(i, costs, F.expr("timestamp '2024-01-05 00:00:00'"), F.expr("timestamp '2024-01-20 00:00:00'")).withColumn("mean", F.round("mean", 8))
+
+
+@query(_COSTS + f""", d AS (SELECT job_id, CAST(least(greatest(floor((epoch({_NOW}) - floor(epoch(min(start_time)))) / 86400), 1), 30) AS int) AS days, count(CASE WHEN start_time >= {_NOW} - INTERVAL '30' DAY THEN 1 END) AS runs FROM c WHERE start_time <= {_NOW} GROUP BY job_id)
+    SELECT job_id, days, runs FROM d WHERE runs > 0""")
+def window_figures(spark, sf_dir):
+    runs = _costed(spark, sf_dir).filter("start_time <= timestamp '1997-06-01 00:00:00'")
+    return P.days_observed(runs, now()).join(P.runs_in_window(runs, now()), "job_id")
+
+
+@query(_PRICED + """ SELECT job_id, CAST(coalesce(sum(CASE WHEN CAST(usage_start AS date) >= DATE '1997-05-02' THEN cost END), 0) AS bigint) AS cost, CAST(least(greatest(date_diff('day', min(CAST(usage_start AS date)), DATE '1997-06-01') + 1, 1), 30) AS int) AS days
+    FROM priced WHERE job_id IS NOT NULL AND usage_start < TIMESTAMP '1997-06-01 00:00:00' GROUP BY job_id""")
+def job_window_costs(spark, sf_dir):
+    daily = P.job_daily_costs(priced(spark, sf_dir).filter("usage_start < timestamp '1997-06-01 00:00:00'"))
+    return P.job_costs_window(daily, now()).select("job_id", _cents(), "days")
+
+
+@query(_BUSY + """, b AS (SELECT DISTINCT 'wh-' || CAST(user_id % 5 AS string) AS warehouse_id, date_trunc('hour', ts) AS hour FROM events)
+    SELECT b.warehouse_id, CAST(CAST(b.hour AS date) AS string) AS day, CAST(3 * count(*) AS bigint) AS cost FROM b WHERE NOT EXISTS (SELECT 1 FROM busy x WHERE x.warehouse_id = b.warehouse_id AND x.hour = b.hour) GROUP BY 1, 2""")
+def idle_days(spark, sf_dir):
+    billed = table(spark, sf_dir, "events").select(F.expr("'wh-' || (user_id % 5)").alias("warehouse_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).distinct().withColumn("cost", F.lit(3))
+    return P.idle_daily(billed, _busy(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+@query(_OPP + """, s AS (SELECT source, count(CASE WHEN saving >= 3000 THEN 1 END) AS shown, count(CASE WHEN saving < 3000 THEN 1 END) AS below, coalesce(sum(CASE WHEN saving < 3000 THEN saving END), 0) AS below_sum FROM o WHERE source <> 'schedule' GROUP BY 1)
+    SELECT source, 'avaliado' AS status, shown, below, below_sum FROM s UNION ALL SELECT 'schedule', 'nao_avaliado', NULL, NULL, NULL UNION ALL SELECT 'idle', 'avaliado', 0, 0, 0""")
+def detector_states(spark, sf_dir):
+    outcomes = P.split_by_threshold(_opps(spark, sf_dir), 3000.0)
+    kinds = spark.createDataFrame([("regression", True), ("failed_runs", True), ("schedule", False), ("idle", True)], "source string, available boolean")
+    return P.detector_status(outcomes, kinds)
+
+
+@query("""WITH j AS (SELECT DISTINCT c_custkey % 9 AS f, 'job-' || CAST(c_custkey % 60 AS string) AS name FROM customer), g AS (SELECT name, count(CASE WHEN f % 3 <> 0 THEN 1 END) AS n, min(CASE WHEN f % 3 <> 0 THEN f END) AS f FROM j GROUP BY name)
+    SELECT name, CASE WHEN n = 1 THEN 'd' || CAST(f AS string) END AS target, CASE WHEN n = 0 THEN 'arquivo_recusado' WHEN n > 1 THEN 'conflito' ELSE 'ativa' END AS status FROM g""")
+def allocation_rule_states(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("'f' || (c_custkey % 9) file", "'d' || (c_custkey % 9) target", "'job-' || (c_custkey % 60) job", "c_custkey % 9 k")
+    files = c.groupBy("file", "target").agg(F.collect_set("job").alias("jobs"))
+    return P.allocation_rules(files, c.filter("k % 3 = 0").select("file").distinct())
+
+
+@query(_PRICED + """, t AS (SELECT warehouse_id AS r, CAST(sum(cost) AS double) AS c FROM priced WHERE warehouse_id IS NOT NULL GROUP BY 1)
+    SELECT r AS resource_id, consumer, share, round(c * share, 4) AS cost FROM t, (SELECT 'a' AS consumer, CAST(0.5 AS double) AS share UNION ALL SELECT 'b', 0.3 UNION ALL SELECT NULL, 0.2) AS s""")
+def fixed_shares(spark, sf_dir):
+    p = priced(spark, sf_dir).filter("warehouse_id is not null").withColumn("resource_id", F.col("warehouse_id"))
+    shares = p.select("resource_id").distinct().select("resource_id", F.explode(F.array(*[F.struct(F.lit(c).alias("consumer"), F.lit(x).alias("percent")) for c, x in (("a", 50.0), ("b", 30.0))])).alias("s")).select("resource_id", "s.*")
+    return P.fixed_allocation(p, shares).withColumns({"share": F.round("share", 8), "cost": F.round("cost", 4)})
+
+
+@query(_PRICED + """, t AS (SELECT warehouse_id AS r, CAST(sum(cost) AS double) AS c, count(*) AS n FROM priced WHERE warehouse_id IS NOT NULL GROUP BY 1), u AS (SELECT warehouse_id AS r, sku_name AS s, count(*) AS n FROM priced WHERE warehouse_id IS NOT NULL GROUP BY 1, 2)
+    SELECT u.r AS resource_id, u.s AS consumer, round(u.n / t.n, 8) AS share, round(t.c * u.n / t.n, 2) AS cost FROM u JOIN t ON t.r = u.r""")
+def activity_shares(spark, sf_dir):
+    p = priced(spark, sf_dir).filter("warehouse_id is not null").withColumn("resource_id", F.col("warehouse_id")).withColumn("consumer", F.col("sku_name"))
+    return P.activity_allocation(p, p).withColumns({"share": F.round("share", 8), "cost": F.round("cost", 2)})

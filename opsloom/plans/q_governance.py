@@ -227,3 +227,72 @@ def view_last_rule_results(spark, sf_dir):
 @query(with_("reviews") + " SELECT hypothesis_id, arg_max(decision, (reviewed_at, event_id)) AS decision FROM reviews GROUP BY 1")
 def view_latest_decision(spark, sf_dir):
     return G.latest_by(fixture(spark, sf_dir, "reviews"), "hypothesis_id", "reviewed_at", "event_id").select("hypothesis_id", "decision")
+
+
+# --- contributors, sliding windows, operational figures, views
+
+
+@query("""SELECT c_custkey, array_to_string(list_transform(list_sort(list_filter([struct_pack(o := -round(0.4 * b, 4), n := 'blast'), struct_pack(o := -round(0.3 * h, 4), n := 'history'), struct_pack(o := -round(0.1 * p, 4), n := 'provenance')], lambda x: x.o < 0)), lambda x: x.n), ',') AS contributors
+    FROM (SELECT c_custkey, c_custkey % 5 / 4 AS b, c_custkey % 4 / 3 AS h, c_custkey % 2 AS p FROM customer) AS x""")
+def risk_contributors(spark, sf_dir):
+    s = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_custkey % 5 / 4 blast", "c_custkey % 4 / 3 history", "0.0d size", "cast(c_custkey % 2 as double) provenance", "false high_finding")
+    return G.risk_contributors(s).select("c_custkey", F.array_join(F.transform("contributors", lambda x: x["name"]), ",").alias("contributors"))
+
+
+@query("""WITH e AS (SELECT event_type AS service, ts, user_id % 10 = 0 AS bad FROM events), w AS (
+    SELECT service, '1 hour' AS width, unnest(generate_series(time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes', time_bucket(INTERVAL '30 minutes', ts), INTERVAL '30 minutes')) AS start, bad FROM e
+    UNION ALL SELECT service, '6 hours', unnest(generate_series(time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01 00:00:00') - INTERVAL '3 hours', time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01 00:00:00'), INTERVAL '3 hours')), bad FROM e)
+    SELECT service, width, CAST(start AS string) AS start, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS bad, round(count(CASE WHEN bad THEN 1 END) / count(*) / 0.01, 6) AS burn FROM w GROUP BY 1, 2, 3""")
+def sliding_burn_rates(spark, sf_dir):
+    e = table(spark, sf_dir, "events").selectExpr("event_type service", "cast(ts as timestamp) ts", "user_id % 10 = 0 bad")
+    return G.burn_rates_sliding(e, {"1 hour": "30 minutes", "6 hours": "3 hours"}, 0.99).withColumns({"start": F.col("start").cast("string"), "burn": F.round("burn", 6)})
+
+
+@query("""SELECT metric, round(CAST(value AS double), 6) AS value, n, CASE WHEN n = 0 THEN 'sem_dados' WHEN n < 5 THEN 'baixa' ELSE 'alta' END AS confidence FROM (
+    SELECT 'sla_at_risk' AS metric, count(DISTINCT CASE WHEN c_custkey % 4 < 2 THEN c_nationkey END) AS value, count(DISTINCT c_nationkey) AS n FROM customer
+    UNION ALL SELECT 'incremental_cost', sum(CASE WHEN c_custkey % 3 = 0 THEN c_custkey END), count(CASE WHEN c_custkey % 3 = 0 THEN 1 END) FROM customer
+    UNION ALL SELECT 'incremental_cost_pending', count(CASE WHEN c_custkey % 3 = 1 THEN 1 END), count(*) FROM customer
+    UNION ALL SELECT 'connectors_healthy', count(CASE WHEN c_custkey % 8 <> 0 THEN 1 END) / count(*), count(*) FROM customer
+    UNION ALL SELECT 'recommendations_accepted', count(CASE WHEN c_custkey % 5 = 0 THEN 1 END) / count(CASE WHEN c_custkey % 5 < 2 THEN 1 END), count(CASE WHEN c_custkey % 5 < 2 THEN 1 END) FROM customer
+    UNION ALL SELECT 'savings_identified', sum(CASE WHEN c_custkey % 2 = 0 THEN c_custkey END), count(CASE WHEN c_custkey % 2 = 0 THEN 1 END) FROM customer
+    UNION ALL SELECT 'savings_approved', sum(CASE WHEN c_custkey % 3 > 0 THEN c_custkey END), count(CASE WHEN c_custkey % 3 > 0 THEN 1 END) FROM customer
+    UNION ALL SELECT 'savings_realized', sum(CASE WHEN c_custkey % 9 = 0 THEN c_custkey END), count(CASE WHEN c_custkey % 9 = 0 THEN 1 END) FROM customer
+    UNION ALL SELECT 'savings_rate', sum(CASE WHEN c_custkey % 9 = 0 THEN c_custkey END) / sum(CASE WHEN c_custkey % 3 > 0 THEN c_custkey END), count(CASE WHEN c_custkey % 9 = 0 THEN 1 END) FROM customer) AS x""")
+def executive_operations(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey").cast("double"))
+    out = G.executive_operations(
+        c.selectExpr("c_nationkey asset", "case when c_custkey % 4 = 0 then 'violado' when c_custkey % 4 = 1 then 'em_risco' else 'no_prazo' end class"),
+        c.selectExpr("k incremental_cost", "case c_custkey % 3 when 0 then 'available' when 1 then 'pending' else 'not_available' end status"),
+        c.selectExpr("case when c_custkey % 8 = 0 then 'degraded' else 'healthy' end status"),
+        c.selectExpr("case c_custkey % 5 when 0 then 'accepted' when 1 then 'rejected' else 'noted' end decision"),
+        c.selectExpr("k saving", "c_custkey % 2 = 0 counted"),
+        c.selectExpr("k saving", "case c_custkey % 3 when 0 then 'identified' when 1 then 'approved' else 'implemented' end status"),
+        c.selectExpr("k net", "case when c_custkey % 9 = 0 then 'realizada' else 'em_medicao' end status"),
+    )
+    return out.select("metric", F.round("value", 6).alias("value"), "n", "confidence")
+
+
+@query("SELECT 'rec' || CAST(c_custkey AS string) AS recommendation_id, CASE WHEN c_custkey % 3 = 0 THEN 'accepted' WHEN c_custkey % 3 = 1 THEN 'rejected' ELSE 'pending' END AS decision FROM customer")
+def view_recommendations(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    r = c.selectExpr("'rec' || c_custkey recommendation_id")
+    one = c.filter("c_custkey % 3 < 2").selectExpr("'rec' || c_custkey recommendation_id", "timestamp '2024-01-01 00:00:00' decided_at", "'d1' decision_id", "'rejected' decision")
+    two = c.filter("c_custkey % 3 = 0").selectExpr("'rec' || c_custkey recommendation_id", "timestamp '2024-01-02 00:00:00' decided_at", "'d2' decision_id", "'accepted' decision")
+    return G.recommendations_with_decision(r, one.unionByName(two))
+
+
+@query(with_("runs") + """, p AS (SELECT run_id, job_id, healthy_run_id FROM (SELECT r.run_id, r.job_id, h.run_id AS healthy_run_id, row_number() OVER (PARTITION BY r.run_id ORDER BY h.end_time DESC, h.run_id DESC) AS n
+    FROM runs r LEFT JOIN runs h ON h.job_id = r.job_id AND h.result_state = 'SUCCESS' AND h.end_time <= r.start_time) AS x WHERE n = 1)
+    SELECT c.run_id, p.healthy_run_id, CASE WHEN h.execution_s > 0 THEN round(c.execution_s / h.execution_s, 4) END AS times FROM p JOIN runs c ON c.run_id = p.run_id LEFT JOIN runs h ON h.run_id = p.healthy_run_id""")
+def view_run_comparison(spark, sf_dir):
+    from opsloom.operators.baselines import last_healthy_run
+
+    runs = fixture(spark, sf_dir, "runs")
+    return G.run_comparison(runs, last_healthy_run(runs)).select("run_id", "healthy_run_id", "times")
+
+
+@query("SELECT 'j' || CAST(c_custkey AS string) AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'approved' END AS initiative, CASE WHEN c_custkey % 4 = 0 THEN 'realizada' END AS measure FROM customer")
+def view_opportunities(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("'s' source", "'j' || c_custkey subject", "'i' || c_custkey initiative_id", "c_custkey k")
+    out = G.opportunities_with_measure(c.select("source", "subject"), c.filter("k % 2 = 0").selectExpr("source", "subject", "initiative_id", "'approved' status"), c.filter("k % 4 = 0").selectExpr("initiative_id", "1.0d net", "'realizada' status"))
+    return out.select("subject", "initiative", "measure")

@@ -255,9 +255,9 @@ def semantic_conflicts(spark, sf_dir):
     return K.semantic_conflicts(_divergences(spark, sf_dir)).withColumn("conflicts", F.array_join("conflicts", ","))
 
 
-@query("SELECT asset FROM (SELECT 'a' || CAST(c_custkey % 50 AS string) AS asset, max(CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END) AS missing FROM customer WHERE c_custkey <= 300 GROUP BY 1) AS x WHERE missing = 0")
+@query("SELECT asset FROM (SELECT 'a' || CAST(CAST(floor(c_custkey / 6) AS bigint) AS string) AS asset, max(CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END) AS missing FROM customer GROUP BY 1) AS x WHERE missing = 0")
 def evaluated_assets(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey <= 300").selectExpr("'a' || (c_custkey % 50) asset", "'f' || c_custkey file", "c_custkey k")
+    c = table(spark, sf_dir, "customer").selectExpr("'a' || floor(c_custkey / 6) asset", "'f' || c_custkey file", "c_custkey k")
     return K.evaluated_assets(c.select("asset", "file"), c.filter("k % 17 <> 0").select("file"))
 
 

@@ -30,7 +30,7 @@ def _walk(key: str, to: str) -> str:
 
 
 _DOWN = _EDGES + ", o AS (SELECT 'region.' || CAST(r_regionkey AS string) AS origin, 'region.' || CAST(r_regionkey AS string) AS node, CAST(1 AS double) AS score FROM region), " + _walk("source", "node")
-_UP = _EDGES + ", o AS (SELECT 'part.' || CAST(p_partkey AS string) AS origin, 'part.' || CAST(p_partkey AS string) AS node, CAST(1 AS double) AS score FROM part WHERE p_partkey % 10 = 0), " + _walk("node", "source")
+_UP = _EDGES + ", o AS (SELECT 'part.' || CAST(p_partkey AS string) AS origin, 'part.' || CAST(p_partkey AS string) AS node, CAST(1 AS double) AS score FROM part), " + _walk("node", "source")
 
 
 def weighted(spark, sf_dir):
@@ -54,13 +54,13 @@ def impact_walk(spark, sf_dir):
 
 @query(_UP + " SELECT * FROM reached")
 def upstream_walk(spark, sf_dir):
-    return L.traverse(weighted(spark, sf_dir), table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").selectExpr("'part.' || p_partkey origin"), "up")
+    return L.traverse(weighted(spark, sf_dir), table(spark, sf_dir, "part").selectExpr("'part.' || p_partkey origin"), "up")
 
 
-@query(_DOWN + " SELECT origin, round(sum(score), 2) AS impact_score, count(*) AS assets, count(CASE WHEN uncertain THEN 1 END) AS uncertain FROM reached GROUP BY origin")
+@query(_DOWN + " SELECT origin, CAST(round(sum(CAST(score AS decimal(28,6))), 4) AS double) AS impact_score, count(*) AS assets, count(CASE WHEN uncertain THEN 1 END) AS uncertain FROM reached GROUP BY origin")
 def impact_scores(spark, sf_dir):
     out = L.impact_score(_down(spark, sf_dir))
-    return out.select("origin", F.round("impact_score", 2).alias("impact_score"), F.size("assets").cast("long").alias("assets"), F.size("uncertain_assets").cast("long").alias("uncertain"))
+    return out.select("origin", "impact_score", F.size("assets").cast("long").alias("assets"), F.size("uncertain_assets").cast("long").alias("uncertain"))
 
 
 @query(_DOWN + " SELECT origin, max_by(node, (score, node)) AS culprit, 'critical' AS severity FROM reached WHERE entity_type = 'dashboard' GROUP BY origin")
@@ -110,7 +110,7 @@ def changed_assets(spark, sf_dir):
 @query(_UP + " SELECT origin, node FROM reached WHERE node LIKE 'nation.%' AND length(node) = 9")
 def changed_upstream(spark, sf_dir):
     changed = table(spark, sf_dir, "nation").selectExpr("'nation.' || n_nationkey asset").filter("length(asset) = 9")
-    return L.changed_upstream(weighted(spark, sf_dir), table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").selectExpr("'part.' || p_partkey origin"), changed)
+    return L.changed_upstream(weighted(spark, sf_dir), table(spark, sf_dir, "part").selectExpr("'part.' || p_partkey origin"), changed)
 
 
 def _triples(spark, sf_dir):

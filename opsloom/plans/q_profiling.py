@@ -38,12 +38,12 @@ def normalized_job_names(spark, sf_dir):
     return fixture(spark, sf_dir, "runs").select("job_name", normalized_job(F.col("job_name")).alias("name")).distinct()
 
 
-_CONTRACTS = ", k AS (SELECT 'c' || CAST(c_custkey AS string) AS contract_id, CASE WHEN c_custkey % 4 = 0 THEN 'missing' ELSE 'Job-' || CAST(c_custkey % 20 AS string) END AS producer FROM customer WHERE c_custkey <= 200), j AS (SELECT DISTINCT CASE WHEN job_id = 'job-3' THEN job_id || 'x' || CAST(CAST(run_id AS bigint) % 2 AS string) ELSE job_id END AS job_id, 'job-' || regexp_extract(job_name, '[0-9]+') AS name FROM runs), n AS (SELECT name, list_sort(list(job_id)) AS ids FROM j GROUP BY name)"
+_CONTRACTS = ", k AS (SELECT 'c' || CAST(c_custkey AS string) AS contract_id, CASE WHEN c_custkey % 4 = 0 THEN 'missing' ELSE 'Job-' || CAST(c_custkey % 20 AS string) END AS producer FROM customer), j AS (SELECT DISTINCT CASE WHEN job_id = 'job-3' THEN job_id || 'x' || CAST(CAST(run_id AS bigint) % 2 AS string) ELSE job_id END AS job_id, 'job-' || regexp_extract(job_name, '[0-9]+') AS name FROM runs), n AS (SELECT name, list_sort(list(job_id)) AS ids FROM j GROUP BY name)"
 
 
 @query(with_("runs") + _CONTRACTS + " SELECT contract_id, producer, CASE WHEN len(ids) = 1 THEN ids[1] END AS job_id, CASE WHEN ids IS NULL THEN 'not_found' WHEN len(ids) > 1 THEN 'ambiguous' ELSE 'resolved' END AS reason FROM k LEFT JOIN n ON n.name = lower(k.producer)")
 def resolved_producers(spark, sf_dir):
-    contracts = table(spark, sf_dir, "customer").filter("c_custkey <= 200").selectExpr("'c' || c_custkey contract_id", "case when c_custkey % 4 = 0 then 'missing' else 'Job-' || (c_custkey % 20) end producer")
+    contracts = table(spark, sf_dir, "customer").selectExpr("'c' || c_custkey contract_id", "case when c_custkey % 4 = 0 then 'missing' else 'Job-' || (c_custkey % 20) end producer")
     jobs = fixture(spark, sf_dir, "runs").selectExpr("case when job_id = 'job-3' then job_id || 'x' || (cast(run_id as bigint) % 2) else job_id end job_id", "job_name").distinct()
     return P.resolve_producer(contracts, jobs)
 
@@ -191,15 +191,15 @@ def freshness_rule(spark, sf_dir):
     return Q.freshness_rule(writes, limits, F.to_timestamp(F.lit("2024-01-31 00:00:00"))).drop("last_write")
 
 
-_TYPES = "WITH c AS (SELECT 'a' || CAST(c_custkey % 40 AS string) AS asset, 'col' || CAST(c_custkey % 37 AS string) AS column_name, CASE WHEN c_custkey % 2 = 0 THEN 'integer' ELSE 'DECIMAL(10,2)' END AS w FROM customer WHERE c_custkey <= 400 AND c_custkey % 5 <> 0), a AS (SELECT 'a' || CAST(c_custkey % 40 AS string) AS asset, 'COL' || CAST(c_custkey % 37 AS string) AS column_name, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 16 = 0 THEN 'text' ELSE 'int' END ELSE 'decimal(18,4)' END AS h FROM customer WHERE c_custkey <= 400 AND c_custkey % 7 <> 0)"
+_TYPES = "WITH c AS (SELECT 'a' || CAST(CAST(floor(c_custkey / 37) AS bigint) AS string) AS asset, 'col' || CAST(c_custkey % 37 AS string) AS column_name, CASE WHEN c_custkey % 2 = 0 THEN 'integer' ELSE 'DECIMAL(10,2)' END AS w FROM customer WHERE c_custkey % 5 <> 0), a AS (SELECT 'a' || CAST(CAST(floor(c_custkey / 37) AS bigint) AS string) AS asset, 'COL' || CAST(c_custkey % 37 AS string) AS column_name, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 16 = 0 THEN 'text' ELSE 'int' END ELSE 'decimal(18,4)' END AS h FROM customer WHERE c_custkey % 7 <> 0)"
 
 
 @query(_TYPES + """, j AS (SELECT coalesce(c.asset, a.asset) AS asset, CASE w WHEN 'integer' THEN 'int' WHEN 'DECIMAL(10,2)' THEN 'decimal' END AS want, CASE h WHEN 'text' THEN 'string' WHEN 'int' THEN 'int' WHEN 'decimal(18,4)' THEN 'decimal' END AS have FROM c FULL JOIN a ON a.asset = c.asset AND lower(a.column_name) = c.column_name)
     SELECT asset, count(CASE WHEN want = have THEN 1 END) AS numerator, count(want) AS denominator, count(CASE WHEN have IS NULL THEN 1 END) AS missing, count(CASE WHEN want <> have THEN 1 END) AS mismatched, count(CASE WHEN want IS NULL THEN 1 END) AS extra, 'conformance' AS ratio_kind, CASE WHEN count(CASE WHEN have IS NULL OR want <> have THEN 1 END) > 0 THEN 'violated' ELSE 'passed' END AS status FROM j GROUP BY asset""")
 def schema_rule(spark, sf_dir):
-    t = table(spark, sf_dir, "customer").filter("c_custkey <= 400")
-    c = t.filter("c_custkey % 5 <> 0").selectExpr("'a' || (c_custkey % 40) asset", "'col' || (c_custkey % 37) column_name", "case when c_custkey % 2 = 0 then 'integer' else 'DECIMAL(10,2)' end data_type")
-    a = t.filter("c_custkey % 7 <> 0").selectExpr("'a' || (c_custkey % 40) asset", "'COL' || (c_custkey % 37) column_name", "case when c_custkey % 2 = 0 then case when c_custkey % 16 = 0 then 'text' else 'int' end else 'decimal(18,4)' end data_type")
+    t = table(spark, sf_dir, "customer")
+    c = t.filter("c_custkey % 5 <> 0").selectExpr("'a' || floor(c_custkey / 37) asset", "'col' || (c_custkey % 37) column_name", "case when c_custkey % 2 = 0 then 'integer' else 'DECIMAL(10,2)' end data_type")
+    a = t.filter("c_custkey % 7 <> 0").selectExpr("'a' || floor(c_custkey / 37) asset", "'COL' || (c_custkey % 37) column_name", "case when c_custkey % 2 = 0 then case when c_custkey % 16 = 0 then 'text' else 'int' end else 'decimal(18,4)' end data_type")
     return Q.schema_rule(c, a)
 
 
