@@ -94,16 +94,22 @@ def version_order(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (version_key(v) < version_key(F.lit("1.2"))).alias("older"))
 
 
-@query("""SELECT 'documents' AS kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS t FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, 'gh[pousr]_[A-Za-z0-9]{36}')) FROM documents
-    UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')) FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:password|secret|token|api[_-]?key)\\s*[:=]\\s*["''][^"''\\s]{8,}["'']')) FROM documents) AS x""")
+@query("""SELECT doc_id, pattern, masked, count(*) AS n FROM (
+    SELECT doc_id, 'cloud_access_key' AS pattern, substr(unnest(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')), 1, 4) || '***' AS masked FROM documents
+    UNION ALL SELECT doc_id, 'personal_token', substr(unnest(regexp_extract_all(text, 'gh[pousr]_[A-Za-z0-9]{36}')), 1, 4) || '***' FROM documents
+    UNION ALL SELECT doc_id, 'private_key', substr(unnest(regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')), 1, 4) || '***' FROM documents
+    UNION ALL SELECT doc_id, 'generic_secret', substr(unnest(regexp_extract_all(text, '(?i)(?:password|secret|token|api[_-]?key)\\s*[:=]\\s*[\\x22\\x27][^\\x22\\x27\\s]{8,}[\\x22\\x27]')), 1, 4) || '***' FROM documents) AS x GROUP BY ALL""")
 def secret_findings(spark, sf_dir):
     f = G.secret_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").filter("pattern <> 'entropy'")
-    return f.agg(F.lit("documents").alias("kind"), F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return f.groupBy("doc_id", "pattern", "masked").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{20,}'))) AS tok FROM documents), c AS (SELECT doc_id, tok, unnest(string_split(tok, '')) AS ch FROM t),
+    k AS (SELECT doc_id, tok, ch, count(*) / length(tok) AS p FROM c GROUP BY 1, 2, 3), e AS (SELECT doc_id, tok FROM k GROUP BY 1, 2 HAVING -sum(p * log2(p)) >= 3.2)
+    SELECT doc_id, substr(tok, 1, 4) || '***' AS masked, count(*) AS n FROM e GROUP BY 1, 2""")
 def secret_entropy(spark, sf_dir):
-    return G.secret_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").filter("pattern = 'entropy'")
+    f = G.secret_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", least_bits=3.2).filter("pattern = 'entropy'")
+    return f.groupBy("doc_id", "masked").agg(F.count(F.lit(1)).alias("n"))
 
 
 _GATE = _SP + ", g AS (SELECT sha, CASE WHEN CAST(substr(sha, 2) AS bigint) % 90 = 0 THEN 'secret' WHEN CAST(substr(sha, 2) AS bigint) % 110 = 0 THEN 'dependency' WHEN band = 'alto' THEN 'risk' END AS reason FROM k)"

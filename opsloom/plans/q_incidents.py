@@ -181,10 +181,10 @@ def applicable_runbooks(spark, sf_dir):
     return K.applicable_runbooks(_caused(spark, sf_dir).withColumn("dimensions", F.array(F.lit("volume"))), r)
 
 
-@query(_PROB + f", s AS (SELECT type || subject || cause AS problem_id, cause FROM p WHERE fixed_at <= {_NOW} - INTERVAL '30' DAY AND NOT EXISTS (SELECT 1 FROM i WHERE i.type = p.type AND i.subject = p.subject AND i.cause = p.cause AND i.detected_at > p.fixed_at)) SELECT problem_id, 'For ' || cause || ': salt the key' AS suggestion FROM s")
+@query(_PROB + f", s AS (SELECT type || subject || cause AS problem_id, cause FROM p WHERE fixed_at <= TIMESTAMP '2024-03-15 00:00:00' - INTERVAL '30' DAY AND NOT EXISTS (SELECT 1 FROM i WHERE i.type = p.type AND i.subject = p.subject AND i.cause = p.cause AND i.detected_at > p.fixed_at)) SELECT problem_id, 'For ' || cause || ': salt the key' AS suggestion FROM s")
 def knowledge_items(spark, sf_dir):
     p = _problems(spark, sf_dir)
-    done = K.fix_efficacy(p, _caused(spark, sf_dir), now()).join(p.select("problem_id", "cause"), "problem_id")
+    done = K.fix_efficacy(p, _caused(spark, sf_dir), F.expr("timestamp '2024-03-15 00:00:00'")).join(p.select("problem_id", "cause"), "problem_id")
     return K.knowledge_items(done, p.selectExpr("problem_id", "'salt the key' fix_text")).select("problem_id", "suggestion")
 
 
@@ -261,9 +261,11 @@ def evaluated_assets(spark, sf_dir):
     return K.evaluated_assets(c.select("asset", "file"), c.filter("k % 17 <> 0").select("file"))
 
 
-@query()
+@query("""SELECT 'src/' || CAST(c_custkey AS string) AS path, 'm' || CAST(c_custkey % 5 AS string) AS metric_id, 'F.sum(F.col(''amount'') * 2)' AS formula, 'k' || CAST(c_custkey % 9 AS string) AS grain, 2 AS line, 'extraida' AS extraction_status,
+    sha256('F.sum(F.col(''amount'')*2)') AS formula_hash FROM customer""")
 def observed_metrics(spark, sf_dir):
-    code = F.concat(F.lit("KEY = 'k"), F.expr("cast(c_custkey % 9 as string)"), F.lit("'\nout = df.groupBy(KEY).agg(F.sum('amount').alias('m"), F.expr("cast(c_custkey % 5 as string)"), F.lit("'))\n"))
+    key, name = F.expr("cast(c_custkey % 9 as string)"), F.expr("cast(c_custkey % 5 as string)")
+    code = F.concat(F.lit("KEY = 'k"), key, F.lit("'\nout = df.withColumn('net', F.col('amount') * 2).groupBy(KEY).agg(F.sum('net').alias('m"), name, F.lit("'))\n"))
     return K.observed_metrics(table(spark, sf_dir, "customer").select(F.concat(F.lit("src/"), F.col("c_custkey").cast("string")).alias("path"), code.alias("value")))
 
 

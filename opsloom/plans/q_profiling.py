@@ -59,7 +59,7 @@ def volume_bands(spark, sf_dir):
     return fixture(spark, sf_dir, "runs").select("run_id", volume_band(F.col("input_rows")).alias("band"))
 
 
-@query()
+@query("""SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_size":' || CAST(p_size AS string) || '}') AS env_hash FROM part""")
 def config_hashes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", P.config_hash(F.struct("p_brand", "p_size")).alias("env_hash"))
 
@@ -224,9 +224,9 @@ def grouped_errors(spark, sf_dir):
     return Q.group_violations(Q.latest_per_rule(fixture(spark, sf_dir, "rule_results")), "evaluation_error").drop("rules")
 
 
-@query(with_("rule_results") + " SELECT result_id FROM rule_results WHERE evaluated_at > TIMESTAMP '1996-03-01 12:00:00' - INTERVAL '6' HOUR AND evaluated_at <= TIMESTAMP '1996-03-01 12:00:00'")
+@query(with_("rule_results") + " SELECT result_id FROM rule_results WHERE evaluated_at > TIMESTAMP '1996-03-01 12:00:00' - INTERVAL '240' HOUR AND evaluated_at <= TIMESTAMP '1996-03-01 12:00:00'")
 def recent_results(spark, sf_dir):
-    return Q.recent_results(fixture(spark, sf_dir, "rule_results"), F.to_timestamp(F.lit("1996-03-01 12:00:00"))).select("result_id")
+    return Q.recent_results(fixture(spark, sf_dir, "rule_results"), F.to_timestamp(F.lit("1996-03-01 12:00:00")), 240).select("result_id")
 
 
 @query("WITH b AS (SELECT o_orderkey, o_orderdate AS observed_at FROM orders) SELECT o_orderkey FROM b WHERE observed_at = (SELECT max(observed_at) FROM b) AND observed_at > (SELECT max(observed_at) FROM b) - INTERVAL '6' HOUR")
