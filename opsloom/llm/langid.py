@@ -135,8 +135,8 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 80_000,
     padded = F.concat(F.lit("^"), "w", F.lit("$"))
 
     def of_length(n: int):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+        some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, some).otherwise(F.array().cast("array<string>"))
 
     gram = F.explode(F.flatten(F.array(*[of_length(n) for n in range(1, LONGEST + 1)])))
     grams = written(words.select("lang", "c", gram.alias("g")).groupBy("lang", F.length("g").alias("n"), "g").agg(F.sum("c").alias("c")))
