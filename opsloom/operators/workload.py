@@ -9,25 +9,87 @@ from pyspark.sql import functions as F
 FRAME_ROWS = 20_000
 
 
+def _enriched(orders: DataFrame, customers: DataFrame, segments: DataFrame) -> DataFrame:
+    """Orders with region, segment and net amount (null where the discount is not known)."""
+    df = orders.join(customers, "customer_id", "left").join(segments, "customer_id", "left")
+    return df.withColumn("net", F.col("amount") * (1 - F.col("discount_pct") / 100))
+
+
+def day_figures(rows: DataFrame) -> DataFrame:
+    """Per customer and day: rows, number of the first and last row of the customer, extremes, largest running sum.
+
+    Days carry the counts and sums of the days before as offsets, so no window holds more than a customer's rows of one
+    day or one row a day. A day is that of ``order_ts``.
+    """
+    day = ["customer_id", "order_date"]
+    instants = rows.groupBy(*day, "order_ts").agg(F.sum("net").alias("s"))
+    inside = F.sum("s").over(W.partitionBy(*day).orderBy("order_ts"))
+    within = instants.withColumn("r", inside).groupBy(*day).agg(F.max("r").alias("r_max"), F.sum("s").alias("s"))
+    days = rows.groupBy(*day).agg(F.count(F.lit(1)).alias("n"), F.max("net").alias("high"), F.min("net").alias("low")).join(within, day)
+    before = W.partitionBy("customer_id").orderBy("order_date").rowsBetween(W.unboundedPreceding, -1)
+    so_far = W.partitionBy("customer_id").orderBy("order_date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    days = days.withColumns({"last": F.sum("n").over(so_far), "prior": F.sum("s").over(before), "run_high": F.max("high").over(so_far), "run_low": F.min("low").over(so_far)})
+    running = F.coalesce(F.col("prior") + F.col("r_max"), "prior", "r_max")
+    return days.withColumns({"first": F.col("last") - F.col("n") + 1, "running": running})
+
+
+def recent_extremes(rows: DataFrame, days: DataFrame, frame: int) -> DataFrame:
+    """Per customer and day: largest and smallest net of the ``frame`` rows up to each row of the day.
+
+    Together the frames of a day reach from ``frame - 1`` rows before its first row to its last one. Up to the first full
+    frame that is everything so far; later it is the rest of the day in which it begins (a lookup of one row among the
+    suffix extremes of that day) and the whole days after it.
+    """
+    day = ["customer_id", "order_date"]
+    early = days.filter(F.col("first") <= frame).select(*day, F.col("run_high").alias("recent_max"), F.col("run_low").alias("recent_min"))
+    late = days.filter(F.col("first") > frame).select("customer_id", "order_date", (F.col("first") - (frame - 1)).alias("lo"))
+    big = late.select("customer_id").distinct()
+    span = days.join(big, "customer_id", "left_semi").select("customer_id", F.col("order_date").alias("d"), "first", "last", "high", "low")
+    whole = late.join(span, "customer_id").filter((F.col("d") <= F.col("order_date")) & (F.col("first") >= F.col("lo"))).groupBy(*day).agg(F.max("high").alias("h1"), F.min("low").alias("l1"))
+    numbered = rows.join(big, "customer_id", "left_semi").withColumn("k", F.row_number().over(W.partitionBy(*day).orderBy("order_ts", "order_id")))
+    rest = W.partitionBy(*day).orderBy("k").rowsBetween(W.currentRow, W.unboundedFollowing)
+    suffix = numbered.withColumns({"h2": F.max("net").over(rest), "l2": F.min("net").over(rest)}).join(days.select(*day, "first"), day)
+    suffix = suffix.select("customer_id", (F.col("first") + F.col("k") - 1).alias("lo"), "h2", "l2")
+    met = late.join(suffix, ["customer_id", "lo"]).join(whole, day, "left")
+    return early.unionByName(met.select(*day, F.greatest("h1", "h2").alias("recent_max"), F.least("l1", "l2").alias("recent_min")))
+
+
+def value_ranks(rows: DataFrame, buckets: int = 1024) -> DataFrame:
+    """Per customer and net amount: dense and percent rank, largest first, unknown amounts last.
+
+    A customer's range of amounts is cut into buckets; counts of the buckets above are the offset of the ranks within one.
+    """
+    values = rows.groupBy("customer_id", "net").agg(F.count(F.lit(1)).alias("n"))
+    span = values.groupBy("customer_id").agg(F.min("net").alias("lo"), F.max("net").alias("hi"), F.sum("n").alias("all"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("net") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(F.lit(0))
+    values = values.join(span, "customer_id").withColumn("bucket", F.when(F.col("net").isNull(), F.lit(-1)).otherwise(place))
+    above = W.partitionBy("customer_id").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
+    sums = values.groupBy("customer_id", "bucket").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("m"))
+    sums = sums.select("customer_id", "bucket", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("d0"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("m0"))
+    here = W.partitionBy("customer_id", "bucket").orderBy(F.desc_nulls_last("net"))
+    ranked = values.withColumns({"d": F.row_number().over(here), "m": F.coalesce(F.sum("n").over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))}).join(sums, ["customer_id", "bucket"])
+    pct = F.when(F.col("all") > 1, (F.col("m0") + F.col("m")) / (F.col("all") - 1)).otherwise(F.lit(0.0))
+    return ranked.select("customer_id", "net", (F.col("d0") + F.col("d")).cast("int").alias("rank"), pct.alias("pct"))
+
+
 def sales_daily(orders: DataFrame, customers: DataFrame, segments: DataFrame, frame: int = FRAME_ROWS) -> DataFrame:
     """Per day, region and segment: net revenue, orders, customers and extremes of a customer's running figures.
 
     A row whose discount is not known has no net amount. Equal times share their running sum and equal amounts their
-    rank. Windows are per customer; a customer with a large share of all orders makes one large sort.
+    rank. Every step splits a customer's rows by day or by amount, so one with a large share of all orders is no single
+    task; a customer has one region and segment. Orders without a customer count as one customer's in the running
+    figures and as none in ``customers``; orders without a day are left out.
     """
-    df = orders.join(customers, "customer_id", "left").join(segments, "customer_id", "left")
-    df = df.withColumn("net", F.col("amount") * (1 - F.col("discount_pct") / 100))
-    at = W.partitionBy("customer_id").orderBy("order_ts")
-    by = W.partitionBy("customer_id").orderBy("order_ts", "order_id")
-    near = by.rowsBetween(-(frame - 1), 0)
-    ranks = W.partitionBy("customer_id").orderBy(F.desc("net"))
-    df = df.withColumns({
-        "seq": F.row_number().over(by), "running": F.sum("net").over(at), "recent_max": F.max("net").over(near), "recent_min": F.min("net").over(near),
-        "rank": F.dense_rank().over(ranks), "pct": F.percent_rank().over(ranks),
-    })
-    return df.groupBy("order_date", "region", "segment").agg(
-        F.sum("net").alias("revenue"), F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"), F.max("running").alias("max_running"),
-        F.max("recent_max").alias("max_recent"), F.min("recent_min").alias("min_recent"), F.max("seq").alias("max_seq"), F.max("rank").alias("ticket_levels"), F.avg("pct").alias("avg_pct"),
+    rows = _enriched(orders, customers, segments).withColumn("customer_id", F.coalesce(F.col("customer_id").cast("string"), F.lit("")))
+    group, day = ["order_date", "region", "segment"], ["customer_id", "order_date"]
+    days = day_figures(rows)
+    ranks = value_ranks(rows).select(F.col("customer_id").alias("_c"), F.col("net").alias("_n"), "rank", "pct")
+    ranked = rows.join(ranks, (F.col("customer_id") == F.col("_c")) & F.col("net").eqNullSafe(F.col("_n")))
+    per = ranked.groupBy(*day, "region", "segment").agg(F.sum("net").alias("net"), F.count(F.lit(1)).alias("k"), F.max("rank").alias("rank"), F.sum("pct").alias("pct"))
+    per = per.join(days.select(*day, "last", "running"), day).join(recent_extremes(rows, days, frame), day)
+    return per.groupBy(*group).agg(
+        F.sum("net").alias("revenue"), F.sum("k").alias("orders"), F.countDistinct(F.nullif("customer_id", F.lit(""))).alias("customers"), F.max("running").alias("max_running"), F.max("recent_max").alias("max_recent"),
+        F.min("recent_min").alias("min_recent"), F.max("last").cast("int").alias("max_seq"), F.max("rank").alias("ticket_levels"), (F.sum("pct") / F.sum("k")).alias("avg_pct"),
     )
 
 
@@ -38,12 +100,7 @@ def sales_daily_light(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 def sales_daily_heavy(orders: DataFrame, customers: DataFrame, segments: DataFrame, frame: int = FRAME_ROWS) -> DataFrame:
     """The daily figures by segment with a sequence, a sliding maximum and a rank a customer."""
-    df = orders.join(customers, "customer_id", "left").join(segments, "customer_id", "left").withColumn("net", F.col("amount") * (1 - F.col("discount_pct") / 100))
-    by = W.partitionBy("customer_id").orderBy("order_ts", "order_id")
-    df = df.withColumns({"seq": F.row_number().over(by), "top": F.max("net").over(by.rowsBetween(-(frame - 1), 0)), "rank": F.dense_rank().over(W.partitionBy("customer_id").orderBy(F.desc("net")))})
-    return df.groupBy("order_date", "region", "segment").agg(
-        F.sum("net").alias("revenue"), F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"), F.max("seq").alias("max_seq"), F.max("top").alias("max_recent"), F.max("rank").alias("ticket_levels"),
-    )
+    return sales_daily(orders, customers, segments, frame).select("order_date", "region", "segment", "revenue", "orders", "customers", "max_seq", "max_recent", "ticket_levels")
 
 
 def revenue_by(daily: DataFrame, column: str) -> DataFrame:

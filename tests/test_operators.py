@@ -250,3 +250,29 @@ def test_library_stands_without_the_subpackage():
     for p in root.joinpath("opsloom").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "opsloom.llm" not in p.read_text() and "corpus_pipeline" not in p.read_text()
+
+
+@pytest.mark.parametrize("frame", [3, 50, 20_000])
+def test_sales_daily_equals_plain_windows(spark, frame):
+    """A customer with 40 % of the orders, ties in time and amount, unknown discounts, and frames that end within days."""
+    from pyspark.sql import Window as W
+
+    from opsloom.operators import workload
+
+    rnd = random.Random(frame)
+    rows = []
+    for i in range(900):
+        c = 0 if rnd.random() < 0.4 else rnd.randint(1, 12)
+        t = T0 + timedelta(hours=rnd.randint(0, 24 * 12))
+        rows.append((i, c, t, t.date(), float(rnd.randint(1, 60))))
+    orders = spark.createDataFrame(rows, "order_id long, customer_id long, order_ts timestamp, order_date date, amount double")
+    customers = spark.createDataFrame([(c, "r" + str(c % 2)) for c in range(12)], "customer_id long, region string")
+    segments = spark.createDataFrame([(c, "s" + str(c % 3), None if c == 5 else 10.0) for c in range(11)], "customer_id long, segment string, discount_pct double")
+    df = orders.join(customers, "customer_id", "left").join(segments, "customer_id", "left").withColumn("net", F.col("amount") * (1 - F.col("discount_pct") / 100))
+    at, by, value = W.partitionBy("customer_id").orderBy("order_ts"), W.partitionBy("customer_id").orderBy("order_ts", "order_id"), W.partitionBy("customer_id").orderBy(F.desc("net"))
+    near = by.rowsBetween(-(frame - 1), 0)
+    plain = df.select("*", F.row_number().over(by).alias("a"), F.sum("net").over(at).alias("b"), F.max("net").over(near).alias("c"), F.min("net").over(near).alias("d"), F.dense_rank().over(value).alias("e"), F.percent_rank().over(value).alias("f"))
+    plain = plain.groupBy("order_date", "region", "segment").agg(F.round(F.sum("net"), 6), F.count("*"), F.countDistinct("customer_id"), F.round(F.max("b"), 6), F.max("c"), F.min("d"), F.max("a"), F.max("e"), F.round(F.avg("f"), 9))
+    got = workload.sales_daily(orders, customers, segments, frame)
+    got = got.withColumns({"revenue": F.round("revenue", 6), "max_running": F.round("max_running", 6), "avg_pct": F.round("avg_pct", 9)})
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
