@@ -222,7 +222,10 @@ def test_deadline_over_a_change_of_clock(spark):
     a = spark.createDataFrame([("x", "07:30", "Europe/Berlin")], "asset string, clock string, zone string")
     w = spark.createDataFrame([("x", datetime(2026, 3, 29, 5, 0))], "asset string, timestamp timestamp")
     r = knowledge.daily_deadline(a, w, F.to_timestamp(F.lit("2026-03-29 12:00:00"))).first()
-    assert r.deadline == datetime(2026, 3, 29, 5, 30) and r.delivered and not r.breached
+    # delivered: the next deadline is tomorrow's; without the write it is today's, which has passed
+    assert r.deadline == datetime(2026, 3, 30, 5, 30) and r.delivered and not r.breached
+    r = knowledge.daily_deadline(a, w.filter("asset = 'y'"), F.to_timestamp(F.lit("2026-03-29 12:00:00"))).first()
+    assert r.deadline == datetime(2026, 3, 29, 5, 30) and not r.delivered and r.breached
 
 
 def test_audit_chain_finds_forks(spark):
