@@ -1,13 +1,13 @@
 """Robust baselines and regressions of run time and cost.
 
 The threshold of a sample is the largest of twice its median, its median plus five median absolute deviations, and its
-median plus a floor. Nothing here collects; the fold over a job's runs is a grouped Arrow function whose state is one
-job's history.
+median plus a floor. Nothing here collects; the fold over a job's runs takes them batch by batch in the order of their ends.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -139,19 +139,19 @@ def fold_job(rows: list[dict], excluded: set | None = None, closed_until=None, r
     """The sequential rule over one job's runs, ordered by end: regressed runs leave the baseline, healthy ones return.
 
     The history is the whole job. Eligible runs are kept by metric, and by metric and band, in the order of their ends,
-    so those that ended by a start are a prefix that bisection finds. ``history`` and ``excluded`` are changed in place,
-    so that a later call goes on from here.
+    so those that ended by a start are a prefix that bisection finds. ``history`` is changed in place, so that a later
+    call goes on from here. Runs without a start have no sample, those without an end (last in order) are in none.
     """
-    excluded, out, history = set() if excluded is None else excluded, [], {} if history is None else history
+    excluded, out, history = excluded or set(), [], {} if history is None else history
 
     def ended(key: tuple, by) -> list:
         ends, values = history.get(key, ((), ()))
-        upto = bisect_right(ends, by)
+        upto = 0 if by is None else bisect_right(ends, by)
         return values[max(0, upto - WINDOW) : upto]
 
     for r in rows:
         metric, value = ("execution", r["execution_s"]) if r["execution_s"] is not None else ("total", r["duration_s"])
-        band = r["band"]
+        band, end = r["band"], r["end_time"]
         same = ended((metric, band), r["start_time"]) if band is not None else []
         use_band = len(same) >= LEAST
         sample = same if use_band else ended((metric,), r["start_time"])
@@ -159,16 +159,14 @@ def fold_job(rows: list[dict], excluded: set | None = None, closed_until=None, r
         if len(sample) >= LEAST and value is not None:
             line["median"], line["mad"], line["threshold"], line["deciding_term"] = _threshold(sample, floor)
             line["verdict"] = "regression" if value > line["threshold"] else "healthy"
-        closed = closed_until is not None and r["end_time"] <= closed_until
-        if line["verdict"] == "regression":
-            excluded.add(r["run_id"])
-            line["opens"] = not closed
-        elif not closed:
-            excluded.discard(r["run_id"])
-        if r["result_state"] == "SUCCESS" and value is not None and r["run_id"] not in excluded and (regime_start is None or r["start_time"] >= regime_start):
+        closed = closed_until is not None and end is not None and end <= closed_until
+        regressed = line["verdict"] == "regression"
+        line["opens"] = regressed and not closed
+        inside = regime_start is None or (r["start_time"] is not None and r["start_time"] >= regime_start)
+        if r["result_state"] == "SUCCESS" and value is not None and end is not None and inside and not regressed and not (closed and r["run_id"] in excluded):
             for key in ((metric,), (metric, band)):
                 ends, values = history.setdefault(key, ([], []))
-                ends.append(r["end_time"])
+                ends.append(end)
                 values.append(value)
         out.append(line)
     return out
@@ -181,29 +179,50 @@ def forget(history: dict, before) -> None:
         del ends[:gone], values[:gone]
 
 
+def plain_rows(pdf) -> list[dict]:
+    """The rows of a pandas frame with None for what is missing, and whole bands."""
+    import pandas as pd
+
+    rows = [{k: v if hasattr(v, "__len__") else None if pd.isna(v) else v for k, v in r.items()} for r in pdf.to_dict("records")]
+    for r in rows:
+        r["band"] = None if r["band"] is None else int(r["band"])
+    return rows
+
+
 def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None, closed: DataFrame | None = None, active: DataFrame | None = None, floor: float = FLOOR_S) -> DataFrame:
-    """Verdict of every run by the sequential rule, one job a group.
+    """Verdict of every run by the sequential rule.
 
     ``regimes`` (job_id, regime_start), ``closed`` (job_id, closed_until) and ``active`` (job_id, excluded array of run
-    ids of open incidents) are optional. A group is one job's run history.
+    ids of open incidents) are optional. The rule is sequential, so a job's runs stream through one task in the order of
+    their ends (Spark sorts and spills); the task holds a batch, the eligible runs that a later start can still ask for,
+    and a job's ``excluded`` ids, but never a whole job.
     """
     df = runs.withColumn("band", volume_band(F.col("input_rows")))
     for extra, column, kind in ((regimes, "regime_start", "timestamp"), (closed, "closed_until", "timestamp"), (active, "excluded", "array<string>")):
         df = df.join(extra.select("job_id", column), "job_id", "left") if extra is not None else df.withColumn(column, F.lit(None).cast(kind))
 
-    def run(pdf):
+    def run(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values(["end_time", "run_id"])
-        rows = [{k: (None if v is None or (not isinstance(v, (list, str)) and not hasattr(v, "__len__") and pd.isna(v)) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
-        first = rows[0]
-        kept = None if first["excluded"] is None else set(first["excluded"])
-        for r in rows:
-            r["band"] = None if r["band"] is None else int(r["band"])
-        return pd.DataFrame(fold_job(rows, kept, first["closed_until"], first["regime_start"], floor), columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
-
+        job, history, excluded = None, None, set()
+        for pdf in batches:
+            out = []
+            for one, part in groupby(plain_rows(pdf), key=lambda r: r["job_id"]):
+                part = list(part)
+                first = part[0]
+                if history is None or one != job:
+                    job, history, excluded = one, {}, set(() if first["excluded"] is None else first["excluded"])
+                out += fold_job(part, excluded, first["closed_until"], first["regime_start"], floor, history)
+                if part[-1]["earliest"] is not None:
+                    forget(history, part[-1]["earliest"])
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+
+    order = [F.col("end_time").asc_nulls_last(), F.col("run_id")]
+    onwards = W.partitionBy("job_id").orderBy(F.col("end_time").desc_nulls_first(), F.desc("run_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
     keep = df.select("run_id", "job_id", "start_time", "end_time", "execution_s", "duration_s", "result_state", "band", "regime_start", "closed_until", "excluded")
-    return keep.groupBy("job_id").applyInPandas(run, FOLD_SCHEMA)
+    keep = keep.repartition("job_id").withColumn("earliest", F.min("start_time").over(onwards))
+    return keep.sortWithinPartitions("job_id", *order).mapInPandas(run, FOLD_SCHEMA)
 
 
 def regime_start(regimes: DataFrame, runs: DataFrame) -> DataFrame:

@@ -54,22 +54,19 @@ def regressions(runs: DataFrame, floor: float = 30.0, longest: str | None = None
 
     import pandas as pd
 
-    from opsloom.operators.baselines import FOLD_SCHEMA, fold_job, forget
+    from opsloom.operators.baselines import FOLD_SCHEMA, fold_job, forget, plain_rows
 
     names = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
     span = pd.Timedelta(longest) if longest else None
 
     def step(key, batches, state):
-        history, excluded = pickle.loads(state.get[0]) if state.exists else ({}, set())
-        new = pd.concat(list(batches)).sort_values(["end_time", "run_id"])
-        rows = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in new.to_dict("records")]
-        for r in rows:
-            r["band"] = None if r["band"] is None else int(r["band"])
-        out = fold_job(rows, excluded, floor=floor, history=history)
-        if span is not None and rows:
-            forget(history, rows[-1]["end_time"] - span)
-            excluded.clear()  # a run comes once, so its exclusion has been used
-        state.update((pickle.dumps((history, excluded)),))
+        history = pickle.loads(state.get[0]) if state.exists else {}
+        rows = plain_rows(pd.concat(list(batches)).sort_values(["end_time", "run_id"]))
+        out = fold_job(rows, floor=floor, history=history)
+        ends = [r["end_time"] for r in rows if r["end_time"] is not None]
+        if span is not None and ends:
+            forget(history, ends[-1] - span)
+        state.update((pickle.dumps(history),))
         yield pd.DataFrame(out, columns=names)
 
     from opsloom.functions.columns import volume_band

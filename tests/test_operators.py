@@ -97,6 +97,23 @@ def test_history_is_the_whole_job(spark):
     assert len(one) == len(rows) and one["last-f"].verdict == "regression" and one["e199"].n == 10
 
 
+def test_fold_goes_on_from_batch_to_batch(spark, random_runs):
+    df = spark.createDataFrame(random_runs, RUN)
+    late = df.limit(1).selectExpr("'lost' run_id", "'j0' job_id", "cast(null as timestamp) start_time", "cast(null as timestamp) end_time", "1e9 execution_s", "duration_s", "'SUCCESS' result_state", "input_rows").to(df.schema)
+    df = df.unionByName(late)
+    active = spark.createDataFrame([("j0", [r[0] for r in random_runs if r[1] == "j0"][:9])], "job_id string, excluded array<string>")
+    closed = df.groupBy("job_id").agg(F.percentile_approx("end_time", 0.5).alias("closed_until"))
+    regimes = df.filter("job_id = 'j1'").groupBy("job_id").agg(F.percentile_approx("start_time", 0.2).alias("regime_start"))
+    whole = {r.run_id: r for r in baselines.detect_runtime_regressions(df, regimes, closed, active).collect()}
+    assert len(whole) == len(random_runs) + 1 and (whole["lost"].verdict, whole["lost"].n) == ("insufficient_baseline", 0)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        assert {r.run_id: r for r in baselines.detect_runtime_regressions(df, regimes, closed, active).collect()} == whole
+    finally:
+        spark.conf.unset(key)
+
+
 def test_stateful_stream_equals_batch(spark, random_runs, tmp_path):
     early = sorted(random_runs, key=lambda r: r[3])
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
