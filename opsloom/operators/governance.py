@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsloom.functions.columns import exclusive_quantile, severity_rank, stable_id, version_key
+from opsloom.functions.columns import severity_rank, stable_id, version_key
 
 # --- change risk
 
@@ -135,7 +135,9 @@ def send_after(at: Column, severity: Column, zone: str, start: int = 22, end: in
 
 def notification_outbox(events: DataFrame, evidence: DataFrame, least: str = "high", most: int = 2) -> DataFrame:
     """incident_id, event, evidence: events at or above a severity with their two newest pieces of evidence."""
-    new = evidence.groupBy("incident_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("at", "evidence_id")))), 1, most).alias("e"))
+    newest = W.partitionBy("incident_id").orderBy(F.desc("at"), F.desc("evidence_id"))
+    few = evidence.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= most)
+    new = few.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("_n", "evidence_id"))).alias("e"))
     df = events.filter(severity_rank(F.col("severity")) >= severity_rank(F.lit(least))).join(new, "incident_id", "left")
     return df.select("incident_id", "event", F.array_join(F.transform("e", lambda x: x["evidence_id"]), ",").alias("evidence"))
 
@@ -160,19 +162,42 @@ def verify_audit_chain(rows: DataFrame) -> DataFrame:
 # --- executive figures
 
 
+def exclusive_quantile_of(rows: DataFrame, value: str, p: float) -> DataFrame:
+    """One row of value and n: the exclusive quantile of a column, with no task that sees all of its values.
+
+    Equal values are counted first; whole numbers cut them into ranges whose running counts place the two neighbours.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.floor("_v"))
+    ranges = counts.groupBy("_b").agg(F.sum("_c").alias("_m"))
+    before = F.sum("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.select("_b", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_m").over(W.partitionBy(F.lit(0))).alias("_n"))
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy("_b").orderBy("_v"))
+    low = F.greatest(F.least(F.floor(p * (F.col("_n") + 1)), F.col("_n") - 1), F.lit(1))
+    placed = counts.join(ranges, "_b").withColumn("_upto", upto).withColumn("_low", low)
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_c") < position) & (position <= F.col("_upto")), F.col("_v")))
+
+    one = placed.agg(F.max("_n").alias("_n"), F.max("_low").alias("_low"), at(F.col("_low")).alias("_a"), at(F.col("_low") + 1).alias("_z"))
+    line = F.col("_a") + (p * (F.col("_n") + 1) - F.col("_low")) * (F.col("_z") - F.col("_a"))
+    return one.select(F.when(F.col("_n") >= 2, line).otherwise(F.col("_a")).alias("value"), F.coalesce("_n", F.lit(0)).alias("n"))
+
+
 def executive_summary(incidents: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """(metric, value, n, confidence) of the incident figures, from one aggregation. Nothing measured is null, not 0."""
+    """(metric, value, n, confidence) of the incident figures. Nothing measured is null, not 0."""
     hours = (F.col("updated_at").cast("timestamp").cast("long") - F.col("detected_at").cast("timestamp").cast("long")) / 3600.0
     ack = (F.col("acknowledged_at").cast("timestamp").cast("long") - F.col("detected_at").cast("timestamp").cast("long")) / 60.0
     active = F.col("state").isin("detected", "triaged")
     recovered = (F.col("state") == "recovered") & (F.col("updated_at") > now - F.expr(f"INTERVAL '{days}' DAY"))
     one = incidents.agg(
         F.count_if(active).alias("active"), F.count_if(active & F.col("severity").isin("critical", "blocking")).alias("critical"), F.count_if(recovered).alias("n_rec"), F.median(F.when(recovered, hours)).alias("mttr"),
-        F.collect_list(F.when(recovered, hours)).alias("rec_hours"), F.count_if(F.col("state") == "closed").alias("administrative"), F.count("acknowledged_at").alias("n_ack"), F.median(ack).alias("mtta"),
+        F.count_if(F.col("state") == "closed").alias("administrative"), F.count("acknowledged_at").alias("n_ack"), F.median(ack).alias("mtta"),
         F.count_if(active & F.col("acknowledged_at").isNull()).alias("ack_pending"), F.countDistinct(F.when(active, F.col("asset"))).alias("assets"), F.count(F.lit(1)).alias("n"),
     )
-    rows = [("active", F.col("active"), F.col("n")), ("critical", F.col("critical"), F.col("n")), ("mttr_median_h", F.col("mttr"), F.col("n_rec")), ("mttr_p90_h", exclusive_quantile(F.col("rec_hours"), 0.9), F.col("n_rec")), ("administrative_closures", F.col("administrative"), F.col("n")), ("mtta_median_min", F.col("mtta"), F.col("n_ack")), ("ack_pending", F.col("ack_pending"), F.col("n")), ("impacted_assets", F.col("assets"), F.col("n"))]
+    rows = [("active", F.col("active"), F.col("n")), ("critical", F.col("critical"), F.col("n")), ("mttr_median_h", F.col("mttr"), F.col("n_rec")), ("administrative_closures", F.col("administrative"), F.col("n")), ("mtta_median_min", F.col("mtta"), F.col("n_ack")), ("ack_pending", F.col("ack_pending"), F.col("n")), ("impacted_assets", F.col("assets"), F.col("n"))]
     out = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value"), n.alias("n")) for k, v, n in rows])).alias("r")).select("r.*")
+    p90 = exclusive_quantile_of(incidents.filter(recovered).select(hours.alias("h")), "h", 0.9)
+    out = out.unionByName(p90.select(F.lit("mttr_p90_h").alias("metric"), F.col("value").cast("double").alias("value"), "n"))
     return out.withColumn("confidence", F.when(F.col("n") == 0, F.lit("sem_dados")).when(F.col("n") < 5, F.lit("baixa")).otherwise(F.lit("alta")))
 
 

@@ -112,10 +112,14 @@ def narrative_fallback(ranked: DataFrame, most: int = 8, facts: DataFrame | None
 def validate_citations(narratives: DataFrame, evidence: DataFrame) -> DataFrame:
     """incident_id, reason: ok, invalid_json, no_citation or unknown_evidence of a narrated JSON text."""
     parsed = narratives.withColumn("p", F.from_json("text", "sentences array<struct<text:string,evidence:array<string>>>"))
-    known = evidence.groupBy("incident_id").agg(F.collect_set("evidence_id").alias("known"))
-    df = parsed.join(known, "incident_id", "left")
-    cited = F.flatten(F.transform("p.sentences", lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>"))))
-    unknown = F.size(F.array_except(cited, F.coalesce("known", F.array().cast("array<string>")))) > 0
+    df = parsed.withColumn("cited", F.flatten(F.transform("p.sentences", lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>")))))
+    # only what the narratives cite is gathered, never an incident's evidence
+    pairs = df.select("incident_id", F.explode("cited").alias("evidence_id")).distinct()
+    missing = pairs.join(evidence.select("incident_id", "evidence_id"), ["incident_id", "evidence_id"], "left_anti")
+    missing = missing.groupBy(F.col("incident_id").alias("_i")).agg(F.collect_set("evidence_id").alias("_missing"))
+    df = df.join(missing, F.col("incident_id").eqNullSafe(F.col("_i")), "left")
+    cited = F.col("cited")
+    unknown = F.exists(cited, lambda c: c.isNull()) | F.coalesce(F.arrays_overlap(cited, "_missing"), F.lit(False))
     reason = F.when(F.col("p.sentences").isNull(), F.lit("invalid_json")).when(F.size(cited) == 0, F.lit("no_citation")).when(unknown, F.lit("unknown_evidence")).otherwise(F.lit("ok"))
     return df.select("incident_id", reason.alias("reason"))
 
