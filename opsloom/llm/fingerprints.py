@@ -107,11 +107,13 @@ def _range_index(cuts: list[int], value: Column) -> Column:
     if not cuts:
         return F.lit(0)
     step = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    coarse = F.array(*[F.lit(b[-1]) for b in blocks])
-    fine = F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks])
-    block = F.size(F.filter(coarse, lambda c: c < value))
-    inner = F.size(F.filter(F.coalesce(F.get(fine, block), F.array().cast("array<bigint>")), lambda c: c < value))
+
+    def constant(values: list[int]) -> Column:
+        # one literal that is folded once, whatever the number of cuts
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    block = F.size(F.filter(constant([cuts[min(i + step, len(cuts)) - 1] for i in range(0, len(cuts), step)]), lambda c: c < value))
+    inner = F.size(F.filter(F.slice(constant(cuts), block * step + 1, F.lit(step)), lambda c: c < value))
     return F.least(block * step, F.lit(len(cuts))) + inner
 
 

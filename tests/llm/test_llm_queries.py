@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from opsloom.llm import bpe, fingerprints, langid, mixing, pii, quality
@@ -147,6 +148,14 @@ def test_op5_short_texts_keep_their_order():
     assert sum(x == y for x, y in zip(whole, swapped, strict=True)) / 32 < 0.75
 
 
+def test_op5_ranges_of_many_cuts(spark):
+    for n in (1, 2, 17, 65_535):
+        cuts = [3 * k - n for k in range(n)]
+        values = [*cuts[:50], *cuts[-50:], *(c + 1 for c in cuts[:50]), min(cuts) - 1, max(cuts) + 1]
+        got = spark.createDataFrame([(v,) for v in values], "v long").select("v", fingerprints._range_index(cuts, F.col("v")).alias("part")).collect()
+        assert all(r.part == sum(c < r.v for c in cuts) for r in got)
+
+
 def test_op5_one_document_and_equal_ids(spark):
     one = fingerprints.with_next(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first()
     assert one.next_text == "a b"
