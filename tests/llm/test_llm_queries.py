@@ -337,4 +337,4 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
 
 def test_query_names():
-    assert [n for n in QUERIES if n != "pipeline"] and {n.split("_")[0] for n in QUERIES} == {"pipeline", *[f"op{k}" for k in range(1, 11)]}
+    assert [n for n in QUERIES if n != "pipeline"] and {n.split("_")[0] for n in QUERIES} == {"pipeline", *[f"op{k}" for k in range(1, 14)]}
