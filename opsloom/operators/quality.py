@@ -149,45 +149,3 @@ def matching(column: str, pattern: str) -> str:
 def custom_rule(counts: DataFrame, rule_id: str, threshold: str) -> DataFrame:
     """A rule row out of any one-row query with numerator and denominator."""
     return _rows(counts, [(rule_id, "custom", F.col("numerator"), F.col("denominator"), threshold)])
-
-
-def run_contracts(contracts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Judged rule rows of all active or approved contracts, with contract_id and asset.
-
-    ``contracts`` (contract_id, status, asset, rule_id, kind, column, argument, threshold) is declarations, one row a rule and
-    thus bounded; kinds are completeness, validity, range, regex, uniqueness and referential (argument ``table.key``). Completeness
-    and predicate rules of an asset are fused into one aggregation of its table. An unknown asset is an evaluation error.
-    """
-    rules = contracts.filter(F.col("status").isin("active", "approved")).orderBy("contract_id", "rule_id").collect()
-    per: dict[tuple[str, str], list] = {}
-    for r in rules:
-        per.setdefault((r["contract_id"], r["asset"]), []).append(r)
-    out, lost = None, []
-
-    def add(rows: DataFrame, names: dict[str, str], contract: str, asset: str):
-        nonlocal out
-        known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-        rows = judged(rows).withColumn("rule_id", F.element_at(known, F.col("rule_id"))).select(F.lit(contract).alias("contract_id"), F.lit(asset).alias("asset"), "rule_id", "dimension", "numerator", "denominator", "threshold", "ratio", "status")
-        out = rows if out is None else out.unionByName(rows)
-
-    for (contract, asset), declared in per.items():
-        df = tables.get(asset)
-        if df is None:
-            lost += [(contract, asset, r["rule_id"], r["kind"], r["threshold"]) for r in declared]
-            continue
-        complete = {r["column"]: r for r in declared if r["kind"] == "completeness"}
-        said = {"validity": lambda r: r["argument"], "range": lambda r: ranged(r["column"], *[float(x) if x else None for x in r["argument"].split("..")]), "regex": lambda r: matching(r["column"], r["argument"])}
-        valid = {r["rule_id"]: (said[r["kind"]](r), r["threshold"]) for r in declared if r["kind"] in said}
-        if complete or valid:
-            names = {f"complete_{c}": r["rule_id"] for c, r in complete.items()} | {k: k for k in valid}
-            add(scan_rules(df, {c: r["threshold"] for c, r in complete.items()}, valid), names, contract, asset)
-        for r in declared:
-            if r["kind"] == "uniqueness":
-                add(uniqueness(df, r["column"], r["threshold"]), {f"unique_{r['column']}": r["rule_id"]}, contract, asset)
-            elif r["kind"] == "referential":
-                parent, _, key = r["argument"].partition(".")
-                add(referential(df, r["column"], tables[parent], key, r["threshold"]), {f"ref_{r['column']}": r["rule_id"]}, contract, asset)
-    spark = contracts.sparkSession
-    schema = "contract_id string, asset string, rule_id string, dimension string, threshold string"
-    bad = spark.createDataFrame(lost, schema).selectExpr("contract_id", "asset", "rule_id", "dimension", "cast(null as bigint) numerator", "cast(null as bigint) denominator", "threshold", "cast(null as double) ratio", "'evaluation_error' status")
-    return bad if out is None else out.unionByName(bad)

@@ -124,25 +124,6 @@ def relevant_file_patches(spark, sf_dir):
     return P.relevant_patch_of_files(files.selectExpr("sha", "'f' || k file", f"{text} patch"))
 
 
-@query("""SELECT 'c' || CAST(k AS string) AS contract_id, 'orders' AS asset, rule_id, numerator, denominator, CASE WHEN numerator / denominator > lim THEN 'violated' ELSE 'passed' END AS status FROM (
-    SELECT 1 AS k, 'has_customer' AS rule_id, count(*) - count(customer_id) AS numerator, count(*) AS denominator, 0.01 AS lim FROM dirty_orders
-    UNION ALL SELECT 1, 'amount_range', count(CASE WHEN NOT (amount >= 0 AND amount <= 400000) THEN 1 END), count(*), 0.05 FROM dirty_orders
-    UNION ALL SELECT 1, 'id_form', count(CASE WHEN NOT regexp_full_match(CAST(order_id AS string), '[0-9]*[02468]') THEN 1 END), count(*), 0.6 FROM dirty_orders
-    UNION ALL SELECT 2, 'one_id', sum(CASE WHEN n > 1 THEN n ELSE 0 END), sum(n), 0 FROM (SELECT count(*) AS n FROM dirty_orders GROUP BY order_id) AS g
-    UNION ALL SELECT 2, 'known', count(*) - count(c_custkey), count(*), 0.05 FROM dirty_orders LEFT JOIN customer ON c_custkey = customer_id) AS r
-    UNION ALL SELECT 'c2', 'nowhere', 'lost', NULL, NULL, 'evaluation_error'""".replace("SELECT 'c'", with_("dirty_orders") + " SELECT 'c'", 1))
-def contract_results(spark, sf_dir):
-    rules = [
-        ("c1", "active", "orders", "has_customer", "completeness", "customer_id", "", ">=99%"), ("c1", "active", "orders", "amount_range", "range", "amount", "0..400000", "<=5%"),
-        ("c1", "active", "orders", "id_form", "regex", "order_id", "[0-9]*[02468]", "<=60%"), ("c2", "approved", "orders", "one_id", "uniqueness", "order_id", "", "<=0%"),
-        ("c2", "approved", "orders", "known", "referential", "customer_id", "customer.c_custkey", "<=5%"), ("c2", "approved", "nowhere", "lost", "completeness", "x", "", "<=0%"),
-        ("c3", "draft", "orders", "not_run", "completeness", "amount", "", "<=0%"),
-    ]
-    contracts = spark.createDataFrame(rules, "contract_id string, status string, asset string, rule_id string, kind string, column string, argument string, threshold string")
-    out = Q.run_contracts(contracts, {"orders": fixture(spark, sf_dir, "dirty_orders"), "customer": table(spark, sf_dir, "customer")})
-    return out.select("contract_id", "asset", "rule_id", "numerator", "denominator", "status")
-
-
 @query(_SALES + " SELECT CAST(order_date AS string) AS order_date, round(sum(amount), 2) AS revenue FROM o GROUP BY 1")
 def revenue_by_day(spark, sf_dir):
     o, c, _ = _sales(spark, sf_dir)
