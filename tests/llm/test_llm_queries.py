@@ -7,10 +7,12 @@ import random
 import re
 import struct
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 import xxhash
 
@@ -255,7 +257,7 @@ def test_op9(spark, folder, rows):
     got = result(spark, folder, "op9_language_id")
     fold = {i: zlib.crc32(str(i).encode()) % 3 for i, *_ in rows}
     learned = {(g, t) for i, t, g, _ in rows if fold[i] != 1 and g and t is not None}
-    letters = re.compile(r"[^\W\d_]+")
+    letters = regex.compile(r"\p{L}+")
     langs = sorted({g for g, _ in learned})
     words, grams = defaultdict(Counter), [defaultdict(Counter) for _ in range(langid.LONGEST)]
     for g, t in learned:
@@ -298,10 +300,32 @@ def test_op9(spark, folder, rows):
 def test_op9_quota_and_copies(spark):
     rows = [(i, f"wort{i} haus", "de") for i in range(300)] + [(1000 + i, "the same text", "en") for i in range(3000)] + [(5000 + i, f"mot{i} maison", "fr") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    by = Counter(r.lang for r in langid.sample(df, 300, 10).collect())
+    by = Counter(r.lang for r in langid.sample(df, 300).collect())
     assert by["en"] == 1 and by["fr"] == 40 and 60 <= by["de"] <= 140
-    model = langid.train(df, max_words=90, max_grams=90)
-    assert len(model.words.seen) <= 90 and sum(len(t.seen) for t in model.grams) <= 90
+
+
+def test_op9_texts_without_letters(spark):
+    """Number characters, marks and digits are no letters; letters of any script are."""
+    learn = spark.createDataFrame([(1, "haus und hof", "de"), (2, "house and yard", "en")], "doc_id long, text string, lang string")
+    texts = ["½ ²", "Ⅷ ①", "12_34", "\u0301", "", None, "中", "½haus"]
+    found = [r.lang_pred for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), langid.train(learn)).sort("doc_id").collect()]
+    assert [x == "und" for x in found] == [not regex.search(r"\p{L}", t or "") for t in texts] and found[7] == "de"
+    alike = "".join(map(chr, [*range(0x3000), *range(0xA000, 0xD800), *range(0xF900, 0x12000)]))
+    assert [m.span() for m in langid.LETTERS.finditer(alike)] == [m.span() for m in re.finditer("L+", "".join("L" if unicodedata.category(c)[0] == "L" else " " for c in alike))]
+
+
+def test_op9_many_languages(spark, monkeypatch):
+    """No language goes, however many there are, and a small cache changes nothing."""
+    rows = [(g * 10 + k, f"wort{'abcdefghijklmnopqrstuvwxyz'[g % 26]}{'abcdefghijklmnopqrstuvwxyz'[g // 26]}x gemeinsam", f"l{g:03d}") for g in range(300) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, max_rows=30)
+    assert len(model.langs) == 300 and len(model.words.unseen) == 300
+    texts = [t for _, t, _ in rows] + [" ".join(t for _, t, _ in rows), "unbekannt", None]
+    want = list(model.predict(texts, langid.Scores(300)))
+    assert [g for g, _ in want[: len(rows)]] == [g for *_, g in rows]
+    monkeypatch.setattr(langid, "CACHE_FLOATS", 1200)
+    assert [g for g, _ in model.predict(texts, langid.Scores(300))] == [g for g, _ in want]
+    assert langid.hashes(["", "é", "wort"]).tolist() == list(spark.sql("select xxhash64(''), xxhash64('é'), xxhash64('wort')").first())
 
 
 def test_op10(spark, folder, rows):
