@@ -41,7 +41,8 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write a narrow intermediate table to the shared scratch folder and read it back.
 
     This cuts lineage (a lost executor re-reads the files instead of recomputing), and the columnar files
-    are far smaller than what a row checkpoint would store.
+    are far smaller than what a row checkpoint would store. The folder goes when ``discard`` says so, at the latest when
+    the session ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
@@ -49,17 +50,24 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    folder, system = _folder(spark, path)
+    system.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    """A folder and its file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more; whatever was derived from them is itself written."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        folder, system = _folder(df.sparkSession, df.scratch_path)
+        system.delete(folder, True)
 
 
 def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:

@@ -445,7 +445,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(docs).select("doc_id", "component_id"))
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
     repeats = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    out = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     if repeats:
         ids = out.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
         out = ids.unionByName(out.filter("doc_id is null"))

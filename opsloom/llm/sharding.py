@@ -1,12 +1,12 @@
 """Sharding by balanced label propagation (operator 3, DataFrame functions only). Law: ``rows``.
 
-Documents with equal texts are linked. Linked rows start dealt evenly over the shards and then move, in rounds of Spark
-joins, to the shard where most of their group is; ties go to a shard that the group's hash picks, so that groups
-spread. A round's moves between two shards are limited by quotas (an 8 x 8 table computed from the demand counts) so
-that no shard ever holds more rows than its even share. Rows without a link have no edge to cut and fill the shards up
-at the end, so row counts differ by one at most. A group larger than a quarter of a shard is placed before the rounds,
-whole in one shard where it fits, else in as few as can hold it; its rows have most of their group around them and stay.
-Fewer than ``4 * shards`` such groups can exist, so their table is small whatever the data.
+Documents with equal texts are linked. The labels start feasible: groups lie behind one another and fill the shards in
+proportion to their room, so a group begins whole unless a shard ends inside it; the largest groups (more than a quarter of a
+shard, so fewer than ``4 * shards`` whatever the data) are seeded first, whole in one shard where they fit, else in as
+few as can hold them. Then all linked rows move, in rounds of Spark joins, to the shard where most of their group is;
+ties go to a shard that the group's hash picks, so that groups spread. A round's moves between two shards are limited
+by quotas (an 8 x 8 table computed from the demand counts) so that no shard ever holds more rows than its even share. Rows
+without a link have no edge to cut and fill the shards up at the end, so row counts differ by one at most.
 
 Numbers without gaps come from counts of buckets of 16384 rows, their running sum and a row number in each bucket:
 no task sees a whole shard.
@@ -94,6 +94,16 @@ def shares(many: int, room: list[int]) -> list[int]:
     return [b - a for a, b in zip([0, *ends], ends)]
 
 
+def offsets(groups: DataFrame) -> DataFrame:
+    """group, offset: rows of the groups before each one, in the order of a hash."""
+    buckets = max(1, math.ceil(groups.count() / BUCKET_ROWS))
+    df = groups.withColumn("_h", F.xxhash64("group")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    sums = df.groupBy("_b").agg(F.sum("many").alias("_s"))
+    before = sums.select("_b", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    here = F.coalesce(F.sum("many").over(W.partitionBy("_b").orderBy("_h", "group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_i", here).join(before, "_b").select("group", (F.col("_o") + F.col("_i")).alias("offset"))
+
+
 def _cases(value: Column, limits: list[tuple[int, int]]) -> Column:
     """The label of the first (upper bound, label) above the value."""
     out = F.lit(None).cast("int")
@@ -120,16 +130,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         for j, k in parts:
             steps.append((key, total, total + k, j))
             total += k
-    linked = rows.join(groups, "group").select("idx", F.col("group").alias("key"), "many")
-    spans = F.broadcast(docs.sparkSession.createDataFrame(steps, "key string, low long, high long, shard int"))
-    ranked = numbered(linked.filter(F.col("many") > quarter), ["key"], "_k")
-    fixed = written(ranked.join(spans, "key").filter("_k >= low and _k < high").select("idx", "shard"))
-    small = groups.filter(F.col("many") <= quarter).agg(F.sum("many")).first()[0] or 0
-    limits, total = [], 0
-    for j, k in enumerate(shares(small, room)):
+    small = groups.filter(F.col("many") <= quarter)
+    total, limits = 0, []
+    for j, k in enumerate(shares(small.agg(F.sum("many")).first()[0] or 0, room)):
         total += k
         limits.append((total, j))
-    state = written(numbered(linked.filter(F.col("many") <= quarter), [], "_start").select("idx", "key", _cases(F.col("_start"), limits).alias("shard")))
+    linked = rows.join(groups.join(offsets(small), "group", "left"), "group").select("idx", F.col("group").alias("key"), "many", "offset")
+    ranked = numbered(linked, ["key"], "_k")
+    spans = F.broadcast(docs.sparkSession.createDataFrame(steps, "key string, low long, high long, shard int"))
+    seeds = ranked.filter(F.col("many") > quarter).join(spans, "key").filter("_k >= low and _k < high").select("idx", "key", "shard")
+    dealt = ranked.filter(F.col("many") <= quarter).select("idx", "key", _cases(F.col("offset") + F.col("_k"), limits).alias("shard"))
+    state = written(dealt.unionByName(seeds))
     for _ in range(rounds):
         held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         votes = state.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("votes"))
@@ -137,7 +148,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         wanted = votes.groupBy("key").agg(F.max(favoured).getField("shard").alias("target"))
         movers = written(state.join(wanted, "key").filter("shard <> target").select("idx", "shard", "target"))
         demand = {(r["shard"], r["target"]): r["n"] for r in movers.groupBy("shard", "target").agg(F.count(F.lit(1)).alias("n")).collect()}
-        allowed = quotas(demand, [held.get(j, 0) for j in range(shards)], room)
+        allowed = quotas(demand, [held.get(j, 0) for j in range(shards)], capacity)
         if not sum(allowed.values()):
             break
         quota = F.lit(0)
@@ -148,9 +159,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     limits, total = [], 0
     for j in range(shards):
-        total += room[j] - held.get(j, 0)
+        total += capacity[j] - held.get(j, 0)
         limits.append((total, j))
-    placed = rows.join(state.select("idx", "shard").unionByName(fixed), "idx", "left").select("idx", "doc_id", "size", "text_crc32", "shard")
+    placed = rows.join(state.select("idx", "shard"), "idx", "left").select("idx", "doc_id", "size", "text_crc32", "shard")
     placed = written(placed)
     free = numbered(placed.filter("shard is null").drop("shard"), [], "_k").withColumn("shard", _cases(F.col("_k"), limits)).drop("_k")
     both = written(placed.filter("shard is not null").unionByName(free))

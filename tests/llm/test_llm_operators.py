@@ -1,6 +1,7 @@
 """Small fixtures for the operators of the training-data pipeline: edge cases and brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -211,7 +212,7 @@ def test_sharding_laws(spark, corpus):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and set(by) == set(range(8))
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     where = {r.doc_id: r.shard for r in out}
-    assert sum(where[20_000 + i] == where[20_001 + i] for i in range(0, 60, 2)) >= 25
+    assert sum(where[20_000 + i] == where[20_001 + i] for i in range(0, 60, 2)) == 30
     texts = {i: t for i, t, *_ in rows}
     for r in out:
         raw = (texts[r.doc_id] or "").encode()
@@ -230,6 +231,35 @@ def test_large_groups_stay_together(spark):
     assert cut == {"third": 23400, "sixty": 0, "forty": 0, "thirty": 0}
 
 
+def smallest_cut(sizes, room):
+    """Least number of linked pairs in different shards, by trying every way to fill the shards with groups."""
+    states = {tuple(room): 0}
+    for n in sizes:
+        new = {}
+        for left, cut in states.items():
+            for parts in itertools.product(*[range(min(n, r) + 1) for r in left[:-1]]):
+                last = n - sum(parts)
+                if 0 <= last <= left[-1]:
+                    after = tuple(sorted(r - k for r, k in zip(left, (*parts, last), strict=True)))
+                    c = cut + (n * n - sum(k * k for k in (*parts, last))) // 2
+                    new[after] = min(c, new.get(after, c))
+        states = new
+    return min(states.values())
+
+
+@pytest.mark.parametrize("sizes", [[9, 4, 3, 2], [5, 5, 5, 4, 2], [3] * 7, [2] * 12, [20, 2, 2], [13, 11], [7, 7, 7], [6, 6, 6, 6]])
+def test_cut_against_the_smallest(spark, sizes):
+    """24 rows on three shards; groups of every size, up to most of the rows."""
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"alone {i}" for i in range(24 - len(texts))]
+    out = sharding.shard(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), shards=3).collect()
+    assert sorted(Counter(r.shard for r in out).values()) == [8, 8, 8]
+    cut = 0
+    for g, n in enumerate(sizes):
+        cut += (n * n - sum(k * k for k in Counter(r.shard for r in out if texts[r.doc_id] == f"group {g}").values())) // 2
+    assert cut == smallest_cut(sizes, [8, 8, 8])
+
+
 def test_quotas_keep_capacity():
     allowed = sharding.quotas({(0, 1): 9, (1, 0): 4, (2, 1): 7}, [5, 5, 5], [6, 6, 6])
     held = [5 + sum(v for (a, b), v in allowed.items() if b == j) - sum(v for (a, b), v in allowed.items() if a == j) for j in range(3)]
