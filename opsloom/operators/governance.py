@@ -12,24 +12,22 @@ from opsloom.functions.columns import severity_rank, stable_id, version_key
 
 # --- change risk
 
-#: Names of the secret patterns with their severity.
-SECRET_PATTERNS = (
-    ("cloud_access_key", r"AKIA[0-9A-Z]{16}", "alta"),
-    ("personal_token", r"gh[pousr]_[A-Za-z0-9]{36}", "alta"),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "alta"),
-    ("generic_secret", r"(?i)(?:password|secret|token|api[_-]?key)\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']", "media"),
-)
-
+def assets_for_change(changes: DataFrame, sources: DataFrame) -> DataFrame:
+    """sha, asset of every changed (sha, file) that stands for a source (path, asset).
 
-def assets_for_change(changes: DataFrame, assets: DataFrame) -> DataFrame:
-    """sha, asset: a changed file names an asset by its last part without extension, or by its whole path.
-
-    Both sides are reduced to keys first, so this is an equi-join instead of a suffix comparison of all pairs.
+    A file stands for a path if it ends with it or has the same last part. A path with a folder can only be the end of a
+    file with the same last part, so such paths meet by that part; a path without one meets the ends of last parts. Both
+    sides are made keys and met by an equi-join; nothing is compared with everything.
     """
-    base = F.regexp_replace(F.substring_index("file", "/", -1), r"\.[A-Za-z]+$", "")
-    c = changes.select("sha", F.explode(F.array_distinct(F.array(F.col("file"), base))).alias("k"))
-    a = assets.select("asset", F.explode(F.array_distinct(F.array(F.col("asset"), F.substring_index("asset", "/", -1)))).alias("k"))
-    return c.join(a, "k").select("sha", "asset").distinct()
+    last = lambda c: F.substring_index(c, "/", -1)
+    name = last(F.col("file"))
+    files = changes.filter("file is not null").select("sha", name.alias("name")).distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.length("name") + 1), lambda i: F.struct(F.lit(True).alias("end"), F.substring(F.col("name"), i, F.length("name")).alias("k")))
+    names = files.select("name").distinct().select("name", F.explode(F.array_append(ends, F.struct(F.lit(False).alias("end"), F.col("name").alias("k")))).alias("e")).select("name", "e.*")
+    whole = ~F.col("path").contains("/")
+    keys = sources.filter("path is not null").select(whole.alias("end"), F.when(whole, F.col("path")).otherwise(last(F.col("path"))).alias("k"), "asset").distinct()
+    met = names.join(keys, ["end", "k"]).select("name", "asset").distinct()
+    return files.join(met, "name").select("sha", "asset").distinct()
 
 
 def blast_score(change_assets: DataFrame, reached: DataFrame) -> DataFrame:
@@ -39,15 +37,36 @@ def blast_score(change_assets: DataFrame, reached: DataFrame) -> DataFrame:
     return df.select("sha", F.when(F.col("dash") == 1, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("s") / 3, F.lit(0.0)))).alias("blast"))
 
 
-def history_score(change_assets: DataFrame, changes: DataFrame, incidents: DataFrame, days: int = 14) -> DataFrame:
+def incidents_after_changes(touched: DataFrame, incidents: DataFrame, days: int = 14) -> DataFrame:
+    """(asset, incident_id) of incidents detected at most ``days`` after some change (asset, committed_at) of their asset.
+
+    Time is cut into spans of that length. A change that an incident follows lies in the incident's span, where the first
+    one of the asset decides, or in the one before, where the last one does: an asset has two instants a span, however
+    many changes.
+    """
+    length = days * 86_400_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    span = lambda t: F.floor(t / F.lit(length)).cast("long")
+    at = touched.filter("committed_at is not null").select("asset", micros("committed_at").alias("t"))
+    per = at.groupBy("asset", span(F.col("t")).alias("span")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    none = F.lit(None).cast("long")
+    sides = F.array(F.struct(F.col("span").alias("span"), F.col("first").alias("first"), none.alias("last")), F.struct((F.col("span") + 1).alias("span"), none.alias("first"), F.col("last").alias("last")))
+    known = per.select("asset", F.explode(sides).alias("s")).groupBy("asset", F.col("s.span").alias("span")).agg(F.min("s.first").alias("first"), F.max("s.last").alias("last"))
+    late = incidents.filter("detected_at is not null").select("asset", "incident_id", micros("detected_at").alias("d")).withColumn("span", span(F.col("d")))
+    follows = (F.col("first") <= F.col("d")) | (F.col("last") >= F.col("d") - F.lit(length))
+    return late.join(known, ["asset", "span"]).filter(follows).select("asset", "incident_id").distinct()
+
+
+def history_score(change_assets: DataFrame, changes: DataFrame, incidents: DataFrame, days: int = 14, enough: int = 3) -> DataFrame:
     """sha, history: incidents on the change's assets at most 14 days after any change to the asset, over three, at most 1.
 
-    Whether an incident follows a change is decided once an asset and incident, before changes are multiplied.
+    More than ``enough`` incidents change nothing, so an asset sends the smallest ids of so many on to its changes.
     """
     touched = change_assets.join(changes.select("sha", "committed_at"), "sha").select("asset", "committed_at")
-    after = incidents.join(touched, "asset").filter((F.col("detected_at") >= F.col("committed_at")) & (F.col("detected_at") <= F.col("committed_at") + F.expr(f"INTERVAL '{days}' DAY"))).select("asset", "incident_id").distinct()
-    df = change_assets.join(after, "asset").groupBy("sha").agg(F.countDistinct("incident_id").alias("n"))
-    return changes.select("sha").distinct().join(df, "sha", "left").select("sha", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 3).alias("history"))
+    after = incidents_after_changes(touched, incidents, days)
+    some = after.withColumn("_n", F.row_number().over(W.partitionBy("asset").orderBy("incident_id"))).filter(F.col("_n") <= enough).drop("_n")
+    df = change_assets.join(some, "asset").groupBy("sha").agg(F.countDistinct("incident_id").alias("n"))
+    return changes.select("sha").distinct().join(df, "sha", "left").select("sha", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / enough).alias("history"))
 
 
 def size_score(n_files: Column, patch: Column) -> Column:
@@ -87,16 +106,27 @@ def entropy(token: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - (n - F.size(F.array_remove(chars, c))) / n * F.log2((n - F.size(F.array_remove(chars, c))) / n))
 
 
-def secret_findings(texts: DataFrame, key: str = "sha", least_chars: int = 20, least_bits: float = 4.0) -> DataFrame:
-    """key, pattern, severity, masked: four patterns, and long tokens of high entropy; only four characters are shown."""
-    parts = []
-    for name, rx, severity in SECRET_PATTERNS:
-        hit = texts.filter(F.col("text").rlike(rx)).select(key, F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("t"))
-        parts.append(hit.select(key, F.lit(name).alias("pattern"), F.lit(severity).alias("severity"), F.concat(F.substring("t", 1, 4), F.lit("***")).alias("masked")))
-    rx = rf"[A-Za-z0-9+/=_-]{{{least_chars},}}"
-    tokens = texts.filter(F.col("text").rlike(rx)).select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rx), F.lit(0)))).alias("t"))
-    parts.append(tokens.filter(entropy(F.col("t")) >= least_bits).select(key, F.lit("entropy").alias("pattern"), F.lit("media").alias("severity"), F.concat(F.substring("t", 1, 4), F.lit("***")).alias("masked")))
-    return reduce(DataFrame.unionByName, parts)
+#: Name, regular expression and severity of the secret patterns.
+SECRET_PATTERNS = (
+    ("aws_access_key", r"AKIA[0-9A-Z]{16}", "alta"),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "alta"),
+    ("databricks_token", r"dapi[0-9a-f]{32}", "alta"),
+    ("generic_secret", r"(?i)(api[_-]?key|token|secret|password)\s*[:=]\s*['\"][^'\"]{8,}['\"]", "média"),
+)
+
+
+def secret_findings(texts: DataFrame, key: str = "sha", patterns=SECRET_PATTERNS, least_chars: int = 20, least_bits: float = 4.0, shown: int = 4) -> DataFrame:
+    """key, pattern, severity, masked: matches of a table of patterns (name, expression, severity), and long tokens of high
+    entropy; only the first ``shown`` characters are shown. All patterns look at a text in one pass."""
+    masked = lambda t: F.concat(F.substring(t, 1, shown), F.lit("***"))
+    tokens = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"[A-Za-z0-9+/=_-]{{{least_chars},}}"), F.lit(0))), lambda t: entropy(t) >= least_bits)
+    found = [(name, severity, F.regexp_extract_all("text", F.lit(rx), F.lit(0))) for name, rx, severity in patterns] + [("entropy", "média", tokens)]
+
+    def marked(name, severity, hits):
+        return F.transform(hits, lambda t: F.struct(F.lit(name).alias("pattern"), F.lit(severity).alias("severity"), masked(t).alias("masked")))
+
+    each = [marked(*f) for f in found]
+    return texts.filter("text is not null").select(key, F.explode(F.flatten(F.array(*each))).alias("f")).select(key, "f.*")
 
 
 def gate_decisions(risks: DataFrame, secrets: DataFrame, deps: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def runtime_hypotheses(df: DataFrame) -> DataFrame:
     """
     growth = F.col("input_rows") / F.col("healthy_rows")
     moved = F.exists("new_operators", lambda o: o.contains("Window") | o.contains("Exchange hashpartitioning"))
-    touched = F.coalesce(F.col("patch").rlike(r"(?i)join|Window|partitionBy"), F.lit(False))
+    touched = F.coalesce(F.col("patch").rlike(r"(?i)\bjoin\b|Window|partitionBy"), F.lit(False))
     options = [
         ("skew_join_change", _sum((F.coalesce(F.col("skew_ratio") >= 10, F.lit(False)), 0.35), (F.coalesce(moved, F.lit(False)), 0.25), (touched, 0.25), (F.coalesce(growth < 1.5, F.lit(False)), 0.05))),
         ("volume_growth", F.when(growth.isNull(), 0.0).when(growth >= 1.5, 0.40).otherwise(0.05)),

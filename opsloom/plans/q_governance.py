@@ -21,32 +21,38 @@ def _changes(spark, sf_dir):
     return fixture(spark, sf_dir, "changes")
 
 
-def _assets(spark, sf_dir):
-    return table(spark, sf_dir, "part").selectExpr("case when p_partkey % 2 = 0 then 'part.' || p_partkey else 'x/part.' || p_partkey end asset")
+_PATH = "CASE p_partkey % 5 WHEN 0 THEN 'part.' || CAST(p_partkey AS string) || '.py' WHEN 1 THEN 'src/part.' || CAST(p_partkey AS string) || '.py' WHEN 2 THEN 'old/deep/part.' || CAST(p_partkey AS string) || '.py' WHEN 3 THEN CAST(p_partkey AS string) || '.py' ELSE 'src/part.' || CAST(p_partkey AS string) || '.sql' END"
 
 
-_CA = with_("changes") + ", assets AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'part.' || CAST(p_partkey AS string) ELSE 'x/part.' || CAST(p_partkey AS string) END AS asset FROM part), ca AS (SELECT DISTINCT sha, asset FROM changes JOIN assets ON regexp_replace(regexp_replace(file, '.*/', ''), '[.][A-Za-z]+$', '') = regexp_replace(asset, '.*/', ''))"
+def _sources(spark, sf_dir):
+    """(path, asset) of every part: paths of the whole file, of its end, of its name elsewhere, of the end of its name, and others."""
+    return table(spark, sf_dir, "part").selectExpr(f"{_PATH} path", "'part.' || p_partkey asset")
+
+
+# a file stands for a path that it ends with, or that has the same last part
+_CA = with_("changes") + f""", assets AS (SELECT {_PATH} AS path, 'part.' || CAST(p_partkey AS string) AS asset FROM part), fs AS (SELECT DISTINCT file FROM changes),
+    fa AS (SELECT DISTINCT file, asset FROM fs JOIN assets ON suffix(file, path) OR regexp_replace(file, '.*/', '') = regexp_replace(path, '.*/', '')), ca AS (SELECT DISTINCT sha, asset FROM changes JOIN fa ON fa.file = changes.file)"""
 
 
 @query(_CA + " SELECT sha, asset FROM ca")
 def assets_for_change(spark, sf_dir):
-    return G.assets_for_change(_changes(spark, sf_dir), _assets(spark, sf_dir))
+    return G.assets_for_change(_changes(spark, sf_dir), _sources(spark, sf_dir))
 
 
 @query(_CA + ", r AS (SELECT asset, max(CASE WHEN CAST(regexp_extract(asset, '[0-9]+') AS int) % 5 = 0 THEN 1 ELSE 0 END) AS dash, sum(CAST(regexp_extract(asset, '[0-9]+') AS int) % 7) / 2.0 AS s FROM assets GROUP BY 1), b AS (SELECT sha, max(dash) AS dash, max(s) AS s FROM ca LEFT JOIN r ON r.asset = ca.asset GROUP BY 1) SELECT sha, round(CAST(CASE WHEN dash = 1 THEN 1 ELSE least(1, s / 3) END AS double), 8) AS blast FROM b")
 def blast_scores(spark, sf_dir):
-    a = _assets(spark, sf_dir).withColumn("n", F.regexp_extract("asset", "[0-9]+", 0).cast("int"))
+    a = _sources(spark, sf_dir).withColumn("n", F.regexp_extract("asset", "[0-9]+", 0).cast("int"))
     reached = a.selectExpr("asset origin", "case when n % 5 = 0 then 'dashboard' else 'job' end entity_type", "n % 7 / 2.0d score")
-    return G.blast_score(G.assets_for_change(_changes(spark, sf_dir), _assets(spark, sf_dir)), reached).withColumn("blast", F.round("blast", 8))
+    return G.blast_score(G.assets_for_change(_changes(spark, sf_dir), _sources(spark, sf_dir)), reached).withColumn("blast", F.round("blast", 8))
 
 
-_HIST = ", inc AS (SELECT 'i' || CAST(c_custkey AS string) AS incident_id, CASE WHEN c_custkey % 200 % 2 = 0 THEN 'part.' ELSE 'x/part.' END || CAST(c_custkey % 200 AS string) AS asset, TIMESTAMP '1995-01-01 00:00:00' + INTERVAL '1' DAY * CAST(c_custkey % 1000 AS int) AS detected_at FROM customer)"
+_HIST = ", inc AS (SELECT 'i' || CAST(c_custkey AS string) AS incident_id, 'part.' || CAST(c_custkey % 200 AS string) AS asset, TIMESTAMP '1995-01-01 00:00:00' + INTERVAL '1' DAY * CAST(c_custkey % 1000 AS int) AS detected_at FROM customer)"
 
 
 def _history(spark, sf_dir):
-    inc = table(spark, sf_dir, "customer").selectExpr("'i' || c_custkey incident_id", "case when c_custkey % 200 % 2 = 0 then 'part.' else 'x/part.' end || (c_custkey % 200) asset", "timestamp '1995-01-01 00:00:00' + interval '1' day * cast(c_custkey % 1000 as int) detected_at")
+    inc = table(spark, sf_dir, "customer").selectExpr("'i' || c_custkey incident_id", "'part.' || (c_custkey % 200) asset", "timestamp '1995-01-01 00:00:00' + interval '1' day * cast(c_custkey % 1000 as int) detected_at")
     c = _changes(spark, sf_dir)
-    return G.history_score(G.assets_for_change(c, _assets(spark, sf_dir)), c, inc)
+    return G.history_score(G.assets_for_change(c, _sources(spark, sf_dir)), c, inc)
 
 
 @query(_CA + _HIST + """, aft AS (SELECT DISTINCT i.asset, incident_id FROM inc i JOIN ca ON ca.asset = i.asset JOIN changes c ON c.sha = ca.sha AND detected_at >= committed_at AND detected_at <= committed_at + INTERVAL '14' DAY), n AS (SELECT sha, count(DISTINCT incident_id) AS n FROM ca JOIN aft ON aft.asset = ca.asset GROUP BY 1)
@@ -94,14 +100,21 @@ def version_order(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (version_key(v) < version_key(F.lit("1.2"))).alias("older"))
 
 
-@query("""SELECT doc_id, pattern, masked, count(*) AS n FROM (
-    SELECT doc_id, 'cloud_access_key' AS pattern, substr(unnest(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')), 1, 4) || '***' AS masked FROM documents
-    UNION ALL SELECT doc_id, 'personal_token', substr(unnest(regexp_extract_all(text, 'gh[pousr]_[A-Za-z0-9]{36}')), 1, 4) || '***' FROM documents
-    UNION ALL SELECT doc_id, 'private_key', substr(unnest(regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')), 1, 4) || '***' FROM documents
-    UNION ALL SELECT doc_id, 'generic_secret', substr(unnest(regexp_extract_all(text, '(?i)(?:password|secret|token|api[_-]?key)\\s*[:=]\\s*[\\x22\\x27][^\\x22\\x27\\s]{8,}[\\x22\\x27]')), 1, 4) || '***' FROM documents) AS x GROUP BY ALL""")
+# texts with a secret of each kind, and near misses: one character less, another case, an unquoted or a short value
+_LEAK = """CASE doc_id % 9 WHEN 0 THEN ' key AKIA' || upper(substr(md5(CAST(doc_id AS string)), 1, 16)) WHEN 1 THEN ' key AKIA' || upper(substr(md5(CAST(doc_id AS string)), 1, 15)) || 'x' WHEN 2 THEN ' dapi' || md5(CAST(doc_id AS string)) WHEN 3 THEN ' dapi' || upper(md5(CAST(doc_id AS string)))
+    WHEN 4 THEN ' -----BEGIN RSA PRIVATE KEY-----' WHEN 5 THEN ' -----BEGIN RSA PUBLIC KEY-----' WHEN 6 THEN ' Api_Key = "two words ' || CAST(doc_id AS string) || '"' WHEN 7 THEN ' password: "short"' ELSE ' token: unquoted' || CAST(doc_id AS string) END"""
+_LEAKS = f"WITH t AS (SELECT doc_id, text || {_LEAK} AS text FROM documents)"
+
+
+@query(_LEAKS + r""" SELECT doc_id, pattern, severity, masked, count(*) AS n FROM (
+    SELECT doc_id, 'aws_access_key' AS pattern, 'alta' AS severity, substr(unnest(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')), 1, 4) || '***' AS masked FROM t
+    UNION ALL SELECT doc_id, 'private_key', 'alta', substr(unnest(regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')), 1, 4) || '***' FROM t
+    UNION ALL SELECT doc_id, 'databricks_token', 'alta', substr(unnest(regexp_extract_all(text, 'dapi[0-9a-f]{32}')), 1, 4) || '***' FROM t
+    UNION ALL SELECT doc_id, 'generic_secret', 'média', substr(unnest(regexp_extract_all(text, '(?i)(?:api[_-]?key|token|secret|password)\s*[:=]\s*[\x22\x27][^\x22\x27]{8,}[\x22\x27]')), 1, 4) || '***' FROM t) AS x GROUP BY ALL""")
 def secret_findings(spark, sf_dir):
-    f = G.secret_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").filter("pattern <> 'entropy'")
-    return f.groupBy("doc_id", "pattern", "masked").agg(F.count(F.lit(1)).alias("n"))
+    texts = table(spark, sf_dir, "documents").selectExpr("doc_id", f"text || {_LEAK} text")
+    f = G.secret_findings(texts, "doc_id").filter("pattern <> 'entropy'")
+    return f.groupBy("doc_id", "pattern", "severity", "masked").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{20,}'))) AS tok FROM documents), c AS (SELECT doc_id, tok, unnest(string_split(tok, '')) AS ch FROM t),

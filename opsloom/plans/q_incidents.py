@@ -17,12 +17,12 @@ def now():
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-@query("""WITH c AS (SELECT 'i' || CAST(o_orderkey AS string) AS incident_id, 1 + o_orderkey % 20 AS skew, o_orderkey % 2 = 0 AS moved, o_orderkey % 3 = 0 AS touched, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 1 + o_orderkey % 3 END AS growth, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 5 = 1 END AS env, o_orderkey % 7 = 0 AS chg FROM orders),
+@query("""WITH c AS (SELECT 'i' || CAST(o_orderkey AS string) AS incident_id, 1 + o_orderkey % 20 AS skew, o_orderkey % 2 = 0 AS moved, o_orderkey % 9 IN (0, 2, 6) AS touched, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 1 + o_orderkey % 3 END AS growth, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 5 = 1 END AS env, o_orderkey % 7 = 0 AS chg FROM orders),
     h AS (SELECT incident_id, 'skew_join_change' AS code, round(CASE WHEN skew >= 10 THEN 0.35 ELSE 0 END + CASE WHEN moved THEN 0.25 ELSE 0 END + CASE WHEN touched THEN 0.25 ELSE 0 END + CASE WHEN growth < 1.5 THEN 0.05 ELSE 0 END, 4) AS conf FROM c
     UNION ALL SELECT incident_id, 'volume_growth', CASE WHEN growth IS NULL THEN 0 WHEN growth >= 1.5 THEN 0.4 ELSE 0.05 END FROM c UNION ALL SELECT incident_id, 'compute_change', CASE WHEN env IS NULL THEN 0 WHEN env THEN 0.5 ELSE 0.05 END FROM c UNION ALL SELECT incident_id, 'change_temporal_only', CASE WHEN chg THEN 0.3 ELSE 0 END FROM c)
     SELECT incident_id, code, CAST(least(conf, 0.9) AS double) AS confidence, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY conf DESC, code) AS int) AS rank FROM h WHERE conf > 0""")
 def runtime_hypotheses(spark, sf_dir):
-    c = table(spark, sf_dir, "orders").selectExpr("'i' || o_orderkey incident_id", "cast(1 + o_orderkey % 20 as double) skew_ratio", "case when o_orderkey % 2 = 0 then array('Window') else array('Sort') end new_operators", "case when o_orderkey % 3 = 0 then '+a.join(b)' end patch", "cast(case when o_orderkey % 4 = 0 then null else 1 + o_orderkey % 3 end as double) input_rows", "1.0d healthy_rows", "case when o_orderkey % 5 = 0 then null else o_orderkey % 5 = 1 end env_changed", "o_orderkey % 7 = 0 has_change")
+    c = table(spark, sf_dir, "orders").selectExpr("'i' || o_orderkey incident_id", "cast(1 + o_orderkey % 20 as double) skew_ratio", "case when o_orderkey % 2 = 0 then array('Window') else array('Sort') end new_operators", "case when o_orderkey % 9 = 0 then '+a.join(b)' when o_orderkey % 9 = 1 then '+joined_at = rejoin(x)' when o_orderkey % 9 = 2 then '+W.PARTITIONBY(k)' when o_orderkey % 9 = 6 then '-LEFT JOIN t' when o_orderkey % 9 = 7 then '+x = 1' end patch", "cast(case when o_orderkey % 4 = 0 then null else 1 + o_orderkey % 3 end as double) input_rows", "1.0d healthy_rows", "case when o_orderkey % 5 = 0 then null else o_orderkey % 5 = 1 end env_changed", "o_orderkey % 7 = 0 has_change")
     return I.rank_hypotheses(I.runtime_hypotheses(c))
 
 
