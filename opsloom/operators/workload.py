@@ -2,95 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FRAME_ROWS = 20_000
+#: Values of a customer that one task ranks, and buckets that more of them are cut into.
+MOST_VALUES, BUCKETS = 500_000, 256
+_KEY = ["customer_id", "_day"]
 
 
 def _enriched(orders: DataFrame, customers: DataFrame, segments: DataFrame) -> DataFrame:
-    """Orders with region, segment and net amount (null where the discount is not known)."""
+    """Orders with region, segment, net amount (null where the discount is not known) and the day as a number.
+
+    A missing customer is one customer with an empty id; a missing day is before all others.
+    """
     df = orders.join(customers, "customer_id", "left").join(segments, "customer_id", "left")
-    return df.withColumn("net", F.col("amount") * (1 - F.col("discount_pct") / 100))
+    day = F.coalesce(F.unix_date("order_date"), F.lit(-(1 << 31)))
+    return df.withColumns({"net": F.col("amount") * (1 - F.col("discount_pct") / 100), "customer_id": F.coalesce(F.col("customer_id").cast("string"), F.lit("")), "_day": day})
 
 
-def day_figures(rows: DataFrame) -> DataFrame:
-    """Per customer and day: rows, number of the first and last row of the customer, extremes, largest running sum.
+def numbered_rows(rows: DataFrame, running: bool = True) -> DataFrame:
+    """Adds ``seq``, the number of a row among its customer's in order of time and id, and ``running``, the sum of net up to its time.
 
-    Days carry the counts and sums of the days before as offsets, so no window holds more than a customer's rows of one
-    day or one row a day. A day is that of ``order_ts``.
+    A day carries the count and sum of the days before it, so no window holds more than a customer's rows of one day
+    or one row a day.
     """
-    day = ["customer_id", "order_date"]
-    instants = rows.groupBy(*day, "order_ts").agg(F.sum("net").alias("s"))
-    inside = F.sum("s").over(W.partitionBy(*day).orderBy("order_ts"))
-    within = instants.withColumn("r", inside).groupBy(*day).agg(F.max("r").alias("r_max"), F.sum("s").alias("s"))
-    days = rows.groupBy(*day).agg(F.count(F.lit(1)).alias("n"), F.max("net").alias("high"), F.min("net").alias("low")).join(within, day)
-    before = W.partitionBy("customer_id").orderBy("order_date").rowsBetween(W.unboundedPreceding, -1)
-    so_far = W.partitionBy("customer_id").orderBy("order_date").rowsBetween(W.unboundedPreceding, W.currentRow)
-    days = days.withColumns({"last": F.sum("n").over(so_far), "prior": F.sum("s").over(before), "run_high": F.max("high").over(so_far), "run_low": F.min("low").over(so_far)})
-    running = F.coalesce(F.col("prior") + F.col("r_max"), "prior", "r_max")
-    return days.withColumns({"first": F.col("last") - F.col("n") + 1, "running": running})
-
-
-def recent_extremes(rows: DataFrame, days: DataFrame, frame: int) -> DataFrame:
-    """Per customer and day: largest and smallest net of the ``frame`` rows up to each row of the day.
-
-    Together the frames of a day reach from ``frame - 1`` rows before its first row to its last one. Up to the first full
-    frame that is everything so far; later it is the rest of the day in which it begins (a lookup of one row among the
-    suffix extremes of that day) and the whole days after it.
+    days = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("s"))
+    before = W.partitionBy("customer_id").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select(*_KEY, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_rows"), F.sum("s").over(before).alias("_sum"))
+    of_day = W.partitionBy(*_KEY).orderBy("order_ts", "order_id")
+    up_to = W.partitionBy(*_KEY).orderBy("order_ts")
+    df = rows.withColumns({"_k": F.row_number().over(of_day)} | ({"_r": F.sum("net").over(up_to)} if running else {})).join(days, _KEY)
+    df = df.withColumn("seq", F.col("_rows") + F.col("_k"))
+    return df.withColumn("running", F.coalesce(F.col("_sum") + F.col("_r"), "_sum", "_r")) if running else df
+
+
+def recent_extremes(rows: DataFrame, frame: int, most: int) -> DataFrame:
+    """Adds ``recent_max`` and ``recent_min``, the extremes of net in the ``frame`` rows of the customer up to each row.
+
+    Rows are cut into blocks of ``frame``. A frame is the end of one block, from its own first row on, and the beginning of
+    the next: it takes the running extremes of its last row's block, and of its first row's block from behind. Where no
+    customer has more than a frame (``most`` is the largest number of rows), every customer is one block.
     """
-    day = ["customer_id", "order_date"]
-    early = days.filter(F.col("first") <= frame).select(*day, F.col("run_high").alias("recent_max"), F.col("run_low").alias("recent_min"))
-    late = days.filter(F.col("first") > frame).select("customer_id", "order_date", (F.col("first") - (frame - 1)).alias("lo"))
-    big = late.select("customer_id").distinct()
-    span = days.join(big, "customer_id", "left_semi").select("customer_id", F.col("order_date").alias("d"), "first", "last", "high", "low")
-    whole = late.join(span, "customer_id").filter((F.col("d") <= F.col("order_date")) & (F.col("first") >= F.col("lo"))).groupBy(*day).agg(F.max("high").alias("h1"), F.min("low").alias("l1"))
-    numbered = rows.join(big, "customer_id", "left_semi").withColumn("k", F.row_number().over(W.partitionBy(*day).orderBy("order_ts", "order_id")))
-    rest = W.partitionBy(*day).orderBy("k").rowsBetween(W.currentRow, W.unboundedFollowing)
-    suffix = numbered.withColumns({"h2": F.max("net").over(rest), "l2": F.min("net").over(rest)}).join(days.select(*day, "first"), day)
-    suffix = suffix.select("customer_id", (F.col("first") + F.col("k") - 1).alias("lo"), "h2", "l2")
-    met = late.join(suffix, ["customer_id", "lo"]).join(whole, day, "left")
-    return early.unionByName(met.select(*day, F.greatest("h1", "h2").alias("recent_max"), F.least("l1", "l2").alias("recent_min")))
-
-
-def value_ranks(rows: DataFrame, buckets: int = 1024) -> DataFrame:
+    df = rows.withColumn("_block", F.floor((F.col("seq") - 1) / frame))
+    ahead = W.partitionBy("customer_id", "_block").orderBy("seq")
+    df = df.withColumns({"_high": F.max("net").over(ahead), "_low": F.min("net").over(ahead)})
+    if most <= frame:
+        return df.withColumnsRenamed({"_high": "recent_max", "_low": "recent_min"})
+    behind = W.partitionBy("customer_id", "_block").orderBy(F.desc("seq"))
+    many = rows.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > frame).select("customer_id")  # others are one block
+    ends = rows.join(many, "customer_id", "left_semi").withColumn("_block", F.floor((F.col("seq") - 1) / frame))
+    ends = ends.select("customer_id", (F.col("seq") + (frame - 1)).alias("seq"), F.max("net").over(behind).alias("_high_0"), F.min("net").over(behind).alias("_low_0"))
+    met = df.join(ends, ["customer_id", "seq"], "left")
+    return met.withColumns({"recent_max": F.greatest("_high", "_high_0"), "recent_min": F.least("_low", "_low_0")})
+
+
+def _bucket(cuts: Column, value: Column) -> Column:
+    """Number of ascending cuts below a value, in two steps."""
+    step = math.isqrt(BUCKETS)
+    heads = F.transform(F.sequence(F.lit(1), F.size(cuts), F.lit(step)), lambda i: F.element_at(cuts, i))
+    block = F.greatest(F.size(F.filter(heads, lambda c: c < value)) - 1, F.lit(0))
+    return block * step + F.size(F.filter(F.slice(cuts, block * step + 1, F.lit(step)), lambda c: c < value))
+
+
+def value_ranks(rows: DataFrame, most: int) -> DataFrame:
     """Per customer and net amount: dense and percent rank, largest first, unknown amounts last.
 
-    A customer's range of amounts is cut into buckets; counts of the buckets above are the offset of the ranks within one.
+    The amounts of a customer with very many different ones are cut at quantiles; counts of the buckets above are the
+    offset of the ranks within one. None has more amounts than rows (``most``).
     """
     values = rows.groupBy("customer_id", "net").agg(F.count(F.lit(1)).alias("n"))
-    span = values.groupBy("customer_id").agg(F.min("net").alias("lo"), F.max("net").alias("hi"), F.sum("n").alias("all"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("net") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(F.lit(0))
-    values = values.join(span, "customer_id").withColumn("bucket", F.when(F.col("net").isNull(), F.lit(-1)).otherwise(place))
-    above = W.partitionBy("customer_id").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
-    sums = values.groupBy("customer_id", "bucket").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("m"))
-    sums = sums.select("customer_id", "bucket", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("d0"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("m0"))
-    here = W.partitionBy("customer_id", "bucket").orderBy(F.desc_nulls_last("net"))
-    ranked = values.withColumns({"d": F.row_number().over(here), "m": F.coalesce(F.sum("n").over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))}).join(sums, ["customer_id", "bucket"])
-    pct = F.when(F.col("all") > 1, (F.col("m0") + F.col("m")) / (F.col("all") - 1)).otherwise(F.lit(0.0))
-    return ranked.select("customer_id", "net", (F.col("d0") + F.col("d")).cast("int").alias("rank"), pct.alias("pct"))
+    sums = values.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_values"), F.sum("n").alias("_all"))
+    values, parts = values.join(sums, "customer_id"), None
+    if most > MOST_VALUES:
+        many = sums.filter(F.col("_values") > MOST_VALUES).select("customer_id")
+        quantiles = F.percentile_approx("net", [k / BUCKETS for k in range(1, BUCKETS)], 20 * BUCKETS)
+        cuts = values.join(many, "customer_id", "left_semi").groupBy("customer_id").agg(F.array_distinct(quantiles).alias("_cuts"))
+        place = F.when(F.col("_cuts").isNull(), F.lit(0)).when(F.col("net").isNull(), F.lit(-1)).otherwise(_bucket(F.col("_cuts"), F.col("net")))
+        values = values.join(cuts, "customer_id", "left").withColumn("_bucket", place)
+        parts = values.filter("_cuts is not null").groupBy("customer_id", "_bucket").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("m"))
+        above = W.partitionBy("customer_id").orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+        parts = parts.select("customer_id", "_bucket", F.sum("d").over(above).alias("d0"), F.sum("m").over(above).alias("m0"))
+    else:
+        values = values.withColumn("_bucket", F.lit(0))
+    here = W.partitionBy("customer_id", "_bucket").orderBy(F.desc_nulls_last("net"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ranked = values.withColumns({"d": F.row_number().over(here), "m": zero(F.sum("n").over(here.rowsBetween(W.unboundedPreceding, -1)))})
+    ranked = ranked.withColumns({"d0": F.lit(0), "m0": F.lit(0)}) if parts is None else ranked.join(parts, ["customer_id", "_bucket"], "left")
+    pct = F.when(F.col("_all") > 1, (zero(F.col("m0")) + F.col("m")) / (F.col("_all") - 1)).otherwise(F.lit(0.0))
+    return ranked.select(F.col("customer_id").alias("_c"), F.col("net").alias("_n"), (zero(F.col("d0")) + F.col("d")).cast("int").alias("rank"), pct.alias("pct"))
+
+
+def _figures(rows: DataFrame, most: int, frame: int, running: bool) -> DataFrame:
+    """Rows with the figures of their customers' windows."""
+    df = recent_extremes(numbered_rows(rows, running), frame, most)
+    return df.join(value_ranks(rows, most), (F.col("customer_id") == F.col("_c")) & F.col("net").eqNullSafe(F.col("_n")))
+
+
+def most_rows(orders: DataFrame) -> int:
+    """Rows of the customer with the most of them."""
+    return orders.groupBy("customer_id").count().agg(F.max("count")).first()[0] or 0
 
 
 def sales_daily(orders: DataFrame, customers: DataFrame, segments: DataFrame, frame: int = FRAME_ROWS) -> DataFrame:
     """Per day, region and segment: net revenue, orders, customers and extremes of a customer's running figures.
 
     A row whose discount is not known has no net amount. Equal times share their running sum and equal amounts their
-    rank. Every step splits a customer's rows by day or by amount, so one with a large share of all orders is no single
-    task; a customer has one region and segment. Orders without a customer count as one customer's in the running
-    figures and as none in ``customers``; orders without a day are left out.
+    rank. Every step splits a customer's rows by day, by block or by amount, so one with a large share of all orders is
+    no single task; a customer has one region and segment, and ``order_date`` is the day of ``order_ts``. Orders without a
+    customer count as one customer's in the running figures and as none in ``customers``; orders without a day are a group.
     """
-    rows = _enriched(orders, customers, segments).withColumn("customer_id", F.coalesce(F.col("customer_id").cast("string"), F.lit("")))
-    group, day = ["order_date", "region", "segment"], ["customer_id", "order_date"]
-    days = day_figures(rows)
-    ranks = value_ranks(rows).select(F.col("customer_id").alias("_c"), F.col("net").alias("_n"), "rank", "pct")
-    ranked = rows.join(ranks, (F.col("customer_id") == F.col("_c")) & F.col("net").eqNullSafe(F.col("_n")))
-    per = ranked.groupBy(*day, "region", "segment").agg(F.sum("net").alias("net"), F.count(F.lit(1)).alias("k"), F.max("rank").alias("rank"), F.sum("pct").alias("pct"))
-    per = per.join(days.select(*day, "last", "running"), day).join(recent_extremes(rows, days, frame), day)
-    return per.groupBy(*group).agg(
-        F.sum("net").alias("revenue"), F.sum("k").alias("orders"), F.countDistinct(F.nullif("customer_id", F.lit(""))).alias("customers"), F.max("running").alias("max_running"), F.max("recent_max").alias("max_recent"),
-        F.min("recent_min").alias("min_recent"), F.max("last").cast("int").alias("max_seq"), F.max("rank").alias("ticket_levels"), (F.sum("pct") / F.sum("k")).alias("avg_pct"),
-    )
+    return _figures(_enriched(orders, customers, segments), most_rows(orders), frame, True).groupBy("order_date", "region", "segment").agg(
+        F.sum("net").alias("revenue"), F.count(F.lit(1)).alias("orders"), F.countDistinct(F.nullif("customer_id", F.lit(""))).alias("customers"), F.max("running").alias("max_running"), F.max("recent_max").alias("max_recent"),
+        F.min("recent_min").alias("min_recent"), F.max("seq").cast("int").alias("max_seq"), F.max("rank").alias("ticket_levels"), F.avg("pct").alias("avg_pct"),
+    )
 
 
 def sales_daily_light(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -99,8 +127,10 @@ def sales_daily_light(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def sales_daily_heavy(orders: DataFrame, customers: DataFrame, segments: DataFrame, frame: int = FRAME_ROWS) -> DataFrame:
-    """The daily figures by segment with a sequence, a sliding maximum and a rank a customer."""
-    return sales_daily(orders, customers, segments, frame).select("order_date", "region", "segment", "revenue", "orders", "customers", "max_seq", "max_recent", "ticket_levels")
+    """The daily figures by segment with a sequence, a sliding maximum and a rank a customer; what it does not show is not made."""
+    return _figures(_enriched(orders, customers, segments), most_rows(orders), frame, False).groupBy("order_date", "region", "segment").agg(
+        F.sum("net").alias("revenue"), F.count(F.lit(1)).alias("orders"), F.countDistinct(F.nullif("customer_id", F.lit(""))).alias("customers"), F.max("seq").cast("int").alias("max_seq"), F.max("recent_max").alias("max_recent"), F.max("rank").alias("ticket_levels"),
+    )
 
 
 def revenue_by(daily: DataFrame, column: str) -> DataFrame:

@@ -292,14 +292,17 @@ def test_library_stands_without_the_subpackage():
 
 
 @pytest.mark.parametrize("frame", [3, 50, 20_000])
-def test_sales_daily_equals_plain_windows(spark, frame):
+def test_sales_daily_equals_plain_windows(spark, frame, monkeypatch):
     """A customer with 40 % of the orders, ties in time and amount, unknown discounts, and frames that end within days."""
     from pyspark.sql import Window as W
 
     from opsloom.operators import workload
 
     rnd = random.Random(frame)
-    rows = []
+    if frame < 20_000:
+        monkeypatch.setattr(workload, "MOST_VALUES", 10)
+        monkeypatch.setattr(workload, "BUCKETS", 16)
+    rows = [(1000, 0, T0, T0.date(), 1e6), (1001, 0, None, None, 7.0), (1002, 0, None, None, None), (1003, 3, None, None, -5.0), (1004, None, None, None, 2.0)]
     for i in range(900):
         c = 0 if rnd.random() < 0.4 else rnd.randint(1, 12)
         t = T0 + timedelta(hours=rnd.randint(0, 24 * 12))
@@ -315,3 +318,17 @@ def test_sales_daily_equals_plain_windows(spark, frame):
     got = workload.sales_daily(orders, customers, segments, frame)
     got = got.withColumns({"revenue": F.round("revenue", 6), "max_running": F.round("max_running", 6), "avg_pct": F.round("avg_pct", 9)})
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+    heavy = workload.sales_daily_heavy(orders, customers, segments, frame)
+    assert sorted(map(repr, map(tuple, heavy.withColumn("revenue", F.round("revenue", 6)).collect()))) == sorted(map(repr, map(tuple, got.select(heavy.columns).collect())))
+    assert any(r.order_date is None and r.orders >= 1 for r in got.collect())
+
+
+def test_one_extreme_amount_does_not_fill_a_bucket(spark, monkeypatch):
+    """Cuts at quantiles keep the buckets of a customer's amounts even, whatever their range."""
+    from opsloom.operators import workload
+
+    monkeypatch.setattr(workload, "BUCKETS", 64)
+    rows = spark.range(20_000).selectExpr("'c' customer_id", "cast(case when id = 0 then 1e12 when id < 50 then -1e9 * id else id * id end as double) net")
+    cuts = rows.agg(F.percentile_approx("net", [k / 64 for k in range(1, 64)], 1280).alias("cuts"))
+    sizes = [r["count"] for r in rows.crossJoin(cuts).groupBy(workload._bucket(F.col("cuts"), F.col("net")).alias("b")).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 3 * 20_000 / 64
