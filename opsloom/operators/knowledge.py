@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import ast
-import copy
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import stable_id
+from opsloom.functions.formulas import formula_hash, metrics_of
 
 # --- problems and knowledge
 
@@ -174,62 +172,18 @@ def evaluated_assets(registry: DataFrame, read: DataFrame) -> DataFrame:
     return registry.select("asset").distinct().join(missing, "asset", "left_anti")
 
 
-class _Expanded(ast.NodeTransformer):
-    """Puts the bindings of ``withColumn`` in place of the columns that they define."""
-
-    def __init__(self, bindings: dict[str, ast.expr]):
-        self.bindings = bindings
-
-    def visit_Call(self, node: ast.Call):
-        if isinstance(node.func, ast.Attribute) and node.func.attr == "col" and len(node.args) == 1 and isinstance(node.args[0], ast.Constant) and node.args[0].value in self.bindings:
-            return self.bindings[node.args[0].value]
-        node.args = [self.bindings.get(a.value, a) if isinstance(a, ast.Constant) and isinstance(a.value, str) and node.func.__class__ is ast.Attribute and node.func.attr != "lit" else self.visit(a) for a in node.args]
-        return node
-
-
-def _metrics_of(code: str, deepest: int = 3):
-    """(name, formula, grain, line, status) of named aggregations in one source file; columns bound by ``withColumn``
-    are expanded up to ``deepest`` times."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
-        return [(None, None, "", 0, "nao_extraivel")]
-    constants = {t.id: n.value.value for n in ast.walk(tree) if isinstance(n, ast.Assign) and isinstance(n.value, ast.Constant) for t in n.targets if isinstance(t, ast.Name)}
-    literal = lambda a: a.value if isinstance(a, ast.Constant) else constants.get(a.id) if isinstance(a, ast.Name) else None
-    found, bound = [], [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "withColumn" and len(n.args) == 2]
-    bindings = {literal(n.args[0]): n.args[1] for n in bound if isinstance(literal(n.args[0]), str)}
-
-    def formula(node: ast.expr) -> str:
-        for _ in range(deepest if bindings else 0):
-            node = _Expanded(bindings).visit(copy.deepcopy(node))
-        return ast.unparse(node)
-
-    for call in ast.walk(tree):
-        if not (isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and call.func.attr == "agg"):
-            continue
-        group = call.func.value
-        keys = [literal(a) for a in group.args] if isinstance(group, ast.Call) and isinstance(group.func, ast.Attribute) and group.func.attr == "groupBy" else None
-        for arg in call.args:
-            if isinstance(arg, ast.Call) and isinstance(arg.func, ast.Attribute) and arg.func.attr == "alias" and arg.args:
-                whole = keys is not None and None not in keys
-                found.append((literal(arg.args[0]), formula(arg.func.value), ",".join(sorted(map(str, keys or []))), arg.lineno, "extraida" if whole else "parcial"))
-            else:
-                found.append((None, formula(arg), "", arg.lineno, "ambigua"))
-    return found
-
-
 def observed_metrics(files: DataFrame) -> DataFrame:
-    """Named aggregations in a corpus of source files (path, value)."""
+    """Named aggregations in a corpus of source files (path, value): path, metric_id, formula, grain (keys in order), line,
+    extraction_status, detail and formula_hash (null where nothing can be compared). See ``functions.formulas``."""
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            rows = [(p, *m) for p, v in zip(b["path"], b["value"], strict=True) for m in _metrics_of(v or "")]
-            yield pd.DataFrame(rows, columns=["path", "metric_id", "formula", "grain", "line", "extraction_status"])
+            rows = [(p, m.metric_id, m.formula, m.grain, m.line, m.status, m.detail, formula_hash(m.canonical)) for p, v in zip(b["path"], b["value"], strict=True) for m in metrics_of(v or "")]
+            yield pd.DataFrame(rows, columns=["path", "metric_id", "formula", "grain", "line", "extraction_status", "detail", "formula_hash"])
 
-    out = files.select("path", "value").mapInPandas(run, "path string, metric_id string, formula string, grain string, line int, extraction_status string")
-    return out.withColumn("formula_hash", F.sha2(F.regexp_replace("formula", r"\s+", "").cast("binary"), 256))
+    return files.select("path", "value").mapInPandas(run, "path string, metric_id string, formula string, grain string, line int, extraction_status string, detail string, formula_hash string")
 
 
 # --- SLA

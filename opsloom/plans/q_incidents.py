@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsloom.functions.formulas import declared_hash
 from opsloom.operators import incidents as I
 from opsloom.operators import knowledge as K
 from opsloom.plans.fixtures import fixture, table, with_
@@ -261,12 +262,42 @@ def evaluated_assets(spark, sf_dir):
     return K.evaluated_assets(c.select("asset", "file"), c.filter("k % 17 <> 0").select("file"))
 
 
-@query("""SELECT 'src/' || CAST(c_custkey AS string) AS path, 'm' || CAST(c_custkey % 5 AS string) AS metric_id, 'F.sum(F.col(''amount'') * 2)' AS formula, 'k' || CAST(c_custkey % 9 AS string) AS grain, 2 AS line, 'extraida' AS extraction_status,
-    sha256('F.sum(F.col(''amount'')*2)') AS formula_hash FROM customer""")
+_HEAD = "import pyspark.sql.functions as F\nRATE = 2\n"
+#: Sources in eight shapes; {k} varies. State, raw formula, grain, line and whether it is the declared formula, or none.
+_SOURCES = [
+    (_HEAD + "def build(df):\n    return df.groupBy('k{k}').agg(F.sum(F.col('amount') * 2).alias('m'))\n", ("extraida", "F.sum(F.col('amount') * 2)", "k{k}", 4, True)),
+    (_HEAD + "def build(df):\n    df = df.withColumn('net', F.col('amount') * RATE)\n    return df.groupBy('k{k}', 'day').agg(F.sum('net').alias('m'))\n", ("extraida", "F.sum('net')", "k{k},day", 5, True)),
+    (_HEAD + "def build(df, flag):\n    if flag:\n        df = df.withColumn('net', F.col('amount') * {k})\n    else:\n        df = df.withColumn('net', F.col('amount'))\n    return df.groupBy('k').agg(F.sum('net').alias('m'))\n", ("ambigua", "F.sum('net')", "k", 8, False)),
+    (_HEAD + "def build(df, keys):\n    return df.groupBy(*keys).agg(F.sum('amount').alias('m'))\n", ("nao_extraivel", "F.sum('amount')", "", 4, False)),
+    (_HEAD + "def build(df, rate):\n    return df.agg(F.sum(F.col('amount') * rate).alias('m'))\n", ("parcial", "F.sum(F.col('amount') * rate)", "", 4, False)),
+    ("def build(df:\n", ("nao_extraivel", "", "", 0, False)),
+    (_HEAD + "def other(df):\n    return df.withColumn('net', F.col('amount') * 2)\n\ndef build(df):\n    return df.groupBy('k').where('net > {k}').agg(F.max('x'), F.sum('net').alias('m'))\n", ("extraida", "F.sum('net')", "k", 7, False)),
+    (_HEAD + "def build(df):\n    RATE = 3\n    df = df.withColumn('a', F.col('amount')).withColumn('b', F.col('a') * RATE).withColumn('c', F.col('b'))\n    return df.groupBy('k{k}').agg(F.sum('c').alias('m'))\n", ("extraida", "F.sum('c')", "k{k}", 6, True)),
+]
+
+
+def _in_sql(text: str, key: str) -> str:
+    """A text with its variable part as an SQL expression."""
+    parts = ["'" + p.replace("'", "''") + "'" for p in text.split("{k}")]
+    return f" || {key} || ".join(parts)
+
+
+_KEY = "CAST(c_custkey % 9 AS string)"
+_SHAPES = ", ".join(f"({i}, '{st}', {line}, {'true' if same else 'false'})" for i, (_, (st, _, _, line, same)) in enumerate(_SOURCES))
+
+
+@query(f"""WITH s(i, extraction_status, line, as_declared) AS (VALUES {_SHAPES})
+    SELECT 'src/' || CAST(c_custkey AS string) AS path, CASE WHEN i = 5 THEN '' ELSE 'm' END AS metric_id, CASE i {" ".join(f"WHEN {i} THEN {_in_sql(w[1], _KEY)}" for i, (_, w) in enumerate(_SOURCES))} END AS formula,
+        CASE i {" ".join(f"WHEN {i} THEN {_in_sql(w[2], _KEY)}" for i, (_, w) in enumerate(_SOURCES))} END AS grain, line, extraction_status, as_declared FROM customer JOIN s ON i = c_custkey % 8""")
 def observed_metrics(spark, sf_dir):
-    key, name = F.expr("cast(c_custkey % 9 as string)"), F.expr("cast(c_custkey % 5 as string)")
-    code = F.concat(F.lit("KEY = 'k"), key, F.lit("'\nout = df.withColumn('net', F.col('amount') * 2).groupBy(KEY).agg(F.sum('net').alias('m"), name, F.lit("'))\n"))
-    return K.observed_metrics(table(spark, sf_dir, "customer").select(F.concat(F.lit("src/"), F.col("c_custkey").cast("string")).alias("path"), code.alias("value")))
+    key = F.expr("cast(c_custkey % 9 as string)")
+    code = F.lit(None).cast("string")
+    for i, (text, _) in enumerate(_SOURCES):
+        parts = [x for p in text.split("{k}") for x in (F.lit(p), key)][:-1]
+        code = F.when(F.col("c_custkey") % len(_SOURCES) == i, F.concat(*parts)).otherwise(code)
+    out = K.observed_metrics(table(spark, sf_dir, "customer").select(F.concat(F.lit("src/"), F.col("c_custkey").cast("string")).alias("path"), code.alias("value")))
+    same = F.coalesce(F.col("formula_hash") == declared_hash("F.sum(F.col('amount') * 2)"), F.lit(False))
+    return out.select("path", "metric_id", "formula", "grain", "line", "extraction_status", same.alias("as_declared"))
 
 
 # --- SLA
