@@ -43,13 +43,17 @@ STEP_COST = 0.4
 SEED = 42
 
 
-def letters_only() -> re.Pattern:
-    """Runs of letters: word characters without the mark, digits, and the other number characters."""
-    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-    return re.compile(rf"[^\W\d_{numbers}]+")
+#: Word characters without the mark and the digits, and those of them that are numbers all the same.
+LETTERS = re.compile(r"[^\W\d_]+")
+NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
 
 
-LETTERS = letters_only()
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters of the text in lower case."""
+    low = (text or "").lower()
+    if not low.isascii() and (odd := NUMBERS.intersection(low)):
+        low = low.translate(dict.fromkeys(map(ord, odd), " "))
+    return LETTERS.findall(low)
 
 
 def hashes(items: list[str]) -> np.ndarray:
@@ -137,7 +141,7 @@ class Model:
     def predict(self, texts: list[str | None], cache: Scores) -> Iterator[tuple[str, float]]:
         """(language, score) of each text."""
         for k in range(0, len(texts), DOCS_AT_ONCE):
-            found = [Counter(LETTERS.findall((t or "").lower())) for t in texts[k : k + DOCS_AT_ONCE]]
+            found = [Counter(words_of(t)) for t in texts[k : k + DOCS_AT_ONCE]]
             if self.langs:
                 union = set().union(*found)
                 if len(union) <= len(cache.rows):
