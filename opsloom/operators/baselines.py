@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import once, volume_band
+from opsloom.functions.quantiles import INCLUSIVE, exact_quantiles
 
 RATIO, DEVIATIONS, FLOOR_S, FLOOR_COST = 2.0, 5.0, 30.0, 0.05
 WINDOW, LEAST = 20, 5
@@ -49,10 +50,11 @@ def robust_threshold(df: DataFrame, sample: str, floor: float = FLOOR_S) -> Data
 def robust_thresholds(rows: DataFrame, key: str, value: str, floor: float = FLOOR_S) -> DataFrame:
     """(key, median, mad, threshold, deciding_term) over all values of a key, however many.
 
-    Exact percentiles count equal values map-side and never gather a key's rows in an array.
+    Medians are exact and gather no key's values.
     """
-    middle = rows.filter(F.col(value).isNotNull()).groupBy(key).agg(F.expr(f"percentile({value}, 0.5)").alias("_m"))
-    spread = rows.join(middle, key).groupBy(key).agg(F.first("_m").alias("_m"), F.expr(f"percentile(abs({value} - _m), 0.5)").alias("_d"))
+    middle = exact_quantiles(rows, [key], value, {"_m": (0.5, INCLUSIVE)}).drop("n")
+    apart = rows.join(middle, key).select(key, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    spread = exact_quantiles(apart, [key], "_d", {"_d": (0.5, INCLUSIVE)}).drop("n").join(middle, key)
     return spread.select(key, F.inline(F.array(robust_terms(F.col("_m"), F.col("_d"), floor))))
 
 

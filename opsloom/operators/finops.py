@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import normalized_job
+from opsloom.functions.quantiles import INCLUSIVE, exact_quantiles
 
 DEC = "decimal(38,10)"
 
@@ -288,16 +289,19 @@ def measure_realization(initiatives: DataFrame, runs: DataFrame, now: Column, wi
     anchors = initiatives.select("job_id", "implemented_at").distinct()
     met = anchors.join(runs.select("job_id", F.col("end_time").alias("_t"), F.col("cost").alias("_c")), "job_id", "left")
     limit = F.least(now, anchor + day(most))
-    before = (F.col("_t") >= anchor - day(window)) & (F.col("_t") < anchor)
-    near = (F.col("_t") >= anchor) & (F.col("_t") < anchor + day(window))
-    far = (F.col("_t") >= anchor) & (F.col("_t") < limit)
     recent = (F.col("_t") > now - day(30)) & (F.col("_t") <= now)
-    arr = lambda c: F.collect_list(F.when(c, F.col("_c")))
-    from opsloom.operators.baselines import median_of
-
-    g = met.groupBy("job_id", "implemented_at").agg(arr(before).alias("b"), arr(near).alias("a"), arr(far).alias("f"), F.count_if(recent).alias("volume"))
-    g = initiatives.join(g, ["job_id", "implemented_at"]).withColumn("after", F.when(F.size("a") >= 5, F.col("a")).otherwise(F.col("f")))
-    g = g.withColumns({"n_before": F.size("b"), "n_after": F.size("after"), "gross": F.round((median_of(F.col("b")) - median_of(F.col("after"))) * F.col("volume"), 4)})
+    spans = {"b": (F.col("_t") >= anchor - day(window)) & (F.col("_t") < anchor), "a": (F.col("_t") >= anchor) & (F.col("_t") < anchor + day(window)), "f": (F.col("_t") >= anchor) & (F.col("_t") < limit)}
+    key = ["job_id", "implemented_at"]
+    counts = met.groupBy(*key).agg(F.count_if(recent).alias("volume"))
+    told = met.filter("_c is not null").select(*key, F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in spans.items()]), lambda k: k.isNotNull())).alias("span"), "_c")
+    middle = exact_quantiles(told, [*key, "span"], "_c", {"mid": (0.5, INCLUSIVE)})
+    of = lambda k, c: F.max(F.when(F.col("span") == k, F.col(c)))
+    wide = middle.groupBy(*key).agg(*[of(k, c).alias(f"{c}_{k}") for k in spans for c in ("n", "mid")])
+    g = initiatives.join(counts, key).join(wide, key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
+    near = zero("n_a") >= 5
+    g = g.withColumns({"n_before": zero("n_b"), "n_after": F.when(near, zero("n_a")).otherwise(zero("n_f")), "_after": F.when(near, F.col("mid_a")).otherwise(F.col("mid_f"))})
+    g = g.withColumn("gross", F.round((F.col("mid_b") - F.col("_after")) * F.col("volume"), 4))
     short = (F.col("n_before") < 5) | (F.col("n_after") < 5)
     net = F.round(F.col("gross") - F.coalesce("cost", F.lit(0.0)), 4)
     status = F.when(now < anchor + day(window), F.lit("em_medicao")).when(short & (now >= anchor + day(most)), F.lit("expirada")).when(short, F.lit("amostra_insuficiente")).when(net <= 0, F.lit("nao_realizada")).otherwise(F.lit("realizada"))

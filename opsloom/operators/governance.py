@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import severity_rank, stable_id, version_key
+from opsloom.functions.quantiles import EXCLUSIVE, INCLUSIVE, exact_quantiles
 
 # --- change risk
 
@@ -192,43 +193,48 @@ def verify_audit_chain(rows: DataFrame) -> DataFrame:
 # --- executive figures
 
 
-def exclusive_quantile_of(rows: DataFrame, value: str, p: float) -> DataFrame:
-    """One row of value and n: the exclusive quantile of a column, with no task that sees all of its values.
-
-    Equal values are counted first; whole numbers cut them into ranges whose running counts place the two neighbours.
-    """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.floor("_v"))
-    ranges = counts.groupBy("_b").agg(F.sum("_c").alias("_m"))
-    before = F.sum("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    ranges = ranges.select("_b", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_m").over(W.partitionBy(F.lit(0))).alias("_n"))
-    upto = F.col("_before") + F.sum("_c").over(W.partitionBy("_b").orderBy("_v"))
-    low = F.greatest(F.least(F.floor(p * (F.col("_n") + 1)), F.col("_n") - 1), F.lit(1))
-    placed = counts.join(ranges, "_b").withColumn("_upto", upto).withColumn("_low", low)
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((F.col("_upto") - F.col("_c") < position) & (position <= F.col("_upto")), F.col("_v")))
-
-    one = placed.agg(F.max("_n").alias("_n"), F.max("_low").alias("_low"), at(F.col("_low")).alias("_a"), at(F.col("_low") + 1).alias("_z"))
-    line = F.col("_a") + (p * (F.col("_n") + 1) - F.col("_low")) * (F.col("_z") - F.col("_a"))
-    return one.select(F.when(F.col("_n") >= 2, line).otherwise(F.col("_a")).alias("value"), F.coalesce("_n", F.lit(0)).alias("n"))
+#: Of each incident figure its unit, its window, its source and how it is reckoned.
+INCIDENT_NOTES = {
+    "active": ("incidents", "now", "incidents", "incidents detected or triaged"),
+    "critical": ("incidents", "now", "incidents", "active ones of severity critical or blocking"),
+    "mttr_median_h": ("hours", "7 d", "incidents (recovered)", "median of recovery less detection"),
+    "mttr_p90_h": ("hours", "7 d", "incidents (recovered)", "90 % quantile of recovery less detection, exclusive method"),
+    "administrative_closures": ("incidents", "7 d", "incidents (closed)", "incidents closed by decision; no part of the time to recovery"),
+    "mtta_median_h": ("hours", "7 d", "incidents (acknowledged)", "median of acknowledgement less detection"),
+    "ack_pending": ("incidents", "now", "incidents", "active ones without acknowledgement"),
+    "sla_risk_incidents": ("incidents", "now", "incidents (sla_risk)", "active ones of type sla_risk"),
+    "impacted_assets": ("assets", "now", "incidents, lineage", "different assets in reach of active incidents"),
+}
 
 
 def executive_summary(incidents: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """(metric, value, n, confidence) of the incident figures. Nothing measured is null, not 0."""
-    hours = (F.col("updated_at").cast("timestamp").cast("long") - F.col("detected_at").cast("timestamp").cast("long")) / 3600.0
-    ack = (F.col("acknowledged_at").cast("timestamp").cast("long") - F.col("detected_at").cast("timestamp").cast("long")) / 60.0
-    active = F.col("state").isin("detected", "triaged")
-    recovered = (F.col("state") == "recovered") & (F.col("updated_at") > now - F.expr(f"INTERVAL '{days}' DAY"))
-    one = incidents.agg(
-        F.count_if(active).alias("active"), F.count_if(active & F.col("severity").isin("critical", "blocking")).alias("critical"), F.count_if(recovered).alias("n_rec"), F.median(F.when(recovered, hours)).alias("mttr"),
-        F.count_if(F.col("state") == "closed").alias("administrative"), F.count("acknowledged_at").alias("n_ack"), F.median(ack).alias("mtta"),
-        F.count_if(active & F.col("acknowledged_at").isNull()).alias("ack_pending"), F.countDistinct(F.when(active, F.col("asset"))).alias("assets"), F.count(F.lit(1)).alias("n"),
-    )
-    rows = [("active", F.col("active"), F.col("n")), ("critical", F.col("critical"), F.col("n")), ("mttr_median_h", F.col("mttr"), F.col("n_rec")), ("administrative_closures", F.col("administrative"), F.col("n")), ("mtta_median_min", F.col("mtta"), F.col("n_ack")), ("ack_pending", F.col("ack_pending"), F.col("n")), ("impacted_assets", F.col("assets"), F.col("n"))]
-    out = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value"), n.alias("n")) for k, v, n in rows])).alias("r")).select("r.*")
-    p90 = exclusive_quantile_of(incidents.filter(recovered).select(hours.alias("h")), "h", 0.9)
-    out = out.unionByName(p90.select(F.lit("mttr_p90_h").alias("metric"), F.col("value").cast("double").alias("value"), "n"))
-    return out.withColumn("confidence", F.when(F.col("n") == 0, F.lit("sem_dados")).when(F.col("n") < 5, F.lit("baixa")).otherwise(F.lit("alta")))
+    """(metric, value, n, confidence, unit, window, source, formula) of the incident figures. Nothing measured is null, not 0.
+
+    Counts are always trusted; medians and quantiles by the number of incidents behind them.
+    """
+    seconds = lambda c: F.col(c).cast("timestamp").cast("long")
+    since = now - F.expr(f"INTERVAL '{days}' DAY")
+    active, closed = F.col("state").isin("detected", "triaged"), (F.col("state") == "closed") & (F.col("updated_at") >= since)
+    recovered = (F.col("state") == "recovered") & (F.col("updated_at") >= since)
+    noticed = F.col("acknowledged_at").isNotNull() & (F.col("detected_at") >= since)
+    counts = {
+        "active": (active, F.lit(True)), "critical": (active & F.col("severity").isin("critical", "blocking"), active), "administrative_closures": (closed, closed),
+        "ack_pending": (active & F.col("acknowledged_at").isNull(), active), "sla_risk_incidents": (active & (F.col("type") == "sla_risk"), active),
+    }
+    one = incidents.agg(*[F.count_if(c).alias(k) for k, (c, _) in counts.items()], *[F.count_if(c).alias(f"n_{k}") for k, (_, c) in counts.items()], F.count_if(recovered).alias("_r"), F.count_if(noticed).alias("_a"), F.count_if(active & F.col("asset").isNotNull()).alias("_m"))
+    assets = incidents.filter(active & F.col("asset").isNotNull()).groupBy("asset").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("assets"))
+    item = lambda k, v, n, sure: F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value"), n.alias("n"), F.lit(sure).alias("sure"))
+    rows = one.select(F.explode(F.array(*[item(k, F.col(k), F.col(f"n_{k}"), True) for k in counts])).alias("r")).select("r.*")
+    rows = rows.unionByName(one.withColumn("_k", F.lit(1)).join(assets.withColumn("_k", F.lit(1)), "_k").select(F.inline(F.array(item("impacted_assets", F.when(F.col("_m") > 0, F.col("assets")), F.col("_m"), False)))))
+    taken = incidents.select(F.when(recovered, F.lit("r")).when(noticed, F.lit("a")).alias("kind"), F.when(recovered, seconds("updated_at") - seconds("detected_at")).alias("r"), F.when(noticed, seconds("acknowledged_at") - seconds("detected_at")).alias("a"))
+    times = taken.select(F.inline(F.array(F.struct(F.lit("r").alias("kind"), (F.col("r") / 3600.0).alias("h")), F.struct(F.lit("a").alias("kind"), (F.col("a") / 3600.0).alias("h"))))).filter("h is not null")
+    found = exact_quantiles(times, ["kind"], "h", {"median": (0.5, INCLUSIVE), "p90": (0.9, EXCLUSIVE)}).select(F.col("kind").alias("_kind"), "median", "p90")
+    wide = one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(t).alias("kind"), F.lit(c).alias("column"), F.col(f"_{t}").alias("n")) for k, t, c in (("mttr_median_h", "r", "median"), ("mttr_p90_h", "r", "p90"), ("mtta_median_h", "a", "median"))])))
+    measured = wide.join(found, F.col("kind") == F.col("_kind"), "left").select("metric", F.when(F.col("column") == "median", F.col("median")).otherwise(F.col("p90")).alias("value"), "n", F.lit(False).alias("sure"))
+    out = rows.unionByName(measured)
+    confidence = F.when(F.col("sure"), F.lit("alta")).when(F.col("n") == 0, F.lit("sem_dados")).when(F.col("n") < 5, F.lit("baixa")).otherwise(F.lit("alta"))
+    note = F.create_map(*[x for k, v in INCIDENT_NOTES.items() for x in (F.lit(k), F.struct(*[F.lit(y).alias(c) for y, c in zip(v, ("unit", "window", "source", "formula"), strict=True)]))])
+    return out.withColumn("confidence", confidence).withColumn("_m", F.element_at(note, F.col("metric"))).select("metric", "value", "n", "confidence", "_m.unit", "_m.window", "_m.source", "_m.formula")
 
 
 def health_score(measures: DataFrame, weights: dict[str, float], cap: float = 60.0) -> DataFrame:
@@ -251,9 +257,15 @@ def token_usage(calls: DataFrame) -> DataFrame:
 
 
 def action_metrics(actions: DataFrame) -> DataFrame:
-    """Per cohort: actions, approval rate, p95 age of decision, share reopened within 24 h."""
-    age = F.col("age_s")
-    return actions.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("approved")) / F.count("approved")).alias("approval_rate"), F.percentile(age, F.lit(0.95)).alias("age_p95_s"), (F.count_if(F.col("reopened_after_s") <= 86400) / F.count(F.lit(1))).alias("reopened_24h"))
+    """Per cohort: actions, approval rate, p95 age and median lag of decision, shares reopened within 24 h and 7 days.
+
+    The age of an undecided action grows; the lag is that of decided ones (``decided_after_s``).
+    """
+    again = lambda s: F.count_if(F.col("reopened_after_s") <= s) / F.count(F.lit(1))
+    counts = actions.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("approved")) / F.count("approved")).alias("approval_rate"), again(86_400).alias("reopened_24h"), again(7 * 86_400).alias("reopened_7d"))
+    ages = exact_quantiles(actions, ["cohort"], "age_s", {"age_p95_s": (0.95, INCLUSIVE)}).drop("n")
+    lags = exact_quantiles(actions, ["cohort"], "decided_after_s", {"lag_median_s": (0.5, INCLUSIVE)}).drop("n")
+    return counts.join(ages, "cohort", "left").join(lags, "cohort", "left")
 
 
 # --- views

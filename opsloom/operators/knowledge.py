@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.columns import stable_id
 from opsloom.functions.formulas import formula_hash, metrics_of
+from opsloom.functions.quantiles import INCLUSIVE, exact_quantiles
 
 # --- problems and knowledge
 
@@ -73,8 +74,10 @@ def runbook_efficacy(uses: DataFrame, incidents: DataFrame, now: Column) -> Data
     hours = (F.col("updated_at").cast("timestamp").cast("long") - F.col("used_at").cast("timestamp").cast("long")) / 3600.0
     good = (F.col("state") == "recovered") & (hours >= 0) & (hours <= 24)
     fresh = ~good & (F.col("used_at") > now - F.expr("INTERVAL '24' HOUR"))
-    out = df.withColumns({"good": good, "fresh": fresh, "hours": F.when(good, hours)}).groupBy("runbook_id").agg(F.count_if(~F.col("fresh")).alias("decided"), F.count_if("good").alias("successes"), F.count_if("fresh").alias("pending"), F.median("hours").alias("median_hours"))
-    return out.withColumn("ratio", F.when(F.col("decided") > 0, F.col("successes") / F.col("decided"))).withColumn("small_sample", F.col("decided") < 5)
+    df = df.withColumns({"good": good, "fresh": fresh, "hours": F.when(good, hours)})
+    middle = exact_quantiles(df, ["runbook_id"], "hours", {"median_hours": (0.5, INCLUSIVE)}).drop("n")
+    out = df.groupBy("runbook_id").agg(F.count_if(~F.col("fresh")).alias("decided"), F.count_if("good").alias("successes"), F.count_if("fresh").alias("pending"))
+    return out.join(middle, "runbook_id", "left").withColumn("ratio", F.when(F.col("decided") > 0, F.col("successes") / F.col("decided"))).withColumn("small_sample", F.col("decided") < 5)
 
 
 def applicable_runbooks(incidents: DataFrame, runbooks: DataFrame) -> DataFrame:

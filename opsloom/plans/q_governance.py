@@ -196,14 +196,17 @@ def audit_chain(spark, sf_dir):
     return G.verify_audit_chain(first.drop("k").unionByName(second.drop("k")))
 
 
-@query(with_("incidents") + f""", i AS (SELECT *, (floor(epoch(updated_at)) - floor(epoch(detected_at))) / 3600 AS h, (floor(epoch(acknowledged_at)) - floor(epoch(detected_at))) / 60 AS am, state IN ('detected', 'triaged') AS act, state = 'recovered' AND updated_at > {_NOW} - INTERVAL '7' DAY AS rec FROM incidents),
-    r AS (SELECT list_sort(list(h)) AS s, count(*) AS n FROM i WHERE rec), q AS (SELECT n, s, CAST(greatest(least(floor(0.9 * (n + 1)), n - 1), 1) AS int) AS lo FROM r)
-    SELECT metric, round(CAST(value AS double), 6) AS value, n, CASE WHEN n = 0 THEN 'sem_dados' WHEN n < 5 THEN 'baixa' ELSE 'alta' END AS confidence FROM (
-    SELECT 'active' AS metric, count(CASE WHEN act THEN 1 END) AS value, count(*) AS n FROM i UNION ALL SELECT 'critical', count(CASE WHEN act AND severity IN ('critical', 'blocking') THEN 1 END), count(*) FROM i UNION ALL SELECT 'mttr_median_h', median(h), count(*) FROM i WHERE rec
-    UNION ALL SELECT 'mttr_p90_h', s[lo] + (0.9 * (n + 1) - lo) * (s[lo + 1] - s[lo]), n FROM q UNION ALL SELECT 'administrative_closures', count(CASE WHEN state = 'closed' THEN 1 END), count(*) FROM i UNION ALL SELECT 'mtta_median_min', median(am), count(am) FROM i
-    UNION ALL SELECT 'ack_pending', count(CASE WHEN act AND acknowledged_at IS NULL THEN 1 END), count(*) FROM i UNION ALL SELECT 'impacted_assets', count(DISTINCT CASE WHEN act THEN asset END), count(*) FROM i) AS x""")
+@query(with_("incidents") + f""", i AS (SELECT *, (floor(epoch(updated_at)) - floor(epoch(detected_at))) / 3600 AS h, (floor(epoch(acknowledged_at)) - floor(epoch(detected_at))) / 3600 AS a, state IN ('detected', 'triaged') AS act, state = 'recovered' AND updated_at >= {_NOW} - INTERVAL '7' DAY AS rec, acknowledged_at IS NOT NULL AND detected_at >= {_NOW} - INTERVAL '7' DAY AS ack FROM incidents),
+    r AS (SELECT list_sort(list(h)) AS s, count(*) AS n FROM i WHERE rec), q AS (SELECT n, s, CAST(greatest(least(floor(0.9 * (n + 1)), n - 1), 1) AS int) AS lo FROM r),
+    m AS (SELECT 'active' AS metric, count(CASE WHEN act THEN 1 END) AS value, count(*) AS n, true AS sure, 'incidents' AS unit, 'now' AS w FROM i UNION ALL SELECT 'critical', count(CASE WHEN severity IN ('critical', 'blocking') THEN 1 END), count(*), true, 'incidents', 'now' FROM i WHERE act
+    UNION ALL SELECT 'mttr_median_h', median(h), count(*), false, 'hours', '7 d' FROM i WHERE rec UNION ALL SELECT 'mttr_p90_h', s[lo] + (0.9 * (n + 1) - lo) * (s[lo + 1] - s[lo]), n, false, 'hours', '7 d' FROM q
+    UNION ALL SELECT 'administrative_closures', count(*), count(*), true, 'incidents', '7 d' FROM i WHERE state = 'closed' AND updated_at >= {_NOW} - INTERVAL '7' DAY UNION ALL SELECT 'mtta_median_h', median(a), count(*), false, 'hours', '7 d' FROM i WHERE ack
+    UNION ALL SELECT 'ack_pending', count(CASE WHEN acknowledged_at IS NULL THEN 1 END), count(*), true, 'incidents', 'now' FROM i WHERE act UNION ALL SELECT 'sla_risk_incidents', count(CASE WHEN type = 'sla_risk' THEN 1 END), count(*), true, 'incidents', 'now' FROM i WHERE act UNION ALL SELECT 'impacted_assets', count(DISTINCT asset), count(asset), false, 'assets', 'now' FROM i WHERE act)
+    SELECT metric, round(CAST(value AS double), 6) AS value, n, CASE WHEN sure THEN 'alta' WHEN n = 0 THEN 'sem_dados' WHEN n < 5 THEN 'baixa' ELSE 'alta' END AS confidence, unit, w AS "window", true AS explained FROM m""")
 def executive_summary(spark, sf_dir):
-    return G.executive_summary(fixture(spark, sf_dir, "incidents"), now()).withColumn("value", F.round("value", 6))
+    out = G.executive_summary(fixture(spark, sf_dir, "incidents"), now())
+    told = (F.length("source") > 0) & (F.length("formula") > 0)
+    return out.select("metric", F.round("value", 6).alias("value"), "n", "confidence", "unit", "window", told.alias("explained"))
 
 
 @query("SELECT c_custkey, round(CAST(CASE WHEN c_custkey % 7 = 0 THEN least(50 * a + 50 * b, 60) ELSE 50 * a + 50 * b END AS double), 4) AS score FROM (SELECT c_custkey, c_custkey % 11 / 10 AS a, c_custkey % 6 / 5 AS b FROM customer) AS x")
@@ -226,11 +229,11 @@ def token_usage(spark, sf_dir):
     return out.withColumns({k: F.round(k, 6) for k in ("tokens_per_request", "tokens_per_success", "input_output_ratio")})
 
 
-@query("""WITH a AS (SELECT 'k' || CAST(c_custkey % 8 AS string) AS cohort, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 3 > 0 END AS approved, CAST(c_custkey % 1000 AS double) AS age, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 200 END AS ro FROM customer)
-    SELECT cohort, count(*) AS n, round(count(CASE WHEN approved THEN 1 END) / count(approved), 8) AS approval_rate, round(quantile_cont(age, 0.95), 6) AS age_p95_s, round(count(CASE WHEN ro <= 86400 THEN 1 END) / count(*), 8) AS reopened_24h FROM a GROUP BY 1""")
+@query("""WITH a AS (SELECT 'k' || CAST(c_custkey % 8 AS string) AS cohort, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 3 > 0 END AS approved, CAST(c_custkey % 1000 AS double) AS age, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 777 AS double) END AS lag, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 200 END AS ro FROM customer)
+    SELECT cohort, count(*) AS n, round(count(CASE WHEN approved THEN 1 END) / count(approved), 8) AS approval_rate, round(quantile_cont(age, 0.95), 6) AS age_p95_s, round(median(lag), 6) AS lag_median_s, round(count(CASE WHEN ro <= 86400 THEN 1 END) / count(*), 8) AS reopened_24h, round(count(CASE WHEN ro <= 604800 THEN 1 END) / count(*), 8) AS reopened_7d FROM a GROUP BY 1""")
 def action_metrics(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").selectExpr("'k' || (c_custkey % 8) cohort", "case when c_custkey % 5 <> 0 then c_custkey % 3 > 0 end approved", "cast(c_custkey % 1000 as double) age_s", "case when c_custkey % 4 = 0 then c_custkey * 200 end reopened_after_s")
-    return G.action_metrics(a).withColumns({"approval_rate": F.round("approval_rate", 8), "age_p95_s": F.round("age_p95_s", 6), "reopened_24h": F.round("reopened_24h", 8)})
+    a = table(spark, sf_dir, "customer").selectExpr("'k' || (c_custkey % 8) cohort", "case when c_custkey % 5 <> 0 then c_custkey % 3 > 0 end approved", "cast(c_custkey % 1000 as double) age_s", "case when c_custkey % 5 <> 0 then cast(c_custkey % 777 as double) end decided_after_s", "case when c_custkey % 4 = 0 then c_custkey * 200 end reopened_after_s")
+    return G.action_metrics(a).withColumns({c: F.round(c, 8) for c in ("approval_rate", "reopened_24h", "reopened_7d")} | {c: F.round(c, 6) for c in ("age_p95_s", "lag_median_s")})
 
 
 @query(with_("incidents") + " SELECT incident_id, state FROM incidents ORDER BY detected_at DESC, incident_id LIMIT 50")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.functions import columns as C
+from opsloom.functions.quantiles import EXCLUSIVE, exact_quantiles
 from opsloom.operators import baselines, finops, governance, incidents, knowledge, lineage, quality
 from opsloom.sources import tables
 from opsloom.streaming import medallion
@@ -252,16 +253,19 @@ def test_audit_chain_finds_forks(spark):
 
 
 def test_nothing_measured_is_null(spark):
-    empty = spark.createDataFrame([], "detected_at timestamp, updated_at timestamp, acknowledged_at timestamp, state string, severity string, asset string")
+    empty = spark.createDataFrame([], "detected_at timestamp, updated_at timestamp, acknowledged_at timestamp, state string, severity string, type string, asset string")
     got = {r.metric: (r.value, r.confidence) for r in governance.executive_summary(empty, F.to_timestamp(F.lit("2026-01-01"))).collect()}
-    assert got["mttr_median_h"] == (None, "sem_dados") and got["mtta_median_min"] == (None, "sem_dados")
+    assert got["mttr_median_h"] == (None, "sem_dados") and got["mtta_median_h"] == got["impacted_assets"] == (None, "sem_dados") and got["active"] == (0.0, "alta") and len(got) == len(governance.INCIDENT_NOTES)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 9, 200])
 def test_exclusive_quantile_by_counts(spark, n):
     rng = random.Random(n)
     values = sorted(rng.choice([0.25, 3.0, 3.5, rng.uniform(-5, 400)]) for _ in range(n))
-    got = governance.exclusive_quantile_of(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), "v", 0.9).first()
+    got = exact_quantiles(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), [], "v", {"value": (0.9, EXCLUSIVE)}).first()
+    if not n:
+        assert got is None
+        return
     at = 0.9 * (n + 1)
     low = max(min(int(at), n - 1), 1)
     want = None if n == 0 else values[0] if n == 1 else values[low - 1] + (at - low) * (values[low] - values[low - 1])
