@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opsloom.sources.scratch import cut
+
 DECAY, DEPTH = 0.5, 3
 #: Weights of what reads an asset.
 CRITICALITY = {"dashboard": 1.0, "pipeline": 0.8, "job": 0.7, "": 0.5}
@@ -56,37 +58,61 @@ def edge_weight(last_seen: Column, entity_type: Column, now: Column) -> Column:
     return recency * certainty * crit
 
 
-def traverse(edges: DataFrame, origins: DataFrame, direction: str = "down", depth: int = DEPTH, excluded: DataFrame | None = None) -> DataFrame:
-    """origin, node, score, hops, entity_type, uncertain: the best path to each node within ``depth`` hops.
-
-    ``edges`` has source, target, entity_type, entity_id, weight; ``origins`` has origin. An edge without a target
-    leads to ``type/id``; one without both is dropped. An excluded node is neither entered nor left.
-    """
+def _usable(edges: DataFrame, direction: str, excluded: DataFrame | list[str] | None) -> DataFrame:
+    """(k, to, weight, entity_type): the heaviest edge between two nodes, in the direction of the walk."""
     kind = F.when(F.col("entity_type") == "", F.lit("unknown")).otherwise(F.col("entity_type"))
     node = F.when(F.col("target") != "", F.col("target")).otherwise(F.concat_ws("/", kind, "entity_id"))
     e = edges.filter("target <> '' or entity_id <> ''").withColumn("node", node)
     key, to = ("source", "node") if direction == "down" else ("node", "source")
     e = e.select(F.col(key).alias("k"), F.col(to).alias("to"), "weight", "entity_type")
-    if excluded is not None:
+    if isinstance(excluded, DataFrame):
         out = excluded.select(F.col("node").alias("x")).distinct()
         e = e.join(out, F.col("k") == F.col("x"), "left_anti").join(out, F.col("to") == F.col("x"), "left_anti")
-    e = e.groupBy("k", "to").agg(F.max(F.struct("weight", "entity_type")).alias("b")).select("k", "to", "b.weight", "b.entity_type")
-    level = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("score")).distinct()
-    levels = []
+    for end in filter(None, excluded if isinstance(excluded, list) else ()):
+        e = e.filter(~F.endswith(F.col("k"), F.lit(end)) & ~F.endswith(F.col("to"), F.lit(end)))
+    return e.groupBy("k", "to").agg(F.max(F.struct("weight", "entity_type")).alias("b")).select("k", "to", "b.weight", "b.entity_type")
+
+
+def expand(level: DataFrame, known: DataFrame | None, edges: DataFrame, hop: int, least: float = 0.0) -> DataFrame:
+    """origin, node, score, entity_type, hops: what a hop from ``level`` adds to ``known``.
+
+    Of the paths to a node the best one stays. It is dropped if a shorter path is as good: whatever it leads to, that
+    path leads to as well, at least as well and within the depth. It is also dropped below ``least``.
+    """
+    step = level.select("origin", "node", "score").join(edges, F.col("node") == F.col("k")).filter(F.col("to") != F.col("origin"))
+    step = step.select("origin", F.col("to").alias("node"), (F.col("score") * F.col("weight") * DECAY).alias("score"), "entity_type")
+    if least:
+        step = step.filter(F.col("score") >= least)
+    best = step.groupBy("origin", "node").agg(F.max(F.struct("score", "entity_type")).alias("b")).select("origin", "node", "b.score", "b.entity_type", F.lit(hop).alias("hops"))
+    if known is None:
+        return best
+    told = known.groupBy("origin", "node").agg(F.max("score").alias("_known"))
+    return best.join(told, ["origin", "node"], "left").filter(F.col("_known").isNull() | (F.col("score") > F.col("_known"))).drop("_known")
+
+
+def traverse(edges: DataFrame, origins: DataFrame, direction: str = "down", depth: int = DEPTH, excluded: DataFrame | list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """origin, node, score, hops, entity_type, uncertain: the best path to each node within ``depth`` hops.
+
+    ``edges`` has source, target, entity_type, entity_id, weight; ``origins`` has origin. An edge without a target
+    leads to ``type/id``; one without both is dropped. An excluded node (of a table: by name; of a list: by the end of
+    its name) is neither entered nor left. Only paths that better what is known go on to the next hop; an optional ``least``
+    score gives up what is below it. The joins are equi-joins on the node, so that hubs can be split;
+    each hop but the last is written once.
+    """
+    e = _usable(edges, direction, excluded)
+    level, known = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("score")).distinct(), None
     for hop in range(1, depth + 1):
-        step = level.join(e, level["node"] == e["k"]).filter(F.col("to") != F.col("origin"))
-        best = step.groupBy("origin", F.col("to").alias("node")).agg(F.max(F.struct((F.col("score") * F.col("weight") * DECAY).alias("score"), "entity_type")).alias("b"))
-        level = best.select("origin", "node", F.col("b.score").alias("score"), F.col("b.entity_type").alias("entity_type"))
-        levels.append(level.withColumn("hops", F.lit(hop)))
-        level = level.select("origin", "node", "score")
-    every = reduce(DataFrame.unionByName, levels)
-    top = every.groupBy("origin", "node").agg(F.max(F.struct("score", (-F.col("hops")).alias("m"), "entity_type")).alias("b"))
+        level = expand(level, known, e, hop, least)
+        if hop < depth:
+            level = cut(level)  # it is read by every later hop
+        known = level if known is None else known.unionByName(level)
+    top = known.groupBy("origin", "node").agg(F.max(F.struct("score", (-F.col("hops")).alias("m"), "entity_type")).alias("b"))
     return top.select("origin", "node", F.round("b.score", 6).alias("score"), (-F.col("b.m")).alias("hops"), F.col("b.entity_type").alias("entity_type"), (F.col("b.entity_type") == "").alias("uncertain"))
 
 
 def impact_score(reached: DataFrame) -> DataFrame:
-    """Per origin: sum of scores, assets reached, uncertain ones."""
-    return reached.groupBy("origin").agg(F.round(F.sum(F.col("score").cast("decimal(28,6)")), 4).cast("double").alias("impact_score"), F.array_sort(F.collect_set("node")).alias("assets"), F.array_sort(F.collect_set(F.when(F.col("uncertain"), F.col("node")))).alias("uncertain_assets"))
+    """Per origin: sum of scores, number of assets reached and of uncertain ones (their names are the rows of ``reached``)."""
+    return reached.groupBy("origin").agg(F.round(F.sum(F.col("score").cast("decimal(28,6)")), 4).cast("double").alias("impact_score"), F.count(F.lit(1)).alias("assets"), F.count_if("uncertain").alias("uncertain"))
 
 
 def escalate(reached: DataFrame) -> DataFrame:

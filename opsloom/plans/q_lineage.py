@@ -59,8 +59,7 @@ def upstream_walk(spark, sf_dir):
 
 @query(_DOWN + " SELECT origin, CAST(round(sum(CAST(score AS decimal(28,6))), 4) AS double) AS impact_score, count(*) AS assets, count(CASE WHEN uncertain THEN 1 END) AS uncertain FROM reached GROUP BY origin")
 def impact_scores(spark, sf_dir):
-    out = L.impact_score(_down(spark, sf_dir))
-    return out.select("origin", "impact_score", F.size("assets").cast("long").alias("assets"), F.size("uncertain_assets").cast("long").alias("uncertain"))
+    return L.impact_score(_down(spark, sf_dir))
 
 
 @query(_DOWN + " SELECT origin, max_by(node, (score, node)) AS culprit, 'critical' AS severity FROM reached WHERE entity_type = 'dashboard' GROUP BY origin")
