@@ -170,7 +170,7 @@ def purged(spark, sf_dir):
     return I.purge(table(spark, sf_dir, "events"), "ts", 10, now()).select("event_id")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS string)), 1, 8) AS bigint) % 10000 < 1000")
 def hash_slices(spark, sf_dir):
     return I.hash_slice(table(spark, sf_dir, "orders"), "o_orderkey", 0.1).select("o_orderkey")
 

@@ -1,22 +1,39 @@
-"""Cutting the lineage of iterative plans in the folder that the session names."""
+"""Folders that the session names for intermediate tables, and cutting the lineage of iterative plans there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to ``spark.checkpoint.dir`` and read from there ever after.
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
     Only a session of one machine and process may do without that setting, and gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master != "local" and not context.master.startswith("local["):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-scratch-"))
+        folder = tempfile.mkdtemp(prefix="spark-scratch-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read from there ever after."""
+    root = shared_root(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one; it goes when the session ends."""
+    path = f"{shared_root(spark)}/tables-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 PROFILE_SCHEMA = "run_id string, git_sha string, profiled_at string, key string, left_rows bigint, right_rows bigint, distinct_keys bigint, max_key_rows bigint, median_key_rows bigint, skew_ratio double, top_key_share double, hot_key string, physical_plan string, plan_operators array<string>"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at a path; any other fault than a path that is not there is an error."""
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of the schema in its order: missing ones null, unknown ones dropped, types cast."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -22,39 +33,40 @@ def append_aligned(df: DataFrame, path: str, schema: T.StructType) -> None:
 
 
 def replace(df: DataFrame, path: str, version: str) -> str:
-    """Write a read model as a new version beside the old ones and return its path; readers switch by path."""
+    """Write a read model as a new version beside the old ones and return its path; readers take the newest (``newest``)."""
     out = f"{path.rstrip('/')}/version={version}"
     df.write.mode("errorifexists").parquet(out)
     return out
 
 
+def newest(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of the version that ``replace`` finished last (versions in order of their names); none where there is none.
+
+    A version without the mark of a finished write is passed over.
+    """
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = of(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.listStatus(folder)] if system.exists(folder) else []
+    done = sorted(p.getName() for p in found if p.getName().startswith("version=") and system.exists(of(p, "_SUCCESS")))
+    return read_or_empty(spark, f"{path.rstrip('/')}/{done[-1]}" if done else f"{path.rstrip('/')}/none", schema)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The table, or no rows of its schema when it is not there."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    try:
-        return aligned(spark.read.parquet(path), schema)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return aligned(spark.read.parquet(path), schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def source_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(source, available): which tables can be read; one that cannot means "not evaluated", not an error."""
-    rows = []
-    for name, path in sorted(paths.items()):
-        try:
-            spark.read.parquet(path)
-            rows.append((name, True))
-        except AnalysisException:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "source string, available boolean")
+    return spark.createDataFrame([(name, exists(spark, path)) for name, path in sorted(paths.items())], "source string, available boolean")
 
 
 def snapshot(spark: SparkSession, path: str, backup: str) -> None:
     """Copy a table once; an existing copy is kept."""
-    try:
-        spark.read.parquet(backup)
-    except AnalysisException:
+    if not exists(spark, backup):
         spark.read.parquet(path).write.parquet(backup)
 
 

@@ -163,6 +163,11 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
     status = {r.source: r.available for r in tables.source_status(spark, {"a": path, "b": str(tmp_path / "none")}).collect()}
     assert status == {"a": True, "b": False}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="Parquet|FAILED_READ_FILE|footer"):  # a fault is not "not there"
+        tables.read_or_empty(spark, str(tmp_path / "bad"), schema).count()
+    assert tables.newest(spark, str(tmp_path / "m"), schema).count() == 1 and tables.newest(spark, str(tmp_path / "never"), schema).count() == 0
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "1.json").write_text('{"run_id":"1","skew_ratio":2.5,"plan_operators":["Sort"]}')
     r = tables.run_profiles(spark, str(tmp_path / "p")).first()
