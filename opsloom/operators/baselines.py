@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import once, volume_band
+from opsloom.functions.ordered import last_known, last_values, running_number
 from opsloom.functions.quantiles import INCLUSIVE, exact_quantiles
 
 RATIO, DEVIATIONS, FLOOR_S, FLOOR_COST = 2.0, 5.0, 30.0, 0.05
@@ -75,7 +76,6 @@ def runtime_samples(runs: DataFrame, value: str = "execution_s", size: int = WIN
     time stands before its own end.
     """
     keys = ["job_id", *within]
-    stream = W.partitionBy(*keys).orderBy("_at", "_k", "_r", "_s")
     good = runs.filter((F.col("result_state") == "SUCCESS") & F.col(value).isNotNull() & F.col("end_time").isNotNull())
     if excluded is not None:
         good = good.join(excluded.select("run_id").distinct(), "run_id", "left_anti")
@@ -84,9 +84,8 @@ def runtime_samples(runs: DataFrame, value: str = "execution_s", size: int = WIN
     ends = good.select(*keys, F.col("end_time").alias("_at"), F.lit(0).alias("_k"), F.col("run_id").alias("_r"), F.lit(1).alias("_s"), F.col(value).alias("_v"), F.lit(None).cast(runs.select(F.struct("*")).schema[0].dataType).alias("_run"))
     instant = F.coalesce(F.col("end_time") <= F.col("start_time"), F.lit(False))
     starts = runs.select(*keys, F.when(instant, F.col("end_time")).otherwise(F.col("start_time")).alias("_at"), F.when(instant, 0).otherwise(1).alias("_k"), F.col("run_id").alias("_r"), F.lit(0).alias("_s"), F.lit(None).cast(runs.schema[value].dataType).alias("_v"), F.struct("*").alias("_run"))
-    ranked = ends.unionByName(starts).withColumn("_g", F.sum("_s").over(stream.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    at = W.partitionBy(*keys).orderBy("_g").rowsBetween(-(size - 1), 0)
-    lasts = ranked.filter("_s = 1").withColumn("_last", F.reverse(F.collect_list("_v").over(at))).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_g").alias("_n"), "_last")
+    ranked = running_number(ends.unionByName(starts), keys, ["_at", "_k", "_r", "_s"], F.col("_s") == 1, "_g")
+    lasts = last_values(ranked.filter("_s = 1"), keys, "_g", "_v", size, "_l").withColumn("_last", F.reverse("_l")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_g").alias("_n"), "_last")
     same = F.col("_g") == F.col("_n")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -239,16 +238,15 @@ def regime_start(regimes: DataFrame, runs: DataFrame) -> DataFrame:
 def last_healthy_run(runs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Each run with healthy_run_id: the latest successful run of its job that ended by its start and is not excluded.
 
-    Runs and their starts are merged into one ordered stream per job, so no pairs are formed.
+    Runs and their starts are merged into one ordered stream per job, in slices of time, so no pairs are formed.
     """
     ok = runs.filter("result_state = 'SUCCESS'")
     if excluded is not None:
         ok = ok.join(excluded.select("run_id"), "run_id", "left_anti")
     ends = ok.select("job_id", F.col("end_time").alias("at"), F.lit(0).alias("k"), F.struct("end_time", "run_id").alias("h"), F.lit(None).cast("string").alias("run_id"))
     starts = runs.select("job_id", F.col("start_time").alias("at"), F.lit(1).alias("k"), F.lit(None).cast("struct<end_time:timestamp,run_id:string>").alias("h"), "run_id")
-    w = W.partitionBy("job_id").orderBy("at", "k", F.col("h.run_id"))
-    best = F.last("h", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return ends.unionByName(starts).withColumn("best", best).filter("k = 1").select("run_id", "job_id", F.col("best.run_id").alias("healthy_run_id"))
+    df = last_known(ends.unionByName(starts), ["job_id"], ["at", "k", F.col("h.run_id")], "h", "best")
+    return df.filter("k = 1").select("run_id", "job_id", F.col("best.run_id").alias("healthy_run_id"))
 
 
 #: What two runs are compared in; a dimension that the runs have no column for is not available.
@@ -293,10 +291,10 @@ def incremental_cost(costs: DataFrame, now: Column, last: int = 5, pending_hours
     The baseline is the median of the last five successful earlier runs of the same job.
     """
     good = (F.col("result_state") == "SUCCESS") & F.col("cost").isNotNull()
-    at = W.partitionBy("job_id").orderBy("end_time", "run_id")
     # the running number of good runs turns "the last five before" into a lookup among the good ones
-    ranked = costs.withColumn("_g", F.coalesce(F.sum(F.when(good, 1).otherwise(0)).over(at.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    lasts = ranked.filter(good).withColumn("_last", F.collect_list("cost").over(at.rowsBetween(-(last - 1), 0))).select(F.col("job_id").alias("_j"), (F.col("_g") + 1).alias("_k"), "_last")
+    ranked = running_number(costs, ["job_id"], ["end_time", "run_id"], good, "_upto").withColumn("_g", F.col("_upto") - F.when(good, 1).otherwise(0)).drop("_upto")
+    good_ones = ranked.filter(good).withColumn("_k", F.col("_g") + 1)
+    lasts = last_values(good_ones, ["job_id"], "_k", "cost", last, "_last").select(F.col("job_id").alias("_j"), "_k", "_last")
     df = ranked.join(lasts, (F.col("job_id") == F.col("_j")) & (F.col("_g") == F.col("_k")), "left")
     df = df.withColumn("baseline_cost", median_of(F.col("_last"))).drop("_last", "_g", "_j", "_k")
     fresh = F.col("end_time") > now - F.expr(f"INTERVAL '{pending_hours}' HOUR")

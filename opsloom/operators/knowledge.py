@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.columns import stable_id
 from opsloom.functions.formulas import formula_hash, metrics_of
+from opsloom.functions.ordered import last_values, running_number
 from opsloom.functions.quantiles import INCLUSIVE, exact_quantiles
 
 # --- problems and knowledge
@@ -35,14 +36,13 @@ def last_before(items: DataFrame, targets: DataFrame, keys: list[str], k: int) -
     """(incident_id, d, t_subject, t_cause, item): the k latest items before each target with equal keys.
 
     Items and targets are merged into one ordered stream a key, where the running number of items turns "the last k
-    before" into a lookup, so a hot key takes linear work.
+    before" into a lookup, so a hot key takes linear work, in slices of time.
     """
     item = F.struct("detected_at", F.col("incident_id").alias("other"), "subject", "cause", "state")
     one = items.select(*keys, F.col("detected_at").alias("_at"), F.lit(1).alias("_s"), F.col("incident_id").alias("_id"), item.alias("_i"))
     two = targets.select(*keys, F.col("detected_at").alias("_at"), F.lit(0).alias("_s"), F.col("incident_id").alias("_id"), item.alias("_i"))
-    stream = W.partitionBy(*keys).orderBy("_at", "_s", F.desc("_id"))
-    ranked = one.unionByName(two).withColumn("_g", F.sum("_s").over(stream.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    lists = ranked.filter("_s = 1").withColumn("_last", F.collect_list("_i").over(W.partitionBy(*keys).orderBy("_g").rowsBetween(-(k - 1), 0)))
+    ranked = running_number(one.unionByName(two), keys, ["_at", "_s", F.desc("_id")], F.col("_s") == 1, "_g")
+    lists = last_values(ranked.filter("_s = 1"), keys, "_g", "_i", k, "_last")
     met = ranked.filter("_s = 0").join(lists.select(*keys, "_g", "_last"), [*keys, "_g"])
     return met.select(F.col("_id").alias("incident_id"), F.col("_at").alias("d"), F.col("_i.subject").alias("t_subject"), F.col("_i.cause").alias("t_cause"), F.explode("_last").alias("item"))
 
