@@ -54,12 +54,13 @@ def similar_incidents(incidents: DataFrame, targets: DataFrame, days: int = 90,
     come first, then the latest. Only the latest ``top`` recovered and other incidents of each key can be among the
     first ``top``, so no pairs beyond those are formed.
     """
-    near = None
+    near, won = None, F.coalesce(F.col("state") == "recovered", F.lit(False))
+    items = incidents.withColumn("_won", won)
+    asked = targets.withColumn("_won", F.explode(F.array(F.lit(True), F.lit(False))))
     for keys in (["type", "subject", "cause"], ["type", "cause"], ["type", "subject"]):
         known = F.col("cause").isNotNull() if "cause" in keys else F.lit(True)
-        for state in (F.col("state") == "recovered", ~F.coalesce(F.col("state") == "recovered", F.lit(False))):
-            found = last_before(incidents.filter(known & state), targets.filter(known), keys, top)
-            near = found if near is None else near.unionByName(found)
+        found = last_before(items.filter(known), asked.filter(known), [*keys, "_won"], top)
+        near = found if near is None else near.unionByName(found)
     near = near.select("incident_id", "d", "t_subject", "t_cause", "item.*").filter((F.col("other") != F.col("incident_id")) & (F.col("detected_at") >= F.col("d") - F.expr(f"INTERVAL '{days}' DAY")))
     same_c, same_s = F.coalesce(F.col("t_cause") == F.col("cause"), F.lit(False)), F.col("t_subject") == F.col("subject")
     near = near.withColumn("level", F.when(same_c & same_s, 1).when(same_c, 2).otherwise(3)).dropDuplicates(["incident_id", "other"])
