@@ -316,7 +316,7 @@ EXECUTIVE_NOTES = {
     "savings_identified": ("all", "opportunities", "sum of counted savings"),
     "savings_approved": ("all", "initiatives", "sum of approved and implemented savings"),
     "savings_realized": ("all", "realizations", "sum of realized net savings"),
-    "savings_rate": ("all", "realizations", "realized over approved"),
+    "savings_rate": ("all", "realizations", "realized initiatives over those measured to an end"),
 }
 
 
@@ -342,9 +342,9 @@ def executive_operations(predictions: DataFrame, costs: DataFrame, connectors: D
         rows(opportunities.filter("counted").agg(F.sum("saving").alias("v"), F.count("saving").alias("n")), ("savings_identified", F.col("v"), n)),
         rows(live.agg(F.sum("saving").alias("v"), F.count("saving").alias("n")), ("savings_approved", F.col("v"), n)),
     ]
-    done = realizations.filter("status = 'realizada'").agg(F.sum("net").alias("v"), F.count("net").alias("n"))
-    both = done.withColumn("_k", F.lit(1)).join(live.agg(F.sum("saving").alias("a")).withColumn("_k", F.lit(1)), "_k")
-    parts.append(rows(both, ("savings_realized", F.col("v"), n), ("savings_rate", F.when(F.col("a") > 0, F.col("v") / F.col("a")), n)))
+    real, ended = F.col("status") == "realizada", F.col("status").isin("realizada", "nao_realizada", "expirada", "realizada_com_efeito_colateral")
+    done = realizations.agg(F.sum(F.when(real, F.col("net"))).alias("v"), F.count_if(real).alias("n"), F.count_if(ended).alias("k"))
+    parts.append(rows(done, ("savings_realized", F.col("v"), n), ("savings_rate", F.when(F.col("k") > 0, n / F.col("k")), F.col("k"))))
     out = reduce(DataFrame.unionByName, parts)
     note = F.create_map(*[x for k, v in EXECUTIVE_NOTES.items() for x in (F.lit(k), F.struct(*[F.lit(y).alias(c) for y, c in zip(v, ("window", "source", "formula"), strict=True)]))])
     out = out.withColumn("confidence", F.when(n == 0, F.lit("sem_dados")).when(n < 5, F.lit("baixa")).otherwise(F.lit("alta")))

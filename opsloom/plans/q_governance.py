@@ -279,7 +279,7 @@ def sliding_burn_rates(spark, sf_dir):
     UNION ALL SELECT 'savings_identified', sum(CASE WHEN c_custkey % 2 = 0 THEN c_custkey END), count(CASE WHEN c_custkey % 2 = 0 THEN 1 END) FROM customer
     UNION ALL SELECT 'savings_approved', sum(CASE WHEN c_custkey % 3 > 0 THEN c_custkey END), count(CASE WHEN c_custkey % 3 > 0 THEN 1 END) FROM customer
     UNION ALL SELECT 'savings_realized', sum(CASE WHEN c_custkey % 9 = 0 THEN c_custkey END), count(CASE WHEN c_custkey % 9 = 0 THEN 1 END) FROM customer
-    UNION ALL SELECT 'savings_rate', sum(CASE WHEN c_custkey % 9 = 0 THEN c_custkey END) / sum(CASE WHEN c_custkey % 3 > 0 THEN c_custkey END), count(CASE WHEN c_custkey % 9 = 0 THEN 1 END) FROM customer) AS x""")
+    UNION ALL SELECT 'savings_rate', count(CASE WHEN c_custkey % 9 = 0 THEN 1 END) / count(CASE WHEN c_custkey % 9 < 3 THEN 1 END), count(CASE WHEN c_custkey % 9 < 3 THEN 1 END) FROM customer) AS x""")
 def executive_operations(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey").cast("double"))
     out = G.executive_operations(
@@ -289,7 +289,7 @@ def executive_operations(spark, sf_dir):
         c.selectExpr("case c_custkey % 5 when 0 then 'accepted' when 1 then 'rejected' else 'noted' end decision"),
         c.selectExpr("k saving", "c_custkey % 2 = 0 counted"),
         c.selectExpr("k saving", "case c_custkey % 3 when 0 then 'identified' when 1 then 'approved' else 'implemented' end status"),
-        c.selectExpr("k net", "case when c_custkey % 9 = 0 then 'realizada' else 'em_medicao' end status"),
+        c.selectExpr("k net", "case c_custkey % 9 when 0 then 'realizada' when 1 then 'nao_realizada' when 2 then 'expirada' else 'em_medicao' end status"),
     )
     return out.select("metric", F.round("value", 6).alias("value"), "n", "confidence")
 

@@ -109,18 +109,28 @@ def closed_until(spark, sf_dir):
     return I.closed_until(fixture(spark, sf_dir, "incidents")).withColumn("closed_until", F.date_trunc("second", F.col("closed_until").cast("timestamp")).cast("string"))
 
 
-@query(with_("incidents") + " SELECT incident_id, CAST(CASE WHEN user_id % 40 % 2 = 0 THEN 1.5 ELSE 0 END AS double) AS impact_score, CASE WHEN user_id % 40 % 3 = 0 AND severity NOT IN ('critical', 'blocking') THEN 'critical' ELSE severity END AS severity, CASE WHEN user_id % 40 % 3 = 0 AND severity NOT IN ('critical', 'blocking') THEN severity END AS escalated_from FROM incidents")
+# the impact of an asset is what customers of its number owe; one that has a customer in debt of a large segment escalates
+_IMPACT = ", im AS (SELECT 'asset.' || CAST(c_custkey % 40 AS string) AS asset, round(sum(c_acctbal) / 1000, 4) AS score, max(CASE WHEN c_acctbal < -900 AND c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS up FROM customer WHERE c_custkey % 40 % 7 > 0 GROUP BY 1)"
+
+
+@query(with_("incidents") + _IMPACT + """ SELECT incident_id, coalesce(score, 0) AS impact_score, CASE WHEN up = 1 AND severity NOT IN ('critical', 'blocking') THEN 'critical' ELSE severity END AS severity, CASE WHEN up = 1 AND severity NOT IN ('critical', 'blocking') THEN severity END AS escalated_from FROM incidents LEFT JOIN im ON im.asset = incidents.asset""")
 def impacted_incidents(spark, sf_dir):
-    a = spark.range(40).selectExpr("'asset.' || id origin", "id")
-    out = I.apply_impact(fixture(spark, sf_dir, "incidents"), a.filter("id % 2 = 0").selectExpr("origin", "1.5d impact_score"), a.filter("id % 3 = 0").selectExpr("origin", "'critical' severity", "'d' culprit"))
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 40 % 7 > 0").selectExpr("'asset.' || (c_custkey % 40) origin", "c_acctbal", "c_mktsegment", "c_custkey")
+    impact = c.groupBy("origin").agg(F.round(F.sum("c_acctbal") / 1000, 4).alias("impact_score"))
+    up = c.filter("c_acctbal < -900 and c_mktsegment = 'BUILDING'").groupBy("origin").agg(F.lit("critical").alias("severity"), F.min("c_custkey").cast("string").alias("culprit"))
+    out = I.apply_impact(fixture(spark, sf_dir, "incidents"), impact, up)
     return out.select("incident_id", "impact_score", "severity", "escalated_from")
 
 
-@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'c' ELSE 'b,c' END AS undeclared, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'a' END AS unseen FROM customer")
+@query("""WITH d AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS s FROM lineitem WHERE l_linenumber <= 2), o AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS s FROM lineitem WHERE l_linenumber % 2 = 0), p AS (SELECT DISTINCT l_partkey AS k FROM lineitem)
+    SELECT p.k, coalesce((SELECT string_agg(CAST(o.s AS string), ',' ORDER BY o.s) FROM o WHERE o.k = p.k AND NOT EXISTS (SELECT 1 FROM d WHERE d.k = o.k AND d.s = o.s)), '') AS undeclared, coalesce((SELECT string_agg(CAST(d.s AS string), ',' ORDER BY d.s) FROM d WHERE d.k = p.k AND NOT EXISTS (SELECT 1 FROM o WHERE o.k = d.k AND o.s = d.s)), '') AS unseen FROM p""")
 def consumer_gaps(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey k", "case when c_custkey % 2 = 0 then array('b', 'a') else array('a') end d", "array('c', 'b') o")
+    """Suppliers of the first lines of a part are declared, those of even lines are seen."""
+    li = table(spark, sf_dir, "lineitem")
+    some = lambda c: F.collect_set(F.when(c, F.col("l_suppkey")))
+    sets = li.groupBy(F.col("l_partkey").alias("k")).agg(some(F.col("l_linenumber") <= 2).alias("d"), some(F.col("l_linenumber") % 2 == 0).alias("o"))
     undeclared, unseen = I.consumer_gaps(F.col("d"), F.col("o"))
-    return c.select("k", F.array_join(undeclared, ",").alias("undeclared"), F.array_join(unseen, ",").alias("unseen"))
+    return sets.select("k", F.array_join(undeclared, ",").alias("undeclared"), F.array_join(unseen, ",").alias("unseen"))
 
 
 @query(with_("incidents") + " SELECT incident_id, CASE WHEN state = 'detected' AND event_id % 2 = 0 AND acknowledged_at IS NULL THEN 'triaged' ELSE state END AS state, CASE WHEN state IN ('detected', 'triaged') AND event_id % 2 = 0 AND acknowledged_at IS NULL THEN 'a' END AS acknowledged_by FROM incidents")

@@ -19,11 +19,22 @@ def key_distribution(spark, sf_dir):
     return P.key_distribution(table(spark, sf_dir, "orders"), "o_custkey").withColumn("skew_ratio", F.round("skew_ratio", 6)).withColumn("top_key_share", F.round("top_key_share", 8))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'SortMergeJoin,Window' WHEN event_id % 3 = 1 THEN 'BroadcastHashJoin,HashAggregate' ELSE '' END AS operators, CASE WHEN event_id % 3 = 0 THEN 'SortMergeJoin' WHEN event_id % 3 = 1 THEN 'BroadcastHashJoin,HashAggregate' ELSE '' END AS added FROM events")
+# a plan of one node a line item of an order, some of them twice; the plan of the order before it is the one it is compared with
+_NODE = "CASE l_linenumber % 5 WHEN 0 THEN 'Window' WHEN 1 THEN 'SortMergeJoin' WHEN 2 THEN 'HashAggregate' WHEN 3 THEN 'BroadcastHashJoin' ELSE 'Scan' END"
+_PLAIN = "('Window', 'SortMergeJoin', 'HashAggregate', 'BroadcastHashJoin')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_partkey % 3 = 0 THEN 'Window' ELSE {_NODE} END AS op FROM lineitem), o AS (SELECT k, list_sort(list(op) FILTER (op IN {_PLAIN})) AS ops FROM n GROUP BY k),
+    p AS (SELECT k, coalesce(ops, []) AS ops FROM o)
+    SELECT p.k, array_to_string(p.ops, ',') AS operators, array_to_string(list_filter(p.ops, lambda x: NOT list_contains(coalesce(b.ops, []), x)), ',') AS added FROM p LEFT JOIN p AS b ON b.k = p.k - 1""")
 def plan_operators(spark, sf_dir):
-    text = F.expr("case when event_id % 3 = 0 then '+- Window [x]\n  +- SortMergeJoin [k]\n  +- Window [y]' when event_id % 3 = 1 then '*(1) HashAggregate(keys)\n +- BroadcastHashJoin' else 'Scan parquet' end")
-    df = table(spark, sf_dir, "events").select("event_id", P.plan_operators(text).alias("ops"))
-    return df.select("event_id", F.array_join("ops", ",").alias("operators"), F.array_join(P.new_operators(F.col("ops"), F.array(F.lit("Window"))), ",").alias("added"))
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey k", "l_linenumber n", f"case when l_partkey % 3 = 0 then 'Window' else {_NODE} end op", "l_suppkey s")
+    line = F.expr("repeat(' ', n) || case when s % 2 = 0 then '+- ' else '*(' || n || ') ' end || op || ' [key#' || s || ']'")
+    plans = li.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    ops = plans.select("k", P.plan_operators(F.col("text")).alias("ops"))
+    both = ops.join(ops.select((F.col("k") + 1).alias("k"), F.col("ops").alias("before")), "k", "left")
+    added = P.new_operators(F.col("ops"), F.coalesce("before", F.array().cast("array<string>")))
+    return both.select("k", F.array_join(F.array_sort("ops"), ",").alias("operators"), F.array_join(F.array_sort(added), ",").alias("added"))
 
 
 @query("""SELECT CAST(l_orderkey AS string) AS run_id, CASE WHEN count(*) = count(CASE WHEN l_linenumber % 5 <> 4 OR l_orderkey % 3 > 0 THEN 1 END) THEN round(sum(l_linenumber * 100) / 1000, 6) END AS setup_s,
