@@ -6,6 +6,7 @@ median plus a floor. Nothing here collects; the fold over a job's runs takes the
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from itertools import groupby
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from opsloom.functions.columns import once, volume_band
 from opsloom.functions.ordered import last_known, last_values, running_number
 from opsloom.functions.quantiles import INCLUSIVE, exact_quantiles
+from opsloom.sources.scratch import cut
 
 RATIO, DEVIATIONS, FLOOR_S, FLOOR_COST = 2.0, 5.0, 30.0, 0.05
 WINDOW, LEAST = 20, 5
@@ -122,6 +124,8 @@ def banded_baseline(runs: DataFrame, floor: float = FLOOR_S, least: int = LEAST,
     return _with_verdict(robust_threshold(df, "sample", floor), "value", least)
 
 
+#: Runs of a job that one task folds.
+SEGMENT = 200_000
 FOLD_SCHEMA = "run_id string, job_id string, metric string, value double, median double, mad double, threshold double, deciding_term string, n int, band int, band_fallback boolean, verdict string, opens boolean"
 
 
@@ -190,13 +194,78 @@ def plain_rows(pdf) -> list[dict]:
     return rows
 
 
-def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None, closed: DataFrame | None = None, active: DataFrame | None = None, floor: float = FLOOR_S) -> DataFrame:
+def _told(history: dict) -> str:
+    """A history as text; equal histories have equal texts."""
+    told = [[list(key), [e.value for e in ends], values] for key, (ends, values) in history.items() if ends]
+    return json.dumps(sorted(told, key=lambda t: repr(t[0])), default=float)
+
+
+def _known(text: str | None) -> dict:
+    """The history of a text."""
+    import pandas as pd
+
+    return {tuple(key): ([pd.Timestamp(e) for e in ends], values) for key, ends, values in json.loads(text or "[]")}
+
+
+def _folded(rows: DataFrame, begins: DataFrame, floor: float, lines: bool) -> DataFrame:
+    """Each segment (job_id, seg) folded from the history that it begins with: its verdicts, or the history that it leaves."""
+
+    def run(key, part, begin):
+        import pandas as pd
+
+        part = part.sort_values(["_at", "run_id"], kind="stable")
+        some, history = plain_rows(part), _known(begin["before"].iloc[0])
+        if some:
+            first = some[0]
+            found = fold_job(some, set(() if first["excluded"] is None else first["excluded"]), first["closed_until"], first["regime_start"], floor, history)
+        else:
+            found = []
+        if lines:
+            return pd.DataFrame(found, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+        earliest = begin["earliest"].iloc[0]
+        if not pd.isna(earliest):
+            forget(history, earliest)
+        return pd.DataFrame([(key[0], key[1], _told(history))], columns=["job_id", "seg", "after"])
+
+    schema = FOLD_SCHEMA if lines else "job_id string, seg long, after string"
+    own = begins.select(F.col("job_id").alias("j"), F.col("seg").alias("s"), "before", "earliest")  # names of its own: both come from the same rows
+    return rows.groupBy("job_id", "seg").cogroup(own.groupBy("j", "s")).applyInPandas(run, schema)
+
+
+def detect_in_segments(keep: DataFrame, floor: float, size: int) -> DataFrame:
+    """The verdicts of jobs of any size: segments of ``size`` runs are folded at once and again where they began wrong.
+
+    A segment first begins with what the one before leaves from an empty history. Where a segment leaves something
+    else in the end, the next one is folded again, until every segment began with what the one before it leaves; as
+    the first one begins right, all of them did. Old values leave a history soon, so few are folded more than twice.
+    """
+    at = F.coalesce("end_time", F.to_timestamp(F.lit("2200-01-01 00:00:00")))
+    rows = running_number(keep.withColumn("_at", at), ["job_id"], ["_at", "run_id"], F.lit(True), "_n")
+    rows = cut(rows.withColumn("seg", F.floor((F.col("_n") - 1) / size)))
+    later = W.partitionBy("job_id").orderBy("seg").rowsBetween(1, W.unboundedFollowing)
+    bounds = rows.groupBy("job_id", "seg").agg(F.min("start_time").alias("_s")).select("job_id", "seg", F.min("_s").over(later).alias("earliest"))
+    begins = cut(bounds.withColumn("before", F.lit(None).cast("string")))
+    named = lambda df: df.select(F.col("job_id").alias("j"), F.col("seg").alias("s"))
+    same = F.col("job_id").eqNullSafe(F.col("j")) & (F.col("seg") == F.col("s"))
+    after = cut(_folded(rows, begins, floor, False))
+    while True:
+        left = after.select(F.col("job_id").alias("j"), (F.col("seg") + 1).alias("s"), F.col("after").alias("told"))
+        new = begins.join(left, same, "left")
+        new = cut(new.select("job_id", "seg", "earliest", F.col("told").alias("before"), (~F.col("told").eqNullSafe(F.col("before"))).alias("changed")))
+        begins, again = new.drop("changed"), new.filter("changed").drop("changed")
+        if not again.limit(1).count():
+            return _folded(rows, begins, floor, True)
+        redone = _folded(rows.join(named(again), same, "left_semi"), again, floor, False)
+        after = cut(after.join(named(again), same, "left_anti").unionByName(redone))
+
+
+def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None, closed: DataFrame | None = None, active: DataFrame | None = None, floor: float = FLOOR_S, segment: int = SEGMENT) -> DataFrame:
     """Verdict of every run by the sequential rule.
 
     ``regimes`` (job_id, regime_start), ``closed`` (job_id, closed_until) and ``active`` (job_id, excluded array of run
     ids of open incidents) are optional. The rule is sequential, so a job's runs stream through one task in the order of
     their ends (Spark sorts and spills); the task holds a batch, the eligible runs that a later start can still ask for,
-    and a job's ``excluded`` ids, but never a whole job.
+    and a job's ``excluded`` ids, but never a whole job. Jobs of more than ``segment`` runs are folded in segments by many tasks.
     """
     df = runs.withColumn("band", volume_band(F.col("input_rows")))
     for extra, column, kind in ((regimes, "regime_start", "timestamp"), (closed, "closed_until", "timestamp"), (active, "excluded", "array<string>")):
@@ -222,6 +291,17 @@ def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None
     order = [F.col("end_time").asc_nulls_last(), F.col("run_id")]
     onwards = W.partitionBy("job_id").orderBy(F.col("end_time").desc_nulls_first(), F.desc("run_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
     keep = df.select("run_id", "job_id", "start_time", "end_time", "execution_s", "duration_s", "result_state", "band", "regime_start", "closed_until", "excluded")
+    large = keep.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > segment).select(F.col("job_id").alias("_j"))
+    if large.limit(1).count():
+        of_large = F.col("job_id").eqNullSafe(F.col("_j"))
+        parts = detect_in_segments(keep.join(large, of_large, "left_semi"), floor, segment)
+        small = detect_runtime_regressions_of(keep.join(large, of_large, "left_anti"), run, order, onwards)
+        return small.unionByName(parts)
+    return detect_runtime_regressions_of(keep, run, order, onwards)
+
+
+def detect_runtime_regressions_of(keep: DataFrame, run, order: list, onwards) -> DataFrame:
+    """Jobs streamed through one task each."""
     keep = keep.repartition("job_id").withColumn("earliest", F.min("start_time").over(onwards))
     return keep.sortWithinPartitions("job_id", *order).mapInPandas(run, FOLD_SCHEMA)
 

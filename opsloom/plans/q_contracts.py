@@ -60,7 +60,7 @@ _ORACLE = (
         UNION ALL SELECT {_AT["shape"]}, 'violated', 2, 4, NULL
         UNION ALL SELECT {_AT["negative"]}, 'share', count(CASE WHEN amount < 0 THEN 1 END), count(amount), NULL FROM dirty_orders)
     SELECT contract_id, rule_id, asset, dimension, CASE WHEN m IS NULL OR m = 'share' AND {_LIMITS} IS NULL THEN 'evaluation_error' WHEN m <> 'share' THEN m WHEN d > 0 AND n / d > {_LIMITS} THEN 'violated' ELSE 'passed' END AS status,
-        CAST(n AS bigint) AS numerator, CAST(d AS bigint) AS denominator, CASE WHEN d > 0 THEN round(n / d, 8) END AS ratio, threshold, severity, win AS "window",
+        CAST(n AS bigint) AS numerator, CAST(d AS bigint) AS denominator, CASE WHEN d > 0 THEN round(n / d, 8) END AS ratio, threshold, severity, win AS rule_window,
         substr(sha256(dimension || '|' || asset || '|' || col || '|' || arg), 1, 16) AS query_hash, keys AS sample_keys, m IS NULL OR m = 'share' AND {_LIMITS} IS NULL AS said_why FROM r LEFT JOIN m ON m.i = r.i"""
 )
 
@@ -75,4 +75,4 @@ def contract_results(spark, sf_dir):
     now = spark.sql("SELECT timestamp'1998-12-31 00:00:00'").first()[0]
     out = run_contracts(contracts, {"orders": fixture(spark, sf_dir, "dirty_orders"), "customer": table(spark, sf_dir, "customer")}, now, columns, writes, history, {"orders": ["order_id"]})
     keys = F.when(F.size("sample_keys") > 0, F.array_join("sample_keys", ","))
-    return out.select("contract_id", "rule_id", "asset", "dimension", "status", "numerator", "denominator", F.round("ratio", 8).alias("ratio"), "threshold", "severity", "window", "query_hash", keys.alias("sample_keys"), F.col("error_message").isNotNull().alias("said_why"))
+    return out.select("contract_id", "rule_id", "asset", "dimension", "status", "numerator", "denominator", F.round("ratio", 8).alias("ratio"), "threshold", "severity", F.col("window").alias("rule_window"), "query_hash", keys.alias("sample_keys"), F.col("error_message").isNotNull().alias("said_why"))

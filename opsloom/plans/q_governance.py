@@ -202,11 +202,11 @@ def audit_chain(spark, sf_dir):
     UNION ALL SELECT 'mttr_median_h', median(h), count(*), false, 'hours', '7 d' FROM i WHERE rec UNION ALL SELECT 'mttr_p90_h', s[lo] + (0.9 * (n + 1) - lo) * (s[lo + 1] - s[lo]), n, false, 'hours', '7 d' FROM q
     UNION ALL SELECT 'administrative_closures', count(*), count(*), true, 'incidents', '7 d' FROM i WHERE state = 'closed' AND updated_at >= {_NOW} - INTERVAL '7' DAY UNION ALL SELECT 'mtta_median_h', median(a), count(*), false, 'hours', '7 d' FROM i WHERE ack
     UNION ALL SELECT 'ack_pending', count(CASE WHEN acknowledged_at IS NULL THEN 1 END), count(*), true, 'incidents', 'now' FROM i WHERE act UNION ALL SELECT 'sla_risk_incidents', count(CASE WHEN type = 'sla_risk' THEN 1 END), count(*), true, 'incidents', 'now' FROM i WHERE act UNION ALL SELECT 'impacted_assets', count(DISTINCT asset), count(asset), false, 'assets', 'now' FROM i WHERE act)
-    SELECT metric, round(CAST(value AS double), 6) AS value, n, CASE WHEN sure THEN 'alta' WHEN n = 0 THEN 'sem_dados' WHEN n < 5 THEN 'baixa' ELSE 'alta' END AS confidence, unit, w AS "window", true AS explained FROM m""")
+    SELECT metric, round(CAST(value AS double), 6) AS value, n, CASE WHEN sure THEN 'alta' WHEN n = 0 THEN 'sem_dados' WHEN n < 5 THEN 'baixa' ELSE 'alta' END AS confidence, unit, w AS looked_back, true AS explained FROM m""")
 def executive_summary(spark, sf_dir):
     out = G.executive_summary(fixture(spark, sf_dir, "incidents"), now())
     told = (F.length("source") > 0) & (F.length("formula") > 0)
-    return out.select("metric", F.round("value", 6).alias("value"), "n", "confidence", "unit", "window", told.alias("explained"))
+    return out.select("metric", F.round("value", 6).alias("value"), "n", "confidence", "unit", F.col("window").alias("looked_back"), told.alias("explained"))
 
 
 @query("SELECT c_custkey, round(CAST(CASE WHEN c_custkey % 7 = 0 THEN least(50 * a + 50 * b, 60) ELSE 50 * a + 50 * b END AS double), 4) AS score FROM (SELECT c_custkey, c_custkey % 11 / 10 AS a, c_custkey % 6 / 5 AS b FROM customer) AS x")

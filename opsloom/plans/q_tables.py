@@ -53,10 +53,10 @@ def restored_snapshot(spark, sf_dir):
     return spark.read.parquet(f"{path}/t")
 
 
-@query("""SELECT o_custkey AS k, max(o_orderkey) AS at, max_by(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey AS k, max(o_orderkey) AS last_order, max_by(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1""")
 def durable_upserts(spark, sf_dir):
     """Orders in three batches, the second of them twice: of each customer the newest one stays."""
-    path, o = new_folder(spark), table(spark, sf_dir, "orders").selectExpr("o_custkey k", "o_orderkey at", "o_orderpriority v")
+    path, o = new_folder(spark), table(spark, sf_dir, "orders").selectExpr("o_custkey k", "o_orderkey last_order", "o_orderpriority v")
     for batch in (0, 1, 1, 2):
-        U.upsert(o.filter(F.col("at") % 3 == batch), path, "k", "at", batch, buckets=16)
+        U.upsert(o.filter(F.col("last_order") % 3 == batch), path, "k", "last_order", batch, buckets=16)
     return U.current(spark, path, o.schema)
