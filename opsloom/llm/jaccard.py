@@ -17,9 +17,10 @@ cannot reach the threshold:
    A block (a shuffle partition of columns) adds up its overlap counts by pair, the blocks' counts are added, and a
    pair goes on only if its count plus what both rows have left beyond the last common column can reach the overlap
    that the two sizes ask for. Nothing is capped or sampled.
-5. What is left is checked with the full overlap count of the two rows; links are exact.
+5. What is left is checked with the full overlap count of the two rows.
 
-A column is known by its block and 40 bits of hash in it (a block has about a million entries). Packed batches are named by
+A column is known by its block and 40 bits of hash in it (a block has about a million entries), and a shingle by 64 bits. Links are
+exact but for what different n-grams with equal bits add to an overlap, which can matter at the very threshold only. Packed batches are named by
 a digest of their sets, so that a task that is run again gives the same names; the docs have to come from files (or
 another source that keeps its order when read again).
 
