@@ -65,10 +65,17 @@ def rank_hypotheses(hypotheses: DataFrame) -> DataFrame:
 def changes_in_window(runs: DataFrame, changes: DataFrame, days: int = 7) -> DataFrame:
     """run_id, sha, nth: commits between the healthy run's end (or a week before) and the run's start, deployed one first.
 
-    ``runs`` has run_id, job_id, git_sha, start_time, healthy_end; ``changes`` has job_id, sha, committed_at.
+    ``runs`` has run_id, job_id, git_sha, start_time, healthy_end; ``changes`` has job_id, sha, committed_at. A run meets only
+    the changes of the slices of ``days`` days that its window touches, not all of its job.
     """
+    def slice_of(at: str) -> Column:
+        return F.floor(F.unix_date(F.col(at).cast("date")) / F.lit(days))
+
     since = F.coalesce("healthy_end", F.col("start_time") - F.expr(f"INTERVAL '{days}' DAY"))
-    met = runs.withColumn("since", since).join(changes.select("job_id", "sha", "committed_at"), "job_id").filter("committed_at > since and committed_at <= start_time")
+    spans = runs.select("run_id", "job_id", "git_sha", "start_time", since.alias("since")).filter("since < start_time")
+    spans = spans.withColumn("_slice", F.explode(F.sequence(slice_of("since"), slice_of("start_time"))))
+    commits = changes.select("job_id", "sha", "committed_at", slice_of("committed_at").alias("_slice"))
+    met = spans.join(commits, ["job_id", "_slice"]).filter("committed_at > since and committed_at <= start_time")
     w = W.partitionBy("run_id").orderBy(F.desc(F.col("sha") == F.col("git_sha")), F.desc("committed_at"), "sha")
     return met.select("run_id", "sha", F.row_number().over(w).alias("nth"))
 
