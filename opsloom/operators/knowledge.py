@@ -178,16 +178,23 @@ def evaluated_assets(registry: DataFrame, read: DataFrame) -> DataFrame:
 
 def observed_metrics(files: DataFrame) -> DataFrame:
     """Named aggregations in a corpus of source files (path, value): path, metric_id, formula, grain (keys in order), line,
-    extraction_status, detail and formula_hash (null where nothing can be compared). See ``functions.formulas``."""
+    extraction_status, detail and formula_hash (null where nothing can be compared). See ``functions.formulas``.
+
+    Equal texts are read once, in tasks that are dealt by text and not by the size of the input's files.
+    """
+    spark = files.sparkSession
+    files = files.select("path", F.coalesce("value", F.lit("")).alias("value")).withColumn("_text", F.sha2(F.col("value").cast("binary"), 256))
+    texts = files.select("_text", "value").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_text")
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            rows = [(p, m.metric_id, m.formula, m.grain, m.line, m.status, m.detail, formula_hash(m.canonical)) for p, v in zip(b["path"], b["value"], strict=True) for m in metrics_of(v or "")]
-            yield pd.DataFrame(rows, columns=["path", "metric_id", "formula", "grain", "line", "extraction_status", "detail", "formula_hash"])
+            rows = [(t, m.metric_id, m.formula, m.grain, m.line, m.status, m.detail, formula_hash(m.canonical)) for t, v in zip(b["_text"], b["value"], strict=True) for m in metrics_of(v)]
+            yield pd.DataFrame(rows, columns=["_text", "metric_id", "formula", "grain", "line", "extraction_status", "detail", "formula_hash"])
 
-    return files.select("path", "value").mapInPandas(run, "path string, metric_id string, formula string, grain string, line int, extraction_status string, detail string, formula_hash string")
+    metrics = texts.mapInPandas(run, "_text string, metric_id string, formula string, grain string, line int, extraction_status string, detail string, formula_hash string")
+    return files.select("path", "_text").join(metrics, "_text").drop("_text")
 
 
 # --- SLA

@@ -3,7 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from opsloom.operators import incidents as I
+from opsloom.operators import knowledge as K
 
 T0 = datetime(2026, 1, 1)
 
@@ -29,3 +32,14 @@ def test_runs_meet_only_changes_near_their_window(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     (join,) = [line for line in plan.splitlines() if "Join Inner" in line]
     assert "_slice" in join
+
+
+def test_equal_sources_are_read_once(spark):
+    """Copies of a text, however few files they lie in, are parsed once and all get their rows."""
+    code = "def f(df):\n    return df.groupBy('k').agg(F.sum('x').alias('m'), F.max('y').alias('n'))\n"
+    files = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("p"), "id").alias("path"), F.when(F.col("id") % 3 == 1, F.lit(code)).when(F.col("id") % 3 == 2, F.lit("def (")).alias("value"))
+    df = K.observed_metrics(files)
+    got = {tuple(r) for r in df.groupBy("metric_id", "formula", "extraction_status").count().collect()}
+    assert got == {("m", "F.sum('x')", "extraida", 1000), ("n", "F.max('y')", "extraida", 1000), ("", "", "nao_extraivel", 1000)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInPandas") < plan.index("Aggregate [")
