@@ -70,24 +70,30 @@ def _usable(edges: DataFrame, direction: str, excluded: DataFrame | list[str] |
         e = e.join(out, F.col("k") == F.col("x"), "left_anti").join(out, F.col("to") == F.col("x"), "left_anti")
     for end in filter(None, excluded if isinstance(excluded, list) else ()):
         e = e.filter(~F.endswith(F.col("k"), F.lit(end)) & ~F.endswith(F.col("to"), F.lit(end)))
-    return e.groupBy("k", "to").agg(F.max(F.struct("weight", "entity_type")).alias("b")).select("k", "to", "b.weight", "b.entity_type")
+    best = e.groupBy(pair_hash("k", "to"), "k", "to").agg(F.max(F.struct("weight", "entity_type")).alias("b"))
+    return best.select(F.xxhash64("k").alias("hash"), "k", "to", "b.weight", "b.entity_type")
+
+
+def pair_hash(one: str, two: str) -> Column:
+    """Number that stands before two names in a grouping: names of a graph begin alike, so that sorting by them alone compares them to the end."""
+    return F.xxhash64(one, two).alias("pair")
 
 
 def expand(level: DataFrame, known: DataFrame | None, edges: DataFrame, hop: int, least: float = 0.0) -> DataFrame:
-    """origin, node, score, entity_type, hops: what a hop from ``level`` adds to ``known``.
+    """pair, origin, node, score, entity_type, hops: what a hop from ``level`` adds to ``known``.
 
     Of the paths to a node the best one stays. It is dropped if a shorter path is as good: whatever it leads to, that
     path leads to as well, at least as well and within the depth. It is also dropped below ``least``.
     """
-    step = level.select("origin", "node", "score").join(edges, F.col("node") == F.col("k")).filter(F.col("to") != F.col("origin"))
+    step = level.select("origin", "node", "score").join(edges, (F.xxhash64("node") == F.col("hash")) & (F.col("node") == F.col("k"))).filter(F.col("to") != F.col("origin"))
     step = step.select("origin", F.col("to").alias("node"), (F.col("score") * F.col("weight") * DECAY).alias("score"), "entity_type")
     if least:
         step = step.filter(F.col("score") >= least)
-    best = step.groupBy("origin", "node").agg(F.max(F.struct("score", "entity_type")).alias("b")).select("origin", "node", "b.score", "b.entity_type", F.lit(hop).alias("hops"))
+    best = step.groupBy(pair_hash("origin", "node"), "origin", "node").agg(F.max(F.struct("score", "entity_type")).alias("b")).select("pair", "origin", "node", "b.score", "b.entity_type", F.lit(hop).alias("hops"))
     if known is None:
         return best
-    told = known.groupBy("origin", "node").agg(F.max("score").alias("_known"))
-    return best.join(told, ["origin", "node"], "left").filter(F.col("_known").isNull() | (F.col("score") > F.col("_known"))).drop("_known")
+    told = known.groupBy("pair", "origin", "node").agg(F.max("score").alias("_known"))
+    return best.join(told, ["pair", "origin", "node"], "left").filter(F.col("_known").isNull() | (F.col("score") > F.col("_known"))).drop("_known")
 
 
 def traverse(edges: DataFrame, origins: DataFrame, direction: str = "down", depth: int = DEPTH, excluded: DataFrame | list[str] | None = None, least: float = 0.0) -> DataFrame:
@@ -97,16 +103,16 @@ def traverse(edges: DataFrame, origins: DataFrame, direction: str = "down", dept
     leads to ``type/id``; one without both is dropped. An excluded node (of a table: by name; of a list: by the end of
     its name) is neither entered nor left. Only paths that better what is known go on to the next hop; an optional ``least``
     score gives up what is below it. The joins are equi-joins on the node, so that hubs can be split;
-    each hop but the last is written once.
+    the edges, and each hop but the last, are written once.
     """
-    e = _usable(edges, direction, excluded)
+    e = cut(_usable(edges, direction, excluded))
     level, known = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("score")).distinct(), None
     for hop in range(1, depth + 1):
         level = expand(level, known, e, hop, least)
         if hop < depth:
             level = cut(level)  # it is read by every later hop
         known = level if known is None else known.unionByName(level)
-    top = known.groupBy("origin", "node").agg(F.max(F.struct("score", (-F.col("hops")).alias("m"), "entity_type")).alias("b"))
+    top = known.groupBy("pair", "origin", "node").agg(F.max(F.struct("score", (-F.col("hops")).alias("m"), "entity_type")).alias("b"))
     return top.select("origin", "node", F.round("b.score", 6).alias("score"), (-F.col("b.m")).alias("hops"), F.col("b.entity_type").alias("entity_type"), (F.col("b.entity_type") == "").alias("uncertain"))
 
 

@@ -1,12 +1,17 @@
 """Steps that must not grow faster than their input: what they send on, and that their rows stay the same."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from opsloom.operators import baselines as B
 from opsloom.operators import incidents as I
 from opsloom.operators import knowledge as K
+from opsloom.operators import lineage as L
+from opsloom.operators import profiling as P
+from opsloom.sources.scratch import cut
 
 T0 = datetime(2026, 1, 1)
 
@@ -43,3 +48,59 @@ def test_equal_sources_are_read_once(spark):
     assert got == {("m", "F.sum('x')", "extraida", 1000), ("n", "F.max('y')", "extraida", 1000), ("", "", "nao_extraivel", 1000)}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInPandas") < plan.index("Aggregate [")
+
+
+def test_edges_of_a_walk_are_made_once(spark, monkeypatch):
+    """The grouped edges are written before the first hop, with the number that its join begins with."""
+    written, real = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df: written.append(df.columns) or real(df))
+    edges = spark.createDataFrame([("a", "b", "job", "", 1.0), ("b", "c", "dashboard", "", 0.5), ("b", "c", "job", "", 0.5), ("c", "a", "job", "", 1.0)], "source string, target string, entity_type string, entity_id string, weight double")
+    got = L.traverse(edges, spark.createDataFrame([("a",)], "origin string"))
+    assert sorted((r.node, r.score, r.hops, r.entity_type) for r in got.collect()) == [("b", 0.5, 1, "job"), ("c", 0.125, 2, "job")]
+    assert written[0] == ["hash", "k", "to", "weight", "entity_type"] and len(written) == 3
+
+
+def test_scratch_tables_are_columns(spark):
+    df = spark.createDataFrame([("a", [1, None], {"k": 1.5}, T0), (None, None, None, None)], "s string, a array<int>, m map<string,double>, t timestamp")
+    out = cut(df)
+    assert out.schema == df.schema and sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+    assert all(f.endswith(".parquet") for f in out.inputFiles()) and cut(df.limit(0)).count() == 0
+
+
+def test_operators_in_plans(spark):
+    """Looking at first letters only finds what the plain pattern finds."""
+    texts = [" ".join(P.PLAN_OPERATORS), "SortMergeJoinSort", "Exchange\nhashpartitioning", "BBroadcastExchange xWindow[", "Exchange hashpartitioningSortAggregateGenerate", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.plan_operators(F.col("t")).alias("o"))
+    for r in got.collect():
+        assert r.o == sorted(set(re.findall("|".join(P.PLAN_OPERATORS), r.t)))
+    assert "(?=[" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_differences_are_shaped_after_the_joins(spark):
+    """Runs are joined with their own columns; no map of texts goes through a shuffle."""
+    runs = spark.createDataFrame([("1", 10.04, {"run_id": "1", "a": "x"}, ["Sort"], 5), ("2", 10.0, {"run_id": "2", "a": "x"}, [], None), ("3", 11.0, {"a": "y"}, ["Sort"], 5)], "run_id string, duration_s double, job_parameters map<string,string>, plan_operators array<string>, input_rows long")
+    pairs = spark.createDataFrame([("2", "1"), ("3", "1"), ("1", None)], "run_id string, healthy_run_id string")
+    df = B.diff_runs(pairs, runs)
+    got = {(r.run_id, r.dimension): (r.healthy, r.current, r.status) for r in df.collect()}
+    assert len(got) == 3 * len(B.DIMENSIONS) and got["2", "duration_s"] == ("10.0", "10.0", "equal") and got["3", "duration_s"] == ("10.0", "11.0", "changed")
+    assert got["2", "job_parameters"] == ("a=x", "a=x", "equal") and got["3", "job_parameters"] == ("a=x", "a=y", "changed")
+    assert got["2", "plan_operators"] == ("Sort", None, "not_available") and got["2", "input_rows"][2] == "not_available" and got["3", "gc_ms"] == (None, None, "not_available")
+    assert got["1", "duration_s"] == (None, "10.0", "not_available")
+    assert "map_from_arrays" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_segments_are_guessed_from_tails(spark, monkeypatch):
+    """The first fold reads the first segment and the ends of the others; memory is that of a segment."""
+    folded, real = [], B._folded
+
+    def counted(rows, begins, floor, *more):
+        folded.append(rows.count())
+        return real(rows, begins, floor, *more)
+
+    monkeypatch.setattr(B, "_folded", counted)
+    monkeypatch.setattr(B, "TAIL", 40)
+    rows = [(f"r{i:05d}", "j", T0 + timedelta(minutes=i), T0 + timedelta(minutes=i, seconds=30), 100.0 + i % 7 + (500 if i % 97 == 0 else 0), None, "SUCCESS", 100) for i in range(1000)]
+    df = spark.createDataFrame(rows, "run_id string, job_id string, start_time timestamp, end_time timestamp, execution_s double, duration_s double, result_state string, input_rows long")
+    got = B.detect_runtime_regressions(df, segment=200)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, B.detect_runtime_regressions(df).collect()), key=repr)
+    assert folded[0] == 200 + 4 * 40 and folded[1] == 800 and B.SEGMENT <= 50_000
