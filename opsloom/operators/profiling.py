@@ -26,7 +26,8 @@ def key_distribution(df: DataFrame, key: str) -> DataFrame:
 
 def plan_operators(text: Column) -> Column:
     """Sorted distinct operators named in a plan's text."""
-    pattern = "(" + "|".join(PLAN_OPERATORS) + ")"
+    initials = "".join(sorted({name[0] for name in PLAN_OPERATORS}))  # most places of a text begin no name and are passed at once
+    pattern = f"(?=[{initials}])(" + "|".join(PLAN_OPERATORS) + ")"
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
 
 

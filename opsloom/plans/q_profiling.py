@@ -29,8 +29,9 @@ _PLAIN = "('Window', 'SortMergeJoin', 'HashAggregate', 'BroadcastHashJoin')"
     SELECT p.k, array_to_string(p.ops, ',') AS operators, array_to_string(list_filter(p.ops, lambda x: NOT list_contains(coalesce(b.ops, []), x)), ',') AS added FROM p LEFT JOIN p AS b ON b.k = p.k - 1""")
 def plan_operators(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey k", "l_linenumber n", f"case when l_partkey % 3 = 0 then 'Window' else {_NODE} end op", "l_suppkey s")
-    line = F.expr("repeat(' ', n) || case when s % 2 = 0 then '+- ' else '*(' || n || ') ' end || op || ' [key#' || s || ']'")
-    plans = li.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    line = "repeat(' ', x.n) || case when x.s % 2 = 0 then '+- ' else '*(' || x.n || ') ' end || x.op || ' [key#' || x.s || ']'"
+    nodes = li.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "s", "op"))).alias("nodes"))  # lines are written after the shuffle
+    plans = nodes.select("k", F.array_join(F.expr(f"transform(nodes, x -> {line})"), "\n").alias("text"))
     ops = plans.select("k", P.plan_operators(F.col("text")).alias("ops"))
     both = ops.join(ops.select((F.col("k") + 1).alias("k"), F.col("ops").alias("before")), "k", "left")
     added = P.new_operators(F.col("ops"), F.coalesce("before", F.array().cast("array<string>")))
