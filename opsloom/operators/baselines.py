@@ -343,26 +343,27 @@ def diff_runs(pairs: DataFrame, runs: DataFrame, dimensions=DIMENSIONS) -> DataF
     Times are compared to a tenth of a second, the run's own id among its parameters is not compared.
     """
     kinds = dict(runs.dtypes)
+    present = [d for d in dimensions if d in kinds]
 
-    def shown(d: str) -> Column:
+    def shown(side: str, d: str) -> Column:
         if d not in kinds:
             return F.lit(None).cast("string")
+        value = F.col(f"{side}.{d}")
         if kinds[d].startswith("map"):
-            kept = F.array_sort(F.transform(F.map_entries(F.map_filter(d, lambda k, _: k != "run_id")), lambda e: F.concat_ws("=", e["key"], e["value"])))
+            kept = F.array_sort(F.transform(F.map_entries(F.map_filter(value, lambda k, _: k != "run_id")), lambda e: F.concat_ws("=", e["key"], e["value"])))
             return F.nullif(F.array_join(kept, ", "), F.lit(""))
         if kinds[d].startswith("array"):
-            return F.nullif(F.array_join(d, ", "), F.lit(""))
-        return (F.round(d, _PLACES[d]) if d in _PLACES else F.col(d)).cast("string")
+            return F.nullif(F.array_join(value, ", "), F.lit(""))
+        return (F.round(value, _PLACES[d]) if d in _PLACES else value).cast("string")
 
     def side(name: str, alias: str):
-        cols = F.map_from_arrays(F.array(*[F.lit(d) for d in dimensions]), F.array(*[shown(d) for d in dimensions]))
-        return runs.select(F.col("run_id").alias(name), cols.alias(alias))
+        return runs.select(F.col("run_id").alias(name), F.struct(F.lit(True).alias("_is"), *present).alias(alias))
 
+    # runs are joined as they are; texts of every dimension are made afterwards, row by row
     both = pairs.select("run_id", "healthy_run_id").join(side("run_id", "c"), "run_id").join(side("healthy_run_id", "h"), "healthy_run_id", "left")
-    rows = both.select("run_id", F.explode("c").alias("dimension", "current"), "h")
-    healthy = F.element_at("h", F.col("dimension"))
-    status = F.when(healthy.isNull() | F.col("current").isNull(), F.lit("not_available")).when(healthy.eqNullSafe(F.col("current")), F.lit("equal")).otherwise(F.lit("changed"))
-    return rows.select("run_id", "dimension", healthy.alias("healthy"), "current", status.alias("status"))
+    rows = both.select("run_id", F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), shown("h", d).alias("healthy"), shown("c", d).alias("current")) for d in dimensions])))
+    status = F.when(F.col("healthy").isNull() | F.col("current").isNull(), F.lit("not_available")).when(F.col("healthy") == F.col("current"), F.lit("equal")).otherwise(F.lit("changed"))
+    return rows.select("run_id", "dimension", "healthy", "current", status.alias("status"))
 
 
 def incremental_cost(costs: DataFrame, now: Column, last: int = 5, pending_hours: int = 24) -> DataFrame:
