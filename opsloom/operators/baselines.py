@@ -124,19 +124,23 @@ def banded_baseline(runs: DataFrame, floor: float = FLOOR_S, least: int = LEAST,
     return _with_verdict(robust_threshold(df, "sample", floor), "value", least)
 
 
-#: Runs of a job that one task folds.
-SEGMENT = 200_000
+#: Runs of a job that one task folds, and those of them from which what it leaves is guessed first.
+SEGMENT, TAIL = 50_000, 2_000
 FOLD_SCHEMA = "run_id string, job_id string, metric string, value double, median double, mad double, threshold double, deciding_term string, n int, band int, band_fallback boolean, verdict string, opens boolean"
 
 
 def _threshold(sample, floor: float):
     s = sorted(sample)
     n = len(s)
-    mid = (s[(n - 1) // 2] + s[n // 2]) / 2
-    d = sorted(abs(x - mid) for x in s)
-    mad = (d[(n - 1) // 2] + d[n // 2]) / 2
-    terms = (("ratio", RATIO * mid), ("mad", mid + DEVIATIONS * mad), ("floor", mid + floor))
-    name, top = max(terms, key=lambda t: t[1])
+    low, high = (n - 1) // 2, n // 2
+    mid = (s[low] + s[high]) / 2
+    d = sorted([abs(x - mid) for x in s])
+    mad = (d[low] + d[high]) / 2
+    name, top = "ratio", RATIO * mid
+    if mid + DEVIATIONS * mad > top:
+        name, top = "mad", mid + DEVIATIONS * mad
+    if mid + floor > top:
+        name, top = "floor", mid + floor
     return mid, mad, top, name
 
 
@@ -186,17 +190,30 @@ def forget(history: dict, before) -> None:
 
 def plain_rows(pdf) -> list[dict]:
     """The rows of a pandas frame with None for what is missing, and whole bands."""
-    import pandas as pd
-
-    rows = [{k: v if hasattr(v, "__len__") else None if pd.isna(v) else v for k, v in r.items()} for r in pdf.to_dict("records")]
+    names, columns = list(pdf.columns), []
+    for c in names:
+        column, known = pdf[c], pdf[c].notna().to_numpy()
+        values = column.to_numpy().astype("datetime64[us]") if column.dtype.kind == "M" else column
+        columns.append([v if k else None for v, k in zip(values.tolist(), known, strict=True)])
+    rows = [dict(zip(names, r, strict=True)) for r in zip(*columns, strict=True)]
     for r in rows:
-        r["band"] = None if r["band"] is None else int(r["band"])
+        if r["band"] is not None:
+            r["band"] = int(r["band"])
     return rows
 
 
+def folded_frame(lines: list[dict]):
+    """Verdicts of the fold as a pandas frame, a column at a time."""
+    import pandas as pd
+
+    return pd.DataFrame({c: [r[c] for r in lines] for c in (c.split()[0] for c in FOLD_SCHEMA.split(", "))})
+
+
 def _told(history: dict) -> str:
     """A history as text; equal histories have equal texts."""
-    told = [[list(key), [e.value for e in ends], values] for key, (ends, values) in history.items() if ends]
+    import pandas as pd
+
+    told = [[list(key), [pd.Timestamp(e).value for e in ends], values] for key, (ends, values) in history.items() if ends]
     return json.dumps(sorted(told, key=lambda t: repr(t[0])), default=float)
 
 
@@ -221,7 +238,7 @@ def _folded(rows: DataFrame, begins: DataFrame, floor: float, lines: bool) -> Da
         else:
             found = []
         if lines:
-            return pd.DataFrame(found, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+            return folded_frame(found)
         earliest = begin["earliest"].iloc[0]
         if not pd.isna(earliest):
             forget(history, earliest)
@@ -235,7 +252,7 @@ def _folded(rows: DataFrame, begins: DataFrame, floor: float, lines: bool) -> Da
 def detect_in_segments(keep: DataFrame, floor: float, size: int) -> DataFrame:
     """The verdicts of jobs of any size: segments of ``size`` runs are folded at once and again where they began wrong.
 
-    A segment first begins with what the one before leaves from an empty history. Where a segment leaves something
+    A segment first begins with what the last ``TAIL`` runs of the one before leave from an empty history. Where a segment leaves something
     else in the end, the next one is folded again, until every segment began with what the one before it leaves; as
     the first one begins right, all of them did. Old values leave a history soon, so few are folded more than twice.
     """
@@ -247,7 +264,8 @@ def detect_in_segments(keep: DataFrame, floor: float, size: int) -> DataFrame:
     begins = cut(bounds.withColumn("before", F.lit(None).cast("string")))
     named = lambda df: df.select(F.col("job_id").alias("j"), F.col("seg").alias("s"))
     same = F.col("job_id").eqNullSafe(F.col("j")) & (F.col("seg") == F.col("s"))
-    after = cut(_folded(rows, begins, floor, False))
+    tails = rows.filter((F.col("seg") == 0) | ((F.col("_n") - 1) % size >= size - TAIL))  # the first segment begins right, so it is folded whole
+    after = cut(_folded(tails, begins, floor, False))
     while True:
         left = after.select(F.col("job_id").alias("j"), (F.col("seg") + 1).alias("s"), F.col("after").alias("told"))
         new = begins.join(left, same, "left")
@@ -272,8 +290,6 @@ def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None
         df = df.join(extra.select("job_id", column), "job_id", "left") if extra is not None else df.withColumn(column, F.lit(None).cast(kind))
 
     def run(batches):
-        import pandas as pd
-
         job, history, excluded = None, None, set()
         for pdf in batches:
             out = []
@@ -286,7 +302,7 @@ def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None
                 if part[-1]["earliest"] is not None:
                     forget(history, part[-1]["earliest"])
             if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+                yield folded_frame(out)
 
     order = [F.col("end_time").asc_nulls_last(), F.col("run_id")]
     onwards = W.partitionBy("job_id").orderBy(F.col("end_time").desc_nulls_first(), F.desc("run_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
