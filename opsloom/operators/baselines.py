@@ -225,28 +225,29 @@ def _known(text: str | None) -> dict:
 
 
 def _folded(rows: DataFrame, begins: DataFrame, floor: float, lines: bool) -> DataFrame:
-    """Each segment (job_id, seg) folded from the history that it begins with: its verdicts, or the history that it leaves."""
+    """Each segment (job_id, seg) folded from the history that it begins with: its verdicts and, unless only these ``lines``
+    are asked for, one more row with the history that it leaves (``after``; null in verdicts)."""
 
     def run(key, part, begin):
         import pandas as pd
 
         part = part.sort_values(["_at", "run_id"], kind="stable")
         some, history = plain_rows(part), _known(begin["before"].iloc[0])
+        found = []
         if some:
             first = some[0]
             found = fold_job(some, set(() if first["excluded"] is None else first["excluded"]), first["closed_until"], first["regime_start"], floor, history)
-        else:
-            found = []
-        if lines:
-            return folded_frame(found)
-        earliest = begin["earliest"].iloc[0]
-        if not pd.isna(earliest):
-            forget(history, earliest)
-        return pd.DataFrame([(key[0], key[1], _told(history))], columns=["job_id", "seg", "after"])
-
-    schema = FOLD_SCHEMA if lines else "job_id string, seg long, after string"
+        out = folded_frame(found).assign(seg=int(key[1]), after=None)
+        if not lines:
+            earliest = begin["earliest"].iloc[0]
+            if not pd.isna(earliest):
+                forget(history, earliest)
+            left = {c: None for c in out.columns} | {"job_id": key[0], "seg": int(key[1]), "after": _told(history)}
+            out = pd.concat([out.astype(object), pd.DataFrame([left], dtype=object)])
+        return out
+
     own = begins.select(F.col("job_id").alias("j"), F.col("seg").alias("s"), "before", "earliest")  # names of its own: both come from the same rows
-    return rows.groupBy("job_id", "seg").cogroup(own.groupBy("j", "s")).applyInPandas(run, schema)
+    return rows.groupBy("job_id", "seg").cogroup(own.groupBy("j", "s")).applyInPandas(run, f"{FOLD_SCHEMA}, seg long, after string")
 
 
 def detect_in_segments(keep: DataFrame, floor: float, size: int) -> DataFrame:
@@ -265,16 +266,16 @@ def detect_in_segments(keep: DataFrame, floor: float, size: int) -> DataFrame:
     named = lambda df: df.select(F.col("job_id").alias("j"), F.col("seg").alias("s"))
     same = F.col("job_id").eqNullSafe(F.col("j")) & (F.col("seg") == F.col("s"))
     tails = rows.filter((F.col("seg") == 0) | ((F.col("_n") - 1) % size >= size - TAIL))  # the first segment begins right, so it is folded whole
-    after = cut(_folded(tails, begins, floor, False))
+    folded = cut(_folded(tails, begins, floor, False))
     while True:
-        left = after.select(F.col("job_id").alias("j"), (F.col("seg") + 1).alias("s"), F.col("after").alias("told"))
+        left = folded.filter("after is not null").select(F.col("job_id").alias("j"), (F.col("seg") + 1).alias("s"), F.col("after").alias("told"))
         new = begins.join(left, same, "left")
         new = cut(new.select("job_id", "seg", "earliest", F.col("told").alias("before"), (~F.col("told").eqNullSafe(F.col("before"))).alias("changed")))
         begins, again = new.drop("changed"), new.filter("changed").drop("changed")
         if not again.limit(1).count():
-            return _folded(rows, begins, floor, True)
+            return folded.filter("after is null").drop("seg", "after")
         redone = _folded(rows.join(named(again), same, "left_semi"), again, floor, False)
-        after = cut(after.join(named(again), same, "left_anti").unionByName(redone))
+        folded = cut(folded.join(named(again), same, "left_anti").unionByName(redone))
 
 
 def detect_runtime_regressions(runs: DataFrame, regimes: DataFrame | None = None, closed: DataFrame | None = None, active: DataFrame | None = None, floor: float = FLOOR_S, segment: int = SEGMENT) -> DataFrame:
