@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import once, volume_band
-from opsloom.functions.ordered import last_known, last_values, running_number
+from opsloom.functions.ordered import last_known, last_values, running_number, values_before
 from opsloom.functions.quantiles import INCLUSIVE, exact_quantiles
 from opsloom.sources.scratch import cut
 
@@ -67,33 +67,27 @@ def measured(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"metric": F.when(has, "execution").otherwise("total"), "value": F.coalesce("execution_s", "duration_s")})
 
 
-def runtime_samples(runs: DataFrame, value: str = "execution_s", size: int = WINDOW, within: list[str] = (), excluded: DataFrame | None = None, regimes: DataFrame | None = None) -> DataFrame:
+def runtime_samples(runs: DataFrame, value: str = "execution_s", size: int = WINDOW, within: dict[str, list[str]] | None = None, excluded: DataFrame | None = None, regimes: DataFrame | None = None) -> DataFrame:
     """Each run with the values of the last ``size`` successful runs of its job that ended by its start, latest first.
 
-    ``within`` names columns in which sample and run must agree (a volume band, a metric), ``excluded`` (run_id) runs that
-    are no sample, ``regimes`` (job_id, regime_start) the start from which on runs are.
+    ``within`` has for each sample the columns in which sample and run must agree (a volume band, a metric), each those
+    of the samples before it as well; ``excluded`` (run_id) are runs that are no sample, ``regimes`` (job_id,
+    regime_start) the start from which on runs are.
 
-    However far back they are: ends and starts are merged into one ordered stream per key, where the running number of
-    eligible ends before a start turns its sample into a lookup among the eligible ones. A run that does not take any
-    time stands before its own end.
+    However far back they are: ends and starts are merged into one ordered stream per key, once for all samples. A run
+    that does not take any time stands before its own end.
     """
-    keys = ["job_id", *within]
+    names = {name: ["job_id", *columns] for name, columns in (within or {"sample": []}).items()}
+    keys, order = list(names.values())[-1], ["_at", "_k", "_r", "_s"]
     good = runs.filter((F.col("result_state") == "SUCCESS") & F.col(value).isNotNull() & F.col("end_time").isNotNull())
-    if excluded is not None:
-        good = good.join(excluded.select("run_id").distinct(), "run_id", "left_anti")
     if regimes is not None:
         good = good.join(regimes.select("job_id", F.col("regime_start").alias("_from")), "job_id", "left").filter("_from is null or start_time >= _from")
-    ends = good.select(*keys, F.col("end_time").alias("_at"), F.lit(0).alias("_k"), F.col("run_id").alias("_r"), F.lit(1).alias("_s"), F.col(value).alias("_v"), F.lit(None).cast(runs.select(F.struct("*")).schema[0].dataType).alias("_run"))
+    if excluded is not None:
+        good = good.join(excluded.select("run_id"), "run_id", "left_anti")
+    ends = good.select(*keys, F.col("end_time").alias("_at"), F.lit(0).alias("_k"), F.col("run_id").alias("_r"), F.lit(1).alias("_s"), F.col(value).alias("_v"))
     instant = F.coalesce(F.col("end_time") <= F.col("start_time"), F.lit(False))
-    starts = runs.select(*keys, F.when(instant, F.col("end_time")).otherwise(F.col("start_time")).alias("_at"), F.when(instant, 0).otherwise(1).alias("_k"), F.col("run_id").alias("_r"), F.lit(0).alias("_s"), F.lit(None).cast(runs.schema[value].dataType).alias("_v"), F.struct("*").alias("_run"))
-    ranked = running_number(ends.unionByName(starts), keys, ["_at", "_k", "_r", "_s"], F.col("_s") == 1, "_g")
-    lasts = last_values(ranked.filter("_s = 1"), keys, "_g", "_v", size, "_l").withColumn("_last", F.reverse("_l")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_g").alias("_n"), "_last")
-    same = F.col("_g") == F.col("_n")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    df = ranked.filter("_s = 0").join(lasts, same, "left")
-    none = F.array().cast(lasts.schema["_last"].dataType)
-    return df.select("_run.*", F.coalesce("_last", none).alias("sample"))
+    starts = runs.withColumns({"_at": F.when(instant, F.col("end_time")).otherwise(F.col("start_time")), "_k": F.when(instant, 0).otherwise(1), "_r": F.col("run_id"), "_s": F.lit(0)})
+    return values_before(starts, ends, names, order, "_v", size).drop(*order)
 
 
 def runtime_baseline(runs: DataFrame, value: str = "execution_s", floor: float = FLOOR_S, least: int = LEAST, excluded: DataFrame | None = None, regimes: DataFrame | None = None) -> DataFrame:
@@ -117,8 +111,7 @@ def banded_baseline(runs: DataFrame, floor: float = FLOOR_S, least: int = LEAST,
     row count has no band and is compared with all.
     """
     df = measured(runs).withColumn("band", volume_band(F.col("input_rows")))
-    df = runtime_samples(df, "value", within=["metric", "band"], excluded=excluded, regimes=regimes).withColumnRenamed("sample", "same_band")
-    df = runtime_samples(df, "value", within=["metric"], excluded=excluded, regimes=regimes)
+    df = runtime_samples(df, "value", within={"sample": ["metric"], "same_band": ["metric", "band"]}, excluded=excluded, regimes=regimes)
     use_band = F.col("band").isNotNull() & (F.size("same_band") >= least)
     df = df.withColumns({"sample": F.when(use_band, F.col("same_band")).otherwise(F.col("sample")), "band_fallback": F.col("band").isNotNull() & ~use_band}).drop("same_band")
     return _with_verdict(robust_threshold(df, "sample", floor), "value", least)

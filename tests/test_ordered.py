@@ -43,3 +43,23 @@ def test_a_hot_key_is_many_windows(rows, monkeypatch):
     monkeypatch.setattr(O, "SLICE_DAYS", 10)
     sizes = rows.filter("k = 'hot' and at is not null").groupBy(O._slice("at")).count().collect()
     assert len(sizes) >= 10 and max(r["count"] for r in sizes) < 2.5 * sum(r["count"] for r in sizes) / len(sizes)
+
+
+@pytest.mark.parametrize(("days", "k"), [(1, 3), (30, 3), (30, 20), (3650, 5)])
+def test_values_before(spark, days, k, monkeypatch):
+    """Rows and ends of their own numbers, samples of a key and of a key and band, missing keys, bands and times, values far back."""
+    monkeypatch.setattr(O, "SLICE_DAYS", days)
+    rnd = random.Random(days + k)
+    at = lambda: datetime(1969, 6, 1) + timedelta(hours=rnd.choice([rnd.randint(0, 9000), rnd.randint(0, 50)]))
+    key, band = lambda: rnd.choice(["hot", "hot", "hot", "a", None]), lambda: rnd.choice([1, 1, 1, 1, 2, 3, None])
+    ends = [(key(), band(), at(), i, float(i)) for i in range(600)]
+    rows = [(key(), band(), rnd.choice([None, *[at() for _ in range(9)]]), 1000 + i, f"p{i}") for i in range(500)]
+    df = O.values_before(
+        spark.createDataFrame(rows, "k string, b int, at timestamp, i int, p string"), spark.createDataFrame(ends, "k string, b int, at timestamp, i int, v double"), {"every": ["k"], "same": ["k", "b"]}, ["at", "i"], "v", k
+    )
+    assert df.columns == ["k", "b", "at", "i", "p", "every", "same"]
+    got = {r.p: (r.every, r.same) for r in df.collect()}
+    for key, band, at, i, p in rows:
+        past = sorted(((e[2], e[3], e[1], e[4]) for e in ends if e[0] == key and at is not None and (e[2], e[3]) < (at, i)), reverse=True)
+        assert got[p] == ([e[3] for e in past][:k], [e[3] for e in past if e[2] == band][:k])
+    assert len(got) == len(rows) and any(len(s) == k for _, s in got.values())
