@@ -140,7 +140,10 @@ def signed(bags: DataFrame, m: int) -> DataFrame:
 
 
 def candidates(bags: DataFrame, m: int) -> DataFrame:
-    """Pairs of multisets that share a signature, each at the first choice of parts it agrees on."""
+    """Pairs of multisets that share a signature, each at the first choice of parts it agrees on.
+
+    Both sides are shuffled: Spark sizes them by the file of the multisets, a small part of the rows of all choices.
+    """
     left = signed(bags, m)
     right = left.select(*[F.col(c).alias(f"{c}_") for c in left.columns])
     differ = sum((F.when(F.col(f"p{k}") != F.col(f"p{k}_"), 1 << k).otherwise(0) for k in range(m)), F.lit(0))
@@ -149,7 +152,7 @@ def candidates(bags: DataFrame, m: int) -> DataFrame:
     table = F.lit([first.get(mask, -1) for mask in range(1 << m)])
     near = (F.col("signature") == F.col("signature_")) & (F.col("choice") == F.col("choice_")) & (F.col("bag") < F.col("bag_")) & (F.abs(F.col("size") - F.col("size_")) <= 1)
     near &= (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_"))) <= 2) & (F.element_at(table, differ + 1) == F.col("choice"))
-    return left.join(right, near).select("bag", "words", "bag_", "words_")
+    return left.join(right.hint("merge"), near).select("bag", "words", "bag_", "words_")
 
 
 def one_more(bag: str, other: str) -> tuple[str, str] | None:
@@ -216,11 +219,14 @@ def near_words(words: DataFrame) -> DataFrame:
 
 
 def roots(forms: DataFrame) -> DataFrame:
-    """word, root of (word, form) rows without cycles: pointers double each round until none moves."""
+    """word, root of (word, form) rows without cycles: pointers double each round until none moves.
+
+    The vocabulary is never broadcast: its packed files are far smaller than its rows.
+    """
     at = written(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = at.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        moved = written(at.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
+        moved = written(at.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
         discard(at)
         at = moved
         if not at.filter("moved").limit(1).count():
@@ -232,10 +238,10 @@ def group_variants(docs: DataFrame) -> DataFrame:
     words = written(word_counts(docs).filter(F.col("n") >= LEAST_COUNT))
     near = near_words(words)
     strong = F.col("best_n") >= RATIO * F.col("n")
-    known = written(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(strong, F.col("best")).alias("form"), F.when(strong, F.col("best_n")).alias("form_n")))
+    known = written(words.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(strong, F.col("best")).alias("form"), F.when(strong, F.col("best_n")).alias("form_n")))
     discard(words, near)
     ends = roots(known.filter("form is not null"))
-    return known.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:

@@ -113,6 +113,14 @@ def test_signatures_lose_no_pair(spark, m):
     assert got == {w: (len(x), max(x, key=n.get)) for w, x in near.items() if x}
 
 
+def test_vocabulary_is_never_broadcast(spark):
+    """However small Spark takes a side for: a row of the file is one for each choice of parts in the join."""
+    words = spark.createDataFrame([("house", 3), ("houses", 4), ("mouse", 9)], "word string, n long")
+    docs = spark.createDataFrame([(k, "house houses mouse " * 3) for k in range(1, 9)], "doc_id long, text string")
+    for df in (variants.candidates(variants.written(variants.vectors(words)), 12), variants.group_variants(docs)):
+        assert "SortMergeJoin" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+
+
 def test_letters_that_differ():
     assert variants.dimensions("aabé") == ["a", "a1", "b", "é"]
     assert variants.one_more("abc", "abd") == ("c", "d") and variants.one_more("abc", "abcc") == ("", "c") and variants.one_more("aab", "bcc") is None
