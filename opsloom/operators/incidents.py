@@ -9,10 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import severity_name, severity_rank, stable_id
+from opsloom.functions.ordered import running_number
+from opsloom.sources.scratch import cut
 
 ACTIVE = ("detected", "triaged", "investigating", "mitigating")
 ENDED = ("closed", "recovered", "cancelled")
 CAP, TEMPORAL_CAP = 0.9, 0.5
+#: Commits of a job that stand in one row, and the most pairs of a job and a sha that are broadcast.
+BLOCK, FEW = 1000, 50_000
 
 
 def _sum(*terms: tuple[Column, float]) -> Column:
@@ -65,17 +69,84 @@ def rank_hypotheses(hypotheses: DataFrame) -> DataFrame:
 def changes_in_window(runs: DataFrame, changes: DataFrame, days: int = 7) -> DataFrame:
     """run_id, sha, nth: commits between the healthy run's end (or a week before) and the run's start, deployed one first.
 
-    ``runs`` has run_id, job_id, git_sha, start_time, healthy_end; ``changes`` has job_id, sha, committed_at. A run meets only
-    the changes of the slices of ``days`` days that its window touches, not all of its job.
+    ``runs`` has run_id, job_id, git_sha, start_time, healthy_end; ``changes`` has job_id, sha, committed_at. The rows out, many
+    for each run, are neither shuffled nor sorted: commits of a job are numbered by time, a window is a range of numbers, and a
+    run meets the blocks of commits that its range touches. Only run ids that come again, and runs with a sha of jobs with
+    commits without one, are sorted run by run.
     """
+    since = F.coalesce("healthy_end", F.col("start_time") - F.expr(f"INTERVAL '{days}' DAY"))
+    spans = runs.select("run_id", "job_id", "git_sha", "start_time", since.alias("since")).filter("since < start_time and job_id is not null")
+    commits = changes.select("job_id", "sha", "committed_at").filter("job_id is not null and committed_at is not null")
+    numbered = cut(_numbered(spans, commits))
+    deployed = _deployed(numbered)
+    ranges = cut(_ranges(numbered, deployed))
+    odd = _odd(numbered, ranges)
+    if not odd.limit(1).count():
+        return _placed(ranges, numbered, deployed)
+    is_odd = F.col("run_id").eqNullSafe(F.col("_odd"))
+    return _placed(ranges.join(odd, is_odd, "left_anti"), numbered, deployed).unionByName(_sorted(spans.join(odd, is_odd, "left_semi"), commits, days))
+
+
+def _numbered(spans: DataFrame, commits: DataFrame) -> DataFrame:
+    """Commits, and both ends of each run's window (``end``, with the run's sha), with ``number``: commits of the job up to then."""
+    ends = spans.select("run_id", "job_id", F.col("git_sha").alias("sha"), F.explode(F.array("since", "start_time")).alias("at"), F.lit(True).alias("end"))
+    rows = commits.select("job_id", "sha", F.col("committed_at").alias("at"), F.lit(False).alias("end")).unionByName(ends, allowMissingColumns=True)
+    return running_number(rows, ["job_id"], ["at", "end", F.desc("sha")], ~F.col("end"), "number")
+
+
+def _deployed(numbered: DataFrame) -> DataFrame:
+    """The numbered rows whose sha is both a run's and a commit's of the job, with ``same``: commits of that sha up to then."""
+    both = numbered.filter("sha is not null").groupBy("job_id", "sha").agg(F.max("end").alias("asked"), F.min("end").alias("never")).filter("asked and not never").select("job_id", "sha")
+    both = cut(both)
+    both = both.hint("broadcast" if both.limit(FEW + 1).count() <= FEW else "merge")
+    return running_number(numbered.join(both, ["job_id", "sha"], "left_semi"), ["job_id", "sha"], ["at", "end", "number"], ~F.col("end"), "same")
+
+
+def _ranges(numbered: DataFrame, deployed: DataFrame) -> DataFrame:
+    """A row for each run_id: the numbers of its window (over ``low``, up to ``high``), those of its own sha likewise, and its window's ends."""
+    ends = numbered.filter("end").select("run_id", "job_id", "sha", "number", F.lit(None).cast("long").alias("same"))
+    ends = ends.unionByName(deployed.filter("end").select("run_id", "job_id", "sha", F.lit(None).cast("long").alias("number"), "same"))
+    found = {"low": F.min("number"), "high": F.max("number"), "same_low": F.coalesce(F.min("same"), F.lit(0)), "same_high": F.coalesce(F.max("same"), F.lit(0))}
+    return ends.groupBy("run_id").agg(F.max("job_id").alias("job_id"), F.max("sha").alias("git_sha"), F.count("number").alias("ends"), *[v.alias(k) for k, v in found.items()])
+
+
+def _odd(numbered: DataFrame, ranges: DataFrame) -> DataFrame:
+    """_odd: run ids of several runs, and those of runs with a sha in jobs with commits without one, which come last."""
+    odd = ranges.filter("ends <> 2").select(F.col("run_id").alias("_odd"))
+    nameless = numbered.filter("sha is null and not end").select("job_id").distinct()
+    if nameless.limit(1).count():
+        odd = odd.union(ranges.filter("ends = 2 and git_sha is not null").join(nameless, "job_id", "left_semi").select("run_id"))
+    return odd
+
+
+def _placed(ranges: DataFrame, numbered: DataFrame, deployed: DataFrame) -> DataFrame:
+    """run_id, sha, nth of runs by their ranges: the commits of the run's sha by their count alone, the others block by block."""
+    def block(number: Column) -> Column:
+        return F.floor(number / F.lit(BLOCK))
+
+    blocks = numbered.filter("not end").groupBy("job_id", block(F.col("number") - 1).alias("_slice")).agg(F.array_sort(F.collect_list(F.struct("number", "sha")))["sha"].alias("shas"))
+    touched = ranges.filter("high > low").withColumn("_slice", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
+    without = touched.filter("same_high = same_low").withColumns({"git_sha": F.lit(None).cast(ranges.schema["git_sha"].dataType), "before": F.lit(0)})
+    upto = deployed.filter("not end").groupBy("job_id", F.col("sha").alias("git_sha"), block(F.col("number") - 1).alias("_slice")).agg(F.max("same").alias("upto"))
+    earlier = W.partitionBy("run_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    held = F.coalesce(F.last("upto", ignorenulls=True).over(earlier), F.col("same_low")) - F.col("same_low")
+    having = touched.filter("same_high > same_low").join(upto.hint("merge"), ["job_id", "git_sha", "_slice"], "left").withColumn("before", held)
+    first, last = F.greatest("low", F.col("_slice") * BLOCK), F.least("high", (F.col("_slice") + 1) * BLOCK)
+    parts = without.unionByName(having.drop("upto")).select("run_id", "job_id", "_slice", "git_sha", (first - F.col("_slice") * BLOCK).cast("int").alias("skip"), (last - first).cast("int").alias("take"), (F.col("high") - first + F.col("before")).alias("top"))
+    part = F.slice("shas", F.col("skip") + 1, F.col("take"))
+    others = parts.join(blocks.hint("merge"), ["job_id", "_slice"]).select("run_id", "top", F.posexplode(F.when(F.col("git_sha").isNull(), part).otherwise(F.array_remove(part, F.col("git_sha")))).alias("_k", "sha"))
+    own = ranges.filter("same_high > same_low").select("run_id", F.col("git_sha").alias("sha"), (F.col("same_high") - F.col("same_low")).cast("int").alias("_n"))
+    own = own.withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(BLOCK)))).select("run_id", "sha", F.explode(F.sequence("_from", F.least("_n", F.col("_from") + (BLOCK - 1)))).alias("nth"))
+    return others.select("run_id", "sha", (F.col("top") - F.col("_k")).cast("int").alias("nth")).unionByName(own)
+
+
+def _sorted(spans: DataFrame, commits: DataFrame, days: int) -> DataFrame:
+    """run_id, sha, nth of any runs, sorted run by run. A run meets only the commits of the slices of ``days`` days that its window touches."""
     def slice_of(at: str) -> Column:
         return F.floor(F.unix_date(F.col(at).cast("date")) / F.lit(days))
 
-    since = F.coalesce("healthy_end", F.col("start_time") - F.expr(f"INTERVAL '{days}' DAY"))
-    spans = runs.select("run_id", "job_id", "git_sha", "start_time", since.alias("since")).filter("since < start_time")
     spans = spans.withColumn("_slice", F.explode(F.sequence(slice_of("since"), slice_of("start_time"))))
-    commits = changes.select("job_id", "sha", "committed_at", slice_of("committed_at").alias("_slice"))
-    met = spans.join(commits, ["job_id", "_slice"]).filter("committed_at > since and committed_at <= start_time")
+    met = spans.join(commits.withColumn("_slice", slice_of("committed_at")), ["job_id", "_slice"]).filter("committed_at > since and committed_at <= start_time")
     w = W.partitionBy("run_id").orderBy(F.desc(F.col("sha") == F.col("git_sha")), F.desc("committed_at"), "sha")
     return met.select("run_id", "sha", F.row_number().over(w).alias("nth"))
 
